@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
 _SEG = "_seg"
 
 

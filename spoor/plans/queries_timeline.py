@@ -17,17 +17,20 @@ _EV_SQL = """SELECT CAST(run_id AS BIGINT) run_id, kind, seq, ns, {tid} tid, {ii
   hex AS captured_hex FROM ev"""
 
 
-def _shown(df):
+def shown(df):
     df = df.withColumn("captured_hex", F.coalesce(B.hex_text("captured"), F.lit("")))
     return big(df, "addr", "endaddr", "target").select(*_EVIDENCE)
 
 
-@query("to_evidence", duck("ev") + _EV_SQL.format(
+EVIDENCE_SQL = (duck("ev") + _EV_SQL.format(
     tid="CASE kind WHEN 17 THEN 0 ELSE tid END", iid="CASE WHEN kind IN (12, 15) THEN 0 ELSE iid END",
     target="CASE kind WHEN 8 THEN 4096 + k % 7 WHEN 11 THEN k ELSE target END").replace(
         "addr, addr + width", "CASE kind WHEN 18 THEN k ELSE addr END addr, CASE kind WHEN 18 THEN k ELSE addr + width END"))
+
+
+@query("to_evidence", EVIDENCE_SQL)
 def to_evidence(spark, sf):
-    return _shown(evidence.to_evidence(t.typed_tables(spark, sf)))
+    return shown(evidence.to_evidence(t.typed_tables(spark, sf)))
 
 
 @query("ingest_rejects", duck("ev") + """, bad AS (SELECT seq - k % 3 * seq AS seq, kind, k, hex,

@@ -158,7 +158,7 @@ def document_samples(spark: SparkSession, sf: str) -> DataFrame:
 # --- other tables ------------------------------------------------------------------------------------
 
 _MODULES = """SELECT {runs} AS run_id, s_suppkey + 1 AS module_id, s_name, s_nationkey,
-  CAST(s_suppkey AS BIGINT) {div} 2 * 1048576 AS base, 65536 * (1 + s_nationkey) AS size,
+  CAST(s_suppkey AS BIGINT) {div} 2 * 2097152 AS base, 65536 * (1 + s_nationkey) AS size,
   1 + (s_suppkey % 2) * 7500 AS load_seq,
   CASE WHEN s_suppkey % 2 = 0 THEN 7001 END AS unload_seq FROM {supplier}"""
 
@@ -229,7 +229,7 @@ DUCK = {
     "docs": """docs AS (SELECT doc_id + 1 AS seq, doc_id % 8 AS tid, doc_id % 50 + 1 AS iid,
   (doc_id % 50) * 256 AS addr, text, lower(hex(encode(text))) AS hex FROM documents)""",
     "mods": """mods AS (SELECT s_suppkey + 1 AS module_id, s_name, s_nationkey, s_acctbal,
-  (s_suppkey // 2) * 1048576 AS base, 65536 * (1 + s_nationkey) AS size, 1 + (s_suppkey % 2) * 7500 AS load_seq,
+  (s_suppkey // 2) * 2097152 AS base, 65536 * (1 + s_nationkey) AS size, 1 + (s_suppkey % 2) * 7500 AS load_seq,
   CASE WHEN s_suppkey % 2 = 0 THEN 7001 END AS unload_seq FROM supplier)""",
     "runs": "runs AS (SELECT DISTINCT run_id FROM evr)",
 }
@@ -238,3 +238,30 @@ DUCK = {
 def duck(*names: str, recursive: bool = False) -> str:
     """WITH clause with the named definitions."""
     return "WITH " + ("RECURSIVE " if recursive else "") + ", ".join(DUCK[n] for n in names)
+
+
+def all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """One complete recording: all eighteen record types as typed tables."""
+    u64 = "DECIMAL(20,0)"
+    part = read(spark, sf, "part")
+    first = read(spark, sf, "events").selectExpr(
+        "min(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)) AS unix_timestamp")
+    static = {
+        "run": first.selectExpr(
+            "1L AS run_id", "20L AS format_version", "CAST(unix_timestamp AS BIGINT) AS unix_timestamp",
+            "0L AS monotonic_ns", "8L AS pointer_size", "'all' AS scope", "64L AS max_memory_bytes",
+            "64L AS call_stack_bytes", "true AS registers", "explode(array(true, false)) AS started"),
+        "modules": modules(spark, sf).withColumn("sequence", F.expr("1000000000 + module_id * 2 + CAST(loaded AS INT)")),
+        "instruction_definitions": instructions(spark, sf).selectExpr(
+            "run_id", "iid AS instruction_id", "mid AS module_id", "address", "off AS module_offset", "4L AS size",
+            "encoding AS encoding_hex", "routine", "concat(disassembly, ', \"', routine, '\"\\n;') AS disassembly"),
+        "register_definitions": registers(spark, sf).withColumn("size", F.lit(8).cast("bigint")),
+        "memory_api_definitions": part.selectExpr(
+            "1L AS run_id", "p_partkey + 1 AS definition_id", "p_partkey % 3 + 1 AS module_id",
+            f"CAST(p_partkey * 16 AS {u64}) AS address", "CAST(p_size % 19 AS BIGINT) AS kind", "p_name AS name"),
+        "function_definitions": part.selectExpr(
+            "1L AS run_id", "p_partkey + 1 AS function_id", "p_partkey % 3 + 1 AS module_id",
+            f"CAST(p_partkey * 64 AS {u64}) AS address", f"CAST(p_partkey * 64 AS {u64}) AS module_offset",
+            f"CAST(p_size AS {u64}) AS size", "p_name AS name"),
+    }
+    return {**static, **typed_tables(spark, sf)}
