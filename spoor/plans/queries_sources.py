@@ -7,7 +7,7 @@ from spoor.functions import bytes as B
 from spoor.operators import evidence
 from spoor.plans import tables as t
 from spoor.plans.queries_timeline import EVIDENCE_SQL, shown
-from spoor.plans.registry import big, query
+from spoor.plans.registry import ORACLES, query
 from spoor.plans.tables import duck
 from spoor.session import scratch_path
 from spoor.sources import catalog, csv_run, prepared
@@ -123,3 +123,39 @@ def streaming_duplicate_guard(spark, sf):
     twice = live.stream_events(spark, path).unionByName(live.stream_events(spark, path))
     timed = live.with_event_time(twice, starts, "1 day")
     return _finished(spark, live.drop_duplicates(timed).select("seq", "kind"), "stream-unique")
+
+
+def _two_deliveries(spark, sf, *columns):
+    """Stack rows of the whole recording, delivered as an earlier and a later set of files."""
+    rows = t.event_rows(spark, sf).selectExpr("1L AS run_id", "tid", "seq", "ns", *columns).filter("kind IS NOT NULL")
+    middle = rows.agg(F.expr("max(seq) div 2")).first()[0]
+    path = scratch_path(spark, "delivered")
+    for part in (rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)):
+        part.repartition(8).write.mode("append").parquet(path)
+    stream = live.land(spark, path, rows.schema, files_per_trigger=8)
+    return stream.withColumn("event_time", F.timestamp_micros(F.expr("ns div 1000"))).withWatermark("event_time", "1 minute")
+
+
+_PASSED = f"ns // 1000000 < {_FINAL}"
+
+
+@query("streaming_correlate_calls", ORACLES["correlate_calls"].replace(
+    " FROM s WHERE n > 0", " FROM s JOIN ev USING (seq) WHERE s.n > 0 AND "
+    + _PASSED.replace("FROM ev", "FROM ev WHERE kind IN (7, 8)")).replace(
+    "SELECT tid, seq, kind, call_id", "SELECT s.tid, seq, s.kind, call_id"))
+def streaming_correlate_calls(spark, sf):
+    """Call/return matching while files land, for everything the watermark has passed."""
+    timed = _two_deliveries(spark, sf, "CASE WHEN kind IN (7, 8) THEN kind END AS kind", "grp AS call_id",
+                            "CASE kind WHEN 7 THEN 4096 + k % 5 ELSE 4096 + k % 7 END AS address")
+    return _finished(spark, live.correlate_calls(timed), "stream-calls").drop("run_id")
+
+
+@query("streaming_correlate_syscalls", ORACLES["correlate_syscalls"].replace(
+    "SELECT tid, seq, entering, epoch, CASE WHEN NOT entering AND NOT orphan THEN opened END AS enter_seq FROM p",
+    "SELECT p.tid, seq, entering, CASE WHEN entering THEN seq WHEN NOT orphan THEN opened ELSE 0 END AS enter_seq "
+    f"FROM p JOIN ev USING (seq) WHERE {_PASSED}"))
+def streaming_correlate_syscalls(spark, sf):
+    timed = _two_deliveries(spark, sf, "CASE WHEN kind = 13 THEN 13 WHEN k % 2 = 0 THEN 1 ELSE 0 END AS kind",
+                            "seq AS call_id", "0L AS address")
+    rows = _finished(spark, live.correlate_syscalls(timed), "stream-syscalls").filter("kind <> 13")
+    return rows.select("tid", "seq", (F.col("kind") == 1).alias("entering"), F.col("call_id").alias("enter_seq"))

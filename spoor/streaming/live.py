@@ -10,9 +10,20 @@ from spoor import schemas
 from spoor.operators.audit import UNTIMED
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """The replay operators hold list state and timers, which Spark keeps in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def land(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 64) -> DataFrame:
+    """Parquet files of one table as they land."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """Evidence files as they land."""
-    return (spark.readStream.schema(schemas.EVIDENCE).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+    return land(spark, path, schemas.EVIDENCE, files_per_trigger)
 
 
 def with_event_time(events: DataFrame, starts: DataFrame, delay: str) -> DataFrame:
@@ -58,24 +69,25 @@ def _stack_processor(syscalls: bool):
             self.waiting = handle.getListState("waiting", "at bigint, seq bigint, kind int, call_id bigint, address bigint")
             self.frames = handle.getListState("frames", "call_id bigint, address bigint")
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             for batch in rows:
                 stamps = batch["event_time"].astype("datetime64[us]").astype("int64") // 1000
                 new = list(zip((int(v) for v in stamps), *(map(int, batch[c]) for c in ("seq", "kind", "call_id", "address"))))
                 if new:
                     self.waiting.appendList(new)
-                    for at in {r[0] // 1000 for r in new}:   # one timer per second of data
-                        self.handle.registerTimer((at + 1) * 1000)
+                    self.handle.registerTimer(min(r[0] for r in new) + 1)
             return iter([])
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
-            limit = expired.getExpiryTimeInMs()
-            held = list(self.waiting.get())
+            limit = timerValues.getCurrentWatermarkInMs()
+            held = list(self.waiting.get()) if self.waiting.exists() else []
             ready = sorted((r for r in held if r[0] < limit), key=lambda r: r[1])
             if not ready:
                 return iter([])
             rest = [r for r in held if r[0] >= limit]
+            if rest:     # everything the watermark passed is released at once; wake up for the next row
+                self.handle.registerTimer(max(limit, min(r[0] for r in rest)) + 1)
             frames, out = list(self.frames.get()) if self.frames.exists() else [], []
             for _, seq, kind, call_id, address in ready:
                 out.append(self.step(frames, seq, kind, call_id, address))
@@ -120,6 +132,7 @@ def correlate_syscalls(timed: DataFrame) -> DataFrame:
 
 
 def _replay(timed: DataFrame, syscalls: bool) -> DataFrame:
+    keep_state_in_rocksdb(timed.sparkSession)
     rows = timed.select("run_id", "tid", "seq", F.col("kind").cast("int").alias("kind"), "call_id", "address", "event_time")
     return rows.groupBy("run_id", "tid").transformWithStateInPandas(
         statefulProcessor=_stack_processor(syscalls), outputStructType=_MATCHED, outputMode="Append",
