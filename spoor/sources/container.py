@@ -250,10 +250,9 @@ def _steps(kind: int):
 
 
 def _decoder(kind: int):
-    steps = _steps(kind)
-
     def decode(batches):
         import pandas as pd
+        steps = _steps(kind)
         for batch in batches:
             values = {name: [] for name, _ in schemas.fields(kind)}
             for payload in batch["payload"]:
@@ -312,7 +311,7 @@ def read_container(spark: SparkSession, paths: list[str], staging: str) -> tuple
     ids = spark.createDataFrame([(p, i + 1) for i, p in enumerate(resolved)], "path string, run_id bigint")
     raw = read_records(spark, resolved).join(ids, "path")
     raw.write.mode("errorifexists").partitionBy("type").parquet(staging)
-    records = spark.read.parquet(staging)
+    records = spark.read.schema(raw.schema).parquet(staging)
     state = completeness(block_index(spark, resolved), records).join(ids, "path")
     check_started(state)
     tables = {name: decode_records(records, kind) for kind, name in schemas.NAMES.items()}
