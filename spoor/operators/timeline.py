@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spoor.operators import ordered
 from spoor.operators.evidence import NEWEST, categorize, timeline_filter
 
+_FEW = 1000   # pieces of a page that are looked up on the driver; more are joined as a table
+
 
 def category_totals(evidence: DataFrame) -> DataFrame:
     """Rows per category for all threads (tid -1) and per thread; thread-less rows count under 0."""
@@ -26,7 +28,8 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
     """The rows of one numbered page per run; ``requested`` is built from the piece counts.
 
     Ordinals come from per-piece counts, so only the few pieces a page touches are ranked. At most
-    ``size`` pieces per run overlap a page (each holds at least one of its rows).
+    ``size`` pieces per run overlap a page (each holds at least one of its rows); they are broadcast
+    only after their number has been checked.
     """
     if size < 1:
         raise ValueError("Page size must be positive")
@@ -41,8 +44,15 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
     first = (F.col("page") - 1) * size
     touched = (counts.filter((F.col("_before") < first + size) & (F.col("_before") + F.col("_rows") > first))
                .select("run_id", "_seg", "_before", "total", "pages", "page"))
+    few = touched.limit(_FEW + 1).collect()
+    if 0 < len(few) <= _FEW:
+        # The usual case: the page's stretch becomes a plain sequence filter that reaches the scan.
+        span = segment or ordered.SEGMENT
+        low, high = min(r["_seg"] for r in few) * span, (max(r["_seg"] for r in few) + 1) * span
+        pieces = pieces.filter((F.col("seq") >= low) & (F.col("seq") < high))
+        touched = F.broadcast(rows.sparkSession.createDataFrame(few, touched.schema))
     local = F.row_number().over(Window.partitionBy("run_id", "_seg").orderBy("seq"))
-    ranked = (pieces.join(F.broadcast(touched), ["run_id", "_seg"])
+    ranked = (pieces.join(touched, ["run_id", "_seg"])
               .withColumn("ordinal", F.col("_before") + local - 1))
     return (ranked.filter((F.col("ordinal") >= first) & (F.col("ordinal") < first + size))
             .drop("_seg", "_before"))

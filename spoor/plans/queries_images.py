@@ -38,9 +38,10 @@ def program_map(spark, sf):
 _POINT = "o_orderkey + 1 AS seq, o_custkey {div} 3 * 16384 + o_orderkey * 37 AS addr"
 
 
-@query("attribute_module", duck("mods") + f""", p AS (SELECT {_POINT.format(div='//')} FROM orders)
-  SELECT seq, coalesce(module_id, 0) AS module_id, CASE WHEN module_id IS NULL THEN addr ELSE addr - base END AS module_offset
-  FROM p LEFT JOIN mods ON addr >= base AND addr < base + size AND seq >= load_seq AND (unload_seq IS NULL OR seq < unload_seq)""")
+@query("attribute_module", duck("mods") + f""", p AS (SELECT {_POINT.format(div='//')} FROM orders),
+  hit AS (SELECT seq, module_id, addr - base AS off FROM p JOIN mods ON addr >= base AND addr < base + size AND seq >= load_seq
+    WHERE unload_seq IS NULL OR seq < unload_seq)
+  SELECT seq, coalesce(module_id, 0) AS module_id, coalesce(off, addr) AS module_offset FROM p LEFT JOIN hit USING (seq)""")
 def attribute_module(spark, sf):
     points = t.read(spark, sf, "orders").selectExpr("1L AS run_id", *_POINT.format(div="div").split(", ")).withColumn(
         "addr", F.col("addr").cast(B.U64))

@@ -18,13 +18,15 @@ from spoor.session import path_exists
 
 # Container layout, little endian.
 FILE_MAGIC, BLOCK_MAGIC, FOOTER_MAGIC = b"JKEYTRC\0", b"JBLK", b"KLBJ"
-FILE_HEADER, BLOCK_HEADER, FOOTER = struct.Struct("<8sHBBBBH"), struct.Struct("<4sHBBQIIII"), struct.Struct("<4sIQ")
+FILE_HEADER, FILE_HEADER_SIZE = "<8sHBBBBH", 16
+BLOCK_HEADER, BLOCK_HEADER_SIZE = "<4sHBBQIIII", 32
+FOOTER, FOOTER_SIZE = "<4sIQ", 16
 MAX_BLOCK = 64 * 1024 * 1024
 RECORD_HEADER = 5
 FILE_NAME = "trace.jkt"
 
 _INDEX = ("path string, block_offset bigint, block_id bigint, codec int, decoded_size bigint, stored_size bigint, "
-          "records bigint, crc bigint, status string, problem string")
+          "records bigint, crc bigint, status string, problem string, pointer int")
 
 
 def _open(path: str):
@@ -41,26 +43,28 @@ def resolve(spark: SparkSession, path: str) -> str:
 
 def _hop(path: str):
     """Index rows of one file; stops at the first block that does not follow its predecessor."""
+    pointer = None
+
     def row(offset, status, problem=None, header=(None,) * 6):
-        return (path, offset, header[0], header[1], header[2], header[3], header[4], header[5], status, problem)
+        return (path, offset, *header, status, problem, pointer)
 
     with _open(path) as file:
-        head = file.read(FILE_HEADER.size)
-        if len(head) < FILE_HEADER.size:
+        head = file.read(FILE_HEADER_SIZE)
+        if len(head) < FILE_HEADER_SIZE:
             yield row(0, "Corrupt", "file header")
             return
-        magic, version, little, pointer, preferred, block_version, zero = FILE_HEADER.unpack(head)
+        magic, version, little, pointer, preferred, block_version, zero = struct.unpack(FILE_HEADER, head)
         if (magic, version, little, block_version, zero) != (FILE_MAGIC, 2, 1, 1, 0) or pointer not in (4, 8) or preferred > 1:
             yield row(0, "Corrupt", "file header")
             return
-        size, at, expected = file.size(), FILE_HEADER.size, 1
+        size, at, expected = file.size(), FILE_HEADER_SIZE, 1
         while at < size:
             file.seek(at)
-            raw = file.read(BLOCK_HEADER.size)
-            if len(raw) < BLOCK_HEADER.size:
+            raw = file.read(BLOCK_HEADER_SIZE)
+            if len(raw) < BLOCK_HEADER_SIZE:
                 yield row(at, "Incomplete", "block header")
                 return
-            magic, version, codec, flags, block, decoded, stored, records, crc = BLOCK_HEADER.unpack(raw)
+            magic, version, codec, flags, block, decoded, stored, records, crc = struct.unpack(BLOCK_HEADER, raw)
             header = (block if block < 1 << 63 else -1, codec, decoded, stored, records, crc)
             if (magic, version, flags) != (BLOCK_MAGIC, 1, 0):
                 yield row(at, "Corrupt", "block header", header)
@@ -68,16 +72,16 @@ def _hop(path: str):
             if block != expected or max(decoded, stored) > MAX_BLOCK:
                 yield row(at, "Corrupt", "block order or bounds", header)
                 return
-            footer_at = at + BLOCK_HEADER.size + stored
-            if footer_at + FOOTER.size > size:
+            footer_at = at + BLOCK_HEADER_SIZE + stored
+            if footer_at + FOOTER_SIZE > size:
                 yield row(at, "Incomplete", "block cut off", header)
                 return
             file.seek(footer_at)
-            if FOOTER.unpack(file.read(FOOTER.size)) != (FOOTER_MAGIC, stored + 48, block):
+            if struct.unpack(FOOTER, file.read(FOOTER_SIZE)) != (FOOTER_MAGIC, stored + 48, block):
                 yield row(at, "Incomplete", "block footer", header)
                 return
             yield row(at, "Block" if codec == 0 else "UnsupportedCodec", None, header)
-            at, expected = footer_at + FOOTER.size, expected + 1
+            at, expected = footer_at + FOOTER_SIZE, expected + 1
 
 
 def _hop_files(batches):
@@ -98,7 +102,7 @@ def _hop_files(batches):
 def _frame(rows, names):
     import pandas as pd
     numbers = ["block_offset", "block_id", "codec", "decoded_size", "stored_size", "records", "crc"]
-    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in numbers}).astype({"codec": "Int32"})
+    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in numbers}).astype({"codec": "Int32", "pointer": "Int32"})
 
 
 def block_index(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -108,7 +112,7 @@ def block_index(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _payload(file, offset, stored):
-    file.seek(offset + BLOCK_HEADER.size)
+    file.seek(offset + BLOCK_HEADER_SIZE)
     return file.read(stored)
 
 
@@ -215,7 +219,8 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 def completeness(index: DataFrame, records: DataFrame) -> DataFrame:
     """Per file: blocks, whether the tail was cut, and whether a run-start record was seen."""
     tails = index.groupBy("path").agg(F.count_if(F.col("status") == "Block").alias("blocks"),
-                                      F.max(F.col("status") == "Incomplete").alias("incomplete"))
+                                      F.max(F.col("status") == "Incomplete").alias("incomplete"),
+                                      F.max("pointer").alias("pointer"))
     starts = (records.filter("type = 1").groupBy("path")
               .agg(F.max(F.substring(F.col("payload"), -1, 1) == F.lit(b"\x01")).alias("started")))
     return tails.join(starts, "path", "left").withColumn("started", F.coalesce("started", F.lit(False)))
@@ -318,4 +323,6 @@ def read_container(spark: SparkSession, paths: list[str], staging: str) -> tuple
     bad = tables["run"].filter(F.col("format_version") != schemas.FORMAT_VERSION).limit(1).count()
     if bad:
         raise ValueError("Unsupported trace format (requires version 20)")
+    if tables["run"].join(state, "run_id").filter("pointer_size <> pointer").limit(1).count():
+        raise ValueError("Inconsistent pointer size")
     return tables, state
