@@ -14,10 +14,13 @@ FRAME_PIECE = 1 << 17   # sequence numbers per piece of the call-stack replay
 
 def call_lifetimes(evidence: DataFrame) -> DataFrame:
     """Every call with the first return of its id on its thread."""
-    returns = (evidence.filter(F.col("kind") == 8).groupBy("run_id", "cid", "tid")
-               .agg(F.min("seq").alias("returned")))
     calls = evidence.filter(F.col("kind") == 7).select("run_id", "seq", "tid", "cid", "target")
-    return calls.join(returns, ["run_id", "cid", "tid"], "left")
+    return calls.join(_first_returns(evidence), ["run_id", "cid", "tid"], "left")
+
+
+def _first_returns(evidence: DataFrame) -> DataFrame:
+    return (evidence.filter(F.col("kind") == 8).groupBy("run_id", "cid", "tid")
+            .agg(F.min("seq").alias("returned")))
 
 
 def _newest_return(evidence: DataFrame, cursor: int | None, columns: list[str]) -> DataFrame:
@@ -64,18 +67,15 @@ def _active_spans(evidence: DataFrame) -> DataFrame:
 
     A call ends at its first return, or when its thread changes context.
     """
-    life = call_lifetimes(evidence).withColumn("change", F.lit(False))
-    changes = (evidence.filter(F.col("kind") == 13)
-               .select("run_id", "seq", "tid", F.lit(0).cast("bigint").alias("cid"),
-                       F.lit(0).cast(B.U64).alias("target"), F.lit(None).cast("bigint").alias("returned"),
-                       F.lit(True).alias("change")))
+    change = F.col("kind") == 13
     # The next change is the previous one on the mirrored axis.
-    rows = (life.unionByName(changes).withColumn("_mirror", F.lit(ordered.LAST) - F.col("seq")))
-    rows = ordered.carry_last(rows, ["run_id", "tid"], F.col("change"), F.struct("seq"), "_change",
-                              order="_mirror").filter(~F.col("change"))
-    until = F.least("returned", "_change.seq") - 1
-    return rows.select("run_id", "tid", "seq", "cid", "target", "returned",
-                       F.coalesce(until, F.lit(ordered.LAST)).alias("until"))
+    rows = (evidence.filter(F.col("kind").isin(7, 13)).select("run_id", "kind", "seq", "tid", "cid", "target")
+            .withColumn("_mirror", F.lit(ordered.LAST) - F.col("seq")))
+    rows = ordered.carry_last(rows, ["run_id", "tid"], change, None, "_change", order="_mirror").filter(~change)
+    spans = rows.join(_first_returns(evidence), ["run_id", "cid", "tid"], "left")
+    until = F.least(F.col("returned"), F.lit(ordered.LAST) - F.col("_change")) - 1
+    return spans.select("run_id", "tid", "seq", "cid", "target", "returned",
+                        F.coalesce(until, F.lit(ordered.LAST)).alias("until"))
 
 
 def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = 256) -> DataFrame:
@@ -125,9 +125,8 @@ def correlate_syscalls(syscalls: DataFrame, changes: DataFrame, segment: int | N
     marks = changes.select("run_id", "tid", "seq", F.lit(False).alias("entering"), F.lit(1).alias("_change"))
     rows = ordered.running_sum(rows.unionByName(marks), ["run_id", "tid"], F.col("_change"), "epoch",
                                segment=segment).filter("_change = 0").drop("_change")
-    return ordered.match_levels(rows, ["run_id", "tid", "epoch"], F.col("entering"), F.struct("seq"), "_enter",
-                                segment=segment).select(
-        "run_id", "tid", "seq", "entering", "epoch", F.col("_enter.seq").alias("enter_seq"))
+    return ordered.match_levels(rows, ["run_id", "tid", "epoch"], F.col("entering"), None, "enter_seq",
+                                segment=segment).select("run_id", "tid", "seq", "entering", "epoch", "enter_seq")
 
 
 def interrupted_syscalls(pairs: DataFrame, changes: DataFrame) -> DataFrame:

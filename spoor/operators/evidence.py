@@ -25,7 +25,7 @@ def normalize_enums(df: DataFrame, kind: int) -> DataFrame:
         if owner == kind and not isinstance(df.schema[name].dataType, T.StringType):
             n = F.col(name)
             word = F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int"))
-            bad = F.raise_error(F.concat(F.lit(f"Invalid enumeration {name}: "), n.cast("string")))
+            bad = F.raise_error(F.concat(F.lit(f"Number outside enumeration {name}: "), n.cast("string")))
             df = df.withColumn(name, F.when(n.between(0, len(words) - 1), word).otherwise(bad))
     for flag, (on, off) in schemas.FLAG_WORDS.items():
         if flag in df.columns:
@@ -131,7 +131,7 @@ def event_at(evidence: DataFrame, seq: int) -> DataFrame:
 def events_at_sequences(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of a prepared (run_id, seq) list; a listed event that is missing fails the job."""
     rows = wanted.select("run_id", "seq").join(evidence.withColumn("_found", F.lit(True)), ["run_id", "seq"], "left")
-    missing = F.raise_error(F.concat(F.lit("Missing prepared event "), F.col("seq").cast("string")))
+    missing = F.raise_error(F.concat(F.lit("Listed event not found: "), F.col("seq").cast("string")))
     return rows.withColumn("seq", F.when(F.col("_found"), F.col("seq")).otherwise(missing.cast("bigint"))).drop("_found")
 
 

@@ -188,12 +188,12 @@ def write_transition(evidence: DataFrame, segment: int | None = None) -> DataFra
                        "captured")
     owner = ["run_id", "tid", "iid"]
     rows = carry_many(rows, [
-        (owner, F.col("kind") == 4, F.struct("seq"), "_ran"),
+        (owner, F.col("kind") == 4, None, "_ran"),
         ([*owner, "kind", "addr", "reg", "operand", "element"], F.col("access") == "write_before",
          F.struct("seq", "captured"), "_before")], segment=segment)
     before, after = F.col("_before.captured"), F.col("captured")
     outcome = (F.when(F.col("_before").isNull(), "no_before_sample")
-               .when(F.col("_ran.seq") > F.col("_before.seq"), "earlier_execution")
+               .when(F.col("_ran") > F.col("_before.seq"), "earlier_execution")
                .otherwise("paired"))
     paired = F.col("outcome") == "paired"
     return (rows.filter(F.col("access") == "write_after").withColumn("outcome", outcome)

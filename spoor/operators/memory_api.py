@@ -84,10 +84,9 @@ def correlate(rows: DataFrame, value=None, segment: int | None = None) -> DataFr
     """Pair each exit with the most recent open entry of the same routine on its thread.
 
     Rows: (run_id, tid, definition, seq, entering, ...); ``value`` is the struct of entry columns to hand
-    to the exit (default: its seq). Exits with nothing open are orphans and get null.
+    to the exit as ``enter`` (default: the entry's seq). Exits with nothing open are orphans and get null.
     """
-    carried = F.struct("seq") if value is None else value
-    return ordered.match_levels(rows, ["run_id", "tid", "definition"], F.col("entering"), carried, "enter",
+    return ordered.match_levels(rows, ["run_id", "tid", "definition"], F.col("entering"), value, "enter",
                                 segment=segment)
 
 

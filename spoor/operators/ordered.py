@@ -31,18 +31,19 @@ def _attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
     return df.join(summary, [*keys, _SEG], "left")
 
 
-def carry_last(df: DataFrame, keys: list[str], candidate: Column, value: Column, out: str, *,
+def carry_last(df: DataFrame, keys: list[str], candidate: Column, value: Column | None, out: str, *,
                order: str = "seq", tie: tuple = (), inclusive: bool = False,
                segment: int | None = None) -> DataFrame:
     """Add ``out``: ``value`` (a struct) of the newest candidate row before each row with equal keys.
 
-    ``inclusive`` also lets a row see itself. Keys must not be null.
+    Without a value, ``out`` is the order column of that row; its summaries are plain maxima, which
+    need no sort. ``inclusive`` also lets a row see itself. Keys must not be null.
     """
     return carry_many(df, [(keys, candidate, value, out)], order=order, tie=tie, inclusive=inclusive,
                       segment=segment)
 
 
-def carry_many(df: DataFrame, specs: list[tuple[list[str], Column, Column, str]], *, order: str = "seq",
+def carry_many(df: DataFrame, specs: list[tuple[list[str], Column, Column | None, str]], *, order: str = "seq",
                tie: tuple = (), inclusive: bool = False, segment: int | None = None) -> DataFrame:
     """Several ``carry_last`` columns over one input, so that it is read once per column and not squared."""
     pieces = _pieces(df, order, segment)
@@ -51,10 +52,12 @@ def carry_many(df: DataFrame, specs: list[tuple[list[str], Column, Column, str]]
     result = pieces
     for keys, candidate, value, out in specs:
         near = _local(keys, order, tie).rowsBetween(Window.unboundedPreceding, end)
-        result = result.withColumn(f"_near_{out}", F.last(F.when(candidate, value), ignorenulls=True).over(near))
+        picked = F.when(candidate, F.col(order) if value is None else value)
+        result = result.withColumn(f"_near_{out}", F.last(picked, ignorenulls=True).over(near))
     for keys, candidate, value, out in specs:
-        carried = (pieces.groupBy(*keys, _SEG)
-                   .agg(F.max_by(value, F.when(candidate, position)).alias("_value"))
+        newest = (F.max(F.when(candidate, F.col(order))) if value is None
+                  else F.max_by(value, F.when(candidate, position)))
+        carried = (pieces.groupBy(*keys, _SEG).agg(newest.alias("_value"))
                    .select(*keys, _SEG, F.last("_value", ignorenulls=True)
                            .over(_earlier_pieces(keys)).alias(f"_carried_{out}"))
                    .filter(F.col(f"_carried_{out}").isNotNull()))
@@ -118,9 +121,9 @@ def open_levels(df: DataFrame, keys: list[str], entering: Column, *, order: str
             .drop("_enter", "_step", "_sum", "_low", "_low_before", "_base", "_floor", _SEG))
 
 
-def match_levels(df: DataFrame, keys: list[str], entering: Column, value: Column, out: str, *,
+def match_levels(df: DataFrame, keys: list[str], entering: Column, value: Column | None, out: str, *,
                  segment: int | None = None) -> DataFrame:
-    """Pair each exit with the enter it closes: ``out`` is the enter's ``value``, null for orphans."""
+    """Pair each exit with the enter it closes: ``out`` is the enter's ``value`` (or seq), null for orphans."""
     df = open_levels(df, keys, entering, segment=segment)
     df = df.withColumn("level", F.coalesce("level", F.lit(-1)))
     df = carry_last(df, [*keys, "level"], entering, value, out, segment=segment)

@@ -13,8 +13,10 @@ _FEW = 1000   # pieces of a page that are looked up on the driver; more are join
 
 def category_totals(evidence: DataFrame) -> DataFrame:
     """Rows per category for all threads (tid -1) and per thread; thread-less rows count under 0."""
-    rows = categorize(evidence.filter(F.col("seq") > 0).select("run_id", "kind", "tid", "access"))
-    per_thread = rows.groupBy("run_id", "category", "tid").agg(F.count(F.lit(1)).alias("total"))
+    # Counted per kind first; only these few rows are spread over their categories.
+    kinds = (evidence.filter(F.col("seq") > 0).groupBy("run_id", "kind", "tid", "access")
+             .agg(F.count(F.lit(1)).alias("_n")))
+    per_thread = categorize(kinds).groupBy("run_id", "category", "tid").agg(F.sum("_n").alias("total"))
     every = per_thread.groupBy("run_id", "category").agg(F.sum("total").alias("total"))
     return per_thread.unionByName(every.withColumn("tid", F.lit(-1).cast("bigint")))
 
@@ -32,7 +34,7 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
     only after their number has been checked.
     """
     if size < 1:
-        raise ValueError("Page size must be positive")
+        raise ValueError("Page size below 1")
     pieces = rows.withColumn("_seg", F.expr(f"CAST(seq div {segment or ordered.SEGMENT} AS BIGINT)"))
     run = Window.partitionBy("run_id")
     before = run.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)

@@ -265,7 +265,7 @@ def correlate_memory_apis(spark, sf):
     """Every event as entry or exit of one of three routines."""
     rows = t.event_rows(spark, sf).selectExpr("1L AS run_id", "tid", "seq", "k % 3 + 1 AS definition", "k % 2 = 0 AS entering")
     return memory_api.correlate(rows).select("tid", "seq", "definition", "entering", "orphan",
-                                             F.col("enter.seq").alias("enter_seq"))
+                                             F.col("enter").alias("enter_seq"))
 
 
 _SPAN = """x AS (SELECT o_orderkey AS id, o_custkey % 8 AS tid, o_orderkey * 2 + 1 AS seq, o_orderstatus AS st,

@@ -121,22 +121,22 @@ def _walk(data):
     at = 0
     while at < len(data):
         if len(data) - at < RECORD_HEADER:
-            raise ValueError("Truncated record envelope")
+            raise ValueError("record header cut off")
         kind, size = struct.unpack_from("<BI", data, at)
         at += RECORD_HEADER
         if size > len(data) - at:
-            raise ValueError("Invalid record size")
+            raise ValueError("record longer than its block")
         yield kind, at, at + size
         at += size
 
 
 def _problem(data, decoded, records, crc):
     if len(data) != decoded:
-        return "Incorrect decoded block size"
+        return "decoded size differs"
     if zlib.crc32(data) != crc:
-        return "Block checksum mismatch"
+        return "checksum differs"
     try:
-        return None if sum(1 for _ in _walk(data)) == records else "Block record count mismatch"
+        return None if sum(1 for _ in _walk(data)) == records else "record count differs"
     except ValueError as error:
         return str(error)
 
@@ -194,7 +194,7 @@ def _decode_blocks(batches):
         if row.status == "Incomplete" and row.problem != "block footer":
             return     # a cut tail ends the recording; the records before it count
         if row.status != "Block":
-            raise ValueError(f"{row.path}: {row.problem or 'Unsupported block codec'} (block {row.block_id})")
+            raise ValueError(f"{row.path}: {row.problem or 'block codec not available'} (block {row.block_id})")
         data = _payload(file, row.block_offset, int(row.stored_size))
         problem = _problem(data, row.decoded_size, row.records, row.crc)
         if problem:
@@ -202,7 +202,7 @@ def _decode_blocks(batches):
         records = [(kind, data[start:end]) for kind, start, end in _walk(data)]
         unknown = [kind for kind, _ in records if kind not in schemas.RECORDS]
         if unknown:
-            raise ValueError(f"{row.path}: Unsupported record type {unknown[0]}")
+            raise ValueError(f"{row.path}: Unknown record type {unknown[0]}")
         for first in range(0, len(records), 65536):
             part = records[first:first + 65536]
             yield pd.DataFrame({
@@ -229,7 +229,7 @@ def completeness(index: DataFrame, records: DataFrame) -> DataFrame:
 def check_started(state: DataFrame) -> None:
     missing = state.filter("NOT started").limit(1).collect()
     if missing:
-        raise ValueError(f"Missing run metadata: {missing[0]['path']}")
+        raise ValueError(f"No run start in {missing[0]['path']}")
 
 
 # --- field decoding ----------------------------------------------------------------------------------
@@ -267,20 +267,20 @@ def _decoder(kind: int):
                         if packed is not None:
                             for (name, code), v in zip(spec, packed.unpack_from(payload, at)):
                                 if code == "b" and v > 1:
-                                    raise ValueError("Invalid boolean")
+                                    raise ValueError("flag byte is neither 0 nor 1")
                                 values[name].append(v == 1 if code == "b" else v)
                             at += packed.size
                         else:
                             (n,) = struct.unpack_from("<I", payload, at)
                             if at + 4 + n > len(payload):
-                                raise ValueError("Invalid field size")
+                                raise ValueError("field longer than its record")
                             raw = payload[at + 4:at + 4 + n]
                             values[spec[0]].append(raw.decode("utf-8") if spec[1] == "s" else raw)
                             at += 4 + n
                 except (struct.error, ValueError) as error:
-                    raise ValueError(f"Malformed record type {kind}: {error}") from error
+                    raise ValueError(f"Undecodable record of type {kind}: {error}") from error
                 if at != len(payload):
-                    raise ValueError("Unexpected fields in record")
+                    raise ValueError("Bytes left over after the last field")
             yield pd.DataFrame({"run_id": batch["run_id"], "block_id": batch["block_id"],
                                 "position": batch["position"], **values})
     return decode
@@ -322,7 +322,7 @@ def read_container(spark: SparkSession, paths: list[str], staging: str) -> tuple
     tables = {name: decode_records(records, kind) for kind, name in schemas.NAMES.items()}
     bad = tables["run"].filter(F.col("format_version") != schemas.FORMAT_VERSION).limit(1).count()
     if bad:
-        raise ValueError("Unsupported trace format (requires version 20)")
+        raise ValueError("Only recording format 20 can be read")
     if tables["run"].join(state, "run_id").filter("pointer_size <> pointer").limit(1).count():
-        raise ValueError("Inconsistent pointer size")
+        raise ValueError("Pointer sizes of file and run differ")
     return tables, state

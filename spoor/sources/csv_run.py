@@ -33,13 +33,13 @@ def _words(kind: int, name: str) -> list[str] | None:
 def read_header(spark: SparkSession, path: str, kind: int) -> list[str]:
     first = spark.read.text(path).first()
     if first is None:
-        raise ValueError(f"Missing CSV header: {path}")
+        raise ValueError(f"Empty CSV file: {path}")
     header = next(csv.reader([first[0]]))
     if len(set(header)) != len(header):
-        raise ValueError("Duplicate CSV columns")
+        raise ValueError("Repeated column in CSV header")
     for name, _ in _columns(kind):
         if name not in header:
-            raise ValueError(f"Missing CSV column: {name}")
+            raise ValueError(f"Column not in CSV header: {name}")
     return header
 
 
@@ -98,7 +98,7 @@ def typed(df: DataFrame, kind: int, strict: bool = True) -> DataFrame:
     if strict:
         checks = F.array_compact(F.array(*[_violation(kind, n, c) for n, c in _columns(kind)]))
         first = _columns(kind)[0][0]
-        failed = F.raise_error(F.concat(F.lit(f"Malformed CSV record in {schemas.NAMES[kind]}: "), F.array_join(checks, ",")))
+        failed = F.raise_error(F.concat(F.lit(f"Field outside its domain in {schemas.NAMES[kind]}: "), F.array_join(checks, ",")))
         df = df.withColumn(first, F.when(F.size(checks) > 0, failed).otherwise(F.col(first)))
     result = []
     for name, code in schemas.fields(kind) + [tuple(f.split(":")) for f in schemas.CSV_EXTRAS.get(kind, [])]:
@@ -123,14 +123,14 @@ def typed(df: DataFrame, kind: int, strict: bool = True) -> DataFrame:
 def read_csv_run(spark: SparkSession, path: str, run_id: int = 1, strict: bool = True) -> dict[str, DataFrame]:
     """The typed tables of a CSV recording."""
     if not path_exists(spark, f"{path}/run.csv"):
-        raise FileNotFoundError("Select a trace.jkt file or a CSV run directory")
+        raise FileNotFoundError("No recording found: run.csv is missing")
     tables = {}
     for kind, name in schemas.NAMES.items():
         file = f"{path}/{name}.csv"
         if not path_exists(spark, file):
             if kind in OPTIONAL:
                 continue
-            raise FileNotFoundError(f"Missing dataset: {name}.csv")
+            raise FileNotFoundError(f"Dataset file not found: {name}.csv")
         tables[name] = typed(read_text_dataset(spark, file, kind), kind, strict).withColumn(
             "run_id", F.lit(run_id).cast("bigint"))
     _check_run(tables["run"])
@@ -141,9 +141,9 @@ def _check_run(run: DataFrame) -> None:
     facts = run.agg(F.max(F.col("started")).alias("started"),
                     F.count_if(F.col("format_version") != schemas.FORMAT_VERSION).alias("other")).first()
     if facts["other"]:
-        raise ValueError("Unsupported trace format (requires version 20)")
+        raise ValueError("Only recording format 20 can be read")
     if not facts["started"]:
-        raise ValueError("Missing run start")
+        raise ValueError("The recording has no start row")
 
 
 def text_form(df: DataFrame, kind: int) -> DataFrame:

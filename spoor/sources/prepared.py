@@ -50,7 +50,7 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
      .write.mode("errorifexists").partitionBy("run_id", "kind").parquet(f"{out}/evidence"))
     ev = spark.read.parquet(f"{out}/evidence").withColumn("run_id", F.col("run_id").cast("bigint"))
     if audit.sequence_audit(ev).filter("duplicates > 0").limit(1).count():
-        raise ValueError("Duplicate dynamic sequence")
+        raise ValueError("A sequence number occurs twice")
 
     def save(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("errorifexists").parquet(f"{out}/{name}")
@@ -93,7 +93,7 @@ def open_run(spark: SparkSession, out: str, sources: list[str] | None = None) ->
 def load_runs(tables: list[tuple[str, dict[str, DataFrame]]]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Several recordings as one set of tables: (label, tables) pairs get run ids 1, 2, ... in order."""
     if not tables:
-        raise ValueError("Import a run first.")
+        raise ValueError("No runs given")
     spark = next(iter(tables[0][1].values())).sparkSession
     merged: dict[str, DataFrame] = {}
     for number, (_, parts) in enumerate(tables, 1):

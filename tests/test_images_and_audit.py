@@ -155,7 +155,7 @@ def test_guards(spark):
 
 def test_missing_prepared_event(spark):
     wanted = spark.createDataFrame([(1, 1), (1, 2)], "run_id bigint, seq bigint")
-    with pytest.raises(Exception, match="Missing prepared event 2"):
+    with pytest.raises(Exception, match="Listed event not found: 2"):
         ev_ops.events_at_sequences(evidence(spark, [dict(seq=1)]), wanted).collect()
 
 
@@ -185,3 +185,10 @@ def test_text_helpers(spark):
 def test_crc_check_value(spark):
     rows = spark.sql("SELECT crc32(X'313233343536373839') AS a, crc32(X'') AS b").first()
     assert (rows.a, rows.b) == (0xcbf43926, 0)
+
+
+def test_gaps_and_duplicates_across_bitmaps(spark):
+    seqs = [1, 2, 2, 32768, 32769, 32769, 32769, 100000]
+    ev = evidence(spark, [dict(kind=4, seq=s) for s in seqs] + [dict(kind=3, seq=0), dict(kind=4, seq=7, run_id=2)])
+    got = {r.run_id: (r.records, r.distinct_seqs, r.last_seq, r.duplicates, r.gaps) for r in audit.sequence_audit(ev).collect()}
+    assert got == {1: (8, 5, 100000, 3, 99995), 2: (1, 1, 7, 0, 6)}
