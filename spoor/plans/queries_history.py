@@ -274,7 +274,7 @@ _SPAN = """x AS (SELECT o_orderkey AS id, o_custkey % 8 AS tid, o_orderkey * 2 +
 
 @query("syscall_spans", f"""WITH {_SPAN} SELECT CASE WHEN st = 'O' THEN 0 ELSE id + 1 END AS syscall_id, tid, number,
   CASE WHEN st <> 'O' THEN seq END AS enter_seq, CASE WHEN st <> 'P' THEN seq + 1 END AS exit_seq,
-  CASE WHEN st = 'F' THEN 1000 END AS duration_ns FROM x""")
+  CASE WHEN st = 'F' THEN CAST(1000 AS BIGINT) END AS duration_ns FROM x""")
 def syscall_spans(spark, sf):
     """Orders as system calls: open orders lost their enter, orders in process their exit."""
     rows = t.read(spark, sf, "orders").selectExpr(
@@ -316,7 +316,7 @@ def memory_operations(spark, sf):
 
 @query("classify_memory_api", "WITH names(n, name, action) AS (VALUES " + ", ".join(
     f"({i}, '{n}', {repr(dict(memory_api.ROUTINES)[n]) if n in dict(memory_api.ROUTINES) else 'NULL'})"
-    for i, n in enumerate(_API_NAMES)) + """) SELECT p_partkey, name, CASE WHEN action IS NOT NULL THEN n END AS api_kind,
+    for i, n in enumerate(_API_NAMES)) + """) SELECT p_partkey, name, CASE WHEN action IS NOT NULL THEN CAST(n AS BIGINT) END AS api_kind,
     action FROM part JOIN names ON n = p_size % 22""")
 def classify_memory_api(spark, sf):
     rows = t.read(spark, sf, "part").select(

@@ -97,9 +97,9 @@ def _headers(spark, sf):
         "p_partkey", "p_size", f"unhex(substr({image}, 1, CASE WHEN p_size % 5 = 4 THEN 200 ELSE 1000 END)) AS content")
 
 
-@query("pe_identities", """SELECT p_partkey, p_size % 5 = 0 AS pe_identity_valid, CASE p_size % 5 WHEN 0 THEN 34404 ELSE 0 END AS machine,
+@query("pe_identities", """SELECT p_partkey, p_size % 5 = 0 AS pe_identity_valid, CAST(CASE p_size % 5 WHEN 0 THEN 34404 ELSE 0 END AS BIGINT) AS machine,
   CASE p_size % 5 WHEN 0 THEN 1000000 + p_partkey ELSE 0 END AS pe_timestamp, CASE p_size % 5 WHEN 0 THEN p_partkey * 3 ELSE 0 END AS pe_checksum,
-  CASE p_size % 5 WHEN 0 THEN p_size * 4096 ELSE 0 END AS declared_image_size, CASE p_size % 5 WHEN 0 THEN p_partkey * 16 ELSE 0 END
+  CAST(CASE p_size % 5 WHEN 0 THEN p_size * 4096 ELSE 0 END AS BIGINT) AS declared_image_size, CASE p_size % 5 WHEN 0 THEN p_partkey * 16 ELSE 0 END
   AS entry_point_rva FROM part""")
 def pe_identities(spark, sf):
     return images.pe_identities(_headers(spark, sf)).drop("p_size", "content")

@@ -28,7 +28,7 @@ _ACCESS = """CASE WHEN kind = 5 AND event_id % 10 = 3 THEN CASE WHEN k % 4 = 0 T
   ELSE '' END"""
 _RUN = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END"
 
-_COLUMNS = """SELECT {run} AS run_id, event_id, seq, ns, tid, grp, k, kind,
+_COLUMNS = """SELECT CAST({run} AS BIGINT) AS run_id, event_id, seq, ns, tid, grp, k, kind,
   CASE WHEN kind = 5 THEN grp % 10 + 1 WHEN kind IN (9, 13, 17) THEN 0 WHEN kind = 4 THEN user_id + 1
        ELSE k % 50 + 1 END AS iid,
   CASE WHEN kind = 5 THEN (grp {div} 1000) * 64 + (grp % 10) * 4 ELSE 0 END AS addr,
@@ -228,8 +228,8 @@ DUCK = {
   substr(md5(p_name), 1, 8) AS encoding FROM part)""",
     "docs": """docs AS (SELECT doc_id + 1 AS seq, doc_id % 8 AS tid, doc_id % 50 + 1 AS iid,
   (doc_id % 50) * 256 AS addr, text, lower(hex(encode(text))) AS hex FROM documents)""",
-    "mods": """mods AS (SELECT s_suppkey + 1 AS module_id, s_name, s_nationkey, s_acctbal,
-  (s_suppkey // 2) * 2097152 AS base, 65536 * (1 + s_nationkey) AS size, 1 + (s_suppkey % 2) * 7500 AS load_seq,
+    "mods": """mods AS (SELECT s_suppkey + 1 AS module_id, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal,
+  (s_suppkey // 2) * 2097152 AS base, 65536 * (1 + CAST(s_nationkey AS BIGINT)) AS size, 1 + (s_suppkey % 2) * 7500 AS load_seq,
   CASE WHEN s_suppkey % 2 = 0 THEN 7001 END AS unload_seq FROM supplier)""",
     "runs": "runs AS (SELECT DISTINCT run_id FROM evr)",
 }
