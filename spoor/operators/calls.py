@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spoor.functions import bytes as B
 from spoor.operators import ordered
 from spoor.operators.history import newest
+from spoor.session import reliable_checkpoint
 
 FRAME_PIECE = 1 << 17   # sequence numbers per piece of the call-stack replay
 
@@ -265,9 +266,10 @@ def correlate_calls(rows: DataFrame, piece: int = FRAME_PIECE) -> DataFrame:
     marked = (rows.join(first, ["run_id", "tid", "address"], "left")
               .withColumn("kind", F.when(orphan, F.lit(0)).otherwise(F.col("kind")))
               .withColumn("piece", F.expr(f"CAST(seq div {piece} AS BIGINT)")).drop("_first"))
-    local = marked.groupBy("run_id", "tid", "piece").applyInPandas(_replay_piece, _LOCAL)
+    # Read twice below; written once, so that the replay runs once and survives lost executors.
+    local = reliable_checkpoint(marked.groupBy("run_id", "tid", "piece").applyInPandas(_replay_piece, _LOCAL))
     zero = F.lit(0).cast("bigint")
-    starts = marked.select("run_id", "tid", "piece").distinct().select(
+    starts = local.select("run_id", "tid", "piece").distinct().select(
         "run_id", "tid", "piece", F.lit(-1).cast("bigint").alias("seq"), F.lit(1).alias("kind"),
         zero.alias("call_id"), zero.alias("address"))
     residue = local.filter("residue").select(*starts.columns).unionByName(starts)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.operators import audit, calls, coverage, evidence, search, timeline
 from spoor.session import path_exists
+from spoor.sources import container, csv_run
 
 TABLES = ["evidence", "instructions", "registers", "modules", "execution_counts", "call_lifetimes", "coverage",
           "category_totals", "timeline_ordinals", "value_chunks", "value_grams", "run_summary"]
@@ -102,3 +104,26 @@ def load_runs(tables: list[tuple[str, dict[str, DataFrame]]]) -> tuple[dict[str,
             merged[name] = merged[name].unionByName(df, allowMissingColumns=True) if name in merged else df
     labels = spark.createDataFrame([(i, label) for i, (label, _) in enumerate(tables, 1)], "run_id bigint, label string")
     return merged, labels
+
+
+def read_runs(spark: SparkSession, paths: list[str], staging: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Recordings of either form as one set of tables, with their labels and whether a tail was cut.
+
+    A container file, or a directory that holds one, is read as binary; other directories as CSV. The
+    label is the directory name.
+    """
+    runs, cut = [], []
+    for number, path in enumerate(paths, 1):
+        file = container.resolve(spark, path.rstrip("/"))
+        folder = file.rsplit("/", 1)[0] if file.endswith(f"/{container.FILE_NAME}") else file
+        if file.endswith(".jkt"):
+            tables, state = container.read_container(spark, [file], f"{staging}/{number}")
+            cut.append(state.select(F.lit(number).cast("bigint").alias("run_id"), "incomplete"))
+        else:
+            tables = csv_run.read_csv_run(spark, file, number)
+        runs.append((folder.rsplit("/", 1)[-1], tables))
+    merged, labels = load_runs(runs)
+    if not cut:
+        return merged, labels.withColumn("incomplete", F.lit(False))
+    tails = reduce(DataFrame.unionByName, cut)
+    return merged, labels.join(tails, "run_id", "left").withColumn("incomplete", F.coalesce("incomplete", F.lit(False)))

@@ -124,3 +124,25 @@ def test_session_catalog(spark, tmp_path):
     assert (a.finished_at, a.exit_code, a.has_trace, a.trace_bytes) == (1700000009, -5, True, 15)
     assert (a.completed_blocks, a.storage_failed, a.translation_seconds) == (3, True, 1.5)
     assert (b.has_trace, b.trace_bytes, b.completed_blocks, b.storage_failed, b.exit_code) == (False, 5, 0, False, None)
+
+
+def test_both_forms_load_together(spark, tmp_path):
+    from tests.builders import RUN_START, block, container as build, encode, envelope
+    for name in ("text", "binary"):
+        (tmp_path / name).mkdir()
+    _csv_dir(tmp_path / "text", instruction_events=f"{HEADER4}\n1,2,3,4\n")
+    whole = build(block(1, RUN_START + envelope(4, encode(4, [1, 2, 3, 9])), 2), block(2, b"", 0))
+    (tmp_path / "binary" / "trace.jkt").write_bytes(whole[:-1])
+    tables, labels = prepared.read_runs(spark, [str(tmp_path / "text"), str(tmp_path / "binary")], str(tmp_path / "staging"))
+    assert {(r.run_id, r.instruction_id) for r in tables["instruction_events"].collect()} == {(1, 4), (2, 9)}
+    assert {(r.run_id, r.label, r.incomplete) for r in labels.collect()} == {(1, "text", False), (2, "binary", True)}
+
+
+def test_container_profile(spark, tmp_path):
+    from spoor.operators import audit
+    from spoor.sources import container
+    from tests.builders import RUN_END, RUN_START, block, container as build
+    path = tmp_path / "trace.jkt"
+    path.write_bytes(build(block(1, RUN_START, 1), block(2, RUN_END, 1)))
+    (row,) = audit.container_profile(container.read_records(spark, [str(path)])).collect()
+    assert (row.type, row.records, row.decoded_bytes) == (1, 2, len(RUN_START) + len(RUN_END))
