@@ -269,17 +269,19 @@ def recorded_threads(spark, sf):
     return timeline.recorded_threads(t.evidence(spark, sf)).select("tid")
 
 
-@query("timeline_page", duck("ev") + """ SELECT seq, ordinal, page, pages, total FROM (SELECT seq,
-    row_number() OVER (ORDER BY seq) - 1 AS ordinal, count(*) OVER () AS total, CAST(1 + (count(*) OVER () - 1) // 300 AS BIGINT) AS pages,
-    CAST(3 AS BIGINT) AS page FROM ev WHERE kind IN (7, 8, 11, 13)) WHERE ordinal // 300 = 2""")
+@query("timeline_page", duck("ev") + """, r AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS ordinal, count(*) OVER () AS total
+    FROM ev WHERE kind IN (7, 8, 11, 13)),
+  p AS (SELECT *, CAST(1 + (total - 1) // 300 AS BIGINT) AS pages FROM r)
+  SELECT seq, ordinal, greatest(1, least(3, pages)) AS page, pages, total FROM p
+  WHERE ordinal // 300 = greatest(1, least(3, pages)) - 1""")
 def timeline_page(spark, sf):
     return timeline.timeline_page(t.evidence(spark, sf), 3, category="Control flow").select(
         "seq", "ordinal", F.col("page").cast("bigint").alias("page"), "pages", "total")
 
 
-@query("timeline_page_at", duck("ev") + """ SELECT seq, ordinal, ordinal // 100 + 1 AS page FROM (SELECT seq,
-    row_number() OVER (ORDER BY seq) - 1 AS ordinal, count(*) FILTER (seq < 5000) OVER () AS earlier FROM ev
-    WHERE kind IN (5, 6) AND access = 'write_after' AND tid = 2) WHERE ordinal // 100 = earlier // 100""")
+@query("timeline_page_at", duck("ev") + """, r AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS ordinal, count(*) OVER () AS total,
+    count(*) FILTER (seq < 5000) OVER () AS earlier FROM ev WHERE kind IN (5, 6) AND access = 'write_after' AND tid = 2)
+  SELECT seq, ordinal, ordinal // 100 + 1 AS page FROM r WHERE ordinal // 100 = least(earlier // 100, (total - 1) // 100)""")
 def timeline_page_at(spark, sf):
     return timeline.timeline_page_at(t.evidence(spark, sf), 5000, 100, category="Writes", thread=2).select(
         "seq", "ordinal", F.col("page").cast("bigint").alias("page"))
