@@ -35,7 +35,7 @@ _COLUMNS = """SELECT CAST({run} AS BIGINT) AS run_id, event_id, seq, ns, tid, gr
   CASE WHEN kind = 5 THEN CASE grp % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END ELSE 0 END AS width,
   {access} AS access,
   CASE WHEN kind = 6 THEN k % 4 + 1 ELSE 0 END AS reg,
-  CASE WHEN kind = 7 THEN grp WHEN kind = 8 THEN grp - k % 3 ELSE 0 END AS cid,
+  CASE WHEN kind = 7 THEN grp WHEN kind = 8 THEN greatest(grp - k % 3, 0) ELSE 0 END AS cid,
   CASE WHEN kind = 7 THEN k % 5 + 1 ELSE 0 END AS target,
   CASE WHEN kind = 5 THEN substr(h, 1, 2 * CASE grp % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END)
        WHEN kind = 6 THEN substr(h, 1, 16) ELSE '' END AS hex
