@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import lines
+from spoor.llm import lines, neardup
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -20,3 +20,8 @@ _WHITE = r"[\x20\x09-\x0D]"
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""")
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.line_digests(table(spark, sf, "documents"))
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"))
