@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import lines, neardup, repeats
+from spoor.llm import lines, neardup, quality, repeats
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -30,3 +30,8 @@ def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf, "documents"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.predictions(table(spark, sf, "documents"), table(spark, sf, "labels"))
