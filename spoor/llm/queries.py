@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import lines, neardup, quality, repeats
+from spoor.llm import lines, neardup, packing, quality, repeats
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -35,3 +35,9 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_quality")
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.predictions(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents, measured in words and an end mark, in sequences of 512 to 4096."""
+    return packing.pack(packing.word_lengths(table(spark, sf, "documents")))
