@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import lines, neardup, packing, quality, repeats
+from spoor.llm import lines, neardup, packing, quality, repeats, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -41,3 +41,13 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents, measured in words and an end mark, in sequences of 512 to 4096."""
     return packing.pack(packing.word_lengths(table(spark, sf, "documents")))
+
+
+@query("op1_topk_search", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op1_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.embedding_search(table(spark, sf, "embeddings"))
