@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import lines, neardup, packing, quality, repeats, topk
+from spoor.llm import fingerprints, lines, neardup, packing, quality, repeats, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -51,3 +51,8 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
   SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op1_topk_search(spark: SparkSession, sf: str) -> DataFrame:
     return topk.embedding_search(table(spark, sf, "embeddings"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint_digests(table(spark, sf, "documents"))
