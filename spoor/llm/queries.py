@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import fingerprints, lines, neardup, packing, quality, repeats, topk
+from spoor.llm import fingerprints, langid, lines, neardup, packing, quality, repeats, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -56,3 +56,8 @@ def op1_topk_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_digests(table(spark, sf, "documents"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.languages_of(table(spark, sf, "documents"))
