@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoor.llm import fingerprints, langid, lines, neardup, packing, quality, repeats, topk
+from spoor.llm import fingerprints, langid, lines, neardup, packing, quality, repeats, tokens, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
-
-_WHITE = r"[\x20\x09-\x0D]"
+from spoor.session import scratch_path
 
 
 @query("op9_line_dedup", r"""WITH lined AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -61,3 +60,12 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.languages_of(table(spark, sf, "documents"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "token-files")
+    tokens.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokens.read_tokens(spark, path)

@@ -57,14 +57,18 @@ def pieces(column, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, n
         start = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each row (plus one) the number of words before it."""
+def words(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each row (plus one) the number of words before it. Words are also cut
+    before the bytes marked in `cut`."""
     solid = ~WHITE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True                        # a word never crosses rows
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1] | edge[1:-1]
     ends[:-1] &= ~solid[1:] | edge[1:-1]
+    if cut is not None:
+        begins |= cut & solid
+        ends[:-1] |= (cut & solid)[1:] & solid[:-1]
     starts = np.flatnonzero(begins)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
