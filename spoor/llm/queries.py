@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spoor.llm import fingerprints, langid, lines, neardup, packing, quality, repeats, tokens, topk
+from spoor.llm import fingerprints, langid, lines, neardup, packing, pieces, quality, repeats, tokens, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from spoor.session import scratch_path
 
@@ -69,3 +70,11 @@ def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokens.write_tokens(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokens.read_tokens(spark, path)
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = pieces.encoded(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return rows.select("doc_id", F.col("sizes")[0].alias("n_pieces"), "ids_crc32", "best_score", "scores", "sizes", "decodes")
