@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spoor.functions import bytes as B
 from spoor.operators import ordered
 from spoor.operators.coverage import IDENTITY
-from spoor.session import reliable_checkpoint
+from spoor.session import scratch_path
 
 
 def module_lifetimes(modules: DataFrame) -> DataFrame:
@@ -74,46 +74,34 @@ def pe_identities(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def module_identity_problem(modules: DataFrame, programs: DataFrame) -> DataFrame:
-    """First reason why a program's headers do not fit a recorded module, or null.
+    """What keeps a program's headers from fitting a recorded module, as a short code; null if they fit.
 
     ``programs``: (run_id, module_id, content) with the header bytes of the program; ``pointer_size``
-    and ``big_endian`` columns are optional.
+    and ``big_endian`` columns are optional. The codes: ``not_recorded`` (the recording holds no identity),
+    ``platform`` (not 64-bit little endian), ``unreadable`` (the header bytes end too early), ``no_image``,
+    ``header_offset``, ``no_signature``, ``not_64_bit``, or the name of the first identity field that differs.
     """
-    c = F.col("content")
-    have = set(programs.columns)
-    pe = F.col("_p")
-    optional = pe + 24
-    p = programs.withColumn("_p", _pe_u(c, F.lit(0x3c), 4))
-    p = p.select("run_id", "module_id",
-                 (F.coalesce(F.col("big_endian"), F.lit(False)) if "big_endian" in have else F.lit(False)).alias("_big"),
-                 (F.col("pointer_size") if "pointer_size" in have else F.lit(8)).alias("_pointer"),
-                 _pe_u(c, F.lit(0), 2).alias("_mz"), pe,
-                 *[F.when(pe <= 0x100000, _pe_u(c, at, width)).alias(name) for name, at, width in [
-                     ("_sig", pe, 4), ("_machine", pe + 4, 2), ("_stamp", pe + 8, 4), ("_magic", optional, 2),
-                     ("_entry", optional + 16, 4), ("_size", optional + 56, 4), ("_check", optional + 64, 4)]])
-    unreadable = "Cannot read program PE identity; use explicit runtime storage queries."
-
-    def differs(read, expected, message):
-        return (F.when(F.col(read).isNull(), unreadable)
-                .when(F.col(read) != expected, message))
-
-    # Messages in checking order.
-    reason = F.coalesce(
-        F.when(~F.col("pe_identity_valid"),
-               "Recorded module has no PE identity; use explicit runtime storage queries."),
-        F.when(F.col("_big") | (F.col("_pointer") != 8), "Select the matching Windows x64 program."),
-        differs("_mz", F.lit(0x5a4d), "Program PE headers are unavailable at its image base."),
-        F.when(F.col("_p").isNull(), unreadable),
-        F.when(F.col("_p") > 0x100000, "Program PE header offset is invalid."),
-        differs("_sig", F.lit(0x4550), "Program has no valid PE signature."),
-        differs("_machine", F.col("machine"), "PE machine differs from the recording."),
-        differs("_stamp", F.col("pe_timestamp"), "PE timestamp differs: this appears to be another build."),
-        differs("_magic", F.lit(0x20b), "Expected PE32+ optional header."),
-        differs("_entry", F.col("entry_point_rva"), "PE entry_point_rva differs from the recording."),
-        differs("_size", F.col("declared_image_size"), "PE declared_image_size differs from the recording."),
-        differs("_check", F.col("pe_checksum"), "PE pe_checksum differs from the recording."))
+    content, at = F.col("content"), F.col("_header")
+    given = set(programs.columns)
+    platform = [F.col("big_endian")] if "big_endian" in given else []
+    platform += [F.col("pointer_size") != 8] if "pointer_size" in given else []
+    # field: offset from the header, width, recorded column or fixed value (the layout of PE headers)
+    fields = {"no_signature": (0, 4, F.lit(0x4550)), "machine": (4, 2, F.col("machine")),
+              "pe_timestamp": (8, 4, F.col("pe_timestamp")), "not_64_bit": (24, 2, F.lit(0x20b)),
+              "entry_point_rva": (40, 4, F.col("entry_point_rva")),
+              "declared_image_size": (80, 4, F.col("declared_image_size")), "pe_checksum": (88, 4, F.col("pe_checksum"))}
+    headers = programs.withColumns({
+        "_start": _pe_u(content, F.lit(0), 2), "_header": _pe_u(content, F.lit(0x3c), 4),
+        "_foreign": reduce(Column.__or__, platform, F.lit(False))})
+    headers = headers.select("run_id", "module_id", "_start", "_header", "_foreign", *[
+        F.when(at <= 0x100000, _pe_u(content, at + offset, width)).alias(f"_{name}") for name, (offset, width, _) in fields.items()])
+    steps = [F.when(~F.col("pe_identity_valid"), "not_recorded"), F.when(F.col("_foreign"), "platform"),
+             F.when(F.col("_start").isNull(), "unreadable").when(F.col("_start") != 0x5a4d, "no_image"),
+             F.when(at.isNull(), "unreadable").when(at > 0x100000, "header_offset")]
+    steps += [F.when(F.col(f"_{name}").isNull(), "unreadable").when(F.col(f"_{name}") != wanted, name)
+              for name, (_, _, wanted) in fields.items()]
     recorded = modules.filter("loaded").select("run_id", "module_id", "pe_identity_valid", *IDENTITY)
-    return recorded.join(p, ["run_id", "module_id"]).select("run_id", "module_id", reason.alias("problem"))
+    return recorded.join(headers, ["run_id", "module_id"]).select("run_id", "module_id", F.coalesce(*steps).alias("problem"))
 
 
 def attribute_function(events: DataFrame, functions: DataFrame, address: str = "target",
@@ -185,48 +173,78 @@ def code_identity(definitions: DataFrame, segment: int | None = None) -> DataFra
 
 
 def process_edges(processes: DataFrame) -> DataFrame:
-    """Every process with its parent, whether it was followed, its exit code, output and command line."""
-    started = processes.filter("event = 'start'").select(
-        "process_id", "parent_process_id", F.col("output_directory").alias("_dir"),
-        F.col("command_line").alias("_line"))
-    child = processes.filter("event = 'child'").select(
-        F.col("related_process_id").alias("process_id"), F.col("process_id").alias("_parent"), "followed",
-        F.col("output_directory").alias("_child_dir"), F.col("command_line").alias("_child_line"))
-    child = child.groupBy("process_id").agg(F.max_by(F.struct("_parent", "followed", "_child_dir", "_child_line"),
-                                                     F.struct("followed", "_parent")).alias("_c"))
-    ended = processes.filter("event = 'finish'").groupBy("process_id").agg(F.max("exit_code").alias("exit_code"))
-    started = started.groupBy("process_id").agg(
-        F.max(F.struct("parent_process_id", "_dir", "_line")).alias("_s"))
-    rows = started.join(child, "process_id", "full_outer").join(ended, "process_id", "left")
-    return rows.select(
-        "process_id", F.coalesce("_s.parent_process_id", "_c._parent").alias("parent_process_id"),
-        F.col("_s").isNotNull().alias("recorded"),
+    """Every process of every run with its parent, whether it was followed, its exit code, output and command line.
+
+    Process ids are used again: each start opens a new life (``life`` = its sequence number) that child
+    and finish records up to the next start belong to; records before the first start have life 0. A
+    parent is the life of the parent id that was current when the process started, else 0.
+    """
+    # Child records speak of the new process, the others of their own.
+    spoken = F.when(F.col("event") == "child", F.col("related_process_id")).otherwise(F.col("process_id"))
+    rows = processes.select("run_id", F.col("sequence").alias("seq"), "event", spoken.alias("process_id"),
+                            F.when(F.col("event") == "child", F.col("process_id")).otherwise(F.col("parent_process_id")).alias("_parent"),
+                            "followed", "exit_code", "output_directory", "command_line")
+    key = ["run_id", "process_id"]
+    rows = ordered.carry_last(rows, key, F.col("event") == "start", None, "life", inclusive=True)
+    # A parent announces its child just before the child's own start: a leading announcement joins that start.
+    ahead = ordered.carry_last(rows.withColumn("_mirror", F.lit(ordered.LAST) - F.col("seq")), key, F.col("event") == "start", None,
+                               "_next", order="_mirror").withColumn("_next", F.lit(ordered.LAST) - F.col("_next")).drop("_mirror")
+    announces = (F.col("event") == "child") & F.col("_next").isNotNull()
+    rows = ahead.withColumn("life", F.coalesce(F.when(announces, F.col("_next")), "life", F.lit(0).cast("bigint")))
+    is_ = lambda e: F.col("event") == e
+    told = F.struct("_parent", "followed", "output_directory", "command_line")
+    lives = rows.groupBy(*key, "life").agg(
+        F.max_by(told, F.when(is_("start"), F.col("seq"))).alias("_s"),
+        F.max_by(told, F.when(is_("child"), F.struct("followed", "_parent"))).alias("_c"),
+        F.max(F.when(is_("finish"), F.col("exit_code"))).alias("exit_code"))
+    return lives.filter("_s IS NOT NULL OR _c IS NOT NULL").select(
+        *key, "life", F.coalesce("_s._parent", "_c._parent").alias("parent_process_id"), F.col("_s").isNotNull().alias("recorded"),
         F.coalesce("_c.followed", F.lit(False)).alias("followed"), "exit_code",
-        F.coalesce("_s._dir", "_c._child_dir").alias("output_directory"),
-        F.coalesce("_s._line", "_c._child_line").alias("command_line"))
+        F.coalesce("_s.output_directory", "_c.output_directory").alias("output_directory"),
+        F.coalesce("_s.command_line", "_c.command_line").alias("command_line"))
 
 
 def process_tree(edges: DataFrame) -> DataFrame:
-    """Root and depth of every process, by doubling the known distance to an ancestor each round.
+    """Root, depth and whether its ancestors form a cycle, of every life of a process.
 
-    The number of rounds grows with the logarithm of the deepest chain. Every round is checkpointed to
-    the shared folder, so a lost executor does not restart the whole loop.
+    Every round doubles the known distance to an ancestor, so the rounds grow with the logarithm of the
+    deepest chain. What has not met a root after as many rounds as the number of lives needs is in, or
+    below, a cycle; its root is then the smallest process id met. Every round is checkpointed in the
+    shared folder and read as a new frame, so plans and estimates stay small and a lost executor costs
+    one round.
     """
-    parents = edges.select(F.col("process_id").alias("_known")).distinct()
-    up = (edges.select("process_id", "parent_process_id").distinct()
-          .join(parents.withColumnRenamed("_known", "parent_process_id").withColumn("_in", F.lit(True)),
-                "parent_process_id", "left"))
-    inside = F.col("_in") & (F.col("parent_process_id") != F.col("process_id"))
-    state = up.select("process_id", F.when(inside, F.col("parent_process_id")).otherwise(F.col("process_id"))
-                      .alias("root"), F.when(inside, 1).otherwise(0).cast("bigint").alias("depth"))
-    total = None
-    while True:
-        state = reliable_checkpoint(state)
-        reached = state.agg(F.sum("depth")).first()[0]
-        if reached == total:
-            return edges.join(state, "process_id")
-        total = reached
-        above = state.select(F.col("process_id").alias("root"), F.col("root").alias("_root"),
-                             F.col("depth").alias("_more"))
-        state = state.join(above, "root").select(
-            "process_id", F.col("_root").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"))
+    spark, key = edges.sparkSession, ["run_id", "process_id", "life"]
+    lives = edges.select(*key).distinct()
+    asks = edges.select("run_id", F.col("process_id").alias("_child"), F.col("life").alias("seq"), F.col("parent_process_id").alias("process_id"))
+    marks = lives.select("run_id", F.lit(None).cast("bigint").alias("_child"), F.col("life").alias("seq"), "process_id")
+    # The parent's life is the newest one that began before the child's (or the same unstarted one).
+    both = asks.unionByName(marks).withColumn("_tie", F.col("_child").isNotNull().cast("int"))
+    found = ordered.carry_last(both, ["run_id", "process_id"], F.col("_child").isNull(), None, "_life", tie=("_tie",))
+    parents = found.filter("_child IS NOT NULL").select(
+        "run_id", F.col("_child").alias("process_id"), F.col("seq").alias("life"), F.col("process_id").alias("up"), F.col("_life").alias("up_life"))
+    inside = F.col("up_life").isNotNull() & (F.col("up") != F.col("process_id"))
+    state = parents.select(*key, F.when(inside, F.col("up")).otherwise(F.col("process_id")).alias("root"),
+                           F.when(inside, F.col("up_life")).otherwise(F.col("life")).alias("root_life"),
+                           inside.cast("bigint").alias("depth"), inside.alias("open"), F.least("process_id", "up").alias("least"))
+    state = _fresh(spark, state)
+    rounds = max(1, int(state.count()).bit_length() + 1)
+    for _ in range(rounds):
+        if not state.filter("open").limit(1).count():
+            break
+        above = state.select("run_id", F.col("process_id").alias("root"), F.col("life").alias("root_life"), F.col("root").alias("_root"),
+                             F.col("root_life").alias("_root_life"), F.col("depth").alias("_more"), F.col("open").alias("_open"),
+                             F.col("least").alias("_least"))
+        state = _fresh(spark, state.join(above, ["run_id", "root", "root_life"]).select(
+            *key, F.col("_root").alias("root"), F.col("_root_life").alias("root_life"),
+            F.when(F.col("open"), F.col("depth") + F.col("_more")).otherwise(F.col("depth")).alias("depth"),
+            (F.col("open") & F.col("_open")).alias("open"), F.least("least", "_least").alias("least")))
+    cycle = F.col("open")
+    return edges.join(state.select(*key, F.when(cycle, F.col("least")).otherwise(F.col("root")).alias("root"),
+                                   F.when(~cycle, F.col("depth")).alias("depth"), cycle.alias("cycle")), key)
+
+
+def _fresh(spark, df: DataFrame) -> DataFrame:
+    """The rows as a frame that knows nothing of how they came about."""
+    path = scratch_path(spark, "process-tree")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -106,12 +106,12 @@ def pe_identities(spark, sf):
 
 
 @query("module_identity_problem", """SELECT p_partkey + 1 AS module_id, CASE WHEN p_partkey % 11 = 0 THEN
-  'Recorded module has no PE identity; use explicit runtime storage queries.'
-  WHEN p_size % 5 = 1 THEN 'Program PE headers are unavailable at its image base.'
-  WHEN p_partkey % 7 = 0 THEN 'PE timestamp differs: this appears to be another build.'
-  WHEN p_size % 5 = 2 THEN 'Expected PE32+ optional header.'
-  WHEN p_size % 5 = 4 THEN 'Cannot read program PE identity; use explicit runtime storage queries.'
-  WHEN p_partkey % 13 = 0 THEN 'PE pe_checksum differs from the recording.' END AS problem FROM part""")
+  'not_recorded'
+  WHEN p_size % 5 = 1 THEN 'no_image'
+  WHEN p_partkey % 7 = 0 THEN 'pe_timestamp'
+  WHEN p_size % 5 = 2 THEN 'not_64_bit'
+  WHEN p_size % 5 = 4 THEN 'unreadable'
+  WHEN p_partkey % 13 = 0 THEN 'pe_checksum' END AS problem FROM part""")
 def module_identity_problem(spark, sf):
     headers = _headers(spark, sf)
     programs = headers.selectExpr("1L AS run_id", "p_partkey + 1 AS module_id", "content")
@@ -192,6 +192,17 @@ def process_tree(spark, sf):
     return images.process_tree(images.process_edges(t.processes(spark, sf))).select("process_id", "root", "depth")
 
 
+@query("process_tree_reused", """WITH RECURSIVE c AS (SELECT c_custkey AS n FROM customer),
+  p AS (SELECT a.n, max(b.n) AS up FROM c a LEFT JOIN c b ON b.n % 700 = (a.n // 2) % 700 AND b.n < a.n AND (a.n // 2) % 700 <> a.n % 700 GROUP BY a.n),
+  r AS (SELECT n, n AS root, CAST(0 AS BIGINT) AS depth FROM p WHERE up IS NULL
+    UNION ALL SELECT p.n, r.root, r.depth + 1 FROM p JOIN r ON p.up = r.n)
+  SELECT n + 1 AS life, n % 700 + 1 AS process_id, root % 700 + 1 AS root, depth, false AS cycle FROM r""")
+def process_tree_reused(spark, sf):
+    """Process ids that are used again: a parent is the life of its id that was current at the start."""
+    rows = images.process_tree(images.process_edges(t.reused_processes(spark, sf)))
+    return rows.select("life", "process_id", "root", "depth", "cycle")
+
+
 @query("unsigned_numbers", """SELECT l_orderkey, l_linenumber, '0x' || printf('%x', l_partkey) AS hex,
   CAST(l_partkey AS BIGINT) AS parsed FROM lineitem""")
 def unsigned_numbers(spark, sf):

@@ -3,15 +3,16 @@
 from pyspark.sql import functions as F
 
 from spoor.operators import evidence, search
-from spoor.operators.search import Query
+from spoor.operators.search import Scope, alternatives
 from spoor.plans import tables as t
 from spoor.plans.registry import query
 from spoor.plans.tables import duck
+from spoor.session import scratch_path
 
 
-def _documents(spark, sf, q, run_order=None):
+def _documents(spark, sf, patterns, scope=Scope()):
     docs = t.document_samples(spark, sf)
-    return search.search(docs, t.instructions(spark, sf), _registers(spark, sf), q, run_order)
+    return search.search_values(docs, t.instructions(spark, sf), _registers(spark, sf), patterns, scope)
 
 
 def _registers(spark, sf):
@@ -24,10 +25,10 @@ def _offset(text: str, needle: str) -> str:
 
 
 @query("value_search", duck("docs") + f""" SELECT seq, addr, 'UTF8' AS encoding, {_offset('text', 'the')} AS offset
-  FROM docs WHERE contains(text, 'the') ORDER BY seq LIMIT 10000""")
+  FROM docs WHERE contains(text, 'the')""")
 def value_search(spark, sf):
     """Whole texts as samples, case-sensitive."""
-    hits = _documents(spark, sf, Query(find="the", match_case=True))
+    hits = _documents(spark, sf, alternatives("the"))
     return hits.select("seq", F.col("addr").cast("bigint").alias("addr"), "encoding", "offset")
 
 
@@ -35,25 +36,17 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 
 @query("value_search_folded", duck("docs") + f""" SELECT seq, {_offset('low', 'ion on')} AS offset FROM
-  (SELECT *, {_FOLD} AS low FROM docs) WHERE contains(low, 'ion on') AND tid <> 3 AND seq BETWEEN 10 AND 1000000000
-  ORDER BY seq LIMIT 10000""")
+  (SELECT *, {_FOLD} AS low FROM docs) WHERE contains(low, 'ion on')""")
 def value_search_folded(spark, sf):
-    """ASCII case folding; hits of every thread but one, found thread by thread."""
-    docs = t.document_samples(spark, sf).filter("tid <> 3")
-    q = Query(find="ION on", encoding="UTF8", start=10, end=1000000000)
-    hits = search.search(docs, t.instructions(spark, sf), _registers(spark, sf), q)
-    return hits.select("seq", "offset")
+    """ASCII case folding."""
+    return _documents(spark, sf, alternatives("ION on", "UTF8", ignore_case=True)).select("seq", "offset")
 
 
 @query("value_search_dictionary", duck("docs", "ins") + f""" SELECT seq, iid, {_offset('text', 'er')} AS offset FROM docs
   WHERE contains(text, 'er') AND iid IN (SELECT iid FROM ins WHERE contains(lower(routine), 'brand#1')
-  AND contains(lower(disassembly), 're')) ORDER BY seq LIMIT 10000""")
+  AND contains(lower(disassembly), 're'))""")
 def value_search_dictionary(spark, sf):
-    docs, ins = t.document_samples(spark, sf), t.instructions(spark, sf)
-    q = Query(find="er", encoding="UTF8", function="BRAND#1", instruction="re")
-    rows = search.candidates(docs, ins, _registers(spark, sf), q)
-    exact = Query(find="er", encoding="UTF8", match_case=True)
-    hits = search.search_value(rows, exact).orderBy("seq").limit(exact.limit)
+    hits = _documents(spark, sf, alternatives("er", "UTF8"), Scope(routine="BRAND#1", disassembly="re"))
     return hits.select("seq", "iid", "offset")
 
 
@@ -68,35 +61,35 @@ def dictionary_filter(spark, sf):
   f AS (SELECT seq, low, addr, substr(hex, 2 * low + 1) AS tail FROM z),
   g AS (SELECT seq, addr, low, CASE WHEN regexp_matches(tail, '^(?:..)*?6520') THEN
     length(regexp_extract(tail, '^((?:..)*?)6520', 1)) // 2 + low END AS offset FROM f)
-  SELECT seq, "offset" FROM g WHERE "offset" IS NOT NULL AND addr + "offset" <= 6000 ORDER BY seq LIMIT 10000""")
+  SELECT seq, "offset" FROM g WHERE "offset" IS NOT NULL AND addr + "offset" <= 6000""")
 def value_search_range(spark, sf):
     """First match inside an address range, which may start in the middle of a sample."""
-    hits = _documents(spark, sf, Query(find="e ", encoding="UTF8", match_case=True, address_start=3000, address_end=6000))
-    return hits.select("seq", "offset")
+    return _documents(spark, sf, alternatives("e ", "UTF8"), Scope(lowest=3000, highest=6000)).select("seq", "offset")
 
 
 @query("hex_wildcard_search", duck("docs") + """ SELECT seq, length(regexp_extract(hex, '^((?:..)*?)7468..2065', 1)) // 2 AS offset
-  FROM docs WHERE regexp_matches(hex, '^(?:..)*?7468..2065') ORDER BY seq LIMIT 10000""")
+  FROM docs WHERE regexp_matches(hex, '^(?:..)*?7468..2065')""")
 def hex_wildcard_search(spark, sf):
-    return _documents(spark, sf, Query(find="74 68 ?? 20 65", encoding="HEX")).select("seq", "offset")
+    return _documents(spark, sf, alternatives("74 68 ?? 20 65", "HEX")).select("seq", "offset")
 
 
 @query("register_value_search", duck("ev") + """, h AS (SELECT *, length(regexp_extract(hex, '^((?:..)*?)' || '1f', 1)) // 2 AS offset
     FROM ev WHERE kind = 6 AND regexp_matches(hex, '^(?:..)*?1f'))
   SELECT seq, CASE reg WHEN 1 THEN 'rax' WHEN 2 THEN 'rbx' WHEN 3 THEN 'rcx' ELSE 'register #' || reg END || ' +' || "offset"
-  || ' (thread ' || tid || ')' AS storage FROM h ORDER BY seq LIMIT 10000""")
+  || ' (thread ' || tid || ')' AS storage FROM h""")
 def register_value_search(spark, sf):
     """One byte in any register sample, with storage labels."""
-    ev, names = t.evidence(spark, sf).filter("kind = 6"), _registers(spark, sf)
-    hits = search.search(ev, t.instructions(spark, sf), names, Query(find="1F", encoding="HEX"))
+    names = _registers(spark, sf)
+    hits = search.search_values(t.evidence(spark, sf), t.instructions(spark, sf), names, alternatives("1F", "HEX"), Scope(kinds=(6,)))
     return search.storage_label(hits, names).select("seq", "storage")
 
 
 @query("named_register_search", duck("ev") + """ SELECT seq, length(regexp_extract(hex, '^((?:..)*?)' || '1f', 1)) // 2 AS offset
-    FROM ev WHERE kind = 6 AND reg = 3 AND access = 'write_after' AND regexp_matches(hex, '^(?:..)*?1f') ORDER BY seq LIMIT 10000""")
+    FROM ev WHERE kind = 6 AND reg = 3 AND access = 'write_after' AND regexp_matches(hex, '^(?:..)*?1f')""")
 def named_register_search(spark, sf):
-    q = Query(find="1f", encoding="HEX", register="RCX", writes_only=True)
-    return search.search(t.evidence(spark, sf), t.instructions(spark, sf), _registers(spark, sf), q).select("seq", "offset")
+    scope = Scope(register="RCX", writes_only=True)
+    return search.search_values(t.evidence(spark, sf), t.instructions(spark, sf), _registers(spark, sf),
+                                alternatives("1f", "HEX"), scope).select("seq", "offset")
 
 
 def _pieces(name: str, needle: str, marker: int) -> str:
@@ -112,58 +105,60 @@ def _pieces(name: str, needle: str, marker: int) -> str:
   m AS (SELECT *, lag(marker) OVER k AS p_marker, lag(seq) OVER k AS p_seq FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
     WINDOW k AS (PARTITION BY place ORDER BY seq, marker))
   SELECT p_seq AS before_seq, seq, CAST(place AS BIGINT) AS place FROM m
-  WHERE marker = 0 AND p_marker = 1 AND seq - p_seq <= 400 ORDER BY seq, place LIMIT 10000""")
+  WHERE marker = 0 AND p_marker = 1 AND seq - p_seq <= 400""")
 def value_change(spark, sf):
     """Places in overlapping whole texts where one word later becomes another."""
-    hits = _documents(spark, sf, Query(mode="CHANGE", find="the", then="and", encoding="UTF8", match_case=True, max_gap=400))
+    rows = search.in_scope(t.document_samples(spark, sf), t.instructions(spark, sf), _registers(spark, sf), Scope())
+    hits = search.change_hits(rows, alternatives("the", "UTF8"), alternatives("and", "UTF8"), max_gap=400)
     return hits.select("before_seq", "seq", (F.col("addr") + F.col("offset")).cast("bigint").alias("place"))
 
 
 @query("register_value_change", duck("ev") + """, c AS (SELECT seq, tid, reg, unnest(range(length(hex) // 2)) AS pos, hex FROM ev WHERE kind = 6),
   m AS (SELECT seq, tid, reg, pos, substr(hex, 2 * pos + 1, 1) AS nib FROM c WHERE substr(hex, 2 * pos + 1, 2) IN ('0c', 'a8')),
   w AS (SELECT *, lag(nib) OVER k AS p_nib, lag(seq) OVER k AS p_seq FROM m WINDOW k AS (PARTITION BY tid, reg, pos ORDER BY seq))
-  SELECT p_seq AS before_seq, seq, pos AS offset FROM w WHERE nib = 'a' AND p_nib = '0' ORDER BY seq, pos LIMIT 10000""")
+  SELECT p_seq AS before_seq, seq, pos AS offset FROM w WHERE nib = 'a' AND p_nib = '0'""")
 def register_value_change(spark, sf):
     """Register bytes per thread and offset."""
-    ev = t.evidence(spark, sf).filter("kind = 6")
-    q = Query(mode="CHANGE", find="0c", then="a8", encoding="HEX")
-    return search.search(ev, t.instructions(spark, sf), _registers(spark, sf), q).select("before_seq", "seq", "offset")
+    scope = Scope(kinds=(6,))
+    rows = search.in_scope(t.evidence(spark, sf), t.instructions(spark, sf), _registers(spark, sf), scope)
+    hits = search.change_hits(rows, alternatives("0c", "HEX"), alternatives("a8", "HEX"), scope, segment=512)
+    return hits.select("before_seq", "seq", "offset")
+
+
+def _details(spark, sf, text, ignore_case=True, scope=Scope()):
+    """Over all dynamic record types."""
+    ins = t.instructions(spark, sf)
+    rows = search.in_scope(evidence.detail_rows(t.typed_tables(spark, sf)), ins, _registers(spark, sf), scope, samples=False)
+    return search.detail_hits(rows, ins, text, ignore_case)
 
 
 @query("detail_search", duck("ev", "ins") + """ SELECT seq, kind FROM ev LEFT JOIN ins ON ev.iid = ins.iid AND ev.iid <> 0
-  WHERE kind IN (4, 7) AND (contains(lower(coalesce(disassembly, '')), 'ring')
-    OR (kind = 7 AND contains('call_id: ' || cid || ' sequence: ' || seq, 'ring'))) ORDER BY seq LIMIT 10000""")
+  WHERE contains(lower(coalesce(disassembly, '')), 'ring') OR contains(lower(coalesce(routine, '')), 'ring') OR kind IN (12, 15)""")
 def detail_search(spark, sf):
-    tables = t.typed_tables(spark, sf)
-    rows = evidence.detail_rows({n: tables[n] for n in ("instruction_events", "call_events")})
-    q = Query(mode="DETAILS", find="RING")
-    return search.search(rows, t.instructions(spark, sf), _registers(spark, sf), q).select("seq", "kind")
+    """In code texts, and in the field name entering of system calls and memory operations."""
+    return _details(spark, sf, "RING").select("seq", "kind")
 
 
-@query("detail_search_field", duck("ev") + """ SELECT seq FROM ev WHERE kind = 18 AND k % 4 = 1 ORDER BY seq LIMIT 10000""")
+@query("detail_search_field", duck("ev") + """ SELECT seq FROM ev WHERE kind = 18 AND k % 4 = 1""")
 def detail_search_field(spark, sf):
-    tables = t.typed_tables(spark, sf)
-    rows = evidence.detail_rows({"capture_diagnostics": tables["capture_diagnostics"]})
-    q = Query(mode="DETAILS", find="reason: memory_capture", match_case=True, category="Capture diagnostics")
-    return search.search(rows, t.instructions(spark, sf), _registers(spark, sf), q).select("seq")
+    return _details(spark, sf, "reason: memory_capture", False, Scope(category="Capture diagnostics")).select("seq")
 
 
 @query("multi_run_search", duck("evr") + """ SELECT run_id, seq FROM evr WHERE kind = 5 AND access <> 'prefetch'
-  AND regexp_matches(hex, '^(?:..)*?98') ORDER BY run_id DESC, seq LIMIT 10000""")
+  AND regexp_matches(hex, '^(?:..)*?98') ORDER BY run_id DESC, seq LIMIT 700""")
 def multi_run_search(spark, sf):
-    """Runs in loading order (last first) share one result budget."""
-    ev = t.evidence(spark, sf, runs=True).filter("kind = 5")
+    """Runs in loading order (last first) share one page of 700 results."""
+    ev = t.evidence(spark, sf, runs=True)
     order = ev.select("run_id").distinct().withColumn("position", -F.col("run_id"))
-    hits = search.search(ev, t.instructions(spark, sf, 5), _registers(spark, sf), Query(find="98", encoding="HEX"), order)
-    return hits.select("run_id", "seq")
+    hits = search.search_values(ev, t.instructions(spark, sf, 5), _registers(spark, sf), alternatives("98", "HEX"), Scope(kinds=(5,)))
+    return search.ranked(hits, order, 700).select("run_id", "seq")
 
 
 @query("search_accounting", duck("docs") + """ SELECT CAST(least(count(*) FILTER (contains(text, 'the')), 50) AS BIGINT) AS hits,
   CAST(count(*) AS BIGINT) AS examined, count(*) FILTER (contains(text, 'the')) >= 50 AS limited FROM docs""")
 def search_accounting(spark, sf):
-    q = Query(find="the", match_case=True, encoding="UTF8", limit=50)
-    rows = search.candidates(t.document_samples(spark, sf), t.instructions(spark, sf), _registers(spark, sf), q)
-    return search.accounting(search.search_value(rows, q), rows, q)
+    rows = search.in_scope(t.document_samples(spark, sf), t.instructions(spark, sf), _registers(spark, sf), Scope())
+    return search.accounting(rows, alternatives("the", "UTF8"), 50)
 
 
 _PREVIEW = r"""'UTF-8: ' || replace(replace(replace(substr(text, 1, {n}), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
@@ -179,24 +174,21 @@ def preview(spark, sf):
 
 # --- gram index --------------------------------------------------------------------------------------
 
-_GRAMS = """, g AS (SELECT (seq - 1) // 256 AS chunk, unnest(list_concat(list_concat(regexp_extract_all(hex, '.{6}'),
+_SPAN = 256
+_GRAMS = """, g AS (SELECT seq // 256 AS chunk, unnest(list_concat(list_concat(regexp_extract_all(hex, '.{6}'),
     regexp_extract_all(substr(hex, 3), '.{6}')), regexp_extract_all(substr(hex, 5), '.{6}'))) AS gram FROM docs),
   idx AS (SELECT DISTINCT chunk, upper(gram) AS gram FROM g)"""
 
 
-def _chunked(spark, sf):
-    return search.chunked_samples(t.document_samples(spark, sf), 256, segment=1024)
-
-
 @query("value_gram_index", duck("docs") + _GRAMS + " SELECT chunk, gram FROM idx")
 def value_gram_index(spark, sf):
-    return search.value_gram_index(_chunked(spark, sf)).select("chunk", "gram")
+    return search.value_gram_index(t.document_samples(spark, sf), _SPAN).select("chunk", "gram")
 
 
-@query("value_chunks", duck("docs") + """ SELECT (seq - 1) // 256 AS chunk, min(seq) AS first_seq, max(seq) AS last_seq,
+@query("value_chunks", duck("docs") + """ SELECT seq // 256 AS chunk, min(seq) AS first_seq, max(seq) AS last_seq,
   CAST(count(*) AS BIGINT) AS samples FROM docs GROUP BY 1""")
 def value_chunks(spark, sf):
-    return search.value_chunks(_chunked(spark, sf)).drop("run_id")
+    return search.value_chunks(t.document_samples(spark, sf), _SPAN).drop("run_id")
 
 
 _NEEDLE = "tion the"
@@ -206,19 +198,18 @@ _NEEDLE = "tion the"
     FROM (SELECT unnest(range({len(_NEEDLE) - 2})) AS i)),
   ok AS (SELECT chunk FROM idx JOIN want USING (gram) GROUP BY chunk HAVING count(*) = (SELECT count(*) FROM want)),
   isl AS (SELECT chunk, chunk - row_number() OVER (ORDER BY chunk) AS island FROM ok)
-  SELECT greatest(min(chunk) * 256 + 1, 100) AS first_seq, least((max(chunk) + 1) * 256, (SELECT max(seq) FROM docs)) AS last_seq
+  SELECT greatest(min(chunk) * 256, 100) AS first_seq, (max(chunk) + 1) * 256 - 1 AS last_seq
   FROM isl GROUP BY island""")
 def candidate_ranges(spark, sf):
-    samples = _chunked(spark, sf)
-    q = Query(find=_NEEDLE, encoding="UTF8", match_case=True, start=100)
-    rows = search.candidate_ranges(search.value_gram_index(samples), search.value_chunks(samples), q)
-    return rows.select("first_seq", "last_seq")
+    index = search.value_gram_index(t.document_samples(spark, sf), _SPAN)
+    return search.candidate_ranges(index, alternatives(_NEEDLE, "UTF8"), Scope(first=100), _SPAN, segment=2).select("first_seq", "last_seq")
 
 
 @query("pruned_value_search", duck("docs") + f""" SELECT seq, {_offset('text', _NEEDLE)} AS offset FROM docs
   WHERE contains(text, '{_NEEDLE}')""")
 def pruned_value_search(spark, sf):
-    """The same hits as without the index."""
-    samples = _chunked(spark, sf)
-    q = Query(find=_NEEDLE, encoding="UTF8", match_case=True)
-    return search.search_value(search.prune(samples, search.value_gram_index(samples), q), q).select("seq", "offset")
+    """The same hits as without the index, which is written once, as preparation does."""
+    docs, path = t.document_samples(spark, sf), scratch_path(spark, "value-grams")
+    search.value_gram_index(docs, _SPAN).write.parquet(path)
+    return search.search_values(docs, t.instructions(spark, sf), _registers(spark, sf), alternatives(_NEEDLE, "UTF8"),
+                                index=spark.read.parquet(path), span=_SPAN).select("seq", "offset")

@@ -207,13 +207,21 @@ def processes(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").selectExpr(
         "explode(array('start', 'child', 'finish')) AS event", "c_custkey + 1 AS _n", "c_mktsegment", "c_name",
         "c_nationkey", "c_acctbal").selectExpr(
-        "event", "CASE event WHEN 'child' THEN _n div 2 ELSE _n END AS process_id",
+        "1L AS run_id", "3 * _n + CASE event WHEN 'child' THEN 0 WHEN 'start' THEN 1 ELSE 2 END AS sequence", "event", "CASE event WHEN 'child' THEN _n div 2 ELSE _n END AS process_id",
         "_n div 2 AS parent_process_id", "CASE event WHEN 'child' THEN _n ELSE 0 END AS related_process_id",
         "event = 'child' AND c_acctbal > 0 AS followed", "CAST(c_nationkey AS INT) AS exit_code",
         "c_mktsegment AS output_directory", "CASE event WHEN 'finish' THEN '' ELSE c_name END AS command_line",
         "_n AS _n").filter("NOT (event = 'child' AND _n = 1)").drop("_n")
 
 
+def reused_processes(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as process starts in order of their keys; 700 ids are used again and again."""
+    return read(spark, sf, "customer").selectExpr(
+        "1L AS run_id", "c_custkey + 1 AS sequence", "'start' AS event", "c_custkey % 700 + 1 AS process_id",
+        "c_custkey div 2 % 700 + 1 AS parent_process_id", "0L AS related_process_id", "false AS followed", "CAST(0 AS INT) AS exit_code",
+        "'' AS output_directory", "'' AS command_line")
+
+
 # --- the same definitions for the oracle ---------------------------------------------------------------
 
 def _duck_events(run: str) -> str:

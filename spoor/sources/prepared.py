@@ -13,7 +13,7 @@ from spoor.session import path_exists
 from spoor.sources import container, csv_run
 
 TABLES = ["evidence", "instructions", "registers", "modules", "execution_counts", "call_lifetimes", "coverage",
-          "category_totals", "timeline_ordinals", "value_chunks", "value_grams", "run_summary"]
+          "category_totals", "value_grams", "run_summary"]
 _MANIFEST = "manifest"
 
 
@@ -65,10 +65,7 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
     save("call_lifetimes", calls.call_lifetimes(ev))
     save("coverage", coverage.coverage_totals(counts, instructions))
     save("category_totals", timeline.category_totals(ev))
-    save("timeline_ordinals", timeline.timeline_ordinals(ev))
-    samples = search.chunked_samples(ev.select("run_id", "seq", "kind", "access", "captured"))
-    save("value_chunks", search.value_chunks(samples))
-    save("value_grams", search.value_gram_index(samples))
+    save("value_grams", search.value_gram_index(ev))
     save("run_summary", audit.run_summary(ev, tables["run"], incomplete))
     if before_publish is not None:
         before_publish()

@@ -77,10 +77,34 @@ def test_newest_function_definition_wins(spark):
     assert got == {4: 0, 6: 2, 21: 3, 22: 0}
 
 
+def _edges(spark, rows):
+    return spark.createDataFrame([(1, p, life, up) for p, life, up in rows],
+                                 "run_id bigint, process_id bigint, life bigint, parent_process_id bigint")
+
+
 def test_deep_process_chain(spark):
-    edges = spark.createDataFrame([(i, i - 1 if i else 999) for i in range(150)], "process_id bigint, parent_process_id bigint")
-    got = {r.process_id: (r.root, r.depth) for r in images.process_tree(edges).collect()}
-    assert got == {i: (0, i) for i in range(150)}
+    edges = _edges(spark, [(i, i, i - 1 if i else 999) for i in range(150)])
+    got = {r.process_id: (r.root, r.depth, r.cycle) for r in images.process_tree(edges).collect()}
+    assert got == {i: (0, i, False) for i in range(150)}
+
+
+def test_process_cycle_ends(spark):
+    edges = _edges(spark, [(1, 0, 2), (2, 0, 1), (3, 0, 1), (4, 0, 4), (5, 7, 4), (5, 9, 3)])
+    got = {(r.process_id, r.life): (r.root, r.depth, r.cycle) for r in images.process_tree(edges).collect()}
+    assert got == {(1, 0): (1, None, True), (2, 0): (1, None, True), (3, 0): (1, None, True), (4, 0): (4, 0, False),
+                   (5, 7): (4, 1, False), (5, 9): (1, None, True)}
+
+
+def test_process_lives(spark):
+    rows = [(1, 1, "start", 10, 1, 0), (1, 2, "child", 10, 0, 20), (1, 3, "start", 20, 10, 0), (1, 4, "finish", 20, 0, 0),
+            (1, 5, "child", 10, 0, 20), (1, 6, "start", 20, 10, 0), (1, 7, "child", 20, 0, 30), (2, 1, "start", 20, 5, 0)]
+    df = spark.createDataFrame([(run, seq, e, p, up, rel, e == "child", seq, "d", "c") for run, seq, e, p, up, rel in rows],
+                               "run_id bigint, sequence bigint, event string, process_id bigint, parent_process_id bigint, "
+                               "related_process_id bigint, followed boolean, exit_code int, output_directory string, command_line string")
+    got = {(r.run_id, r.process_id, r.life): (r.parent_process_id, r.recorded, r.followed, r.exit_code)
+           for r in images.process_edges(df).collect()}
+    assert got == {(1, 10, 1): (1, True, False, None), (1, 20, 3): (10, True, True, 4), (1, 20, 6): (10, True, True, None),
+                   (1, 30, 0): (20, False, True, None), (2, 20, 1): (5, True, False, None)}
 
 
 def test_write_pairing_notices(spark):
