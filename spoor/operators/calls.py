@@ -40,11 +40,12 @@ def returned(evidence: DataFrame, cursor: int) -> DataFrame:
             .select("run_id", "cid", "tid", "seq", F.col("_r.seq").alias("return_seq")))
 
 
-def match_call(evidence: DataFrame, limit: int = 3) -> DataFrame:
-    """The first call/return rows of every call id in sequence order; id 0 matches nothing."""
+def match_call(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """The call/return rows of every call id, numbered in sequence order (the first ``limit``); id 0 matches nothing."""
     rows = evidence.filter(F.col("kind").isin(7, 8) & (F.col("cid") != 0))
     order = Window.partitionBy("run_id", "cid").orderBy("seq")
-    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    rows = rows.withColumn("position", F.row_number().over(order))
+    return rows if limit is None else rows.filter(F.col("position") <= limit)
 
 
 def call_latency(calls: DataFrame, returns: DataFrame, cursor: int | None = None) -> DataFrame:
@@ -79,14 +80,19 @@ def _active_spans(evidence: DataFrame) -> DataFrame:
                         F.coalesce(until, F.lit(ordered.LAST)).alias("until"))
 
 
-def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = 256) -> DataFrame:
-    """Newest active calls per cursor (cursor_id, run_id, tid, cursor).
+def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active calls, all or the newest ``limit``, per cursor (cursor_id, run_id, tid, cursor).
 
     A call is active at a cursor strictly after it, if it has not returned by then and its thread has
     not changed context since. Spans are tiled with dyadic nodes, so the pairing is an equi-join that
     yields each pair once; only the newest calls of a node can matter to its cursors.
     """
-    node = ["run_id", "tid", "node"]
+    return _active(evidence, cursors, [], limit)
+
+
+def _active(evidence: DataFrame, cursors: DataFrame, same: list[str], limit: int | None) -> DataFrame:
+    """Active calls that agree with their cursor in the columns ``same`` too, the newest ``limit`` of them."""
+    node = ["run_id", "tid", *same, "node"]
     spans = (_active_spans(evidence).filter(F.col("until") > F.col("seq"))
              .withColumn("node", F.explode(ordered.cover_nodes("seq + 1", "until"))))
     spans = newest(spans, node, limit)
@@ -96,23 +102,20 @@ def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = 25
     return newest(hits, ["cursor_id"], limit)
 
 
-def resolve_stack(evidence: DataFrame, calls: DataFrame, watches: DataFrame, depth: int = 256) -> DataFrame:
+def resolve_stack(evidence: DataFrame, calls: DataFrame, watches: DataFrame) -> DataFrame:
     """Addresses of stack storage (watch_id, run_id, tid, cursor, target, offset, size).
 
-    The newest active call to the function gives entry stack pointer - 8 + offset.
+    The newest active call to the function, however deep in the stack, gives entry stack pointer - 8 + offset.
     """
-    cursors = watches.select(F.col("watch_id").alias("cursor_id"), "run_id", "tid", "cursor")
-    active = active_calls(evidence, cursors, depth).select(
-        F.col("cursor_id").alias("watch_id"), "run_id", "seq", "target")
-    wanted = watches.select("watch_id", "target")
-    frame = (active.join(wanted, ["watch_id", "target"]).groupBy("watch_id", "run_id")
-             .agg(F.max("seq").alias("sequence")))
+    cursors = watches.select(F.col("watch_id").alias("cursor_id"), "run_id", "tid", "cursor",
+                             F.col("target").cast(B.U64).alias("target"))
+    frame = _active(evidence, cursors, ["target"], 1).select(
+        F.col("cursor_id").alias("watch_id"), "run_id", F.col("seq").alias("sequence"))
     pointers = calls.select("run_id", "sequence", "stack_pointer")
     located = frame.join(pointers, ["run_id", "sequence"]).select("watch_id", "sequence", "stack_pointer")
     address = B.wrap_unsigned(F.col("stack_pointer").cast("decimal(22,0)") - 8 + F.col("offset"))
     return (watches.join(located, "watch_id", "left")
             .withColumn("address", address)
-            .withColumn("size", F.greatest(F.lit(1), F.least("size", F.lit(256))))
             .withColumnRenamed("sequence", "call_seq").drop("stack_pointer"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import text as X
-from spoor.operators.evidence import NEWEST
 from spoor.operators.history import newest
 
 IDENTITY = ["machine", "pe_timestamp", "pe_checksum", "declared_image_size", "entry_point_rva"]
@@ -24,15 +23,14 @@ def coverage_totals(counts: DataFrame, instructions: DataFrame) -> DataFrame:
 
 
 def hot_spots(counts: DataFrame, instructions: DataFrame, module: int | None = None,
-              limit: int = NEWEST) -> DataFrame:
-    """Most executed instructions, of one module or of every module, ties by instruction id."""
+              limit: int | None = None) -> DataFrame:
+    """Instructions by executions, of one module or of every module, ties by instruction id; the first ``limit`` of each."""
     totals = coverage_totals(counts, instructions)
-    if limit <= 0:
-        return totals.limit(0)
     if module is not None:
         totals = totals.filter(F.col("mid") == module)
     order = Window.partitionBy("run_id", "mid").orderBy(F.col("executions").desc(), "iid")
-    return (totals.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit))
+    ranked = totals.withColumn("position", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("position") <= limit)
 
 
 def execution_count(counts: DataFrame, instructions: DataFrame, module: int, offset: int,
@@ -67,8 +65,8 @@ def same_image(modules: DataFrame) -> DataFrame:
 
 
 def compare_runs(evidence: DataFrame, instructions: DataFrame, modules: DataFrame, run: int, module: int,
-                 offset: int, limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Whole-run execution count, and the newest events, at an image offset in every run.
+                 offset: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Whole-run execution count, and the (newest) events, at an image offset in every run.
 
     A run takes part only if exactly one of its loaded modules is the same image.
     """
@@ -84,7 +82,7 @@ def compare_runs(evidence: DataFrame, instructions: DataFrame, modules: DataFram
     hits = evidence.filter(F.col("seq") > 0).join(there, ["run_id", "iid"], "left_semi")
     executed = hits.filter(F.col("kind") == 4).groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     counts = (status.join(executed, "run_id", "left")
-              .select("run_id", F.when(single, "compared").otherwise("ambiguous or incompatible").alias("status"),
+              .select("run_id", F.when(single, "compared").otherwise("no single match").alias("status"),
                       F.when(single, F.coalesce("_n", F.lit(0))).alias("executions")))
     return counts, newest(hits, ["run_id"], limit)
 

@@ -11,10 +11,8 @@ from pyspark.sql import types as T
 from spoor import schemas
 from spoor.functions import bytes as B
 from spoor.functions import text as X
-from spoor.operators.ordered import ordinals
 
-NEWEST = 300          # default length of "newest N" answers
-MODULE_LIMIT = 100000  # default length of the loaded-module list
+PAGE = 300            # rows of a timeline page
 
 _ACCESS_WORDS = ["read", "read_before", "write_before", "write_after", "prefetch"]
 
@@ -135,10 +133,9 @@ def events_at_sequences(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.when(F.col("_found"), F.col("seq")).otherwise(missing.cast("bigint"))).drop("_found")
 
 
-def loaded_modules(modules: DataFrame, limit: int = MODULE_LIMIT) -> DataFrame:
-    """Load rows among the first ``limit`` module records of each run, in sequence order."""
-    numbered = ordinals(modules, ["run_id"], "_n", order="sequence")
-    return numbered.filter(F.col("_n") < limit).filter("loaded").drop("_n")
+def loaded_modules(modules: DataFrame) -> DataFrame:
+    """The load rows of every run."""
+    return modules.filter("loaded")
 
 
 def restrict_to_main(evidence: DataFrame, instructions: DataFrame, modules: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import bytes as B
-from spoor.operators.evidence import NEWEST, with_instruction
-from spoor.operators.ordered import carry_many
+from spoor.operators.evidence import with_instruction
+from spoor.operators.ordered import carry_last, carry_many
 
 _WRITES = ("write_before", "write_after")
 _MIN_LEVEL, _MAX_LEVEL = 6, 32   # bucket sizes 2^6 .. 2^32 bytes; a memory width is below 2^32
@@ -26,7 +26,7 @@ def _wanted(writes_only: bool) -> Column:
 
 
 def history_memory(evidence: DataFrame, address: int, size: int, cursor: int, *, writes_only: bool = False,
-                   limit: int | None = NEWEST, max_width: int | None = None) -> DataFrame:
+                   limit: int | None = None, max_width: int | None = None) -> DataFrame:
     """Accesses overlapping [address, address + size) up to the cursor, newest first.
 
     ``max_width`` (from the run summary) adds the lower address bound that lets Parquet skip row groups.
@@ -47,11 +47,11 @@ def _level() -> Column:
             .otherwise(F.length(F.bin(F.col("requested") - 1))).cast("int"))
 
 
-def overlapping(evidence: DataFrame, watches: DataFrame, writes_only: bool = False) -> DataFrame:
-    """Every (watch, access) pair that overlaps, each pair once.
+def _touching(places: DataFrame, watches: DataFrame) -> DataFrame:
+    """Every (watch, place) pair that overlaps, each pair once.
 
-    Watches: (watch_id, run_id, address, size, cursor). An access sits in the single bucket of its
-    start address at the level of its width; a watch is listed under every bucket a touching access
+    Watches: (watch_id, run_id, address, size, cursor). A place sits in the single bucket of its
+    start address at the level of its width; a watch is listed under every bucket a touching place
     could start in. The big side is therefore never multiplied, and a small watch list is broadcast.
     """
     span = "CAST(shiftleft(1L, w_level) AS DECIMAL(20,0))"
@@ -62,22 +62,43 @@ def overlapping(evidence: DataFrame, watches: DataFrame, writes_only: bool = Fal
               .withColumn("w_bucket", F.expr(
                   f"explode(sequence(greatest(address - {span} + 1, 0BD) div {span}, "
                   f"(address + size - 1) div {span}))")))
-    rows = (evidence.filter((F.col("kind") == 5) & _wanted(writes_only))
-            .withColumn("w_level", _level())
-            .withColumn("w_bucket", F.expr(f"addr div {span}")))
+    rows = places.withColumn("w_level", _level()).withColumn("w_bucket", F.expr(f"addr div {span}"))
     return (rows.join(probes, ["run_id", "w_level", "w_bucket"])
-            .filter((F.col("seq") <= F.col("cursor")) & (F.col("addr") < F.col("address") + F.col("size"))
-                    & (F.col("endaddr") > F.col("address")))
+            .filter((F.col("addr") < F.col("address") + F.col("size")) & (F.col("endaddr") > F.col("address")))
             .drop("w_level", "w_bucket"))
 
 
+def overlapping(evidence: DataFrame, watches: DataFrame, writes_only: bool = False) -> DataFrame:
+    """Every (watch, access up to its cursor) pair that overlaps, each pair once."""
+    rows = evidence.filter((F.col("kind") == 5) & _wanted(writes_only))
+    return _touching(rows, watches).filter(F.col("seq") <= F.col("cursor"))
+
+
+def _newest_per_place(evidence: DataFrame, watches: DataFrame, segment: int | None) -> DataFrame:
+    """For every watch and every place (address and width) it touches, the newest access up to its cursor.
+
+    Watches meet distinct places only, never accesses; the newest access is then an ordered look-up, so a
+    place that was accessed a million times costs its watches one row each.
+    """
+    place = ["run_id", "addr", "requested"]
+    rows = evidence.filter((F.col("kind") == 5) & _wanted(False))
+    asks = _touching(rows.select(*place, "endaddr").distinct(), watches).select(
+        *place, "endaddr", F.col("cursor").alias("seq"), "watch_id", "address", "size")
+    both = rows.select(*place, "seq", "access", "captured").unionByName(asks, allowMissingColumns=True)
+    asked = F.col("watch_id").isNotNull()
+    both = carry_last(both.withColumn("_tie", asked.cast("int")), place, ~asked,
+                      F.struct("seq", "access", "captured"), "_hit", tie=("_tie",), segment=segment)
+    return both.filter(asked & F.col("_hit").isNotNull()).select(
+        "watch_id", "address", "size", "addr", "endaddr", "_hit.*")
+
+
 def history_memory_batch(evidence: DataFrame, watches: DataFrame, *, writes_only: bool = False,
-                         limit: int | None = NEWEST) -> DataFrame:
+                         limit: int | None = None) -> DataFrame:
     return newest(overlapping(evidence, watches, writes_only), ["watch_id"], limit)
 
 
 def history_register(evidence: DataFrame, registers: DataFrame, name: str, thread: int, cursor: int, *,
-                     writes_only: bool = False, limit: int | None = NEWEST) -> DataFrame:
+                     writes_only: bool = False, limit: int | None = None) -> DataFrame:
     """Observations of a register by one thread, newest first; no thread or unknown name gives none."""
     named = (registers.filter(F.lower("register_name") == name.lower())
              .groupBy("run_id").agg(F.min("reg").alias("reg")))
@@ -90,7 +111,7 @@ def history_register(evidence: DataFrame, registers: DataFrame, name: str, threa
 
 
 def history_calls(evidence: DataFrame, target: int, cursor: int, *, thread: int = -1,
-                  limit: int | None = NEWEST) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Calls to a runtime address up to the cursor, newest first."""
     rows = evidence.filter((F.col("kind") == 7) & (F.col("target") == F.lit(str(target)).cast(B.U64))
                            & (F.col("seq") <= cursor))
@@ -101,7 +122,7 @@ def history_calls(evidence: DataFrame, target: int, cursor: int, *, thread: int
 
 
 def events_at(evidence: DataFrame, instructions: DataFrame, module: int, offset: int, cursor: int, *,
-              thread: int = -1, limit: int | None = NEWEST) -> DataFrame:
+              thread: int = -1, limit: int | None = None) -> DataFrame:
     """Newest events of every instruction revision at a module offset."""
     revisions = instructions.filter((F.col("mid") == module) & (F.col("off") == offset)).select("run_id", "iid")
     rows = evidence.filter((F.col("seq") > 0) & (F.col("seq") <= cursor))
@@ -111,7 +132,7 @@ def events_at(evidence: DataFrame, instructions: DataFrame, module: int, offset:
     return rows if limit is None else rows.limit(limit)
 
 
-def byte_state(evidence: DataFrame, watches: DataFrame) -> DataFrame:
+def byte_state(evidence: DataFrame, watches: DataFrame, segment: int | None = None) -> DataFrame:
     """Newest-wins bytes of each watch at its cursor.
 
     The newest covering access decides a byte; it is known only if that access captured it. Accesses
@@ -123,7 +144,7 @@ def byte_state(evidence: DataFrame, watches: DataFrame) -> DataFrame:
     skip = F.greatest(F.col("address") - F.col("addr"), F.lit(0)).cast("bigint")
     piece = F.expr("CASE WHEN _skip < length(captured) THEN "
                    "substring(captured, CAST(_skip AS INT) + 1, hi - lo) ELSE X'' END")
-    parts = (overlapping(evidence, watches)
+    parts = (_newest_per_place(evidence, watches, segment)
              .select("watch_id", "seq", "access", "captured", lo.alias("lo"), hi.alias("hi"), skip.alias("_skip"))
              .select("watch_id", "lo", "hi", F.struct("seq", "access", F.coalesce(piece, F.expr("X''")).alias("piece"))
                      .alias("hit"))
@@ -153,24 +174,29 @@ def byte_state(evidence: DataFrame, watches: DataFrame) -> DataFrame:
 def _interpretation(values: Column) -> Column:
     data = F.unhex(F.concat_ws("", values))
     unknown = F.exists(values, lambda v: v.isNull())
-    return (F.when(unknown, "Partial / unknown bytes")
-            .when(F.size(values) > 8, "Bytes in memory order")
+    return (F.when(unknown, "incomplete")
+            .when(F.size(values) > 8, "bytes as stored")
             .otherwise(F.concat(F.lit("unsigned "), B.little_unsigned(data).cast("string"),
                                 F.lit("; signed "), B.little_signed(data).cast("string"))))
 
 
-def register_state(evidence: DataFrame, watches: DataFrame) -> DataFrame:
-    """Bytes of the newest observation per register watch (watch_id, run_id, reg, tid, offset, size, cursor)."""
-    keyed = watches.select("watch_id", "run_id", "reg", "tid", "cursor", "offset", "size")
-    seen = (evidence.filter(F.col("kind") == 6).select("run_id", "reg", "tid", "seq", "access", "captured")
-            .join(keyed, ["run_id", "reg", "tid"]).filter(F.col("seq") <= F.col("cursor"))
-            .groupBy("watch_id").agg(F.max_by(F.struct("seq", "access", "captured"), "seq").alias("hit")))
+def register_state(evidence: DataFrame, watches: DataFrame, segment: int | None = None) -> DataFrame:
+    """Bytes of the newest observation per register watch (watch_id, run_id, reg, tid, offset, size, cursor).
+
+    Observations and watches are one ordered input, so the cost is their sum, however hot a register is.
+    """
+    keyed = watches.select("watch_id", "run_id", "reg", "tid", F.col("cursor").alias("seq"), "offset", "size")
+    rows = evidence.filter(F.col("kind") == 6).select("run_id", "reg", "tid", "seq", "access", "captured")
+    asked = F.col("watch_id").isNotNull()
+    both = rows.unionByName(keyed, allowMissingColumns=True).withColumn("_tie", asked.cast("int"))
+    both = carry_last(both, ["run_id", "reg", "tid"], ~asked, F.struct("seq", "access", "captured"), "hit",
+                      tie=("_tie",), segment=segment)
     byte = lambda i: F.when(
         (i + F.col("offset") >= 0) & (i + F.col("offset") < F.length("hit.captured")),
         F.lower(F.hex(F.substring(F.col("hit.captured"), (i + F.col("offset") + 1).cast("int"), F.lit(1)))))
     values = F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), byte)
-    return (keyed.join(seen, "watch_id", "left").withColumn("_values", values)
-            .select("watch_id", "run_id", "reg", "tid", "offset", "size", "cursor",
+    return (both.filter(asked).withColumn("_values", values)
+            .select("watch_id", "run_id", "reg", "tid", "offset", "size", F.col("seq").alias("cursor"),
                     B.joined_bytes_text("_values").alias("value"),
                     _interpretation(F.col("_values")).alias("interpretation"),
                     F.col("hit.seq").alias("source"),

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.operators import ordered
-from spoor.operators.evidence import NEWEST, categorize, timeline_filter
-
-_FEW = 1000   # pieces of a page that are looked up on the driver; more are joined as a table
+from spoor.operators.evidence import PAGE, categorize, timeline_filter
 
 
 def category_totals(evidence: DataFrame) -> DataFrame:
@@ -29,9 +27,8 @@ def recorded_threads(evidence: DataFrame) -> DataFrame:
 def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFrame:
     """The rows of one numbered page per run; ``requested`` is built from the piece counts.
 
-    Ordinals come from per-piece counts, so only the few pieces a page touches are ranked. At most
-    ``size`` pieces per run overlap a page (each holds at least one of its rows); they are broadcast
-    only after their number has been checked.
+    Ordinals come from per-piece counts, so only the pieces a page touches are ranked. The outermost of
+    them (one row of two numbers) become a plain sequence filter that reaches the scan.
     """
     if size < 1:
         raise ValueError("Page size below 1")
@@ -46,13 +43,10 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
     first = (F.col("page") - 1) * size
     touched = (counts.filter((F.col("_before") < first + size) & (F.col("_before") + F.col("_rows") > first))
                .select("run_id", "_seg", "_before", "total", "pages", "page"))
-    few = touched.limit(_FEW + 1).collect()
-    if 0 < len(few) <= _FEW:
-        # The usual case: the page's stretch becomes a plain sequence filter that reaches the scan.
+    edge = touched.agg(F.min("_seg").alias("low"), F.max("_seg").alias("high")).first()
+    if edge["low"] is not None:
         span = segment or ordered.SEGMENT
-        low, high = min(r["_seg"] for r in few) * span, (max(r["_seg"] for r in few) + 1) * span
-        pieces = pieces.filter((F.col("seq") >= low) & (F.col("seq") < high))
-        touched = F.broadcast(rows.sparkSession.createDataFrame(few, touched.schema))
+        pieces = pieces.filter(F.col("seq").between(edge["low"] * span, (edge["high"] + 1) * span - 1))
     local = F.row_number().over(Window.partitionBy("run_id", "_seg").orderBy("seq"))
     ranked = (pieces.join(touched, ["run_id", "_seg"])
               .withColumn("ordinal", F.col("_before") + local - 1))
@@ -60,7 +54,7 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
             .drop("_seg", "_before"))
 
 
-def timeline_page(evidence: DataFrame, page: int, size: int = NEWEST, *, thread: int = -1,
+def timeline_page(evidence: DataFrame, page: int, size: int = PAGE, *, thread: int = -1,
                   category: str = "All events", segment: int | None = None) -> DataFrame:
     """Page ``page`` (clamped to the existing pages) with page, pages, total and 0-based ordinal."""
     def requested(groups):
@@ -68,7 +62,7 @@ def timeline_page(evidence: DataFrame, page: int, size: int = NEWEST, *, thread:
     return _page(timeline_filter(evidence, category, thread), size, requested, segment)
 
 
-def timeline_page_at(evidence: DataFrame, cursor: int, size: int = NEWEST, *, thread: int = -1,
+def timeline_page_at(evidence: DataFrame, cursor: int, size: int = PAGE, *, thread: int = -1,
                      category: str = "All events", segment: int | None = None) -> DataFrame:
     """The page that holds the first row at or after the cursor."""
     def requested(groups):

@@ -12,7 +12,7 @@ _OVERLAP = "kind = 5 AND access <> 'prefetch' AND addr < 16 AND addr + width > 8
 
 
 @query("history_memory", duck("ev") + f""" SELECT seq, tid, iid, addr, access, hex FROM ev WHERE {_OVERLAP}
-  AND seq <= (SELECT max(seq) * 9 // 10 FROM ev) ORDER BY seq DESC LIMIT 300""")
+  AND seq <= (SELECT max(seq) * 9 // 10 FROM ev)""")
 def history_memory(spark, sf):
     ev = t.evidence(spark, sf)
     cursor = ev.agg(F.expr("max(seq) * 9 div 10")).first()[0]
@@ -43,16 +43,12 @@ _HITS = "watches AS (" + _WATCHES.format(div="//") + """), hits AS (SELECT watch
   JOIN ev ON kind = 5 AND access <> 'prefetch' AND addr < address + size AND addr + width > address AND seq <= cursor)"""
 
 
-@query("history_memory_batch", duck("ev") + f""", {_HITS} SELECT watch_id, seq, addr, access FROM hits
-  QUALIFY row_number() OVER (PARTITION BY watch_id ORDER BY seq DESC) <= 300""")
+@query("history_memory_batch", duck("ev") + f""", {_HITS} SELECT watch_id, seq, addr, access FROM hits""")
 def history_memory_batch(spark, sf):
     rows = history.history_memory_batch(t.evidence(spark, sf), _watches(spark, sf))
     return big(rows, "addr").select("watch_id", "seq", "addr", "access")
 
 
-_INTERPRET = """CASE WHEN value LIKE '%?%' THEN 'Partial / unknown bytes' WHEN size > 8 THEN 'Bytes in memory order' END"""
-
-
 @query("byte_state", duck("ev") + f""", {_HITS}, cells AS (SELECT watch_id, pos, max(seq) AS seq,
     arg_max(CASE WHEN address + pos - addr < length(hex) // 2 THEN substr(hex, 2 * (address + pos - addr) + 1, 2) ELSE '??' END, seq) AS byte,
     arg_max(access, seq) AS access
@@ -66,9 +62,9 @@ _INTERPRET = """CASE WHEN value LIKE '%?%' THEN 'Partial / unknown bytes' WHEN s
     CASE WHEN value LIKE '%?%' THEN 'partial' WHEN size > 8 THEN 'bytes' ELSE 'number' END AS reading
   FROM watches JOIN shown USING (watch_id) LEFT JOIN found USING (watch_id)""")
 def byte_state(spark, sf):
-    rows = history.byte_state(t.evidence(spark, sf), _watches(spark, sf))
-    reading = (F.when(F.col("interpretation").startswith("Partial"), "partial")
-               .when(F.col("interpretation").startswith("Bytes"), "bytes").otherwise("number"))
+    rows = history.byte_state(t.evidence(spark, sf), _watches(spark, sf), segment=1024)
+    reading = (F.when(F.col("interpretation") == "incomplete", "partial")
+               .when(F.col("interpretation") == "bytes as stored", "bytes").otherwise("number"))
     return rows.select("watch_id", "value", F.concat_ws(",", F.transform("sources", lambda s: s.cast("string"))).alias("sources"),
                        "before_write", reading.alias("reading"))
 
@@ -85,11 +81,11 @@ def register_state(spark, sf):
     watches = t.read(spark, sf, "supplier").selectExpr(
         "s_suppkey AS watch_id", "1L AS run_id", "s_suppkey % 5 AS reg", "s_suppkey % 8 AS tid",
         "s_suppkey % 10 AS offset", "1 + s_suppkey % 6 AS size", "100 * (s_suppkey + 1) AS cursor")
-    return history.register_state(t.evidence(spark, sf), watches).select("watch_id", "source", "before_write", "value")
+    return history.register_state(t.evidence(spark, sf), watches, segment=1024).select("watch_id", "source", "before_write", "value")
 
 
 @query("history_register", duck("ev") + """ SELECT seq, access, hex FROM ev WHERE kind = 6 AND reg = 2 AND tid = 3
-  AND access IN ('write_before', 'write_after') ORDER BY seq DESC LIMIT 300""")
+  AND access IN ('write_before', 'write_after')""")
 def history_register(spark, sf):
     names = evidence.register_catalog(t.registers(spark, sf))
     rows = history.history_register(t.evidence(spark, sf), names, "RBX", 3, 1 << 60, writes_only=True)
@@ -97,7 +93,7 @@ def history_register(spark, sf):
 
 
 @query("history_calls", duck("ev") + """ SELECT seq, tid, cid FROM ev WHERE kind = 7 AND target = 3
-  AND seq <= (SELECT max(seq) * 9 // 10 FROM ev) ORDER BY seq DESC LIMIT 300""")
+  AND seq <= (SELECT max(seq) * 9 // 10 FROM ev)""")
 def history_calls(spark, sf):
     ev = t.evidence(spark, sf)
     cursor = ev.agg(F.expr("max(seq) * 9 div 10")).first()[0]
@@ -105,7 +101,7 @@ def history_calls(spark, sf):
 
 
 @query("events_at", duck("ev", "ins") + """ SELECT seq, kind, tid, iid FROM ev WHERE iid IN
-  (SELECT iid FROM ins WHERE mid = 3 AND off = 32) ORDER BY seq DESC LIMIT 300""")
+  (SELECT iid FROM ins WHERE mid = 3 AND off = 32)""")
 def events_at(spark, sf):
     rows = history.events_at(t.evidence(spark, sf), t.instructions(spark, sf), 3, 32, 1 << 60)
     return rows.select("seq", "kind", "tid", "iid")
@@ -161,7 +157,7 @@ def returned_asof(spark, sf):
 
 
 @query("match_call", duck("ev") + """ SELECT cid, seq, kind, position FROM (SELECT *, row_number() OVER
-  (PARTITION BY cid ORDER BY seq) AS position FROM ev WHERE kind IN (7, 8) AND cid <> 0) WHERE position <= 3""")
+  (PARTITION BY cid ORDER BY seq) AS position FROM ev WHERE kind IN (7, 8) AND cid <> 0)""")
 def match_call(spark, sf):
     return calls.match_call(t.evidence(spark, sf)).select("cid", "seq", "kind", F.col("position").cast("bigint").alias("position"))
 
@@ -179,7 +175,7 @@ _ACTIVE = _LIFE + """, cur AS (SELECT seq AS cursor_id, tid, seq AS cursor FROM
   bound AS (SELECT cursor_id, any_value(cur.tid) AS tid, any_value(cursor) AS cursor, coalesce(max(x.seq), 0) AS boundary FROM cur LEFT JOIN ev x
     ON x.kind = 13 AND x.tid = cur.tid AND x.seq <= cursor GROUP BY cursor_id),
   act AS (SELECT cursor_id, life.* FROM bound JOIN life ON life.tid = bound.tid AND life.seq > boundary AND life.seq < cursor
-    AND (returned IS NULL OR returned > cursor) QUALIFY row_number() OVER (PARTITION BY cursor_id ORDER BY life.seq DESC) <= 256)"""
+    AND (returned IS NULL OR returned > cursor))"""
 
 
 def _cursors(ev):
@@ -204,6 +200,22 @@ def resolve_stack(spark, sf):
     return big(rows, "address").select("watch_id", "call_seq", "address")
 
 
+_DEEP = """SELECT o_orderkey + 1 AS seq, 1 + o_orderkey % 997 AS target FROM orders"""
+
+
+@query("resolve_stack_deep", f"""WITH c AS ({_DEEP}) SELECT watch_id, seq AS call_seq, 1000000 + seq - 8 + 16 AS address
+  FROM (SELECT unnest(range(1, 998)) AS watch_id) LEFT JOIN (SELECT target, max(seq) AS seq FROM c WHERE seq < 1200 GROUP BY target) ON target = watch_id""")
+def resolve_stack_deep(spark, sf):
+    """Orders as calls that never return; most functions lie hundreds of frames deep."""
+    rows = t.read(spark, sf, "orders").selectExpr(
+        "1L AS run_id", "o_orderkey + 1 AS seq", "7 AS kind", "1L AS tid", "o_orderkey + 1 AS cid",
+        "CAST(1 + o_orderkey % 997 AS DECIMAL(20,0)) AS target")
+    pointers = rows.selectExpr("run_id", "seq AS sequence", "CAST(1000000 + seq AS DECIMAL(20,0)) AS stack_pointer")
+    watches = rows.selectExpr("run_id", "target").distinct().selectExpr(
+        "CAST(target AS BIGINT) AS watch_id", "run_id", "1L AS tid", "1200L AS cursor", "target", "16 AS offset", "8 AS size")
+    return big(calls.resolve_stack(rows, pointers, watches), "address").select("watch_id", "call_seq", "address")
+
+
 @query("correlate_calls", duck("ev", recursive=True) + """, r AS (SELECT tid, seq, kind, grp AS cid, CASE kind WHEN 7 THEN 4096 + k % 5
     ELSE 4096 + k % 7 END AS address, row_number() OVER (PARTITION BY tid ORDER BY seq) AS n FROM ev WHERE kind IN (7, 8)),
   s AS (SELECT tid, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 0 AS kind, CAST([] AS BIGINT[]) AS ids,

@@ -137,7 +137,7 @@ def same_image(spark, sf):
 @query("compare_runs", duck("evr", "ins", "mods") + _MODR + """, pick AS (SELECT s_name FROM mods WHERE module_id = 3 AND s_nationkey <> 3),
   one AS (SELECT run_id, count(*) AS copies FROM modr WHERE s_name IN (SELECT s_name FROM pick) AND NOT rebuilt GROUP BY run_id),
   n AS (SELECT run_id, count(*) AS executions FROM evr WHERE kind = 4 AND iid IN (SELECT iid FROM ins WHERE mid = 3 AND off = 32) GROUP BY run_id)
-  SELECT r.run_id, CASE WHEN copies = 1 THEN 'compared' ELSE 'ambiguous or incompatible' END AS status,
+  SELECT r.run_id, CASE WHEN copies = 1 THEN 'compared' ELSE 'no single match' END AS status,
     CASE WHEN copies = 1 THEN coalesce(executions, 0) END AS executions FROM (SELECT unnest(range(1, 6)) AS run_id) r
     LEFT JOIN one USING (run_id) LEFT JOIN n USING (run_id)""")
 def compare_runs(spark, sf):
@@ -148,8 +148,7 @@ def compare_runs(spark, sf):
 
 @query("compare_runs_events", duck("evr", "ins", "mods") + _MODR + """, pick AS (SELECT s_name FROM mods WHERE module_id = 3 AND s_nationkey <> 3),
   one AS (SELECT run_id, count(*) AS copies FROM modr WHERE s_name IN (SELECT s_name FROM pick) AND NOT rebuilt GROUP BY run_id)
-  SELECT run_id, seq, kind FROM evr JOIN one USING (run_id) WHERE copies = 1 AND iid IN (SELECT iid FROM ins WHERE mid = 3 AND off = 32)
-  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 8""")
+  SELECT run_id, seq, kind FROM evr JOIN one USING (run_id) WHERE copies = 1 AND iid IN (SELECT iid FROM ins WHERE mid = 3 AND off = 32)""")
 def compare_runs_events(spark, sf):
     _, events = coverage.compare_runs(t.evidence(spark, sf, runs=True), t.instructions(spark, sf, 5),
                                       t.modules(spark, sf, 5), 1, 3, 32)

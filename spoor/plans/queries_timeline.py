@@ -236,8 +236,7 @@ def execution_counts(spark, sf):
 @query("hot_spots", duck("ev", "ins") + f""", {_COUNTS} SELECT mid, iid, routine, disassembly, executions, position FROM (
   SELECT *, row_number() OVER (PARTITION BY mid ORDER BY executions DESC, iid) AS position FROM (
     SELECT ins.mid, cnt.iid, any_value(routine) routine, any_value(disassembly) disassembly,
-      CAST(sum(executions) AS BIGINT) AS executions FROM cnt JOIN ins ON cnt.iid = ins.iid GROUP BY ins.mid, cnt.iid))
-  WHERE position <= 300""")
+      CAST(sum(executions) AS BIGINT) AS executions FROM cnt JOIN ins ON cnt.iid = ins.iid GROUP BY ins.mid, cnt.iid))""")
 def hot_spots(spark, sf):
     rows = coverage.hot_spots(coverage.execution_counts(t.evidence(spark, sf)), t.instructions(spark, sf))
     return rows.select("mid", "iid", "routine", "disassembly", "executions",

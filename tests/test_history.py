@@ -64,7 +64,7 @@ def test_truncated_newer_access_hides_older_bytes(spark):
     df = spark.createDataFrame([(1, 1, Decimal(0), 4, 5), (2, 1, Decimal(0), 4, 1)],
                                "watch_id bigint, run_id bigint, address decimal(20,0), size int, cursor bigint")
     got = {r.watch_id: (r.value, r.interpretation) for r in history.byte_state(ev, df).collect()}
-    assert got[1] == ("09 ?? ?? ??", "Partial / unknown bytes")
+    assert got[1] == ("09 ?? ?? ??", "incomplete")
     assert got[2] == ("01 02 03 ff", "unsigned 4278387201; signed -16580095")
 
 

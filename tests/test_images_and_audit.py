@@ -187,7 +187,7 @@ def test_hot_spot_limits(spark):
     counts = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 0, 5), (1, 3, 0, 9)], "run_id bigint, iid bigint, tid bigint, executions bigint")
     code = spark.createDataFrame([(1, i, 7, "r", "d") for i in (1, 2, 3)], "run_id bigint, iid bigint, mid bigint, routine string, disassembly string")
     assert [r.iid for r in coverage.hot_spots(counts, code, 7, 2).orderBy("position").collect()] == [3, 1]
-    assert coverage.hot_spots(counts, code, 7, 0).count() == 0
+    assert coverage.hot_spots(counts, code, 7).count() == 3
 
 
 def test_unsigned_and_little_endian(spark):
