@@ -19,14 +19,6 @@ def spaced(text) -> Column:
     return F.replace(_col(text), F.lit("_"), F.lit(" "))
 
 
-def describe(columns: list[str]) -> Column:
-    """``name: value`` lines in column order, each ended by a newline; nulls become empty values."""
-    lines = []
-    for name in columns:
-        lines += [F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit("\n")]
-    return F.concat(*lines)
-
-
 def join_arguments(arguments) -> Column:
     """Command line from an argument array; empty or spaced arguments are quoted and escaped."""
     def one(a):

@@ -300,10 +300,16 @@ def syscall_spans(spark, sf):
     return big(calls.syscall_spans(rows), "number").drop("run_id", "return_value")
 
 
+# Fixed values, written out a second time so that the oracles do not lean on the operator's own table.
+_API = """(0, 'VirtualAlloc', 'allocate'), (1, 'VirtualFree', 'free'), (2, 'VirtualProtect', 'protect'), (3, 'HeapAlloc', 'allocate'),
+  (4, 'HeapReAlloc', 'reallocate'), (5, 'HeapFree', 'free'), (6, 'RtlAllocateHeap', 'allocate'), (7, 'RtlReAllocateHeap', 'reallocate'),
+  (8, 'RtlFreeHeap', 'free'), (9, 'NtAllocateVirtualMemory', 'allocate'), (10, 'NtFreeVirtualMemory', 'free'),
+  (11, 'NtProtectVirtualMemory', 'protect'), (12, 'MapViewOfFile', 'map'), (13, 'MapViewOfFileEx', 'map'), (14, 'UnmapViewOfFile', 'unmap'),
+  (15, 'MapViewOfFile3', 'map'), (16, 'UnmapViewOfFile2', 'unmap'), (17, 'NtMapViewOfSection', 'map'), (18, 'NtUnmapViewOfSection', 'unmap')"""
 _API_NAMES = [n for n, _ in memory_api.ROUTINES] + ["virtualalloc", "HeapAlloc2", "malloc"]
 
 
-@query("memory_operations", f"""WITH {_SPAN}, names(n, routine) AS (VALUES {", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(memory_api.ROUTINES))})
+@query("memory_operations", f"""WITH {_SPAN}, names(n, routine, action) AS (VALUES {_API})
   SELECT CASE WHEN st = 'O' THEN 0 ELSE id + 1 END AS operation_id, tid, number % 19 + 1 AS definition_id, routine,
   CASE WHEN st <> 'O' THEN seq END AS enter_seq, CASE WHEN st <> 'P' THEN seq + 1 END AS exit_seq,
   CASE WHEN st = 'P' THEN NULL WHEN st = 'F' AND number % 19 IN (10, 11, 17) THEN id + 7 ELSE 5 END AS previous, st = 'F' AS matched
@@ -326,10 +332,8 @@ def memory_operations(spark, sf):
                                         "previous", "matched")
 
 
-@query("classify_memory_api", "WITH names(n, name, action) AS (VALUES " + ", ".join(
-    f"({i}, '{n}', {repr(dict(memory_api.ROUTINES)[n]) if n in dict(memory_api.ROUTINES) else 'NULL'})"
-    for i, n in enumerate(_API_NAMES)) + """) SELECT p_partkey, name, CASE WHEN action IS NOT NULL THEN CAST(n AS BIGINT) END AS api_kind,
-    action FROM part JOIN names ON n = p_size % 22""")
+@query("classify_memory_api", f"""WITH names(n, name, action) AS (VALUES {_API}, (19, 'virtualalloc', NULL), (20, 'HeapAlloc2', NULL), (21, 'malloc', NULL))
+  SELECT p_partkey, name, CASE WHEN action IS NOT NULL THEN CAST(n AS BIGINT) END AS api_kind, action FROM part JOIN names ON n = p_size % 22""")
 def classify_memory_api(spark, sf):
     rows = t.read(spark, sf, "part").select(
         "p_partkey", F.element_at(F.array(*[F.lit(n) for n in _API_NAMES]), F.expr("p_size % 22 + 1")).alias("name"))

@@ -119,11 +119,19 @@ def event_view(spark, sf):
     return view.drop("run_id")
 
 
-@query("describe", "SELECT p_partkey, 'p_partkey: ' || p_partkey || chr(10) || 'p_name: ' || p_name || chr(10) || "
-       "'p_size: ' || p_size || chr(10) AS description FROM part")
+_LINES = "'sequence: ' || seq || chr(10) || 'monotonic_ns: ' || ns || chr(10) || 'thread_id: ' || tid || chr(10) || 'instruction_id: ' || iid || chr(10)"
+
+
+@query("describe", duck("ev") + f""" SELECT seq, {_LINES} || 'target_function_id: 0' || chr(10) || 'target_address: ' || {_HX.format('k')} || chr(10)
+    || 'fall_through_address: ' || {_HX.format('k + 1')} || chr(10) || 'taken: ' || (k % 2 = 0) || chr(10) || 'direct: true' || chr(10)
+    || 'conditional: true' || chr(10) AS text FROM ev WHERE kind = 11
+  UNION ALL SELECT seq, {_LINES} || 'address: ' || {_HX.format('k')} || chr(10) || 'requested: ' || k || chr(10) || 'captured: 0' || chr(10) || 'reason: '
+    || CASE k % 4 WHEN 0 THEN 'memory_unreadable' WHEN 1 THEN 'memory_capture_limit' WHEN 2 THEN 'write_after_without_before'
+    ELSE 'missing_thread_state' END || chr(10) FROM ev WHERE kind = 18""")
 def describe(spark, sf):
-    return t.read(spark, sf, "part").select(
-        "p_partkey", X.describe(["p_partkey", "p_name", "p_size"]).alias("description"))
+    """Every field of branches and diagnostics as text."""
+    tables = t.typed_tables(spark, sf)
+    return evidence.detail_rows({n: tables[n] for n in ("branch_events", "capture_diagnostics")}).select("seq", "text")
 
 
 @query("event_at", duck("ev") + " SELECT seq, kind, tid, iid FROM ev WHERE seq = (SELECT max(seq) // 2 FROM ev)")
