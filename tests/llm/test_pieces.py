@@ -18,7 +18,7 @@ def vocabulary():
 
 def every(vocabulary, s):
     """The scores and ids of all segmentations."""
-    ending = vocabulary.edges(s)
+    ending, _ = vocabulary.edges(s)
     ways = [[(0.0, ())]]
     for j in range(1, len(s) + 1):
         ways.append([(a + score, x + ids) for i, score, ids in ending[j] for a, x in ways[i]])
