@@ -54,52 +54,65 @@ class Vocabulary:
                 piece = piece.replace(_MARK, " ")
                 self.pieces[piece] = (i, model.get_score(i))
                 self.bytes_of[i] = piece.encode()
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}       # what a piece can begin with
+        # every piece, and None for what a piece can begin with
+        self.table = dict.fromkeys(p[:k] for p in self.pieces for k in range(1, len(p))) | {
+            p: (score, (i,)) for p, (i, score) in self.pieces.items()}
         self.byte_score = min(s for _, s in self.pieces.values()) - 10.0                # worse than any piece
         self.beside = np.zeros((256, 256), bool)                                        # neighbouring bytes of a piece
         for piece in self.pieces:
             raw = np.frombuffer(piece.encode(), np.uint8)
             self.beside[raw[:-1], raw[1:]] = True
 
-    def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For every place the edges that end there: (start, score, ids)."""
-        ending: list[list] = [[] for _ in range(len(s) + 1)]
-        for i, c in enumerate(s):
-            single = False
-            for j in range(i + 1, len(s) + 1):
-                part = s[i:j]
-                if part not in self.starts:
+    def edges(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """For every place the edges that end there (start, score, ids), and the best score from the start to it."""
+        table, n = self.table, len(s)
+        ending: list[list] = [[] for _ in range(n + 1)]
+        ahead = [0.0] + [-np.inf] * n
+        for i in range(n):
+            here, single = ahead[i], False
+            for j in range(i + 1, n + 1):
+                edge = table.get(s[i:j], 0)
+                if edge == 0:
                     break
-                if found := self.pieces.get(part):
-                    ending[j].append((i, found[1], (found[0],)))
-                    single |= j == i + 1
+                if edge is not None:
+                    score, ids = edge
+                    ending[j].append((i, score, ids))
+                    if here + score > ahead[j]:
+                        ahead[j] = here + score
+                    if j == i + 1:
+                        single = True
             if not single:
-                ids = tuple(self.byte[b] for b in c.encode())
-                ending[i + 1].append((i, self.byte_score * len(ids), ids))
-        return ending
+                ids = tuple([self.byte[b] for b in s[i].encode()])
+                score = self.byte_score * len(ids)
+                ending[i + 1].append((i, score, ids))
+                ahead[i + 1] = max(ahead[i + 1], here + score)
+        return ending, ahead
 
     def best(self, s: str, n: int = BEST) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of s: (score, ids), best first."""
-        ending = self.edges(s)
-        ahead = [0.0] * (len(s) + 1)                                   # the best score from the start
-        for j in range(1, len(s) + 1):
-            ahead[j] = max(ahead[i] + score for i, score, _ in ending[j])
+        ending, ahead = self.edges(s)
         found: list[tuple[float, tuple[int, ...]]] = []
-        order = 0
+        order, seen = 0, [0] * (len(s) + 1)
         queue: list[tuple] = [(-ahead[-1], 0, len(s), 0.0, None)]      # (-whole score, order, place, score behind it, pieces)
-        while queue and len(found) < n:
-            _, _, j, behind, pieces = heapq.heappop(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        while queue:
+            _, _, j, behind, pieces = pop(queue)
+            if seen[j] == n:                                           # n better ways lead on from here
+                continue
+            seen[j] += 1
             if j == 0:
                 ids: list[int] = []
                 while pieces:
                     ids += pieces[0]
                     pieces = pieces[1]
                 found.append((behind, tuple(ids)))
+                if len(found) == n:
+                    break
                 continue
             for i, score, ids in ending[j]:
                 order += 1
                 total = behind + score
-                heapq.heappush(queue, (-(ahead[i] + total), order, i, total, (ids, pieces)))
+                push(queue, (-(ahead[i] + total), order, i, total, (ids, pieces)))
         return found
 
 
