@@ -22,6 +22,7 @@ their texts; rows without doc_id come first; an empty table gives no segment; ot
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from spoor.llm import shared, text
 
 BLOCK = 4096              # ids of a block
-LANES = 2048              # blocks of a segment that has no very long document
+LANES = 3072              # blocks of a segment that has no very long document
 KNOWN = 400_000           # words an encoder remembers
-ROWS, RANGES = 4000, 2000
+ROWS, RANGES = 6000, 2000
 _U = np.uint64
 
 
@@ -54,12 +55,34 @@ class WordEncoder:
         self.letter, self.mark = np.zeros(256, bool), np.zeros(256, bool)
         self.letter[65:91] = self.letter[97:123] = True
         self.mark[list(b".,!?;:()")] = True
+        # A vocabulary that marks the ends of words tells where a word's ids end among those of many words.
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())],
+                               bool) if suffix else None
         self._forget()
 
     def _forget(self):
         self.known, self.at, self.size = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and the number of each word's ids. Words of ASCII letters alone, which are one token of the
+        pre-tokenization each, go many at a time."""
+        plain = [w.isascii() and w.isalpha() for w in words] if self.closes is not None else [False] * len(words)
+        letters = [w for w, p in zip(words, plain) if p]
+        many = self.tokenizer.encode_batch_fast([" ".join(letters[i:i + 500]) for i in range(0, len(letters), 500)], add_special_tokens=False)
+        each = self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)
+        together = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in many]])
+        ends = np.flatnonzero(self.closes[together]) + 1 if letters else np.zeros(0, np.int64)
+        plain = np.array(plain, bool)
+        size = np.zeros(len(words), np.int64)
+        size[plain] = np.diff(ends, prepend=0)
+        size[~plain] = [len(x.ids) for x in each]
+        out, mine = np.empty(int(size.sum()), np.uint32), np.repeat(plain, size)
+        out[mine] = together
+        out[~mine] = np.fromiter((i for x in each for i in x.ids), np.uint32, int(size[~plain].sum()))
+        return out, size
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and the number of ids before each row (plus one)."""
         cut = np.zeros(len(data), bool)
@@ -79,10 +102,9 @@ class WordEncoder:
             new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
         if new.any():
             raw = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
+            ids, size = self._library(raw)
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
             self.known, self.at, self.size = (np.insert(old, place[new], x) for old, x in (
                 (self.known, distinct[new]), (self.at, at), (self.size, size)))
         place = np.searchsorted(self.known, distinct)
@@ -100,41 +122,69 @@ _STEP, _LIMIT = 24, 3000
 
 
 class _Model:
-    """The predictions of all blocks of a segment; block b sees its own ids only."""
+    """The predictions of all blocks of a segment; block b sees its own ids only. Ids are ranks among the segment's
+    distinct ids; a slot holds a rank and, in its lowest two bits, how far it is to be trusted (0: empty)."""
 
     def __init__(self, blocks: int):
-        self.id1, self.id2 = np.zeros(blocks * _SLOTS1, np.uint32), np.zeros(blocks * _SLOTS2, np.uint32)
-        self.trust1, self.trust2 = np.zeros(blocks * _SLOTS1, np.int8), np.zeros(blocks * _SLOTS2, np.int8)
-        self.weight = np.tile(np.array([[60, 30, 30]], np.int32), (blocks * 16, 1)).reshape(-1)
         self.base = np.arange(blocks)
+        self.tables = [np.zeros(blocks * n, np.uint32) for n in (_SLOTS2, _SLOTS1)]
+        self.weight = np.tile(np.array([60, 30, 30], _U), blocks * 16)
         self.last = np.zeros((2, blocks), np.int64)
 
     def predict(self, n: int):
-        """For the first n blocks: the two predicted ids and the weights of orders 2, 1 and 0."""
-        one, two = self.last[0, :n], self.last[1, :n]
-        self.at1 = self.base[:n] * _SLOTS1 + ((one * 40503) >> 3 & _SLOTS1 - 1)
-        self.at2 = self.base[:n] * _SLOTS2 + ((one * 2654435761 + two * 40503 * 77) >> 7 & _SLOTS2 - 1)
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        self.t1, self.t2 = self.trust1[self.at1], self.trust2[self.at2]
-        self.at = (self.base[:n] * 16 + self.t2 * 4 + self.t1) * 3
-        w2 = self.weight[self.at] * (self.t2 > 0)
-        w1 = self.weight[self.at + 1] * ((self.t1 > 0) & ((self.p1 != self.p2) | (self.t2 == 0)))
-        return w2.astype(_U), w1.astype(_U), self.weight[self.at + 2].astype(_U)
-
-    def learn(self, ids: np.ndarray, order: np.ndarray):
-        """order: which prediction the id was coded by, as 0 (order 2), 1 or 2 (order 0)."""
-        n = len(ids)
-        w = self.at + order
-        self.weight[w] += _STEP
-        full = np.flatnonzero(self.weight[w] > _LIMIT)
-        for k in range(3):
-            self.weight[self.at[full] + k] = (self.weight[self.at[full] + k] >> 1) + 1
-        for slots, trust, at, p, t in ((self.id1, self.trust1, self.at1, self.p1, self.t1), (self.id2, self.trust2, self.at2, self.p2, self.t2)):
-            right = (p == ids) & (t > 0)
-            slots[at] = np.where(right | (t > 1), p, ids)
-            trust[at] = np.where(right, np.minimum(t + 1, 3), np.maximum(t - 1, 1))
+        """For the first n blocks: the ranks that orders 2 and 1 predict and the weights of orders 2, 1 and 0."""
+        one, two, base = self.last[0, :n], self.last[1, :n], self.base[:n]
+        self.at = (base * _SLOTS2 + ((one * 2654435761 + two * 40503 * 77) >> 7 & _SLOTS2 - 1), base * _SLOTS1 + (one * 40503 >> 3 & _SLOTS1 - 1))
+        self.seen = [table[at] for table, at in zip(self.tables, self.at)]
+        (p2, t2), (p1, t1) = ((seen >> 2, seen & 3) for seen in self.seen)
+        self.mix = ((base * 4 + t2) * 4 + t1) * 3
+        has2 = t2 > 0
+        w2 = self.weight[self.mix] * has2
+        w1 = self.weight[self.mix + 1] * ((t1 > 0) & ((p1 != p2) | ~has2))
+        return p2, p1, w2, w1, self.weight[self.mix + 2]
+
+    def learn(self, now: np.ndarray, order: np.ndarray):
+        """order: which prediction the rank was coded by, as 0 (order 2), 1 or 2 (order 0)."""
+        n = len(now)
+        w = self.mix + order
+        grown = self.weight[w] + _U(_STEP)
+        self.weight[w] = grown
+        if (full := np.flatnonzero(grown > _LIMIT)).size:
+            for k in range(3):
+                self.weight[self.mix[full] + k] = (self.weight[self.mix[full] + k] >> _U(1)) + _U(1)
+        for table, at, seen in zip(self.tables, self.at, self.seen):
+            trust = seen & 3
+            right = (seen >> 2 == now) & (trust > 0)
+            table[at] = np.where(right, seen + (trust < 3), np.where(trust > 1, seen - 1, now << 2 | 1))
         self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
+        self.last[0, :n] = now
+
+
+class _Coder:
+    """The interval of every block; both directions narrow and renew it alike."""
+
+    def __init__(self, blocks: int):
+        self.low, self.span = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
+
+    def narrow(self, n: int, unit: np.ndarray, start: np.ndarray, size: np.ndarray, move) -> None:
+        """Takes [start, start + size) units of the first n blocks; `move` shifts 16 settled bits of some blocks out."""
+        low, span = self.low[:n], self.span[:n]
+        low += unit * start
+        np.multiply(unit, size, out=span)
+        which, here, width = None, low, span
+        while True:
+            settled = (here ^ (here + width)) < _TOP
+            short = ~settled & (width < _BOTTOM)
+            if short.any():
+                cut = np.flatnonzero(short) if which is None else which[short]
+                self.span[cut] = (~self.low[cut] + _U(1)) & (_BOTTOM - _U(1))
+            go = settled | short
+            which = np.flatnonzero(go) if which is None else which[go]
+            if not len(which):
+                return
+            move(which)
+            here, width = self.low[which] << _WORD, self.span[which] << _WORD
+            self.low[which], self.span[which] = here, width
 
 
 def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -152,100 +202,75 @@ def _encode_blocks(ids: np.ndarray, distinct: np.ndarray, share: np.ndarray, bit
     grid = np.zeros(n_blocks * BLOCK, np.uint32)
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(n_blocks, BLOCK).T)
-    before = np.concatenate([[0], np.cumsum(share, dtype=np.int64)])
-    rank = np.searchsorted(distinct, grid)
-    model, b = _Model(n_blocks), _U(bits)
-    low, span = np.zeros(n_blocks, _U), np.full(n_blocks, (1 << 64) - 1, _U)
+    before = np.concatenate([[0], np.cumsum(share, dtype=np.int64)]).astype(_U)
+    wide = share.astype(_U)
+    grid = np.searchsorted(distinct, grid).astype(np.uint32)
+    model, coder, b = _Model(n_blocks), _Coder(n_blocks), _U(bits)
     out, used = np.zeros((n_blocks, BLOCK // 2 + 64), np.uint16), np.zeros(n_blocks, np.int64)
 
     def put(which):
         nonlocal out
         if used.max() >= out.shape[1]:
             out = np.concatenate([out, np.zeros_like(out)], axis=1)
-        out[which, used[which]] = (low[which] >> _TOP_SHIFT).astype(np.uint16)
+        out[which, used[which]] = (coder.low[which] >> _U(48)).astype(np.uint16)
         used[which] += 1
-        low[which] <<= _WORD
 
     last = len(ids) - (n_blocks - 1) * BLOCK
     for t in range(min(BLOCK, len(ids))):
         n = n_blocks if t < last else n_blocks - 1
-        w2, w1, w0 = model.predict(n)
+        p2, p1, w2, w1, w0 = model.predict(n)
         now = grid[t, :n]
-        is2 = (now == model.p2) & (w2 > 0)
-        is1 = (now == model.p1) & (w1 > 0) & ~is2
-        k = rank[t, :n]
-        start = np.where(is2, _U(0), np.where(is1, w2 << b, ((w2 + w1) << b) + before[k].astype(_U) * w0))
-        size = np.where(is2, w2 << b, np.where(is1, w1 << b, share[k].astype(_U) * w0))
-        unit = span[:n] // ((w2 + w1 + w0) << b)
-        low[:n] += unit * start
-        span[:n] = unit * size
-        model.learn(now, np.where(is2, 0, np.where(is1, 1, 2)))
-        which = np.arange(n)
-        while True:
-            settled = (low[which] ^ (low[which] + span[which])) < _TOP
-            short = ~settled & (span[which] < _BOTTOM)
-            cut = which[short]
-            span[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-            which = which[settled | short]
-            if not len(which):
-                break
-            put(which)
-            span[which] <<= _WORD
+        is2 = (now == p2) & (w2 > 0)
+        is1 = (now == p1) & (w1 > 0) & ~is2
+        both = w2 + w1
+        start = np.where(is2, _U(0), np.where(is1, w2 << b, (both << b) + before[now] * w0))
+        size = np.where(is2, w2 << b, np.where(is1, w1 << b, wide[now] * w0))
+        coder.narrow(n, coder.span[:n] // ((both + w0) << b), start, size, put)
+        model.learn(now, np.where(is2, 0, 2 - is1))
     for _ in range(4):
         put(np.arange(n_blocks))
+        coder.low <<= _WORD
     return [out[i, :used[i]].astype("<u2").tobytes() for i in range(n_blocks)]
 
 
-_TOP_SHIFT = _U(48)
-
-
 def _decode_blocks(codes: list[bytes], total: int, block: int, distinct: np.ndarray, share: np.ndarray, bits: int) -> np.ndarray:
     n_blocks = len(codes)
     sizes = np.array([len(c) // 2 for c in codes], np.int64)
-    begin = np.cumsum(sizes) - sizes
+    read = np.cumsum(sizes) - sizes
+    end = read + sizes
     words = np.concatenate([np.frombuffer(b"".join(codes), "<u2").astype(_U), np.zeros(4, _U)])
     before = np.concatenate([[0], np.cumsum(share, dtype=np.int64)]).astype(_U)
-    owner = np.repeat(np.arange(len(distinct)), share)                 # of each of the 2^bits slots
+    owner = np.repeat(np.arange(len(distinct), dtype=np.uint32), share)        # of each of the 2^bits slots
     wide = share.astype(_U)
-    model, b = _Model(n_blocks), _U(bits)
-    low, span, code = np.zeros(n_blocks, _U), np.full(n_blocks, (1 << 64) - 1, _U), np.zeros(n_blocks, _U)
-    read, end = begin.copy(), begin + sizes
+    model, coder, b = _Model(n_blocks), _Coder(n_blocks), _U(bits)
+    code = np.zeros(n_blocks, _U)
+
+    def pull(which):
+        at = read[which]
+        code[which] = code[which] << _WORD | np.where(at < end[which], words[np.minimum(at, len(words) - 1)], _U(0))
+        read[which] = at + 1
+
     for _ in range(4):
-        code = code << _WORD | words[read]
-        read += 1
+        pull(np.arange(n_blocks))
     grid = np.zeros((block, n_blocks), np.uint32)
     last = total - (n_blocks - 1) * block
     for t in range(min(block, total)):
         n = n_blocks if t < last else n_blocks - 1
-        w2, w1, w0 = model.predict(n)
-        every = (w2 + w1 + w0) << b
-        unit = span[:n] // every
-        at = np.minimum((code[:n] - low[:n]) // unit, every - _U(1))
-        is2 = at < w2 << b
-        is1 = ~is2 & (at < (w2 + w1) << b)
-        rest = np.where(is2 | is1, _U(0), at - ((w2 + w1) << b)) // np.maximum(w0, _U(1))
-        k = owner[rest.astype(np.int64)]
-        now = np.where(is2, model.p2, np.where(is1, model.p1, distinct[k]))
-        start = np.where(is2, _U(0), np.where(is1, w2 << b, ((w2 + w1) << b) + before[k] * w0))
-        size = np.where(is2, w2 << b, np.where(is1, w1 << b, wide[k] * w0))
-        low[:n] += unit * start
-        span[:n] = unit * size
-        model.learn(now, np.where(is2, 0, np.where(is1, 1, 2)))
+        p2, p1, w2, w1, w0 = model.predict(n)
+        both = w2 + w1
+        every, two, one = (both + w0) << b, w2 << b, both << b
+        unit = coder.span[:n] // every
+        at = np.minimum((code[:n] - coder.low[:n]) // unit, every - _U(1))
+        is2 = at < two
+        is1 = ~is2 & (at < one)
+        k = owner[np.where(at < one, _U(0), at - one) // w0]
+        now = np.where(is2, p2, np.where(is1, p1, k))
+        start = np.where(is2, _U(0), np.where(is1, two, one + before[k] * w0))
+        size = np.where(is2, two, np.where(is1, w1 << b, wide[k] * w0))
+        coder.narrow(n, unit, start, size, pull)
+        model.learn(now, np.where(is2, 0, 2 - is1))
         grid[t, :n] = now
-        which = np.arange(n)
-        while True:
-            settled = (low[which] ^ (low[which] + span[which])) < _TOP
-            short = ~settled & (span[which] < _BOTTOM)
-            cut = which[short]
-            span[cut] = (~low[cut] + _U(1)) & (_BOTTOM - _U(1))
-            which = which[settled | short]
-            if not len(which):
-                break
-            code[which] = code[which] << _WORD | np.where(read[which] < end[which], words[np.minimum(read[which], len(words) - 1)], _U(0))
-            read[which] += 1
-            low[which] <<= _WORD
-            span[which] <<= _WORD
-    return grid.T.reshape(-1)[:total]
+    return distinct[grid.T.reshape(-1)[:total]]
 
 
 _HEAD = "<4sBBIIQI"
