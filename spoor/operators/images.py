@@ -125,36 +125,36 @@ def attribute_function(events: DataFrame, functions: DataFrame, address: str = "
             .select("run_id", "seq", "_row.*", F.coalesce("_found._fid", F.lit(0)).alias("function_id")))
 
 
+_LEVELS = (16, 24, 32, 40, 48, 56)     # page sizes 2^16 .. 2^56 bytes
+_PAGES = 256                            # pages of an image at its level, at most
+
+
 def attribute_module(events: DataFrame, lifetimes: DataFrame, address: str = "addr") -> DataFrame:
     """Adds module_id and module_offset of the image mapped at the address at that moment.
 
-    No image: id 0 and the address itself. An image sits at the bucket level of its size, so it covers
-    at most two buckets there; an address probes one bucket for each level that occurs (at most 64).
+    No image: id 0 and the address itself. An image is listed under its pages, at the smallest page size that
+    needs few of them; an event looks at the one page of its address, once for each page size that occurs (at
+    most six, usually one or two). Events are neither multiplied nor numbered nor joined with themselves.
     """
     images = lifetimes.filter("load_seq IS NOT NULL").select(
-        "run_id", F.col("module_id").alias("_mid"), "base", "high", "load_seq",
-        F.coalesce("unload_seq", F.lit(ordered.LAST)).alias("_until"))
-    width = F.greatest(F.col("high") - F.col("base"), F.lit(1).cast("decimal(21,0)"))
-    bits = F.length(F.conv(width.cast("string"), 10, 2)).cast("int")
-    images = images.withColumn("_level", F.least(F.greatest(bits, F.lit(16)), F.lit(62)))
-    span = "CAST(shiftleft(1L, _level) AS DECIMAL(20,0))"
-    images = images.withColumn("_bucket", F.expr(
-        f"explode(array_distinct(array(base div {span}, high div {span})))"))
-    levels = [r[0] for r in images.select("_level").distinct().collect()]   # at most 47 numbers
-    if not levels:
-        return events.withColumns({"module_id": F.lit(0).cast("bigint"), "module_offset": F.col(address)})
-    probes = (events.select("run_id", "seq", F.col(address).alias("_at"))
-              .withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)])))
-              .withColumn("_bucket", F.expr(f"_at div {span}")))
-    hits = (probes.join(images, ["run_id", "_level", "_bucket"])
-            .filter((F.col("_at") >= F.col("base")) & (F.col("_at") <= F.col("high"))
-                    & (F.col("seq") >= F.col("load_seq")) & (F.col("seq") < F.col("_until")))
-            .groupBy("run_id", "seq").agg(F.max_by(F.struct("_mid", "base"), "load_seq").alias("_hit")))
-    joined = events.join(hits, ["run_id", "seq"], "left")
-    return joined.withColumns({
-        "module_id": F.coalesce("_hit._mid", F.lit(0).cast("bigint")),
+        "run_id", "load_seq", F.coalesce("unload_seq", F.lit(ordered.LAST)).alias("until"), "base", "high", F.col("module_id").alias("mid"))
+    page = lambda c, level: F.expr(f"CAST({c} div CAST({1 << level} AS DECIMAL(20,0)) AS BIGINT)")
+    level = F.coalesce(*[F.when(page("high", n) - page("base", n) < _PAGES, n) for n in _LEVELS], F.lit(_LEVELS[-1]))
+    images = images.withColumn("_level", level)
+    rows, found = events, F.array().cast("array<struct<load_seq:bigint,until:bigint,base:decimal(20,0),high:decimal(20,0),mid:bigint>>")
+    for n in sorted(r[0] for r in images.select("_level").distinct().collect()):       # at most six numbers
+        listed = (images.filter(F.col("_level") == n).withColumn("_page", F.explode(F.sequence(page("base", n), page("high", n))))
+                  .groupBy("run_id", "_page").agg(F.collect_list(F.struct(
+                      "load_seq", "until", F.col("base").cast(B.U64).alias("base"), F.col("high").cast(B.U64).alias("high"), "mid")).alias(f"_at{n}")))
+        rows = rows.withColumn("_page", page(address, n)).join(listed, ["run_id", "_page"], "left").drop("_page")
+        found = F.concat(found, F.coalesce(f"_at{n}", F.array().cast(listed.schema[f"_at{n}"].dataType)))
+    mapped = lambda x: ((F.col(address) >= x["base"]) & (F.col(address) <= x["high"])
+                        & (F.col("seq") >= x["load_seq"]) & (F.col("seq") < x["until"]))
+    rows = rows.withColumn("_hit", F.array_max(F.filter(found, mapped)))               # the newest load
+    return rows.withColumns({
+        "module_id": F.coalesce("_hit.mid", F.lit(0).cast("bigint")),
         "module_offset": F.when(F.col("_hit").isNull(), F.col(address)).otherwise(
-            F.col(address) - F.col("_hit.base")).cast(B.U64)}).drop("_hit")
+            F.col(address) - F.col("_hit.base")).cast(B.U64)}).select(*events.columns, "module_id", "module_offset")
 
 
 def code_identity(definitions: DataFrame, segment: int | None = None) -> DataFrame:

@@ -68,6 +68,18 @@ def test_module_reload_at_another_base(spark):
                    72: (3, 0xffff)}
 
 
+def test_module_attribution_keeps_rows(spark):
+    """Sequence numbers may repeat, images of very different sizes may share addresses."""
+    life = spark.createDataFrame([(1, 1, 1, None, Decimal(0), Decimal((1 << 63) - 1)), (1, 2, 5, 9, Decimal(0x12345), Decimal(0x12399))],
+                                 "run_id bigint, module_id bigint, load_seq bigint, unload_seq bigint, base decimal(20,0), high decimal(20,0)")
+    points = [(0, 0x12345), (0, 0x12345), (3, 0x12346), (5, 0x12346), (5, 0x12399), (5, 0x1239a), (9, 0x12346)]
+    df = spark.createDataFrame([(1, s, Decimal(a)) for s, a in points], "run_id bigint, seq bigint, addr decimal(20,0)")
+    got = sorted((r.seq, int(r.addr), r.module_id, int(r.module_offset)) for r in images.attribute_module(df, life).collect())
+    assert got == [(0, 0x12345, 0, 0x12345)] * 2 + [(3, 0x12346, 1, 0x12346), (5, 0x12346, 2, 1), (5, 0x12399, 2, 0x54),
+                                                    (5, 0x1239a, 1, 0x1239a), (9, 0x12346, 1, 0x12346)]
+    assert images.attribute_module(df, life.limit(0)).filter("module_id = 0").count() == 7
+
+
 def test_newest_function_definition_wins(spark):
     functions = spark.createDataFrame([(1, Decimal(16), 1, 5), (1, Decimal(16), 2, 5), (1, Decimal(16), 3, 20)],
                                       "run_id bigint, address decimal(20,0), function_id bigint, seq bigint")
