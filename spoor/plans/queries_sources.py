@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spoor import schemas
 from spoor.functions import bytes as B
-from spoor.operators import evidence
+from spoor.operators import evidence, search
 from spoor.plans import tables as t
 from spoor.plans.queries_timeline import EVIDENCE_SQL, shown
 from spoor.plans.registry import ORACLES, query
@@ -61,6 +61,29 @@ def prepared_coverage(spark, sf):
     return prepared.open_run(spark, path)["coverage"].select("mid", "iid", "executions")
 
 
+def _prepared(spark, sf):
+    path = scratch_path(spark, "prepared")
+    prepared.prepare_run(spark, t.all_tables(spark, sf), path)
+    return prepared.open_run(spark, path)
+
+
+@query("prepared_memory_history", duck("ev") + """ SELECT seq, tid, access FROM ev WHERE kind = 5 AND access <> 'prefetch'
+  AND addr < 24 AND addr + width > 20""")
+def prepared_memory_history(spark, sf):
+    """Accesses of four bytes, from the samples in the order of their addresses."""
+    return prepared.memory_history(_prepared(spark, sf), 20, 4, 1 << 60).select("seq", "tid", "access")
+
+
+@query("prepared_value_search", duck("ev") + """ SELECT seq, kind FROM ev WHERE kind IN (5, 6) AND access <> 'prefetch' AND contains(hex, 'e4da3b')
+  AND regexp_matches(hex, '^(?:..)*?e4da3b')""")
+def prepared_value_search(spark, sf):
+    """Three bytes, found through the gram index of the preparation."""
+    run = _prepared(spark, sf)
+    hits = search.search_values(run["evidence"], run["instructions"], run["registers"], search.alternatives("e4 da 3b", "HEX"),
+                                index=run["value_grams"])
+    return hits.select("seq", "kind")
+
+
 @query("load_runs", duck("evr") + """ SELECT CASE run_id WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase'
   WHEN 4 THEN 'signup' ELSE 'view' END AS label, kind, CAST(count(*) AS BIGINT) AS events FROM evr WHERE kind IN (4, 5, 6)
   GROUP BY ALL""")
