@@ -105,10 +105,15 @@ def source_provenance(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------------------
 
-def _landed(spark, sf):
+_MINUTE = 60 * 10**9
+
+
+def _landed(spark, sf, ended=True):
     """The events as evidence files in a folder of their own."""
-    path = scratch_path(spark, "landed")
-    t.evidence(spark, sf).select(schemas.EVIDENCE.fieldNames()).repartitionByRange(8, "seq").write.parquet(path)
+    path, rows = scratch_path(spark, "landed"), t.evidence(spark, sf).select(schemas.EVIDENCE.fieldNames())
+    rows.repartitionByRange(8, "seq").write.parquet(path)
+    if ended:
+        live.land_end(rows, path, _MINUTE)
     return path
 
 
@@ -126,14 +131,11 @@ def _finished(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-_FINAL = "(SELECT max(ns) // 1000000 - 60000 FROM ev)"    # last watermark in milliseconds
-
-
-@query("streaming_time_profile", duck("ev") + f""" SELECT ns // 1000000000 AS second, CAST(count(*) AS BIGINT) AS events,
+@query("streaming_time_profile", duck("ev") + """ SELECT ns // 1000000000 AS second, CAST(count(*) AS BIGINT) AS events,
   CAST(count(*) FILTER (kind = 4) AS BIGINT) AS instructions, CAST(count(*) FILTER (kind = 15) AS BIGINT) AS memory_api
-  FROM ev GROUP BY 1 HAVING (ns // 1000000000 + 1) * 1000 <= {_FINAL}""")
+  FROM ev GROUP BY 1""")
 def streaming_time_profile(spark, sf):
-    """Seconds that the watermark (one minute behind) has passed."""
+    """Every second of a finished recording; the watermark is one minute behind."""
     timed = live.with_event_time(live.stream_events(spark, _landed(spark, sf)), _starts(spark, sf), "1 minute")
     rows = _finished(spark, live.time_profile(timed), "stream-profile")
     return rows.withColumn("second", F.unix_seconds("second")).drop("run_id")
@@ -142,7 +144,7 @@ def streaming_time_profile(spark, sf):
 @query("streaming_duplicate_guard", duck("ev") + " SELECT seq, kind FROM ev")
 def streaming_duplicate_guard(spark, sf):
     """Every event arrives twice."""
-    path, starts = _landed(spark, sf), _starts(spark, sf)
+    path, starts = _landed(spark, sf, ended=False), _starts(spark, sf)
     twice = live.stream_events(spark, path).unionByName(live.stream_events(spark, path))
     timed = live.with_event_time(twice, starts, "1 day")
     return _finished(spark, live.drop_duplicates(timed).select("seq", "kind"), "stream-unique")
@@ -155,19 +157,14 @@ def _two_deliveries(spark, sf, *columns):
     path = scratch_path(spark, "delivered")
     for part in (rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)):
         part.repartition(8).write.mode("append").parquet(path)
+    live.land_end(rows, path, _MINUTE)
     stream = live.land(spark, path, rows.schema, files_per_trigger=8)
     return stream.withColumn("event_time", F.timestamp_micros(F.expr("ns div 1000"))).withWatermark("event_time", "1 minute")
 
 
-_PASSED = f"ns // 1000000 < {_FINAL}"
-
-
-@query("streaming_correlate_calls", ORACLES["correlate_calls"].replace(
-    " FROM s WHERE n > 0", " FROM s JOIN ev USING (seq) WHERE s.n > 0 AND "
-    + _PASSED.replace("FROM ev", "FROM ev WHERE kind IN (7, 8)")).replace(
-    "SELECT tid, seq, kind, call_id", "SELECT s.tid, seq, s.kind, call_id"))
+@query("streaming_correlate_calls", ORACLES["correlate_calls"])
 def streaming_correlate_calls(spark, sf):
-    """Call/return matching while files land, for everything the watermark has passed."""
+    """Call/return matching while files land."""
     timed = _two_deliveries(spark, sf, "CASE WHEN kind IN (7, 8) THEN kind END AS kind", "grp AS call_id",
                             "CASE kind WHEN 7 THEN 4096 + k % 5 ELSE 4096 + k % 7 END AS address")
     return _finished(spark, live.correlate_calls(timed), "stream-calls").drop("run_id")
@@ -175,8 +172,7 @@ def streaming_correlate_calls(spark, sf):
 
 @query("streaming_correlate_syscalls", ORACLES["correlate_syscalls"].replace(
     "SELECT tid, seq, entering, epoch, CASE WHEN NOT entering AND NOT orphan THEN opened END AS enter_seq FROM p",
-    "SELECT p.tid, seq, entering, CASE WHEN entering THEN seq WHEN NOT orphan THEN opened ELSE 0 END AS enter_seq "
-    f"FROM p JOIN ev USING (seq) WHERE {_PASSED}"))
+    "SELECT tid, seq, entering, CASE WHEN entering THEN seq WHEN NOT orphan THEN opened ELSE 0 END AS enter_seq FROM p"))
 def streaming_correlate_syscalls(spark, sf):
     timed = _two_deliveries(spark, sf, "CASE WHEN kind = 13 THEN 13 WHEN k % 2 = 0 THEN 1 ELSE 0 END AS kind",
                             "seq AS call_id", "0L AS address")

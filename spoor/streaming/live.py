@@ -26,6 +26,16 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 64) -
     return land(spark, path, schemas.EVIDENCE, files_per_trigger)
 
 
+def land_end(rows: DataFrame, path: str, delay_ns: int) -> None:
+    """Marks the end of a finished recording in its landing folder: one row that lies further behind the last one than
+    any watermark delay up to ``delay_ns``. The watermark then passes all rows of the recording, and none of the mark.
+    """
+    last = rows.agg(F.max("ns").alias("ns")).first()["ns"]
+    if last is not None:
+        mark = rows.limit(1).withColumns({"ns": F.lit(last + delay_ns + 2_000_000_000), "seq": F.lit(0).cast("bigint")})
+        mark.select(rows.columns).coalesce(1).write.mode("append").parquet(path)
+
+
 def with_event_time(events: DataFrame, starts: DataFrame, delay: str) -> DataFrame:
     """Adds event_time = run start + clock offset, with a watermark.
 
