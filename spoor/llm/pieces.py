@@ -116,20 +116,19 @@ class Vocabulary:
         return found
 
 
-def combined(losses: np.ndarray, n: int = BEST) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
-    """The n least sums of one loss from every row of `losses` (row: the losses of a stretch's segmentations, ascending
-    from 0, infinite where there are fewer): (sum, ((row, which), ...) of the rows that deviate from the first)."""
-    least = losses[:, 1] if losses.shape[1] > 1 else np.zeros(0)
-    rows = np.argsort(least, kind="stable")[:n - 1] if len(least) <= 64 else None
-    if rows is None:                                                   # the n - 1 least, the first of equal ones
-        bar = np.partition(least, n - 2)[n - 2] if n > 1 else -1
+def combined(least: np.ndarray, options, n: int = BEST) -> list[tuple[float, int]]:
+    """The n best segmentations of a text as (loss, pieces more than in the best one). `least` is each stretch's loss by
+    its second segmentation (infinite, if it has one only), `options(row)` a stretch's (loss, pieces more) by each of its n
+    best. Only the n - 1 stretches that lose least can deviate (of equal ones the first)."""
+    if len(least) >= n > 1:
+        bar = np.partition(least, n - 2)[n - 2]
         few = np.flatnonzero(least <= bar)
-        rows = few[np.argsort(least[few], kind="stable")][:n - 1]
-    out: list[tuple[float, tuple]] = [(0.0, ())]
-    for row in rows.tolist():
-        more = [(total + float(x), (*way, (row, k)) if k else way) for total, way in out
-                for k, x in enumerate(losses[row]) if np.isfinite(x)]
-        out = sorted(more, key=lambda w: w[0])[:n]
+    else:
+        few = np.arange(len(least))
+    rows = few[np.argsort(least[few], kind="stable")][:n - 1]
+    out: list[tuple[float, int]] = [(0.0, 0)]
+    for row in rows[np.isfinite(least[rows])].tolist():
+        out = sorted(((total + loss, more + delta) for total, more in out for loss, delta in options(row)), key=lambda w: w[0])[:n]
     return out
 
 
@@ -146,24 +145,31 @@ class Segmenter:
 
     def _forget(self):
         self.known, self.row = np.zeros(0, _U), np.zeros(0, np.int64)
-        self.scores, self.losses = np.zeros(0), np.zeros((0, self.n))
-        self.sizes = np.zeros((0, self.n), np.int64)
-        self.at, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.scores, self.second = np.zeros(0), np.zeros(0)
+        self.at, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.full: dict[int, list[tuple[float, int]]] = {}
 
     def _remember(self, keys: np.ndarray, stretches: list[str]):
-        found = [self.vocabulary.best(s, self.n) for s in stretches]
-        fill = lambda values, empty: np.array([v + [empty] * (self.n - len(v)) for v in values])
+        found = [self.vocabulary.best(s, min(2, self.n)) for s in stretches]
         place = np.searchsorted(self.known, keys)
         self.known = np.insert(self.known, place, keys)
         self.row = np.insert(self.row, place, len(self.scores) + np.arange(len(keys)))
         self.scores = np.concatenate([self.scores, [f[0][0] for f in found]])
-        self.losses = np.concatenate([self.losses, fill([[f[0][0] - x for x, _ in f] for f in found], np.inf)])
-        self.sizes = np.concatenate([self.sizes, fill([[len(i) for _, i in f] for f in found], 0)])
+        self.second = np.concatenate([self.second, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]])
         first = [f[0][1] for f in found]
         size = np.array([len(i) for i in first], np.int64)
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.sizes = np.concatenate([self.sizes, size])
         self.ids = np.concatenate([self.ids, np.fromiter((x for i in first for x in i), np.int32, int(size.sum()))])
 
+    def options(self, row: int) -> list[tuple[float, int]]:
+        """(loss, pieces more) by the n best segmentations of a remembered stretch; few stretches are ever asked for it."""
+        if row not in self.full:
+            ids = self.ids[self.at[row]:self.at[row] + self.sizes[row]]
+            found = self.vocabulary.best(b"".join(self.vocabulary.bytes_of[i] for i in ids.tolist()).decode("utf-8", "replace"), self.n)
+            self.full[row] = [(found[0][0] - score, len(i) - len(found[0][1])) for score, i in found]
+        return self.full[row]
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """For a piece of a column: ids of the best segmentations, their bounds by row, the rows of stretches in memory,
         their bounds by row, and which rows decode to their texts."""
@@ -187,7 +193,7 @@ class Segmenter:
         if new.any():
             self._remember(keys[new], [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])])
         rows = self.row[np.searchsorted(self.known, keys)][which] if len(keys) else np.zeros(0, np.int64)
-        size = self.sizes[rows, 0]
+        size = self.sizes[rows]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[rows] - total[:-1], size) + np.arange(total[-1])]
         edge = total[bounds]
@@ -224,10 +230,10 @@ def encoded(docs: DataFrame, path: str, n: int = BEST, keep_ids: bool = True) ->
                 best, scores, sizes = [], [], []
                 for i, j, x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
                     mine = rows[i:j]
-                    ways = combined(segment.losses[mine], n) if j > i else [(0.0, ())]
+                    ways = combined(segment.second[mine], lambda r: segment.options(int(mine[r])), n)  # noqa: B023
                     best.append(float(segment.scores[mine].sum()))
                     scores.append([best[-1] - loss for loss, _ in ways])
-                    sizes.append([y - x + sum(int(segment.sizes[mine[r], k] - segment.sizes[mine[r], 0]) for r, k in way) for _, way in ways])
+                    sizes.append([y - x + more for _, more in ways])
                 whole = ids.astype("<u4").tobytes()
                 out = (pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())) if keep_ids else
                        pa.array([zlib.crc32(whole[4 * x:4 * y]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.int64()))
