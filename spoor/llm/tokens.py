@@ -38,7 +38,7 @@ from spoor.llm import shared, text
 BLOCK = 4096              # ids of a block
 LANES = 3072              # blocks of a segment that has no very long document
 KNOWN = 400_000           # words an encoder remembers
-ROWS, RANGES = 6000, 2000
+ROWS, RANGES = 4500, 2000
 _U = np.uint64
 
 
