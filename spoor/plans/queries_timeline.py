@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from spoor import schemas
 from spoor.functions import bytes as B
-from spoor.functions import text as X
 from spoor.operators import audit, coverage, evidence, timeline
 from spoor.plans import tables as t
 from spoor.plans.registry import big, query
