@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from spoor.llm import text, tokens
+from spoor.llm import tokens
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
