@@ -25,8 +25,11 @@ def _small(pairs: DataFrame) -> DataFrame:
     return _ordered(pairs.join(low, "b").select("m", "a").unionAll(low.select("m", F.col("b").alias("a"))), "m", "a")
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _is_settled(pairs: DataFrame) -> bool:
+    """Every node hangs from one node, which hangs from none."""
+    ends = pairs.select(F.col("b").alias("node"), F.lit(1).alias("hangs")).unionAll(pairs.select("a", F.lit(0)))
+    bad = ends.groupBy("node").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("m")).filter("n > 1 OR n = 1 AND m = 0")
+    return bad.limit(1).count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,12 +37,21 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of a component's size; each round is a written table, so a lost executor costs one round at most."""
     spark = links.sparkSession
     pairs = shared.written(_ordered(links, "a", "b"), "links")
-    state = _state(pairs)
-    while state[0]:
+    while not _is_settled(pairs):
         after = shared.written(_small(_large(pairs)), "links")
         shared.drop(spark, pairs)
-        pairs, before, state = after, state, _state(after)
-        if before == state:
-            break
+        pairs = after
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(
         pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: only components that the new links touch are looked at again."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    # a new node stands for itself until it is linked
+    news = links.select(F.col("a").alias("node")).unionAll(links.select("b")).distinct().join(labels, "node", "left_anti")
+    merged = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    every = labels.unionAll(news.select("node", F.col("node").alias("component")))
+    return every.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))

@@ -8,11 +8,11 @@ shingle; without words the set is empty and linked with nothing). Texts are link
    differ in at most 31 places have a chunk with at most one error (pigeonhole: 32 errors are needed to put two into
    each chunk), so each chunk is entered five times, with each value left out in turn: equal entries meet. Pairs further
    apart meet too, unless every chunk holds two errors: at a similarity of 0.75 that leaves out 1 pair in 10 million.
-3. Under every entry the members are compared with the smallest one only. Candidates whose signatures agree in fewer than
-   36 places (at 0.75 the mean is 60, the deviation 3.9) or whose sizes exclude a link are dropped, the others are
-   confirmed on their full sets, and links become components.
-4. Entries that still hold two components are compared exactly, block by block; pairs inside one component need no
-   comparison, so a large group of copies costs as many comparisons as it has members.
+3. Under every entry the members are compared with the smallest one only. Candidates whose sizes exclude a link, or whose
+   signatures, lengthened by 688 MinHash values of 8 bits, agree in fewer than 516 of 768 places (at 0.75 the mean is 576,
+   the deviation 12) are dropped, the others are confirmed on their full sets, and links become components.
+4. In entries that still hold two components all pairs across components are compared, block by block, each pair under the
+   first entry it shares, and those that pass the same test are confirmed. Pairs inside one component need no comparison.
 
 Defined results: rows with equal texts are copies and all returned; a row without doc_id is never kept and has the
 component of its class (null, if it is alone); an empty table gives an empty table.
@@ -32,7 +32,8 @@ from spoor.llm import graph, shared, text
 WORDS, PERCENT = 5, 75
 CHUNKS, CHUNK = 16, 5
 VALUES = CHUNKS * CHUNK
-AGREE = 36               # places in which the signatures of a candidate pair agree at least
+MORE = 688               # further values of 8 bits that only tell candidates apart
+AGREE = 516              # places, of all 256, in which the signatures of a candidate pair agree at least
 BLOCK = 512              # members of an entry compared in one task at a time, with as many others
 _U = np.uint64
 
@@ -52,14 +53,14 @@ def _sets(data, offsets, hasher) -> list[np.ndarray]:
 
 
 def _sketch(batches):
-    hasher, factors = text.SpanHasher(2, lower=True), text.constants(77, VALUES)
+    hasher, factors = text.SpanHasher(2, lower=True), text.constants(77, VALUES + MORE)
     for batch in batches:
         for a, b, data, offsets in text.pieces(batch.column(1)):
             with np.errstate(over="ignore"):
                 sets = _sets(data, offsets, hasher)
                 size = np.array([len(s) for s in sets], np.int64)
                 some = size > 0
-                low = np.zeros((b - a, VALUES), np.uint16)
+                low = np.zeros((b - a, VALUES + MORE), np.uint16)
                 one, two = np.zeros(b - a, _U), np.zeros(b - a, _U)
                 if some.any():
                     x = np.concatenate(sets)
@@ -69,28 +70,51 @@ def _sketch(batches):
                         low[some, k] = text.mix(np.minimum.reduceat(x * f, at)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                 pa.array([r.tobytes() for r in low], pa.binary())], ["doc_id", "n_shingles", "one", "two", "sig"])
+                 pa.array([r[:VALUES].tobytes() + r[VALUES:].astype(np.uint8).tobytes() for r in low], pa.binary())],
+                ["doc_id", "n_shingles", "one", "two", "sig"])
 
 
-def _entries(batches):
-    """(k, cid): every chunk of a signature with each of its values left out."""
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The entries of signatures (n, VALUES): every chunk with each of its values left out, as (n, VALUES) keys."""
     salt = text.constants(91, CHUNKS * CHUNK).reshape(CHUNKS, CHUNK)
+    sig = sig.reshape(-1, CHUNKS, CHUNK).astype(_U)
+    keys = np.empty(sig.shape, _U)
+    for left_out in range(CHUNK):
+        key = np.zeros(sig.shape[:2], _U)
+        for i in range(CHUNK):
+            if i != left_out:
+                key = (key << _U(16)) | sig[:, :, i]
+        keys[:, :, left_out] = text.mix(key ^ salt[:, left_out])
+    return keys.reshape(-1, VALUES).view(np.int64)
+
+
+def _entries(batches):
+    """(k, cid) of every entry of a signature."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, CHUNK).astype(_U)
-        keys = np.empty(sig.shape, _U)
+        sig = np.frombuffer(b"".join([x[:2 * VALUES] for x in batch.column(1).to_pylist()]), np.uint16)
         with np.errstate(over="ignore"):
-            for left_out in range(CHUNK):
-                key = np.zeros(sig.shape[:2], _U)
-                for i in range(CHUNK):
-                    if i != left_out:
-                        key = (key << _U(16)) | sig[:, :, i]
-                keys[:, :, left_out] = text.mix(key ^ salt[:, left_out])
+            keys = _keys(sig)
         cid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), VALUES)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(cid)], ["k", "cid"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(cid)], ["k", "cid"])
+
+
+def _first_entry(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the first entry two signatures share."""
+    same = (x == y).reshape(-1, CHUNKS, CHUNK)
+    count = same.sum(axis=2)
+    chunk = (count >= CHUNK - 1).argmax(axis=1)
+    at = np.arange(len(chunk))
+    left_out = np.where(count[at, chunk] == CHUNK, 0, same[at, chunk].argmin(axis=1))
+    return chunk * CHUNK + left_out
+
 
+def _signatures(column) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * VALUES + MORE)
+    return np.ascontiguousarray(raw[:, :2 * VALUES]).view(np.uint16), raw[:, 2 * VALUES:]
 
-def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+
+def _agreement(x: tuple, i, y: tuple, j) -> np.ndarray:
+    return (x[0][i] == y[0][j]).sum(1) + (x[1][i] == y[1][j]).sum(1)
 
 
 def _alike(batches):
@@ -98,7 +122,7 @@ def _alike(batches):
     for batch in batches:
         x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
         ok = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
-        ok &= (_signatures(batch.column(3)) == _signatures(batch.column(5))).sum(1) >= AGREE
+        ok &= _agreement(_signatures(batch.column(3)), slice(None), _signatures(batch.column(5)), slice(None)) >= AGREE
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
 
 
@@ -106,33 +130,45 @@ def _blockwise(batches) -> Iterator[pa.RecordBatch]:
     """Rows (k, p, q, cid, own, label, size, sig) sorted by (k, p, q): pairs of each group with different labels."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        table = table.combine_chunks()
-        k, p, q = (table.column(i).to_numpy() for i in range(3))
-        last = int(np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))[-1]) if len(k) else 0
-        held = table.slice(last)                    # the last group may go on in the next batch
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        new = _group_starts(table)
+        last = int(np.flatnonzero(new)[-1]) if len(new) else 0
+        held = table.slice(last)                        # the last group may go on in the next batch
         yield _pairs(table.slice(0, last))
     if held is not None:
         yield _pairs(held)
 
 
+def _group_starts(table: pa.Table) -> np.ndarray:
+    new = np.ones(table.num_rows, bool)
+    if table.num_rows:
+        k, p, q = (table.column(i).to_numpy() for i in range(3))
+        new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    return new
+
+
 def _pairs(table: pa.Table) -> pa.RecordBatch:
     k, p, q, cid, own, label, size = (table.column(i).to_numpy() for i in range(7))
     sig = _signatures(table.column(7))
-    n, found = len(k), []
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if n else np.zeros(0, bool)
+    n, found = table.num_rows, [np.zeros((2, 0), np.int64)]
+    new = _group_starts(table)
+    with np.errstate(over="ignore"):                   # a pair is looked at under the first entry it shares only
+        entry = (_keys(sig[0][new]) == k[new][:, None]).argmax(axis=1)[np.cumsum(new) - 1] if n else k
     end = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1] if n else np.zeros(0, np.int64)
     i, step = np.arange(n), 1
     while len(i := i[i + step < end[i]]):
-        for part in np.array_split(i, len(i) // 200_000 + 1):
+        for part in np.array_split(i, len(i) // 50_000 + 1):
             j = part + step
             ok = (label[part] != label[j]) & ((p[part] == q[part]) | (own[part] != own[j]))
             ok &= 100 * np.minimum(size[part], size[j]) >= PERCENT * np.maximum(size[part], size[j])
             x, y = part[ok], j[ok]
-            near = (sig[x] == sig[y]).sum(1) >= AGREE
-            found.append(np.stack([np.minimum(cid[x], cid[y])[near], np.maximum(cid[x], cid[y])[near]]))
+            near = _agreement(sig, x, sig, y) >= AGREE
+            near[near] = _first_entry(sig[0][x[near]], sig[0][y[near]]) == entry[x[near]]
+            found.append(np.stack([x[near], y[near]]))
         step += 1
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    x, y = np.concatenate(found, axis=1)
+    both = np.unique(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
@@ -169,16 +205,16 @@ def confirmed(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     ids = candidates.select(F.col("a").alias("doc_id")).unionAll(candidates.select("b")).distinct()
     rows = shared.only(docs, ids, "doc_id").select("doc_id", "text")
     sets = shared.written(rows.mapInArrow(_full_sets, "id long, items binary"), "shingle-sets").dropDuplicates(["id"])
-    dealt = candidates.join(candidates.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts")), "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    parts = candidates.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
+    dealt = shared.written(candidates.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "dealt")
     heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("role"), "id", "items")
     others = dealt.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("role"), "id", "items")
     stream = heads.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return shared.written(stream.mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes (cid, n_shingles, sig) that connect every two classes which similar pairs connect."""
+def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes (cid, n_shingles, sig) that are linked with any."""
     entries = classes.select("cid", "sig").mapInArrow(_entries, "k long, cid long")
     hubs = entries.groupBy("k").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     crowd = shared.written(entries.join(hubs, "k"), "entries")
@@ -186,9 +222,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = crowd.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     first = shared.written(first.join(one("b"), "b").join(one("a"), "a").select("a", "b", "a_size", "a_sig", "b_size", "b_sig")
                            .mapInArrow(_alike, "a long, b long"), "candidates")
-    found = confirmed(docs, first)
+    labels = graph.components(confirmed(docs, first))
+    second = shared.written(_across(crowd, labels, classes).join(first, ["a", "b"], "left_anti"), "candidates")
+    found = confirmed(docs, second)
+    return shared.written(graph.extended(labels, found), "labels") if found.limit(1).count() else labels
+
 
-    labels = graph.components(found)
+def _across(crowd: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs of classes that share an entry but no label yet."""
     tagged = crowd.select("k", "cid").join(labels, F.col("cid") == F.col("node"), "left").select(
         "k", "cid", F.coalesce("component", "cid").alias("label"))
     mixed = tagged.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x <> y").select(
@@ -197,9 +238,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rest = rest.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select("k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "own", "label", "n_shingles", "sig")
-    second = rest.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q").mapInArrow(_blockwise, "a long, b long").distinct()
-    second = shared.written(second.join(first, ["a", "b"], "left_anti"), "candidates")
-    return found.unionAll(confirmed(docs, second))
+    return rest.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q").mapInArrow(_blockwise, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key = ["one", "two", "n_shingles"]
     classes = shared.written(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(
         F.min("doc_id").alias("cid"), F.max("sig").alias("sig")), "classes")
-    found = graph.components(links(docs, classes.dropDuplicates(["cid"])))
+    found = linked(docs, classes.dropDuplicates(["cid"]))
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("component", "cid").alias("component_id"))
     rows = sketches.drop("sig").join(placed, key, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
