@@ -237,6 +237,7 @@ def line_digests(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with lost lines gone from `text` (and `n_chars`, where there is one, brought up to date)."""
-    _, lost = lost_lines(docs)
-    cut = shared.written(shortened(docs, lost).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")), "kept-lines")
-    return shared.retexted(docs, cut)
+    def kept():
+        _, lost = lost_lines(docs)
+        return shortened(docs, lost).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    return shared.retexted(docs, shared.settled(docs.sparkSession, kept, "kept-lines"))

@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of which one of each group stays: its smallest doc_id (an exact copy of a row, id
     included, stays with it)."""
-    gone = shared.written(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    gone = shared.settled(docs.sparkSession, lambda: near_duplicates(docs).filter("NOT kept").select(
+        F.col("doc_id").alias("__id")).distinct(), "near-copies")
     few = F.broadcast(gone) if gone.limit(shared.BROADCAST_IDS + 1).count() <= shared.BROADCAST_IDS else gone
     return docs.join(few, F.col("doc_id") == F.col("__id"), "left_anti")

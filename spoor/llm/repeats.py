@@ -247,7 +247,8 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns; texts that lose words become their kept words joined by one space, others stay as they
     are, and so do rows without doc_id (a text is put back by its id)."""
-    rows, cut = shortened(docs)
-    gone = rows.filter("copies IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.lit("").alias("__kept"))
-    cut = cut.select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__kept"))
-    return shared.retexted(docs, shared.written(gone.unionAll(cut), "kept-words"))
+    def kept():
+        rows, cut = shortened(docs)
+        gone = rows.filter("copies IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.lit("").alias("__kept"))
+        return gone.unionAll(cut.select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__kept")))
+    return shared.retexted(docs, shared.settled(docs.sparkSession, kept, "kept-words"))

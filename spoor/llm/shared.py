@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,30 @@ from spoor.session import scratch_path
 BROADCAST_IDS = 400_000
 
 
+_scopes: list[list[str]] = []     # tables written for results that are not settled yet
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: lineage ends here, nothing runs twice."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows that `make` returns, written; the tables it wrote on its way are deleted, for nothing needs them now."""
+    _scopes.append([])
+    try:
+        df = make()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+    finally:
+        for old in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return spark.read.schema(df.schema).parquet(path)
 
 
