@@ -7,13 +7,14 @@ which therefore yields the segmentations in order of their scores.
 
 Where two neighbouring characters occur side by side in no piece, every path passes between them. Texts are cut there
 into short stretches, each distinct one is searched once while it is remembered, and a text's N best segmentations are
-combined from those of its stretches: they differ from the best one in stretches with the smallest losses only.
+combined from those of its stretches: they differ from the best one in stretches with the smallest losses only. The ids of
+all N are given back, and each is decoded on its own.
 
 As in the model, a space is written as the mark U+2581, a text starts with one more, and nothing else is normalized. The
 mark itself, where a text holds it, is coded by its bytes, so decoding gives back every text exactly.
 
 Defined results: a null or empty text has no pieces (one segmentation, score 0); a text with fewer than N segmentations
-has fewer scores; of equal scores the one found first counts, the same wherever the stretch occurs; rows may repeat; an
+has fewer ways; of equal scores the one found first counts, the same wherever the stretch occurs; rows may repeat; an
 empty table gives an empty table; other columns are not looked at.
 """
 
@@ -116,19 +117,21 @@ class Vocabulary:
         return found
 
 
-def combined(least: np.ndarray, options, n: int = BEST) -> list[tuple[float, int]]:
-    """The n best segmentations of a text as (loss, pieces more than in the best one). `least` is each stretch's loss by
-    its second segmentation (infinite, if it has one only), `options(row)` a stretch's (loss, pieces more) by each of its n
-    best. Only the n - 1 stretches that lose least can deviate (of equal ones the first)."""
+def combined(least: np.ndarray, options, n: int = BEST) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n best segmentations of a text as (loss, the stretches that deviate from the best one with the number of the
+    choice they take). `least` is each stretch's loss by its second segmentation (infinite, if it has one only),
+    `options(row)` a stretch's choices, its n best, as tuples that begin with the loss. Only the n - 1 stretches that lose
+    least can deviate (of equal ones the first)."""
     if len(least) >= n > 1:
         bar = np.partition(least, n - 2)[n - 2]
         few = np.flatnonzero(least <= bar)
     else:
         few = np.arange(len(least))
     rows = few[np.argsort(least[few], kind="stable")][:n - 1]
-    out: list[tuple[float, int]] = [(0.0, 0)]
+    out: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
     for row in rows[np.isfinite(least[rows])].tolist():
-        out = sorted(((total + loss, more + delta) for total, more in out for loss, delta in options(row)), key=lambda w: w[0])[:n]
+        out = sorted(((total + choice[0], picked + ((row, k),) if k else picked)
+                      for total, picked in out for k, choice in enumerate(options(row))), key=lambda w: w[0])[:n]
     return out
 
 
@@ -147,7 +150,7 @@ class Segmenter:
         self.known, self.row = np.zeros(0, _U), np.zeros(0, np.int64)
         self.scores, self.second = np.zeros(0), np.zeros(0)
         self.at, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.full: dict[int, list[tuple[float, int]]] = {}
+        self.full: dict[int, list[tuple[float, np.ndarray]]] = {}
 
     def _remember(self, keys: np.ndarray, stretches: list[str]):
         found = [self.vocabulary.best(s, min(2, self.n)) for s in stretches]
@@ -162,17 +165,28 @@ class Segmenter:
         self.sizes = np.concatenate([self.sizes, size])
         self.ids = np.concatenate([self.ids, np.fromiter((x for i in first for x in i), np.int32, int(size.sum()))])
 
-    def options(self, row: int) -> list[tuple[float, int]]:
-        """(loss, pieces more) by the n best segmentations of a remembered stretch; few stretches are ever asked for it."""
+    def options(self, row: int) -> list[tuple[float, np.ndarray]]:
+        """(loss, ids) of the n best segmentations of a remembered stretch; few stretches are ever asked for it."""
         if row not in self.full:
             ids = self.ids[self.at[row]:self.at[row] + self.sizes[row]]
-            found = self.vocabulary.best(b"".join(self.vocabulary.bytes_of[i] for i in ids.tolist()).decode("utf-8", "replace"), self.n)
-            self.full[row] = [(found[0][0] - score, len(i) - len(found[0][1])) for score, i in found]
+            best = tuple(ids.tolist())
+            found = self.vocabulary.best(b"".join(self.vocabulary.bytes_of[i] for i in best).decode("utf-8", "replace"), self.n)
+            others = [(found[0][0] - score, np.array(i, np.int32)) for score, i in found if i != best]
+            self.full[row] = [(0.0, ids), *others[:self.n - 1]]
         return self.full[row]
 
+    def way(self, ids: np.ndarray, cuts: np.ndarray, rows: np.ndarray, picked: tuple[tuple[int, int], ...]) -> np.ndarray:
+        """The ids of a text whose picked stretches take another choice; `ids` are those of all best segmentations, `cuts`
+        the bounds of the text's stretches in them, `rows` its stretches in memory."""
+        parts, done = [], cuts[0]
+        for r, k in sorted(picked):
+            parts += [ids[done:cuts[r]], self.options(int(rows[r]))[k][1]]
+            done = cuts[r + 1]
+        return np.concatenate([*parts, ids[done:cuts[-1]]])
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
-        """For a piece of a column: ids of the best segmentations, their bounds by row, the rows of stretches in memory,
-        their bounds by row, and which rows decode to their texts."""
+        """For a piece of a column: ids of the best segmentations, their bounds by stretch, the rows of stretches in memory,
+        their bounds by row, and the texts with the space in front and their bounds."""
         some = np.diff(offsets) > 0
         data = np.insert(data, offsets[:-1][some], 32)                 # the space in front
         offsets = offsets + np.concatenate([[0], np.cumsum(some)])
@@ -196,15 +210,16 @@ class Segmenter:
         size = self.sizes[rows]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[rows] - total[:-1], size) + np.arange(total[-1])]
-        edge = total[bounds]
+        return ids, total, rows, bounds, data, offsets
+
+    def spells(self, ids: np.ndarray, edge: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which rows' ids decode to their texts."""
         back, back_at = self.decode(ids, edge)
         same = np.diff(back_at) == np.diff(offsets)
         if len(back) == len(data):
             wrong = np.concatenate([[0], np.cumsum(back != data)])
-            same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
-        else:
-            same = np.array([(back[a:b].tobytes() == data[c:d].tobytes()) for a, b, c, d in zip(back_at[:-1], back_at[1:], offsets[:-1], offsets[1:])], bool)
-        return ids, edge, rows, bounds, same
+            return same & (wrong[offsets[1:]] == wrong[offsets[:-1]])
+        return np.array([(back[a:b].tobytes() == data[c:d].tobytes()) for a, b, c, d in zip(back_at[:-1], back_at[1:], offsets[:-1], offsets[1:])], bool)
 
     def decode(self, ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes the ids spell, the space in front included, and the bounds of each row in them."""
@@ -213,33 +228,48 @@ class Segmenter:
         return self.spell[np.repeat(self.spell_at[ids] - total[:-1], size) + np.arange(total[-1])], total[edge]
 
 
-_ENCODED = ("doc_id long, ids array<int>, best_score double, scores array<double>, sizes array<int>, decodes boolean")
+_ENCODED = ("doc_id long, ids array<int>, best_score double, scores array<double>, sizes array<int>, decodes boolean, "
+            "ways array<array<int>>, ways_decode array<boolean>")
 
 
 def encoded(docs: DataFrame, path: str, n: int = BEST, keep_ids: bool = True) -> DataFrame:
-    """Per text: doc_id, the ids of the best segmentation, and of the n best ones the scores and numbers of pieces; whether
-    decoding gives the text back. Without keep_ids the ids give way to their CRC-32 (little-endian, 32 bits each)."""
-    schema = _ENCODED if keep_ids else _ENCODED.replace("ids array<int>", "ids_crc32 long")
+    """Per text: doc_id, the ids of the best segmentation, of the n best ones the scores and numbers of pieces, whether
+    decoding the best gives the text back; then the ids of each of the n best (`ways`, the best first) and whether decoding
+    it gives the text back. Without keep_ids all ids give way to their CRC-32 (little-endian, 32 bits each)."""
+    schema = _ENCODED if keep_ids else _ENCODED.replace("ids array<int>", "ids_crc32 long").replace("ways array<array<int>>", "ways_crc32 array<long>")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def encode(batches):
         segment = Segmenter(path, n)
         for batch in batches:
             for a, b, data, offsets in text.pieces(batch.column(1)):
                 with np.errstate(over="ignore"):
-                    ids, edge, rows, bounds, same = segment(data, offsets)
-                best, scores, sizes = [], [], []
-                for i, j, x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
-                    mine = rows[i:j]
-                    ways = combined(segment.second[mine], lambda r: segment.options(int(mine[r])), n)  # noqa: B023
+                    ids, total, rows, bounds, data, offsets = segment(data, offsets)
+                edge = total[bounds]
+                best, scores, ways = [], [], []
+                for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    mine, cuts = rows[i:j], total[i:j + 1]
+                    found = combined(segment.second[mine], lambda r: segment.options(int(mine[r])), n)  # noqa: B023
                     best.append(float(segment.scores[mine].sum()))
-                    scores.append([best[-1] - loss for loss, _ in ways])
-                    sizes.append([y - x + more for _, more in ways])
-                whole = ids.astype("<u4").tobytes()
-                out = (pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32())) if keep_ids else
-                       pa.array([zlib.crc32(whole[4 * x:4 * y]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.int64()))
+                    scores.append([best[-1] - loss for loss, _ in found])
+                    ways.append([segment.way(ids, cuts, mine, picked) for _, picked in found])
+                same = np.zeros((n, b - a), bool)
+                for k in range(max(map(len, ways))):                    # the ways of one rank at a time
+                    ranked = [w[k] if k < len(w) else ids[:0] for w in ways]
+                    same[k] = segment.spells(np.concatenate(ranked), np.cumsum([0] + [len(w) for w in ranked]), data, offsets)
+                if keep_ids:
+                    every = [w for of_text in ways for w in of_text]
+                    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(w) for w in every]), pa.int32()),
+                                                     pa.array(np.concatenate(every), pa.int32()))
+                    first = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))
+                    all_ways = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(w) for w in ways]), pa.int32()), inner)
+                else:
+                    sums = [[zlib.crc32(w.astype("<u4").tobytes()) for w in of_text] for of_text in ways]
+                    first, all_ways = pa.array([x[0] for x in sums], pa.int64()), pa.array(sums, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), out, pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64())),
-                     pa.array(sizes, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "ids" if keep_ids else "ids_crc32", "best_score", "scores", "sizes", "decodes"])
+                    [batch.column(0).slice(a, b - a), first, pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64())),
+                     pa.array([[len(w) for w in of_text] for of_text in ways], pa.list_(pa.int32())), pa.array(same[0]), all_ways,
+                     pa.array([same[:len(w), i].tolist() for i, w in enumerate(ways)], pa.list_(pa.bool_()))], names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
 

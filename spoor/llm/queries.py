@@ -77,4 +77,5 @@ def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     rows = pieces.encoded(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
-    return rows.select("doc_id", F.col("sizes")[0].alias("n_pieces"), "ids_crc32", "best_score", "scores", "sizes", "decodes")
+    return rows.select("doc_id", F.col("sizes")[0].alias("n_pieces"), "ids_crc32", "best_score", "scores", "sizes", "decodes",
+                       "ways_crc32", "ways_decode")

@@ -1,6 +1,7 @@
 """N-best segmentations against brute force, round trips, hard rows."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -74,3 +75,25 @@ def test_combined():
         wanted = [x for x in np.sort(sums)[:4] if np.isfinite(x)]
         second = losses[:, 1]
         assert [x for x, _ in pieces.combined(second, lambda r: [(x, 0) for x in losses[r] if np.isfinite(x)], 4)] == wanted
+
+
+def test_every_way_is_given_back(spark, vocabulary):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(["the", "an", " ", "x.", "é", "日", "\n", "in"]) for _ in range(rng.randrange(1, 5)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "the " * 400 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spelled = lambda ids: b"".join(vocabulary.bytes_of[i] for i in ids).decode()
+    sums, texts = {}, dict(rows)
+    for r in pieces.encoded(docs, MODEL).collect():
+        text = texts[r.doc_id] or ""
+        found = [tuple(w) for w in r.ways]
+        assert list(found[0]) == r.ids and [len(w) for w in found] == r.sizes and len(found) == len(r.scores) == len(set(found))
+        assert r.ways_decode == [True] * len(found) and all(spelled(w) == (" " + text if text else "") for w in found)
+        if text and len(text) < 12:
+            every_score = {ids: score for score, ids in every(vocabulary, " " + text)}
+            assert len(found) == min(4, len(every_score)) and np.allclose([every_score[w] for w in found], r.scores)
+            assert np.allclose(r.scores, sorted(every_score.values(), reverse=True)[:4])
+        sums[r.doc_id] = [zlib.crc32(np.array(w, "<u4").tobytes()) for w in found]
+    assert sums[100] == sums[101] == [0] and len(sums[102]) == 4
+    short = pieces.encoded(docs, MODEL, keep_ids=False).collect()
+    assert {r.doc_id: r.ways_crc32 for r in short} == sums and all(r.ids_crc32 == r.ways_crc32[0] for r in short)
