@@ -15,9 +15,8 @@ Texts with equal words are copies: one stands for all of them in these counts, a
 judged on the input, not on what is left.
 
 Defined results: a null or empty text has no words; fewer than 35 words lose nothing; rows may share a doc_id (each is
-answered by its own text in the digests; `drop_repeats` asks for one text per doc_id); a row without doc_id counts for the
-others and loses words only if it has a copy, for what is left of a text is looked up by its id; an empty table gives an
-empty table.
+answered by its own text in the digests; `drop_repeats` asks for one text per doc_id); rows without doc_id count and lose
+words like all others (their texts are looked up by the identity of their words); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoor.llm import shared, text
 
 SIZE = 35
 ROUNDS = 5
+IDENTITY = ["one", "two", "n_words"]
 _U = np.uint64
 
 
@@ -183,7 +184,7 @@ def _cut(batches):
     """What is left of the texts; columns: tid, doc_id, one, starts of repeated windows, text."""
     for batch in batches:
         wanted, starts_of = batch.column(2).to_numpy(), batch.column(3)
-        for a, b, data, starts, ends, bounds, _, one, _ in _texts(batch.column(4)):
+        for a, b, data, starts, ends, bounds, _, one, two in _texts(batch.column(4)):
             keep, mine = np.ones(len(starts), bool), one == wanted[a:b]
             for i in np.flatnonzero(mine).tolist():
                 cover = np.zeros(bounds[i + 1] - bounds[i] + 1, np.int64)
@@ -196,12 +197,34 @@ def _cut(batches):
             ok = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a).take(pa.array(ok)), batch.column(1).slice(a, b - a).take(pa.array(ok)),
-                 pa.array(gone[ok]), pa.array([kept[i] for i in ok.tolist()], pa.binary())], ["tid", "doc_id", "n_removed", "kept"])
+                 pa.array(gone[ok]), pa.array([kept[i] for i in ok.tolist()], pa.binary()), pa.array(one[ok]), pa.array(two[ok]),
+                 pa.array(np.diff(bounds)[ok].astype(np.int64))], ["tid", "doc_id", "n_removed", "kept", *IDENTITY])
+
+
+def _identified(batches):
+    """The rows without their last column, the text, and its identity in three columns more."""
+    for batch in batches:
+        for a, b, _, _, _, bounds, _, one, two in _texts(batch.column(batch.num_columns - 1)):
+            own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(one), pa.array(two), pa.array(np.diff(bounds).astype(np.int64))],
+                                             [*batch.schema.names[:-1], *(f"__{c}" for c in IDENTITY)])
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    """The rows without doc_id, all columns, and the identity of their words as __one, __two, __n_words."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in IDENTITY)])
+    return docs.filter("doc_id IS NULL").withColumn("__text", F.col("text").cast("string")).mapInArrow(_identified, schema)
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (with doc_id) and the texts of that id."""
-    return shared.only(docs, rows.select("doc_id").distinct(), "doc_id").join(rows, "doc_id")
+    """rows (with doc_id and identity) and the texts of that id; those without doc_id and one text of that identity."""
+    named = shared.only(docs, rows.select("doc_id").distinct(), "doc_id").join(rows, "doc_id")
+    nameless = rows.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    found = _nameless(docs).select("text", *(F.col(f"__{c}").alias(c) for c in IDENTITY))
+    found = shared.only(found, nameless.select("one").distinct(), "one").dropDuplicates(IDENTITY)
+    return named.unionByName(found.join(nameless, IDENTITY))
 
 
 def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +232,7 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = docs.mapInArrow(_profile, _PROFILE)
     profile = shared.written(profile.withColumn("tid", F.monotonically_increasing_id()), "repeat-profiles")
-    same = ["one", "two", "n_words"]
+    same = IDENTITY
     copied = shared.written(profile.filter(f"n_words >= {SIZE}").groupBy(same).agg(F.count("*").alias("copies"), F.min("tid").alias("first"))
                             .filter("copies > 1"), "copies")
     spare = profile.select("tid", *same).join(copied, same).filter("tid <> first").select("tid")
@@ -219,7 +242,7 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = alone.select("tid", "keys", "spans", "weights").mapInArrow(_unpack, "key long, tid long, span long, weight int")
     often = places.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1").select("key")
     spans = places.drop("weight").join(often, "key").groupBy("tid").agg(F.collect_list("span").alias("spans"))
-    asked = shared.written(spans.join(profile.select("tid", "doc_id", "one"), "tid"), "asked-windows")
+    asked = shared.written(spans.join(profile.select("tid", "doc_id", *same), "tid"), "asked-windows")
 
     windows = _with_text(docs, asked).select("tid", "one", "spans", "text").mapInArrow(
         _verify, "h long, tid long, start int")
@@ -227,9 +250,9 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = windows.join(twice, "h").groupBy("tid").agg(F.collect_list("start").alias("starts"))
     # the one that stands for its copies needs no answer of its own
     kept = copied.select(F.col("first").alias("tid"))
-    starts = shared.written(starts.join(kept, "tid", "left_anti").join(profile.select("tid", "doc_id", "one"), "tid"), "repeated-windows")
+    starts = shared.written(starts.join(kept, "tid", "left_anti").join(profile.select("tid", "doc_id", *same), "tid"), "repeated-windows")
     cut = _with_text(docs, starts).select("tid", "doc_id", "one", "starts", "text").mapInArrow(
-        _cut, "tid long, doc_id long, n_removed long, kept binary").dropDuplicates(["tid"])
+        _cut, "tid long, doc_id long, n_removed long, kept binary, one long, two long, n_words long").dropDuplicates(["tid"])
     rows = profile.drop("keys", "spans", "weights").join(copied.drop("first"), same, "left")
     return rows, cut
 
@@ -246,9 +269,17 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns; texts that lose words become their kept words joined by one space, others stay as they
-    are, and so do rows without doc_id (a text is put back by its id)."""
+    are. A text is put back by its id, that of a row without doc_id by the identity of its words."""
     def kept():
         rows, cut = shortened(docs)
-        gone = rows.filter("copies IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.lit("").alias("__kept"))
-        return gone.unionAll(cut.select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__kept")))
-    return shared.retexted(docs, shared.settled(docs.sparkSession, kept, "kept-words"))
+        identity = [F.when(F.col("doc_id").isNull(), F.col(c)).alias(c) for c in IDENTITY]
+        gone = rows.filter("copies IS NOT NULL").select(F.col("doc_id").alias("__id"), *identity, F.lit("").alias("__kept"))
+        return gone.unionAll(cut.select(F.col("doc_id").alias("__id"), *identity, F.decode("kept", "UTF-8").alias("__kept")))
+    changed = shared.settled(docs.sparkSession, kept, "kept-words")
+    named, nameless = changed.filter("__id IS NOT NULL").select("__id", "__kept"), changed.filter("__id IS NULL")
+    if nameless.isEmpty():
+        return shared.retexted(docs, named)
+    own = _nameless(docs).withColumn("doc_id", F.struct(*(F.col(f"__{c}").alias(c) for c in IDENTITY))).select(docs.columns)
+    own = shared.retexted(own, nameless.select(F.struct(*IDENTITY).alias("__id"), "__kept"))
+    own = own.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    return shared.retexted(docs.filter("doc_id IS NOT NULL"), named).unionByName(own)

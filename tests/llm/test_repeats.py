@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -47,6 +48,26 @@ def test_hard_rows(spark):
             assert (r.text, r.n_chars) == (before[r.doc_id], 5)
 
 
+def test_rows_without_id(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared_once, shared_copied, nameless_only = words(40), words(50), words(45)
+    copy = f"{words(20)} {shared_copied} {words(20)}"
+    lone = f"{words(30)} {nameless_only} {words(30)}"
+    rows = [(None, f"{words(10)} {shared_once} {words(10)}"), (1, f"{words(15)} {shared_once} {words(5)}"),
+            (None, copy), (2, copy), (3, copy), (4, f"{words(3)} {shared_copied} {words(4)}"),
+            (None, lone), (None, f"{nameless_only} {words(12)}"), (None, words(60)), (5, words(60)), (None, None), (None, ""), (None, "a b"),
+            (None, "z " * 80), (None, "z " * 80), (6, "y " + "z " * 50)]
+    docs = spark.createDataFrame([(t, i, 5, "k", 1) for i, t in rows], "text string, doc_id long, n_chars int, one string, __kept2 int").coalesce(1)
+    kept = brute.repeated_words([(k, t) for k, (_, t) in enumerate(rows)])
+    digests = [(rows[k][0], n, n - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()) for k, (n, left) in kept.items()]
+    assert Counter(map(tuple, repeats.repeat_digests(docs).collect())) == Counter(digests)
+    wanted = [(" ".join(left), rows[k][0], len(" ".join(left)), "k", 1) if len(left) < n else (rows[k][1], rows[k][0], 5, "k", 1)
+              for k, (n, left) in kept.items()]
+    left = repeats.drop_repeats(docs)
+    assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter(wanted)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.repeat_digests(docs).collect() == [] and repeats.drop_repeats(docs).collect() == []
