@@ -4,6 +4,7 @@ import json
 import pytest
 
 from spoor import schemas
+from spoor.operators import evidence
 from spoor.plans import tables as t
 from spoor.sources import catalog, csv_run, prepared
 
@@ -146,3 +147,12 @@ def test_container_profile(spark, tmp_path):
     path.write_bytes(build(block(1, RUN_START, 1), block(2, RUN_END, 1)))
     (row,) = audit.container_profile(container.read_records(spark, [str(path)])).collect()
     assert (row.type, row.records, row.decoded_bytes) == (1, 2, len(RUN_START) + len(RUN_END))
+
+
+def test_load_runs_of_all_event_types(spark):
+    tables = t.typed_tables(spark, SF, runs=True)
+    merged, labels = prepared.load_runs([(label, {n: df.filter(df.run_id == i) for n, df in tables.items()}) for i, label in enumerate(t.RUNS, 1)])
+    count = lambda df: {(r.run_id, r.kind): r["count"] for r in df.groupBy("run_id", "kind").count().collect()}
+    got = count(evidence.to_evidence(merged))
+    assert got == count(t.evidence(spark, SF, runs=True)) and len({kind for _, kind in got}) == len(tables)
+    assert {r.run_id: r.label for r in labels.collect()} == dict(enumerate(t.RUNS, 1))
