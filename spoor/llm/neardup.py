@@ -14,8 +14,11 @@ shingle; without words the set is empty and linked with nothing). Texts are link
 4. In entries that still hold two components all pairs across components are compared, block by block, each pair under the
    first entry it shares, and those that pass the same test are confirmed. Pairs inside one component need no comparison.
 
-Defined results: rows with equal texts are copies and all returned; a row without doc_id is never kept and has the
-component of its class (null, if it is alone); an empty table gives an empty table.
+Sets are identified by 128 bits, two sums over hashes of different construction; links count equal 64-bit shingle hashes.
+
+Defined results: rows with equal texts are copies and all returned; each row that shares a doc_id with others is judged by
+its own text; a row without doc_id is never `kept` and has the component of its class (null, if no row of the class has a
+doc_id; such classes are linked with nothing); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoor.llm import graph, shared, text
 
@@ -34,22 +38,27 @@ CHUNKS, CHUNK = 16, 5
 VALUES = CHUNKS * CHUNK
 MORE = 688               # further values of 8 bits that only tell candidates apart
 AGREE = 516              # places, of all 256, in which the signatures of a candidate pair agree at least
+IDENTITY = ["one", "two", "n_shingles"]
 BLOCK = 512              # members of an entry compared in one task at a time, with as many others
 _U = np.uint64
 
 
-def _sets(data, offsets, hasher) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every row of a piece."""
+def _sets(data, offsets, hasher) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of every row of a piece, and two numbers that identify the set: one adds up the
+    hashes, the other adds up hashes of another construction over the same shingles."""
     starts, ends, bounds = text.words(data, offsets)
-    h = hasher(data, starts, ends)
-    five = text.windows(h, WORDS)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    h, g = hasher.both(data, starts, ends)
+    five, again = text.windows(h, WORDS), text.windows(g, WORDS, seed=12)
+    out, one, two = [], np.zeros(len(bounds) - 1, _U), np.zeros(len(bounds) - 1, _U)
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if b - a >= WORDS:
-            out.append(np.unique(five[a:b - WORDS + 1]))
+            x, first = np.unique(five[a:b - WORDS + 1], return_index=True)
+            y = again[a:b - WORDS + 1][first]
         else:
-            out.append(text.windows(h[a:b], b - a, seed=1000 + b - a) if b > a else h[:0])
-    return out
+            x, y = (text.windows(w[a:b], b - a, seed=1000 + k + b - a) if b > a else w[:0] for k, w in ((0, h), (500, g)))
+        out.append(x)
+        one[i], two[i] = text.mix(x + _U(1)).sum(dtype=_U), text.mix(y + _U(2)).sum(dtype=_U)
+    return out, one.view(np.int64), two.view(np.int64)
 
 
 def _sketch(batches):
@@ -57,19 +66,17 @@ def _sketch(batches):
     for batch in batches:
         for a, b, data, offsets in text.pieces(batch.column(1)):
             with np.errstate(over="ignore"):
-                sets = _sets(data, offsets, hasher)
+                sets, one, two = _sets(data, offsets, hasher)
                 size = np.array([len(s) for s in sets], np.int64)
                 some = size > 0
                 low = np.zeros((b - a, VALUES + MORE), np.uint16)
-                one, two = np.zeros(b - a, _U), np.zeros(b - a, _U)
                 if some.any():
                     x = np.concatenate(sets)
                     at = np.concatenate([[0], np.cumsum(size[some])[:-1]])
-                    one[some], two[some] = np.add.reduceat(text.mix(x + _U(1)), at), np.add.reduceat(text.mix(x + _U(2)), at)
                     for k, f in enumerate(factors):
                         low[some, k] = text.mix(np.minimum.reduceat(x * f, at)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(one), pa.array(two),
                  pa.array([r[:VALUES].tobytes() + r[VALUES:].astype(np.uint8).tobytes() for r in low], pa.binary())],
                 ["doc_id", "n_shingles", "one", "two", "sig"])
 
@@ -177,9 +184,21 @@ def _full_sets(batches):
     for batch in batches:
         for a, b, data, offsets in text.pieces(batch.column(1)):
             with np.errstate(over="ignore"):
-                sets = _sets(data, offsets, hasher)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             ["id", "items"])
+                sets, one, two = _sets(data, offsets, hasher)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(one), pa.array(two),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["low", "one", "two", "items"])
+
+
+def _identified(batches):
+    """The rows without their last column, the text, and the identity of its set in three columns more."""
+    hasher = text.SpanHasher(2, lower=True)
+    for batch in batches:
+        for a, b, data, offsets in text.pieces(batch.column(batch.num_columns - 1)):
+            with np.errstate(over="ignore"):
+                sets, one, two = _sets(data, offsets, hasher)
+            own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(one), pa.array(two), size], [*batch.schema.names[:-1], *(f"__{c}" for c in IDENTITY)])
 
 
 def _confirm(batches):
@@ -200,11 +219,14 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
 
-def confirmed(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) that are linked on their full sets. A set is sent once per 64 of its candidates."""
-    ids = candidates.select(F.col("a").alias("doc_id")).unionAll(candidates.select("b")).distinct()
-    rows = shared.only(docs, ids, "doc_id").select("doc_id", "text")
-    sets = shared.written(rows.mapInArrow(_full_sets, "id long, items binary"), "shingle-sets").dropDuplicates(["id"])
+def confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) that are linked on their full sets. A set is sent once per 64 of its candidates. The text
+    of a class is that of its smallest doc_id whose set is the class's own, for rows may share a doc_id."""
+    ids = candidates.select(F.col("a").alias("cid")).unionAll(candidates.select(F.col("b").alias("cid"))).distinct()
+    asked = shared.written(classes.select("cid", "low", "one", "two").join(ids, "cid"), "asked-classes")
+    rows = shared.only(docs, asked.select(F.col("low").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = shared.written(rows.mapInArrow(_full_sets, "low long, one long, two long, items binary"), "shingle-sets")
+    sets = sets.join(asked, ["low", "one", "two"]).dropDuplicates(["cid"]).select(F.col("cid").alias("id"), "items")
     parts = candidates.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     dealt = shared.written(candidates.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "dealt")
     heads = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("role"), "id", "items")
@@ -222,9 +244,9 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = crowd.filter("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     first = shared.written(first.join(one("b"), "b").join(one("a"), "a").select("a", "b", "a_size", "a_sig", "b_size", "b_sig")
                            .mapInArrow(_alike, "a long, b long"), "candidates")
-    labels = graph.components(confirmed(docs, first))
+    labels = graph.components(confirmed(docs, classes, first))
     second = shared.written(_across(crowd, labels, classes).join(first, ["a", "b"], "left_anti"), "candidates")
-    found = confirmed(docs, second)
+    found = confirmed(docs, classes, second)
     return shared.written(graph.extended(labels, found), "labels") if found.limit(1).count() else labels
 
 
@@ -241,24 +263,62 @@ def _across(crowd: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
     return rest.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q").mapInArrow(_blockwise, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (it is that one)."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a sketch per row, for every class with a doc_id its identity and component_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = shared.written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, sig binary"), "sketches")
-    key = ["one", "two", "n_shingles"]
-    classes = shared.written(sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(
-        F.min("doc_id").alias("cid"), F.max("sig").alias("sig")), "classes")
-    found = linked(docs, classes.dropDuplicates(["cid"]))
-    placed = classes.join(found, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("component", "cid").alias("component_id"))
-    rows = sketches.drop("sig").join(placed, key, "left").select(
+    classes = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*IDENTITY).agg(
+        F.min("doc_id").alias("low"), F.max("sig").alias("sig"))
+    classes = shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    found = linked(docs, classes).join(classes.select("low", F.col("cid").alias("node")), "node")
+    smallest = found.groupBy("component").agg(F.min("low").alias("component_id"))
+    found = found.join(smallest, "component").select(F.col("node").alias("cid"), "component_id")
+    return sketches.drop("sig"), classes.join(found, "cid", "left").select(*IDENTITY, F.coalesce("component_id", "low").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (it is that one)."""
+    sketches, placed = _placed(docs)
+    rows = sketches.join(placed, IDENTITY, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of which one of each group stays: its smallest doc_id (an exact copy of a row, id
-    included, stays with it)."""
-    gone = shared.settled(docs.sparkSession, lambda: near_duplicates(docs).filter("NOT kept").select(
-        F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    few = F.broadcast(gone) if gone.limit(shared.BROADCAST_IDS + 1).count() <= shared.BROADCAST_IDS else gone
-    return docs.join(few, F.col("doc_id") == F.col("__id"), "left_anti")
+    included, stays with it). A row without doc_id stays if nothing with a doc_id has its set, once for each such set; one
+    without words always does."""
+    spark = docs.sparkSession
+
+    def judged():
+        sketches, placed = _placed(docs)
+        rows = sketches.join(placed, IDENTITY, "left")
+        kept = F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False))
+        none = F.lit(None).cast("long")
+        ids = rows.filter("doc_id IS NOT NULL").withColumn("kept", kept).groupBy("doc_id").agg(
+            F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).filter("NOT every")
+        gone = rows.filter("doc_id IS NULL AND component_id IS NOT NULL").select(none.alias("__id"), F.lit(False).alias("__mixed"), *IDENTITY)
+        ids = ids.select(F.col("doc_id").alias("__id"), F.col("some").alias("__mixed"))
+        mixed = rows.withColumn("kept", kept).filter("NOT kept").join(ids.filter("__mixed"), F.col("doc_id") == F.col("__id"))
+        return ids.select("*", *(none.alias(c) for c in IDENTITY)).unionByName(gone.distinct()).unionByName(
+            mixed.select("__id", "__mixed", *IDENTITY).distinct())
+
+    gone = shared.settled(spark, judged, "near-copies")
+    whole = gone.filter("NOT __mixed AND __id IS NOT NULL").select("__id")
+    odd = gone.filter("__mixed AND one IS NULL").select("__id")            # ids of which some rows go and some stay
+    few = F.broadcast(whole) if whole.limit(shared.BROADCAST_IDS + 1).count() <= shared.BROADCAST_IDS else whole
+    left = docs.join(few, F.col("doc_id") == F.col("__id"), "left_anti")
+    nameless = docs.filter("doc_id IS NULL")
+    if odd.isEmpty() and nameless.isEmpty():
+        return left
+    # rows whose id does not tell whether they go are told by the identity of their sets
+    plain = left.filter("doc_id IS NOT NULL").join(odd, F.col("doc_id") == F.col("__id"), "left_anti")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in IDENTITY)])
+    told = lambda rows: rows.withColumn("__text", F.col("text").cast("string")).mapInArrow(_identified, schema)
+    gone = gone.filter("one IS NOT NULL").select("__id", *(F.col(c).alias(f"__g_{c}") for c in IDENTITY))
+    by = [F.col(f"__g_{c}") == F.col(f"__{c}") for c in IDENTITY]
+    some = told(docs.join(odd, F.col("doc_id") == F.col("__id"), "left_semi")).join(gone, [F.col("doc_id") == F.col("__id"), *by], "left_anti")
+    rest = told(nameless).join(gone.filter("__id IS NULL"), by, "left_anti")
+    empty = rest.filter("__n_shingles = 0")
+    rest = rest.filter("__n_shingles > 0").dropDuplicates([f"__{c}" for c in IDENTITY])
+    return plain.unionByName(some.unionByName(empty).unionByName(rest).select(docs.columns))

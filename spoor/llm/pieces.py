@@ -32,7 +32,6 @@ from spoor.llm import text
 
 BEST = 4
 KNOWN = 300_000
-_U = np.uint64
 _MARK = "▁"
 
 
@@ -147,16 +146,14 @@ class Segmenter:
         self._forget()
 
     def _forget(self):
-        self.known, self.row = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.scores, self.second = np.zeros(0), np.zeros(0)
         self.at, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.full: dict[int, list[tuple[float, np.ndarray]]] = {}
 
-    def _remember(self, keys: np.ndarray, stretches: list[str]):
-        found = [self.vocabulary.best(s, min(2, self.n)) for s in stretches]
-        place = np.searchsorted(self.known, keys)
-        self.known = np.insert(self.known, place, keys)
-        self.row = np.insert(self.row, place, len(self.scores) + np.arange(len(keys)))
+    def _remember(self, stretches: list[bytes]):
+        found = [self.vocabulary.best(s.decode("utf-8", "replace"), min(2, self.n)) for s in stretches]
+        self.known.update(zip(stretches, range(len(self.scores), len(self.scores) + len(stretches))))
         self.scores = np.concatenate([self.scores, [f[0][0] for f in found]])
         self.second = np.concatenate([self.second, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]])
         first = [f[0][1] for f in found]
@@ -197,16 +194,13 @@ class Segmenter:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))[:len(starts)]
         bounds = np.searchsorted(starts, offsets)
-        keys, first, which = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > KNOWN:
+        first, which = text.grouped(data, starts, ends, self.hash)
+        raw = data.tobytes()
+        stretches = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.known) + len(stretches) > KNOWN:
             self._forget()
-        place = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.known):
-            new = self.known[np.minimum(place, len(self.known) - 1)] != keys
-        if new.any():
-            self._remember(keys[new], [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])])
-        rows = self.row[np.searchsorted(self.known, keys)][which] if len(keys) else np.zeros(0, np.int64)
+        self._remember([s for s in stretches if s not in self.known])
+        rows = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))[which]
         size = self.sizes[rows]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[rows] - total[:-1], size) + np.arange(total[-1])]

@@ -1,15 +1,17 @@
-"""Substring dedup by recompression: words covered by a window of 35 words that starts anywhere else too are removed.
+"""Substring dedup by locally consistent recompression: words that a window of 35 words covers which also starts anywhere
+else are removed.
 
 Words are named by hashes. One round names runs of an equal name, the following rounds name pairs: a round deals all
-names into left and right ones by a bit of a hash, and every left name followed by a right one becomes one new name. Names
-are hashes of what they stand for, so all executors give equal substrings equal names without a dictionary to agree on,
-and a symbol depends on a few neighbours only: each carries the range of words its parse depends on. A window contains the
-symbols whose ranges lie inside it, equal windows contain the same ones, and the least of them stands for the window
-(a window inside a long run contains none and stands for itself). So
+names into left and right ones by a bit of a hash, and every left name followed by a right one becomes one new name. The
+rounds run inside each text. Names are hashes of what they stand for, so all executors give equal substrings equal names
+without a dictionary to agree on, and a symbol depends on a few neighbours only: each carries the range of words its parse
+depends on. A window contains the symbols whose ranges lie inside it, equal windows contain the same ones, and the least of
+them stands for the window (a window inside a long run contains none and stands for itself). So
 
 1. every text becomes a few dozen keys per thousand words, each with the windows it stands for;
 2. Spark counts the keys of all texts; the windows of a key that occurs once occur once;
-3. the remaining windows are verified: their own hashes are counted, and those that occur twice are repeats.
+3. the remaining windows are verified: their own hashes, 128 bits of two constructions, are counted, and those that occur
+   twice are repeats.
 
 Texts with equal words are copies: one stands for all of them in these counts, and all lose everything. Windows are
 judged on the input, not on what is left.
@@ -119,17 +121,18 @@ def keys(h: np.ndarray, bounds: np.ndarray, size: int = SIZE, rounds: int = ROUN
 
 
 def _texts(column) -> Iterator[tuple]:
-    """Pieces of a column: first row, end row, bytes, word starts and ends, bounds, word hashes, identity of each row."""
+    """Pieces of a column: first row, end row, bytes, word starts and ends, bounds, word hashes of two constructions, identity
+    of each row."""
     hasher = text.SpanHasher(8)
     for a, b, data, offsets in text.pieces(column):
         starts, ends, bounds = text.words(data, offsets)
         with np.errstate(over="ignore"):
-            h = hasher(data, starts, ends)
+            h, g = hasher.both(data, starts, ends)
             place = text.mix(np.arange(len(h), dtype=_U) - np.repeat(bounds[:-1], np.diff(bounds)).astype(_U) + _U(1))
             total = np.concatenate([np.zeros(1, _U), np.cumsum(text.mix(h + place))])
-            again = np.concatenate([np.zeros(1, _U), np.cumsum(text.mix(h ^ (place * _U(5))))])
+            again = np.concatenate([np.zeros(1, _U), np.cumsum(text.mix(g ^ (place * _U(5))))])
             one, two = (x[bounds[1:]] - x[bounds[:-1]] for x in (total, again))
-        yield a, b, data, starts, ends, bounds, h, one.view(np.int64), two.view(np.int64)
+        yield a, b, data, starts, ends, bounds, h, g, one.view(np.int64), two.view(np.int64)
 
 
 _PROFILE = "doc_id long, n_words long, one long, two long, sha string, keys binary, spans binary, weights binary"
@@ -137,7 +140,7 @@ _PROFILE = "doc_id long, n_words long, one long, two long, sha string, keys bina
 
 def _profile(batches):
     for batch in batches:
-        for a, b, data, starts, ends, bounds, h, one, two in _texts(batch.column(1)):
+        for a, b, data, starts, ends, bounds, h, _, one, two in _texts(batch.column(1)):
             with np.errstate(over="ignore"):
                 key, first, last, weight, at = keys(h, bounds)
             whole, edge = text.all_joined(data, starts, ends, bounds)
@@ -159,19 +162,19 @@ def _unpack(batches):
 
 
 def _verify(batches):
-    """(hash, tid, start) of the windows in question; columns: tid, one, spans (packed), text."""
+    """(two hashes, tid, start) of the windows in question; columns: tid, one, spans (packed), text."""
     for batch in batches:
         tid, wanted, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        for a, b, _, _, _, bounds, h, one, _ in _texts(batch.column(3)):
+        for a, b, _, _, _, bounds, h, g, one, _ in _texts(batch.column(3)):
             with np.errstate(over="ignore"):
-                every = text.windows(h, SIZE)
+                every, again = text.windows(h, SIZE).view(np.int64), text.windows(g, SIZE, seed=13).view(np.int64)
             out = []
             for i in range(b - a):
                 if one[i] == wanted[a + i]:
                     start = _starts(spans[a + i].values.to_numpy())
-                    out.append((every[bounds[i] + start].view(np.int64), np.full(len(start), tid[a + i]), start.astype(np.int32)))
+                    out.append((every[bounds[i] + start], again[bounds[i] + start], np.full(len(start), tid[a + i]), start.astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "tid", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "g", "tid", "start"])
 
 
 def _starts(spans: np.ndarray) -> np.ndarray:
@@ -184,7 +187,7 @@ def _cut(batches):
     """What is left of the texts; columns: tid, doc_id, one, starts of repeated windows, text."""
     for batch in batches:
         wanted, starts_of = batch.column(2).to_numpy(), batch.column(3)
-        for a, b, data, starts, ends, bounds, _, one, two in _texts(batch.column(4)):
+        for a, b, data, starts, ends, bounds, _, _, one, two in _texts(batch.column(4)):
             keep, mine = np.ones(len(starts), bool), one == wanted[a:b]
             for i in np.flatnonzero(mine).tolist():
                 cover = np.zeros(bounds[i + 1] - bounds[i] + 1, np.int64)
@@ -204,7 +207,7 @@ def _cut(batches):
 def _identified(batches):
     """The rows without their last column, the text, and its identity in three columns more."""
     for batch in batches:
-        for a, b, _, _, _, bounds, _, one, two in _texts(batch.column(batch.num_columns - 1)):
+        for a, b, _, _, _, bounds, _, _, one, two in _texts(batch.column(batch.num_columns - 1)):
             own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(one), pa.array(two), pa.array(np.diff(bounds).astype(np.int64))],
                                              [*batch.schema.names[:-1], *(f"__{c}" for c in IDENTITY)])
@@ -245,9 +248,9 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = shared.written(spans.join(profile.select("tid", "doc_id", *same), "tid"), "asked-windows")
 
     windows = _with_text(docs, asked).select("tid", "one", "spans", "text").mapInArrow(
-        _verify, "h long, tid long, start int")
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    starts = windows.join(twice, "h").groupBy("tid").agg(F.collect_list("start").alias("starts"))
+        _verify, "h long, g long, tid long, start int")
+    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+    starts = windows.join(twice, ["h", "g"]).groupBy("tid").agg(F.collect_list("start").alias("starts"))
     # the one that stands for its copies needs no answer of its own
     kept = copied.select(F.col("first").alias("tid"))
     starts = shared.written(starts.join(kept, "tid", "left_anti").join(profile.select("tid", "doc_id", *same), "tid"), "repeated-windows")

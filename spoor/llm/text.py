@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 PIECE = 1 << 20          # bytes of text handled at once; a longer document is a piece of its own
+ROWS = 1 << 12           # texts handled at once
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,11 +50,11 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(column, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about `limit` bytes."""
+    """(first row, end row, bytes, offsets) of runs of at most ROWS rows with about `limit` bytes."""
     data, offsets = buffers(column)
     start, n = 0, len(offsets) - 1
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        stop = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1), start + ROWS)
         yield start, stop, data[offsets[start]:offsets[stop]], offsets[start:stop + 1] - offsets[start]
         start = stop
 
@@ -104,30 +106,96 @@ def characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return before[ends] - before[starts]
 
 
+_ALL = np.concatenate([[0], (1 << np.arange(8, 64, 8, dtype=object)) - 1, [(1 << 64) - 1]]).astype(_U)   # by bytes kept
+_BLOCKS = 1 << 18         # 8-byte blocks hashed at once
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of the data on, as little-endian numbers (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 class SpanHasher:
-    """64-bit hashes of byte spans: a polynomial over random byte values, by prefix sums modulo 2^64, then mixed."""
+    """64-bit hashes of byte spans. A span is cut into blocks of 8 bytes, each is mixed with a key for its place in the
+    span, and the mixed blocks are added up. `second` gives 64 further bits of another construction: sums of products of
+    half blocks, each half shifted by a key for its place. No relation between bytes of different places survives either."""
 
     def __init__(self, seed: int = 1, lower: bool = False):
-        table = constants(seed, 256)
-        self.table = table[LOWER] if lower else table
-        self.base = constants(seed + 7919, 1)[0] & ~_U(7) | _U(5)
-        self.back = _U(pow(int(self.base), -1, 1 << 64))
-        self.length = constants(seed + 104729, 1)[0]
-        self.powers, self.inverse = np.ones(1, _U), np.ones(1, _U)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            size = max(n + 1, PIECE + 4096)
-            self.powers = np.concatenate([np.ones(1, _U), np.cumprod(np.full(size, self.base))])
-            self.inverse = np.concatenate([np.ones(1, _U), np.cumprod(np.full(size, self.back))])
+        self.fold = lower
+        self.key, self.left, self.right, self.length = (constants(seed + k, 1)[0] for k in (0, 7919, 104729, 1299709))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self._hashed(data, starts, ends, False)[0]
+
+    def both(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the second one."""
+        return self._hashed(data, starts, ends, True)
+
+    def _hashed(self, data, starts, ends, second):
+        eights, size = _eights(LOWER[data] if self.fold else data), np.asarray(ends) - starts
         with np.errstate(over="ignore"):
-            self._grow(len(data))
-            total = np.zeros(len(data) + 1, _U)
-            np.cumsum(self.table[data] * self.powers[:len(data)], out=total[1:])
-            h = (total[ends] - total[starts]) * self.inverse[starts]
-            return mix(h + (ends - starts).astype(_U) * self.length)
+            one, two = self._block(eights[starts] & _ALL[np.minimum(size, 8)], _U(1), second)
+            long = np.flatnonzero(size > 8)
+            if len(long):
+                more = np.cumsum((size[long] - 1) // 8)                # blocks behind the first, up to each span
+                for begin in range(0, int(more[-1]), _BLOCKS):
+                    n = np.arange(begin, min(begin + _BLOCKS, int(more[-1])))
+                    which = np.searchsorted(more, n, "right")
+                    place = n - np.where(which > 0, more[which - 1], 0) + 1
+                    which = long[which]
+                    block = eights[starts[which] + 8 * place] & _ALL[np.minimum(size[which] - 8 * place, 8)]
+                    at = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                    for total, part in zip((one, two), self._block(block, place.astype(_U) + _U(1), second)):
+                        if total is not None:
+                            total[which[at]] += np.add.reduceat(part, at)
+            tail = size.astype(_U) * self.length
+            return mix(one + tail), mix(two ^ mix(tail + self.left)) if second else None
+
+    def _block(self, block, place, second):
+        one = mix(block * self.key + place * self.length)
+        if not second:
+            return one, None
+        half = _U(0xFFFFFFFF)
+        return one, (((block & half) + mix(place + self.left)) & half) * (((block >> _U(32)) + mix(place + self.right)) & half)
+
+
+def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of every distinct content (lower-cased, if the hasher does so), and for each span the number of its
+    content. Spans are compared with the first one of their hash, byte by byte; if any differs, all are told apart by
+    their bytes."""
+    data = LOWER[data] if hasher.fold else data
+    which, found = pd.factorize(hasher(data, starts, ends))
+    first = np.empty(len(found), np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    size, eights, mine = ends - starts, _eights(data), first[which]
+    same = size == size[mine]
+    long, k = np.flatnonzero(same & (mine != np.arange(len(mine)))), 0
+    while len(long):                                                   # 8 bytes of the spans that have so many
+        x, y, left = starts[long] + k, starts[mine[long]] + k, np.minimum(size[long] - k, 8)
+        same[long[((eights[x] ^ eights[y]) & _ALL[left]) != 0]] = False
+        k += 8
+        long = long[(size[long] > k) & same[long]]
+        if k == 64:
+            break
+    raw = data.tobytes() if len(long) else b""
+    for i in long.tolist():
+        same[i] = raw[starts[i] + k:ends[i]] == raw[starts[mine[i]] + k:ends[mine[i]]]
+    if same.all():
+        return first, which
+    raw = data.tobytes()
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(raw[s:e], len(number)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
+def distinct_pairs(h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two hashes, sorted by the first."""
+    order = np.lexsort((m, h))
+    h, m = h[order], m[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+    return h[new], m[new]
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 11) -> np.ndarray:

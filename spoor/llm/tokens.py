@@ -6,8 +6,8 @@ of the whole text.
 
 A token file is a Parquet table of segments, each a run of whole documents in ascending order of doc_id:
 
-    b"SPTK" | version u8 = 1 | bits u8 | block ids u32 | documents u32 | ids u64 | distinct ids u32
-    doc_id i64 each (-2^63: none) | ids of the document u64 each | distinct ids u32 each, ascending | their shares u32 each
+    b"SPTK" | version u8 = 2 | bits u8 | block ids u32 | documents u32 | of them without doc_id u32 | ids u64 | distinct ids u32
+    doc_id i64 each (0 for the first ones, without doc_id) | ids of the document u64 each | distinct ids u32 each, ascending | their shares u32 each
     for each block: bytes of code u32, CRC-32 of its ids as u32 | the codes of the blocks
 
 (little endian). A block holds `block ids` ids (the last one fewer) and starts from scratch. The distribution of the next
@@ -45,13 +45,14 @@ _U = np.uint64
 # ---- encoding ------------------------------------------------------------------------------------------------------
 
 class WordEncoder:
-    """Ids of words, each distinct word encoded once while it is remembered."""
+    """Ids of texts. Where the vocabulary lower-cases, drops white space and cuts words before marks, every distinct word is
+    encoded once while it is remembered, by its bytes; for any other vocabulary the library is given whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower, self.exact = text.SpanHasher(21, lower=True), text.SpanHasher(22)
+        self.hasher = text.SpanHasher(21)
         self.letter, self.mark = np.zeros(256, bool), np.zeros(256, bool)
         self.letter[65:91] = self.letter[97:123] = True
         self.mark[list(b".,!?;:()")] = True
@@ -59,11 +60,35 @@ class WordEncoder:
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())],
                                bool) if suffix else None
+        self.by_words = self._cuts_words()
         self._forget()
 
+    def _cuts_words(self) -> bool:
+        """Whether words can be encoded one by one: the vocabulary lower-cases, and its pre-tokenization of a line of probes
+        drops all white space and cuts wherever words are cut here."""
+        kind = json.loads(self.tokenizer.to_str())
+        steps = json.dumps(kind.get("normalizer")) + json.dumps(kind.get("pre_tokenizer"))
+        if self.closes is None or "Lowercase" not in steps or "Split" not in steps:
+            return False
+        whole = ["Ab a.b! (c) d,e;f:g? It's 12 x3\tÉté\r\nan-d\x0b\x0c  end", "B.C (DE) a's ..x !y", " \t\n", "ß(ü) Ä:ö 1.5 a1.b"]
+        for line in whole:
+            data = np.frombuffer(line.encode(), np.uint8)
+            starts, ends = self._words(data, np.array([0, len(data)]))[:2]
+            alone = [i for s, e in zip(starts, ends) for i in self.tokenizer.encode(data[s:e].tobytes().decode(), add_special_tokens=False).ids]
+            lower = self.tokenizer.encode("".join(c.lower() if c.isascii() else c for c in line), add_special_tokens=False).ids
+            if not self.tokenizer.encode(line, add_special_tokens=False).ids == alone == lower:
+                return False
+        return True
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray):
+        cut = np.zeros(len(data), bool)
+        if len(data):
+            cut[1:] = self.mark[data[1:]] & self.letter[data[:-1]]
+        return text.words(data, offsets, cut)
+
     def _forget(self):
-        self.known, self.at, self.size = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words and the number of each word's ids. Words of ASCII letters alone, which are one token of the
@@ -83,31 +108,31 @@ class WordEncoder:
         out[~mine] = np.fromiter((i for x in each for i in x.ids), np.uint32, int(size[~plain].sum()))
         return out, size
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and the number of ids before each row (plus one)."""
-        cut = np.zeros(len(data), bool)
-        if len(data):
-            cut[1:] = self.mark[data[1:]] & self.letter[data[:-1]]
-        starts, ends, bounds = text.words(data, offsets, cut)
-        h = self.lower(data, starts, ends)                 # the vocabulary lower-cases, but for its special tokens
-        if (odd := data == 60).any():
-            before = np.concatenate([[0], np.cumsum(odd)])
-            h = np.where(before[ends] > before[starts], self.exact(data, starts, ends), h)
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN:
+        if not self.by_words:
+            return self._whole(data, offsets)
+        starts, ends, bounds = self._words(data, offsets)
+        low = text.LOWER[data]                             # the vocabulary lower-cases, but for its special tokens
+        for i in np.unique(np.searchsorted(starts, np.flatnonzero(data == 60), "right") - 1).tolist():
+            low[starts[i]:ends[i]] = data[starts[i]:ends[i]]
+        first, which = text.grouped(low, starts, ends, self.hasher)
+        raw = low.tobytes()
+        words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.known) + len(words) > KNOWN:
             self._forget()
-        place = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.known):
-            new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
-        if new.any():
-            raw = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])]
-            ids, size = self._library(raw)
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, ids])
-            self.known, self.at, self.size = (np.insert(old, place[new], x) for old, x in (
-                (self.known, distinct[new]), (self.at, at), (self.size, size)))
-        place = np.searchsorted(self.known, distinct)
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids, size = self._library([w.decode("utf-8", "replace") for w in new])
+            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         at, size = self.at[place][which], self.size[place][which]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
@@ -273,23 +298,23 @@ def _decode_blocks(codes: list[bytes], total: int, block: int, distinct: np.ndar
     return distinct[grid.T.reshape(-1)[:total]]
 
 
-_HEAD = "<4sBBIIQI"
+_HEAD = "<4sBBIIIQI"
 
 
-def pack_segment(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of a segment: doc_ids, ids of each document, all ids."""
+def pack_segment(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """The bytes of a segment: doc_ids, ids of each document, all ids; the first `nameless` documents have no doc_id."""
     with np.errstate(over="ignore"):
         distinct, share, bits = _shares(ids) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.uint32), 12)
         codes = _encode_blocks(ids, distinct, share, bits) if len(ids) else []
     index = b"".join(struct.pack("<II", len(c), zlib.crc32(ids[i * BLOCK:(i + 1) * BLOCK].astype("<u4").tobytes())) for i, c in enumerate(codes))
-    return b"".join([struct.pack(_HEAD, b"SPTK", 1, bits, BLOCK, len(docs), len(ids), len(distinct)), docs.astype("<i8").tobytes(),
+    return b"".join([struct.pack(_HEAD, b"SPTK", 2, bits, BLOCK, len(docs), nameless, len(ids), len(distinct)), docs.astype("<i8").tobytes(),
                      sizes.astype("<u8").tobytes(), distinct.astype("<u4").tobytes(), share.astype("<u4").tobytes(), index, *codes])
 
 
-def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, ids of each document, all ids), each block's checksum checked."""
-    magic, version, bits, block, n_docs, n_ids, n_distinct = struct.unpack_from(_HEAD, raw)
-    if magic != b"SPTK" or version != 1:
+def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(doc_ids, ids of each document, all ids, documents without doc_id), each block's checksum checked."""
+    magic, version, bits, block, n_docs, nameless, n_ids, n_distinct = struct.unpack_from(_HEAD, raw)
+    if magic != b"SPTK" or version != 2:
         raise ValueError("not a segment of a token file")
     at, parts = struct.calcsize(_HEAD), []
     for kind, n in (("<i8", n_docs), ("<u8", n_docs), ("<u4", n_distinct), ("<u4", n_distinct), ("<u4", 2 * -(-n_ids // block))):
@@ -303,7 +328,7 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, crc in enumerate(index[1::2].tolist()):
         if zlib.crc32(ids[i * block:(i + 1) * block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} of a token segment is damaged")
-    return docs, sizes.astype(np.int64), ids
+    return docs, sizes.astype(np.int64), ids, nameless
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------
@@ -311,8 +336,8 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _range(bounds: list[int]):
     @F.pandas_udf("int")
     def number(ids: pd.Series) -> pd.Series:
-        out = np.searchsorted(np.array(bounds, np.int64), ids.fillna(0).to_numpy(np.int64)).astype(np.int32)
-        return pd.Series(np.where(ids.isna(), -1, out).astype(np.int32))
+        out = np.searchsorted(np.array(bounds, np.int64), ids.fillna(0).to_numpy(np.int64)).astype(np.int32) + 1
+        return pd.Series(np.where(ids.isna(), 0, out).astype(np.int32))
     return number
 
 
@@ -322,20 +347,21 @@ def _segments(path: str, end_id: int, lanes: int):
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        nameless: list[int] = []
 
         def flush():
             nonlocal number
             d, s, x = (np.concatenate(v) for v in (docs, sizes, ids))
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()),
-                                              pa.array([pack_segment(d, s, x)], pa.binary())], ["part", "segment", "n_ids", "payload"])
+                                              pa.array([pack_segment(d, s, x, sum(nameless))], pa.binary())], ["part", "segment", "n_ids", "payload"])
             number += 1
-            for v in (docs, sizes, ids):
+            for v in (docs, sizes, ids, nameless):
                 v.clear()
             return row
 
         for batch in batches:
             parts = batch.column(0).to_numpy()
-            names = batch.column(1).fill_null(-1 << 63).to_numpy()
+            names, missing = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for a, b, data, offsets in text.pieces(batch.column(2), 4 << 20):
                 with np.errstate(over="ignore"):
                     found, at = encoder(data, offsets)
@@ -348,6 +374,7 @@ def _segments(path: str, end_id: int, lanes: int):
                             yield flush()
                         part, number = int(parts[a + i]), 0
                     docs.append(names[a + i:a + j])
+                    nameless.append(int(missing[a + i:a + j].sum()))
                     sizes.append(np.diff(at[i:j + 1]))
                     ids.append(closed[at[i]:at[j]])
                     if sum(map(len, ids)) >= lanes * BLOCK:
@@ -364,18 +391,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, lanes
     bounds = docs.stat.approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 0.2 / cuts) if cuts > 1 else []
     bounds = sorted({int(b) for b in bounds})
     rows = docs.select(_range(bounds)(F.col("doc_id")).alias("part"), "doc_id", "text")
-    rows = rows.repartition(max(1, cuts), "part").sortWithinPartitions("part", "doc_id", "text")
+    rows = rows.repartitionById(len(bounds) + 2, "part").sortWithinPartitions("part", "doc_id", "text")     # a range, a task
     rows.mapInArrow(_segments(vocabulary, end_id, lanes), "part int, segment int, n_ids long, payload binary").write.parquet(path)
 
 
 def _read(batches):
     for batch in batches:
         for payload, first in zip(batch.column(0), batch.column(1).to_pylist()):
-            docs, sizes, ids = unpack_segment(payload.as_py())
+            docs, sizes, ids, nameless = unpack_segment(payload.as_py())
             at = np.concatenate([[0], np.cumsum(sizes)])
             raw = memoryview(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, mask=docs == -1 << 63), pa.array(at[:-1] + first), pa.array(sizes),
+                [pa.array(docs, mask=np.arange(len(docs)) < nameless), pa.array(at[:-1] + first), pa.array(sizes),
                  pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -6,6 +6,7 @@ import numpy as np
 
 from spoor.llm import lines
 from tests.llm import brute
+from tests.llm.test_text import thue_morse
 
 
 def wanted(rows):
@@ -54,3 +55,25 @@ def test_repeated_rows_and_missing_ids(spark):
     rows = sorted((str(r.doc_id), r.n_dropped) for r in lines.line_digests(docs).collect())
     assert rows == [("1", 1), ("1", 1), ("2", 0), ("None", 0)]
     assert lines.line_digests(docs.filter("doc_id = 9")).collect() == [] and lines.drop_lines(docs.filter("doc_id = 9")).collect() == []
+
+
+def test_rows_of_one_id_are_answered_by_their_own_text(spark):
+    line, other = "the same line in several rows", "another line in several rows"
+    rows = [(1, f"{line}\nx"), (1, f"{other}\ny"), (1, "z"), (2, f"{other}\n{line}"), (3, f"{line}\n{other}")]
+    docs = spark.createDataFrame([*rows, *[(None, line)] * 50], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in lines.line_digests(docs).filter("doc_id IS NOT NULL").collect()) == [
+        (1, 0), (1, 1), (1, 1), (2, 2), (3, 0)]
+    assert sorted((r.doc_id or 0, r.text) for r in lines.drop_lines(docs).collect()) == sorted(
+        [(0, line)] * 50 + [(1, "x"), (1, "y"), (1, "z"), (2, ""), rows[-1]])
+
+
+def test_lines_made_to_collide_in_polynomials(spark):
+    s, c = thue_morse()
+    docs = spark.createDataFrame([(1, s), (2, s), (3, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in lines.line_digests(docs).collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_many_holders(spark):
+    docs = spark.createDataFrame([(i, "one line that every document holds") for i in range(300)], "doc_id long, text string")
+    for min_docs, gone in ((255, 299), (256, 299), (300, 299), (301, 0)):
+        assert lines.lost_lines(docs, min_docs=min_docs)[1].count() == gone

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from spoor.llm import pieces
+from tests.llm.test_text import thue_morse
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -97,3 +98,10 @@ def test_every_way_is_given_back(spark, vocabulary):
     assert sums[100] == sums[101] == [0] and len(sums[102]) == 4
     short = pieces.encoded(docs, MODEL, keep_ids=False).collect()
     assert {r.doc_id: r.ways_crc32 for r in short} == sums and all(r.ids_crc32 == r.ways_crc32[0] for r in short)
+
+
+def test_stretches_made_to_collide_in_polynomials(spark):
+    rows = list(enumerate(thue_morse()))
+    found = pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string"), MODEL)
+    assert [r.decodes for r in found.collect()] == [True, True]
+    assert {r.doc_id: r.text for r in pieces.decoded(found, MODEL).collect()} == dict(rows)

@@ -8,6 +8,7 @@ import numpy as np
 
 from spoor.llm import repeats
 from tests.llm import brute
+from tests.llm.test_text import thue_morse
 
 
 def wanted(rows):
@@ -85,3 +86,11 @@ def test_equal_substrings_share_keys_at_any_offset():
                 key, first, last, _, _ = repeats.keys(x, np.array([0, len(x)]))
                 return np.repeat(key, last - first + 1)
             assert (of(a)[len(a) - 100:] == of(b)[:66]).all()
+
+
+def test_words_made_to_collide_in_polynomials(spark):
+    s, c = thue_morse()
+    around = [f"w{i}" for i in range(18)]
+    rows = [(1, " ".join([*around, s, *around[::-1]])), (2, " ".join([*around, c, *around[::-1]])), (3, " ".join([*around, c, *around[::-1], "x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.repeat_digests(docs)) == wanted(rows) and wanted(rows)[1][1] == 0 < wanted(rows)[2][1]

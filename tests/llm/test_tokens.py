@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spoor.llm import tokens
+from tests.llm.test_text import thue_morse
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,7 +39,7 @@ def test_given_documents(spark, tmp_path, monkeypatch):
 
 def test_hard_rows(spark, tmp_path):
     rows = [(3, None), (1, ""), (2, " \n"), (9, "don't STOP.it's<|endoftext|>x <|ENDOFTEXT|> 12a.b,c!'s (é.́x) a b　c"), (7, "日本 " * 9000),
-            (None, "x"), (4, "é.é ́ . ÀÈ"), (5, "b"), (5, "a"), (6, "w " * 30_000)]
+            (None, "x"), (None, "y"), (-(1 << 63), "z"), ((1 << 63) - 1, "z"), (4, "é.é ́ . ÀÈ"), (5, "b"), (5, "a"), (6, "w " * 30_000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int")
     tokens.write_tokens(docs, f"{tmp_path}/t", VOCABULARY, 2)
     assert got(tokens.read_tokens(spark, f"{tmp_path}/t")) == wanted(rows)
@@ -65,10 +66,10 @@ def test_round_trip(n, kinds):
     ids = (rng.integers(0, kinds, n) * rng.integers(0, 2, n)).astype(np.uint32)
     if n > 100:
         ids[n // 2:n // 2 + n // 4] = ids[:n // 4]
-    docs, sizes = np.array([5, -(1 << 63)]), np.array([n // 3, n - n // 3])
-    raw = tokens.pack_segment(docs, sizes, ids)
+    docs, sizes = np.array([0, -(1 << 63)]), np.array([n // 3, n - n // 3])
+    raw = tokens.pack_segment(docs, sizes, ids, 1)
     back = tokens.unpack_segment(raw)
-    assert (back[0] == docs).all() and (back[1] == sizes).all() and (back[2] == ids).all()
+    assert (back[0] == docs).all() and (back[1] == sizes).all() and (back[2] == ids).all() and back[3] == 1
     if n >= 4096 and kinds > 1:
         damaged = bytearray(raw)
         damaged[-30] ^= 0x55
@@ -76,3 +77,20 @@ def test_round_trip(n, kinds):
             tokens.unpack_segment(bytes(damaged))
     if kinds == 5:
         assert len(raw) < n
+
+
+def test_words_made_to_collide_in_polynomials():
+    encoder, library = tokens.WordEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for word in thue_morse():
+        ids, _ = encoder(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_see_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokens.WordEncoder(path), Tokenizer.from_file(path)
+    assert tokens.WordEncoder(VOCABULARY).by_words and not encoder.by_words
+    rows = ["Two  spaces", "two  spaces", "", "A.b\n\nc"]
+    data = [r.encode() for r in rows]
+    ids, at = encoder(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(r, add_special_tokens=False).ids for r in rows]
