@@ -59,10 +59,11 @@ def pieces(column, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, n
         start = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None,
+          between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each row (plus one) the number of words before it. Words are also cut
-    before the bytes marked in `cut`."""
-    solid = ~WHITE[data]
+    before the bytes marked in `cut`; `between` marks the bytes that are in no word."""
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True                        # a word never crosses rows
     begins, ends = solid.copy(), solid.copy()
