@@ -22,6 +22,7 @@ their texts; rows without doc_id come first; an empty table gives no segment; ot
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from spoor.llm import shared, text
 
-BLOCK = 4096              # ids of a block
-LANES = 3072              # blocks of a segment that has no very long document
+BLOCK = 1024              # ids of a block
+LANES = 12_288             # blocks of a segment that has no very long document
 KNOWN = 400_000           # words an encoder remembers
 ROWS, RANGES = 4500, 2000
 _U = np.uint64
@@ -139,10 +140,16 @@ class WordEncoder:
         return ids, total[bounds]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a Python worker, kept for the next task."""
+    return WordEncoder(path)
+
+
 # ---- range coder ---------------------------------------------------------------------------------------------------
 
 _TOP, _BOTTOM, _WORD = _U(1 << 48), _U(1 << 32), _U(16)
-_SLOTS1, _SLOTS2 = 1 << 12, 1 << 13
+_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
 _STEP, _LIMIT = 24, 3000
 
 
@@ -343,7 +350,7 @@ def _range(bounds: list[int]):
 
 def _segments(path: str, end_id: int, lanes: int):
     def write(batches):
-        encoder, part, number = WordEncoder(path), None, 0
+        encoder, part, number = encoder_of(path), None, 0
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
