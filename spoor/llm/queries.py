@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.llm import ballkmeans, fingerprints, langid, lines, neardup, packing, pieces, quality, ranked, repeats, tokens, topk
+from spoor.llm import ballkmeans, fingerprints, langid, lines, neardup, packing, pieces, private, quality, ranked, repeats, tokens, topk
 from spoor.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from spoor.session import scratch_path
 
@@ -124,3 +124,8 @@ def _ball_oracle(rounds: int = 6) -> str:
 @query("op11_vector_codes", _ball_oracle())
 def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return ballkmeans.compressed(table(spark, sf, "embeddings"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return private.private_digests(table(spark, sf, "documents"))
