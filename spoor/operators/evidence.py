@@ -228,9 +228,9 @@ def described(df: DataFrame, kind: int) -> Column:
     """``name: value`` lines of a record in schema order, then its derived fields."""
     df = normalize_enums(df, kind)
     shown = []
-    for name, code in schemas.fields(kind):
+    for name, stored in schemas.fields(kind):
         c = F.col(name)
-        shown.append((name, B.hex_address(c) if code == "a" else B.hex_text(c) if code == "x" else c.cast("string")))
+        shown.append((name, B.hex_address(c) if stored == "address" else B.hex_text(c) if stored == "bytes" else c.cast("string")))
     for flag, (on, off) in schemas.FLAG_WORDS.items():
         if flag in dict(schemas.fields(kind)):
             shown.append(("event", F.when(F.col(flag), on).otherwise(off)))

@@ -234,7 +234,7 @@ def check_started(state: DataFrame) -> None:
 
 # --- field decoding ----------------------------------------------------------------------------------
 
-_FIXED = {"q": "q", "a": "q", "i": "I", "d": "i", "c": "B", "b": "B"}
+_FIXED = {"u64": "q", "address": "q", "u32": "I", "i32": "i", "enum": "B", "flag": "B"}
 
 
 def _steps(kind: int):
@@ -254,7 +254,7 @@ def _steps(kind: int):
     return steps
 
 
-_ARRAYS = {"q": "<i8", "a": "<i8", "i": "<u4", "d": "<i4", "c": "u1", "b": "u1"}
+_ARRAYS = {"u64": "<i8", "address": "<i8", "u32": "<u4", "i32": "<i4", "enum": "u1", "flag": "u1"}
 
 
 def _fixed_decoder(kind: int):
@@ -271,9 +271,9 @@ def _fixed_decoder(kind: int):
             if (sizes > layout.itemsize).any():
                 raise ValueError("Bytes left over after the last field")
             data = np.frombuffer(b"".join(batch["payload"]), layout)
-            if any((data[name] > 1).any() for name, code in fields if code == "b"):
+            if any((data[name] > 1).any() for name, code in fields if code == "flag"):
                 raise ValueError(f"Undecodable record of type {kind}: flag byte is neither 0 nor 1")
-            wide = {"b": bool, "d": np.int32}
+            wide = {"flag": bool, "i32": np.int32}
             yield pd.DataFrame({"run_id": batch["run_id"], "block_id": batch["block_id"], "position": batch["position"],
                                 **{name: data[name].astype(wide.get(code, np.int64)) for name, code in fields}})
     return decode
@@ -294,16 +294,16 @@ def _decoder(kind: int):
                     for packed, spec in steps:
                         if packed is not None:
                             for (name, code), v in zip(spec, packed.unpack_from(payload, at)):
-                                if code == "b" and v > 1:
+                                if code == "flag" and v > 1:
                                     raise ValueError("flag byte is neither 0 nor 1")
-                                values[name].append(v == 1 if code == "b" else v)
+                                values[name].append(v == 1 if code == "flag" else v)
                             at += packed.size
                         else:
                             (n,) = struct.unpack_from("<I", payload, at)
                             if at + 4 + n > len(payload):
                                 raise ValueError("field longer than its record")
                             raw = payload[at + 4:at + 4 + n]
-                            values[spec[0]].append(raw.decode("utf-8") if spec[1] == "s" else raw)
+                            values[spec[0]].append(raw.decode("utf-8") if spec[1] == "text" else raw)
                             at += 4 + n
                 except (struct.error, ValueError) as error:
                     raise ValueError(f"Undecodable record of type {kind}: {error}") from error
@@ -314,7 +314,8 @@ def _decoder(kind: int):
     return decode
 
 
-_WIRE = {"q": "bigint", "a": "bigint", "i": "bigint", "d": "int", "c": "bigint", "b": "boolean", "s": "string", "x": "binary"}
+_WIRE = {"u64": "bigint", "address": "bigint", "u32": "bigint", "i32": "int", "enum": "bigint", "flag": "boolean", "text": "string",
+         "bytes": "binary"}
 
 
 def decode_records(records: DataFrame, kind: int) -> DataFrame:
@@ -327,7 +328,7 @@ def decode_records(records: DataFrame, kind: int) -> DataFrame:
         f"{n} {_WIRE[c]}" for n, c in schemas.fields(kind))
     rows = (records.filter(F.col("type") == kind).select("run_id", "block_id", "position", "payload")
             .mapInPandas(_decoder(kind), schema))
-    rows = rows.withColumns({n: B.wrap_unsigned(n) for n, c in schemas.fields(kind) if c == "a"} or {"run_id": F.col("run_id")})
+    rows = rows.withColumns({n: B.wrap_unsigned(n) for n, c in schemas.fields(kind) if c == "address"} or {"run_id": F.col("run_id")})
     typed = normalize_enums(rows, kind)
     kept = [n for n, _ in schemas.fields(kind)]
     order = F.struct("block_id", "position").alias("ordinal")

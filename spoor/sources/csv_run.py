@@ -14,13 +14,13 @@ from spoor.functions import bytes as B
 from spoor.session import path_exists
 
 OPTIONAL = (18,)
-_MAX = {"q": (1 << 63) - 1, "i": (1 << 32) - 1, "c": 255}
+_MOST = {"u64": (1 << 63) - 1, "u32": (1 << 32) - 1, "enum": 255}
 _ABSENT = "\u0001absent"     # never a field value; keeps empty fields apart from missing ones
 
 
 def _columns(kind: int) -> list[tuple[str, str]]:
-    """(column, code) pairs of the text form: flags appear as an ``event`` word (code e)."""
-    return [("event", "e") if n in schemas.FLAG_WORDS else (n, c) for n, c in schemas.fields(kind)]
+    """(column, type) pairs of the text form: flags appear as an ``event`` word."""
+    return [("event", "word") if n in schemas.FLAG_WORDS else (n, c) for n, c in schemas.fields(kind)]
 
 
 def _words(kind: int, name: str) -> list[str] | None:
@@ -50,8 +50,8 @@ def read_text_dataset(spark: SparkSession, path: str, kind: int) -> DataFrame:
     line by line so that Spark can split them.
     """
     header = read_header(spark, path, kind)
-    known = dict(_columns(kind)) | dict(f.split(":") for f in schemas.CSV_EXTRAS.get(kind, []))
-    multiline = any(known.get(n, "s") == "s" for n in header)
+    known = dict(_columns(kind)) | dict(schemas.text_extras(kind))
+    multiline = any(known.get(n, "text") == "text" for n in header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
     return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", multiline).option("mode", "FAILFAST").option("columnPruning", False)
@@ -59,32 +59,37 @@ def read_text_dataset(spark: SparkSession, path: str, kind: int) -> DataFrame:
             .csv(path))
 
 
-def _violation(kind: int, name: str, code: str) -> Column:
-    v = F.col(name)
-    words = _words(kind, name)
+def _whole(text: Column, digits: int) -> Column:
+    """Decimal digits as a number, 0 where there are too many; leading zeros do not count."""
+    shown = F.ltrim(text, F.lit("0"))
+    return F.when(F.length(shown).between(1, digits), shown.cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+
+def _allowed(kind: int, name: str, stored: str) -> Column | None:
+    """Whether the text of a column is in its domain; None: every text is."""
+    v, words = F.col(name), _words(kind, name)
     if words is not None:
-        bad = ~v.isin(*words)
-    elif code == "a":
-        good = v.rlike("^0x[0-9a-fA-F]{1,16}$")
-        if (kind, name) == (16, "size"):
-            good = good | v.rlike("^[0-9]+$")
-        bad = ~good
-    elif code in _MAX:
-        digits = F.ltrim(v, F.lit("0"))
-        fits = (F.length(digits) <= 19) & (
-            F.when(F.length(digits).between(1, 19), digits.cast("decimal(20,0)")).otherwise(F.lit(0)) <= _MAX[code])
-        bad = ~(v.rlike("^[0-9]+$") & fits)
-    elif code == "d":
-        digits = F.ltrim(F.regexp_replace(v, "^[+-]", ""), F.lit("0"))
-        bad = ~(v.rlike("^[+-]?[0-9]+$") & (F.length(digits) <= 10)
-                & F.when(v.rlike("^[+-]?[0-9]{1,18}$"), v.cast("bigint")).otherwise(F.lit(0)).between(-(1 << 31), (1 << 31) - 1))
-    elif code == "b":
-        bad = ~v.isin("true", "false")
-    elif code == "x":
-        bad = ~v.rlike("^(?:[0-9a-fA-F]{2})*$")
-    else:
-        bad = F.lit(False)
-    return F.when(v.isNull() | bad, F.lit(name))
+        return v.isin(*words)
+    if stored == "flag":
+        return v.isin("true", "false")
+    if stored == "bytes":
+        return v.rlike("^(?:[0-9a-fA-F]{2})*$")
+    if stored == "address":
+        hexadecimal = v.rlike("^0x[0-9a-fA-F]{1,16}$")
+        return hexadecimal | v.rlike("^[0-9]+$") if (kind, name) == (16, "size") else hexadecimal
+    if stored in _MOST:
+        return v.rlike("^[0-9]+$") & (F.length(F.ltrim(v, F.lit("0"))) <= 19) & (_whole(v, 19) <= _MOST[stored])
+    if stored == "i32":
+        size = F.regexp_replace(v, "^[+-]", "")
+        least = F.when(v.startswith("-"), F.lit(1 << 31)).otherwise(F.lit((1 << 31) - 1))
+        return v.rlike("^[+-]?[0-9]+$") & (F.length(F.ltrim(size, F.lit("0"))) <= 10) & (_whole(size, 10) <= least)
+    return None
+
+
+def _violation(kind: int, name: str, stored: str) -> Column:
+    allowed = _allowed(kind, name, stored)
+    missing = F.col(name).isNull()
+    return F.when(missing if allowed is None else missing | ~allowed, F.lit(name))
 
 
 def csv_violations(df: DataFrame, kind: int) -> DataFrame:
@@ -101,22 +106,22 @@ def typed(df: DataFrame, kind: int, strict: bool = True) -> DataFrame:
         failed = F.raise_error(F.concat(F.lit(f"Field outside its domain in {schemas.NAMES[kind]}: "), F.array_join(checks, ",")))
         df = df.withColumn(first, F.when(F.size(checks) > 0, failed).otherwise(F.col(first)))
     result = []
-    for name, code in schemas.fields(kind) + [tuple(f.split(":")) for f in schemas.CSV_EXTRAS.get(kind, [])]:
+    for name, stored in schemas.fields(kind) + schemas.text_extras(kind):
         if name in schemas.FLAG_WORDS:
             result.append((F.col("event") == schemas.FLAG_WORDS[name][0]).alias(name))
             continue
-        dtype = schemas.spark_type(kind, name, code)
+        dtype = schemas.spark_type(kind, name, stored)
         if name not in df.columns:
             value = F.lit(None).cast(dtype)
-        elif code == "a":
+        elif stored == "address":
             value = B.parse_unsigned(name)
-        elif code == "x":
+        elif stored == "bytes":
             value = F.unhex(name)
         else:
             value = F.col(name).cast(dtype)
         result.append(value.alias(name))
     extra = [c for c in df.columns if c not in dict(_columns(kind)) and c != "event"
-             and c not in [f.split(":")[0] for f in schemas.CSV_EXTRAS.get(kind, [])]]
+             and c not in dict(schemas.text_extras(kind))]
     return df.select(*result, *extra)
 
 
@@ -149,15 +154,15 @@ def _check_run(run: DataFrame) -> None:
 def text_form(df: DataFrame, kind: int) -> DataFrame:
     """Typed rows as the text columns of a CSV file."""
     shown = []
-    names = {f.split(":")[0]: f.split(":")[1] for f in schemas.CSV_EXTRAS.get(kind, [])}
-    for name, code in schemas.fields(kind) + [(n, c) for n, c in names.items() if n in df.columns]:
+    names = dict(schemas.text_extras(kind))
+    for name, stored in schemas.fields(kind) + [(n, c) for n, c in names.items() if n in df.columns]:
         c = F.col(name)
         if name in schemas.FLAG_WORDS:
             on, off = schemas.FLAG_WORDS[name]
             shown.append(F.when(c, on).otherwise(off).alias("event"))
-        elif code == "a" and (kind, name) != (16, "size"):
+        elif stored == "address" and (kind, name) != (16, "size"):
             shown.append(B.hex_address(c).alias(name))
-        elif code == "x":
+        elif stored == "bytes":
             shown.append(F.coalesce(B.hex_text(c), F.lit("")).alias(name))
         else:
             shown.append(c.cast("string").alias(name))

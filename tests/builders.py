@@ -27,18 +27,18 @@ def encode(kind, values):
     out = b""
     enums = {n: w for (k, n), w in schemas.ENUMS.items() if k == kind}
     for (name, code), v in zip(schemas.fields(kind), values):
-        if code in "qa":
+        if code in ("u64", "address"):
             out += struct.pack("<Q", v)
-        elif code == "i":
+        elif code == "u32":
             out += struct.pack("<I", v)
-        elif code == "d":
+        elif code == "i32":
             out += struct.pack("<i", v)
-        elif code == "c":
+        elif code == "enum":
             out += struct.pack("<B", enums[name].index(v) if isinstance(v, str) else v)
-        elif code == "b":
+        elif code == "flag":
             out += struct.pack("<B", int(v))
         else:
-            raw = v.encode() if code == "s" else v
+            raw = v.encode() if code == "text" else v
             out += struct.pack("<I", len(raw)) + raw
     return out
 
@@ -68,9 +68,9 @@ def sample_values(kind, n):
     for i, (name, code) in enumerate(schemas.fields(kind)):
         x = n * 31 + i
         values.append({
-            "q": x + 1, "a": (1 << 64) - 1 - x, "i": (1 << 32) - 1 - x, "d": -x - 1, "b": x % 2 == 0,
-            "s": f"tëxt \"{x}\"", "x": bytes([x % 256, 0, 255])}.get(code)
-            if code != "c" else (words[name][x % len(words[name])] if name in words else x % 19))
+            "u64": x + 1, "address": (1 << 64) - 1 - x, "u32": (1 << 32) - 1 - x, "i32": -x - 1, "flag": x % 2 == 0,
+            "text": f"tëxt \"{x}\"", "bytes": bytes([x % 256, 0, 255])}.get(code)
+            if code != "enum" else (words[name][x % len(words[name])] if name in words else x % 19))
         if name == "format_version":
             values[-1] = 20
         if name == "pointer_size":

@@ -56,10 +56,10 @@ def test_every_record_type_round_trips(spark, tmp_path):
     for kind, name in schemas.NAMES.items():
         rows = tables[name].collect()
         fields = schemas.fields(kind)
-        got = {tuple(bytes(r[f]) if c == "x" else r[f] for f, c in fields) for r in rows}
+        got = {tuple(bytes(r[f]) if c == "bytes" else r[f] for f, c in fields) for r in rows}
         expected = set()
         for i in range(2):
-            expected.add(tuple(Decimal(v) if c == "a" else v for v, (f, c) in zip(sample_values(kind, i), fields)))
+            expected.add(tuple(Decimal(v) if c == "address" else v for v, (f, c) in zip(sample_values(kind, i), fields)))
         assert got == expected, name
 
 
