@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.functions import bytes as B
 from spoor.operators import ordered
-from spoor.operators.history import newest
 from spoor.session import reliable_checkpoint
 
 FRAME_PIECE = 1 << 17   # sequence numbers per piece of the call-stack replay
+STACK_PIECE = 1 << 16   # sequence numbers per piece of a thread with a snapshot of its open calls
 
 
 def call_lifetimes(evidence: DataFrame) -> DataFrame:
@@ -80,26 +82,103 @@ def _active_spans(evidence: DataFrame) -> DataFrame:
                         F.coalesce(until, F.lit(ordered.LAST)).alias("until"))
 
 
-def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = None) -> DataFrame:
+def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = None, piece: int = STACK_PIECE) -> DataFrame:
     """Active calls, all or the newest ``limit``, per cursor (cursor_id, run_id, tid, cursor).
 
     A call is active at a cursor strictly after it, if it has not returned by then and its thread has
-    not changed context since. Spans are tiled with dyadic nodes, so the pairing is an equi-join that
-    yields each pair once; only the newest calls of a node can matter to its cursors.
+    not changed context since.
     """
-    return _active(evidence, cursors, [], limit)
+    return _active(evidence, cursors, [], limit, piece)
+
 
+def stack_snapshots(spans: DataFrame, cursors: DataFrame, piece: int = STACK_PIECE) -> tuple[DataFrame, DataFrame]:
+    """For each thread piece that holds a cursor: the calls active at some moment of it, and the cursors.
 
-def _active(evidence: DataFrame, cursors: DataFrame, same: list[str], limit: int | None) -> DataFrame:
-    """Active calls that agree with their cursor in the columns ``same`` too, the newest ``limit`` of them."""
-    node = ["run_id", "tid", *same, "node"]
-    spans = (_active_spans(evidence).filter(F.col("until") > F.col("seq"))
-             .withColumn("node", F.explode(ordered.cover_nodes("seq + 1", "until"))))
-    spans = newest(spans, node, limit)
-    wanted = (cursors.filter(F.col("tid") >= 0)
-              .withColumn("node", F.explode(ordered.point_nodes("cursor"))))
-    hits = wanted.join(spans, node).drop("node")
-    return newest(hits, ["cursor_id"], limit)
+    That is the snapshot of the calls open at the piece's beginning and the calls made in it. Wanted pieces are numbered
+    within their thread (``part``); a call belongs to the numbers from its first to its last wanted piece, which two ordered
+    look-ups find, so nothing is stored for moments that nobody asks about.
+    """
+    thread = ["run_id", "tid"]
+    cursors = cursors.withColumn("_piece", F.expr(f"cursor div {piece}"))
+    pieces = cursors.select(*thread, "_piece").distinct()
+    pieces = ordered.ordinals(pieces, thread, "part", order="_piece")
+    last = pieces.groupBy(*thread).agg(F.max("_piece").alias("_last"), F.count(F.lit(1)).alias("_parts"))
+    spans = (spans.join(last, thread).withColumn("_from", F.expr(f"(seq + 1) div {piece}"))
+             .withColumn("_to", F.expr(f"until div {piece}")).filter("_from <= _last"))
+    begin = _pieces_up_to(spans, pieces, thread, F.col("_from") - 1, "_begin")
+    # what outlasts all wanted pieces needs no look-up
+    lasting = begin.filter("_to >= _last").withColumn("_end", F.col("_parts"))
+    ending = _pieces_up_to(begin.filter("_to < _last"), pieces, thread, F.col("_to"), "_end")
+    found = lasting.unionByName(ending).filter("_begin < _end")
+    found = found.withColumn("part", F.explode(F.expr("sequence(_begin, _end - 1)")))
+    return (found.drop("_last", "_parts", "_from", "_to", "_begin", "_end"),
+            cursors.join(pieces, [*thread, "_piece"]).drop("_piece"))
+
+
+def _pieces_up_to(spans: DataFrame, pieces: DataFrame, thread: list[str], at, out: str) -> DataFrame:
+    """Adds how many wanted pieces of the thread have a number up to ``at``."""
+    rows = spans.withColumn("_at", at).withColumn("_wanted", F.lit(0))
+    marks = pieces.select(*thread, F.col("_piece").alias("_at"), F.lit(1).alias("_wanted"))
+    return (ordered.running_sum(rows.unionByName(marks, allowMissingColumns=True), thread, F.col("_wanted"), out, order="_at",
+                                tie=(F.desc("_wanted"),), segment=1).filter("_wanted = 0").drop("_at", "_wanted"))
+
+
+def _stacks(same: list[str], limit: int | None, columns: list[str]):
+    """One thread piece: pairs of a cursor and a call active at it, the newest ``limit`` ones of each cursor or all."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pairs(seq, until, key, at, wanted):
+        calls, moments = np.argsort(seq, kind="stable"), np.argsort(at, kind="stable")
+        upto = np.searchsorted(seq[calls], at[moments])          # a call counts strictly after it
+        done, heaps, open_ = 0, {}, np.zeros(0, np.int64)
+        for cursor, n in zip(moments.tolist(), upto.tolist()):
+            if limit is None:
+                open_ = np.concatenate([open_, calls[done:n]])
+                open_ = open_[until[open_] >= at[cursor]]
+                yield cursor, open_
+            else:
+                for call in calls[done:n].tolist():
+                    heapq.heappush(heaps.setdefault(key[call], []), (-seq[call], until[call], call))
+                heap, newest_ = heaps.get(wanted[cursor], []), []
+                while heap and len(newest_) < limit:
+                    top = heapq.heappop(heap)
+                    if top[1] >= at[cursor]:                      # what is over by now is over for later cursors too
+                        newest_.append(top)
+                for top in newest_:
+                    heapq.heappush(heap, top)
+                yield cursor, [top[2] for top in newest_]
+            done = n
+
+    def replay(calls: pa.Table, cursors: pa.Table) -> pa.Table:
+        key = list(zip(*(calls.column(c).to_pylist() for c in same))) if same else [()] * calls.num_rows
+        wanted = list(zip(*(cursors.column(c).to_pylist() for c in same))) if same else [()] * cursors.num_rows
+        found = list(pairs(calls.column("seq").to_numpy(), calls.column("until").to_numpy(), key, cursors.column("cursor").to_numpy(), wanted))
+        left = np.repeat(np.array([c for c, _ in found], np.int64), [len(x) for _, x in found])
+        right = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for _, x in found)])
+        taken = calls.take(pa.array(right))
+        return pa.table({c: cursors.column(c).take(pa.array(left)) if c in ("cursor_id", "cursor") else taken.column(c) for c in columns})
+    return replay
+
+
+def _active(evidence: DataFrame, cursors: DataFrame, same: list[str], limit: int | None, piece: int = STACK_PIECE) -> DataFrame:
+    """Active calls that agree with their cursor in the columns ``same`` too, the newest ``limit`` of them.
+
+    A thread's calls are cut into pieces; a cursor reads the snapshot of the calls open at the beginning of its piece and
+    the calls of the piece itself, in one bounded task.
+    """
+    thread = ["run_id", "tid"]
+    wanted = cursors.filter(F.col("tid") >= 0).select("cursor_id", *thread, "cursor", *same)
+    spans = _active_spans(evidence).filter(F.col("until") > F.col("seq"))
+    if same:
+        spans = spans.join(wanted.select(*thread, *same).distinct(), [*thread, *same], "left_semi")
+    spans, wanted = stack_snapshots(spans, wanted, piece)
+    kinds = dict(spans.dtypes) | dict(wanted.dtypes)
+    columns = ["cursor_id", *thread, "cursor", "seq", "cid", "target", "returned", "until"]
+    group = [*thread, "part"]
+    wanted = wanted.toDF(*wanted.columns)          # cursors may be rows of the same evidence
+    return spans.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInArrow(
+        _stacks(same, limit, columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def resolve_stack(evidence: DataFrame, calls: DataFrame, watches: DataFrame) -> DataFrame:
@@ -193,13 +272,13 @@ def _replay_piece(rows):
     n = len(rows)
     settled, closes = kinds == 0, np.full(n, -1, dtype=np.int64)
     frames, floor = [], 0          # open calls; those below ``floor`` lie under an unresolved return
+    heights = {}                   # for each address the heights at which it was pushed; those that are no more are popped when met
     for i in range(n):
         if kinds[i] == 7:
+            heights.setdefault(addresses[i], []).append(len(frames))
             frames.append(i)
         elif kinds[i] == 8:
-            at = len(frames) - 1
-            while at >= floor and addresses[frames[at]] != addresses[i]:
-                at -= 1
+            at = _top(heights.get(addresses[i]), frames, addresses, addresses[i])
             if at >= floor:
                 closes[i] = frames[at]
                 settled[i] = True
@@ -223,6 +302,15 @@ def _replay_piece(rows):
         match=np.where(closes >= 0, ids[np.maximum(closes, 0)], 0), anchor=anchor, over=over, residue=~settled)
 
 
+def _top(heights, frames, addresses, address):
+    """The greatest height at which an open frame expects the address, -1 if there is none."""
+    while heights:
+        if heights[-1] < len(frames) and addresses[frames[heights[-1]]] == address:
+            return heights[-1]
+        heights.pop()
+    return -1
+
+
 _REPLAYED = "run_id bigint, tid bigint, piece bigint, seq bigint, match bigint, depth bigint, height bigint"
 
 
@@ -230,22 +318,22 @@ def _replay_residue(batches):
     """Stream residue rows in (run, thread, sequence) order, keeping only the open frames."""
     import pandas as pd
     columns = ["run_id", "tid", "piece", "seq", "kind", "call_id", "address"]
-    owner, frames = None, []
+    owner, frames, expected, heights = None, [], [], {}
     for batch in batches:
         out = []
         for run, tid, piece, seq, kind, cid, address in batch[columns].itertuples(index=False, name=None):
             if owner != (run, tid):
-                owner, frames = (run, tid), []
+                owner, frames, expected, heights = (run, tid), [], [], {}
             match, depth = 0, len(frames)
             if kind == 7:
-                frames.append((cid, address))
+                heights.setdefault(address, []).append(len(frames))
+                frames.append(cid)
+                expected.append(address)
             elif kind == 8:
-                at = len(frames) - 1
-                while at >= 0 and frames[at][1] != address:
-                    at -= 1
+                at = _top(heights.get(address), range(len(frames)), expected, address)
                 if at >= 0:
-                    match, depth = frames[at][0], at
-                    del frames[at:]
+                    match, depth = frames[at], at
+                    del frames[at:], expected[at:]
             out.append((run, tid, piece, seq, match, depth, len(frames)))
         yield pd.DataFrame(out, columns=["run_id", "tid", "piece", "seq", "match", "depth", "height"])
 

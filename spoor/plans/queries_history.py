@@ -203,16 +203,21 @@ def resolve_stack(spark, sf):
 _DEEP = """SELECT o_orderkey + 1 AS seq, 1 + o_orderkey % 997 AS target FROM orders"""
 
 
-@query("resolve_stack_deep", f"""WITH c AS ({_DEEP}) SELECT watch_id, seq AS call_seq, 1000000 + seq - 8 + 16 AS address
-  FROM (SELECT unnest(range(1, 998)) AS watch_id) LEFT JOIN (SELECT target, max(seq) AS seq FROM c WHERE seq < 1200 GROUP BY target) ON target = watch_id""")
+@query("resolve_stack_deep", f"""WITH c AS ({_DEEP}), e AS (SELECT max(seq) AS top FROM c), n AS (SELECT max(s_suppkey) AS many FROM supplier),
+  w AS (SELECT s_suppkey AS watch_id, 1 + s_suppkey % 997 AS target, 1 + s_suppkey * top // many AS cursor FROM supplier, e, n)
+  SELECT watch_id, max(seq) AS call_seq, 1000000 + max(seq) - 8 + 16 AS address FROM w LEFT JOIN c ON c.target = w.target AND seq < cursor
+  GROUP BY watch_id""")
 def resolve_stack_deep(spark, sf):
-    """Orders as calls that never return; most functions lie hundreds of frames deep."""
+    """Orders as calls that never return, seen by a watch per supplier all along the run: most functions lie hundreds of frames deep."""
     rows = t.read(spark, sf, "orders").selectExpr(
         "1L AS run_id", "o_orderkey + 1 AS seq", "7 AS kind", "1L AS tid", "o_orderkey + 1 AS cid",
         "CAST(1 + o_orderkey % 997 AS DECIMAL(20,0)) AS target")
     pointers = rows.selectExpr("run_id", "seq AS sequence", "CAST(1000000 + seq AS DECIMAL(20,0)) AS stack_pointer")
-    watches = rows.selectExpr("run_id", "target").distinct().selectExpr(
-        "CAST(target AS BIGINT) AS watch_id", "run_id", "1L AS tid", "1200L AS cursor", "target", "16 AS offset", "8 AS size")
+    suppliers = t.read(spark, sf, "supplier")
+    top, many = rows.agg(F.max("seq")).first()[0], suppliers.agg(F.max("s_suppkey")).first()[0]
+    watches = suppliers.selectExpr(
+        "CAST(s_suppkey AS BIGINT) AS watch_id", "1L AS run_id", "1L AS tid", f"1 + s_suppkey * {top}L div {many} AS cursor",
+        "CAST(1 + s_suppkey % 997 AS DECIMAL(20,0)) AS target", "16 AS offset", "8 AS size")
     return big(calls.resolve_stack(rows, pointers, watches), "address").select("watch_id", "call_seq", "address")
 
 
