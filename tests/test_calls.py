@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 from spoor.operators import calls
 from tests.builders import evidence
@@ -28,7 +29,6 @@ def _run(spark, rows, piece):
 
 
 def test_nested_unwinding_and_orphan(spark):
-    from decimal import Decimal
     steps = [(7, 10, 0x1005), (7, 11, 0x2005), (8, 0, 0x2005), (7, 12, 0x3005), (8, 0, 0x1005), (8, 0, 0xdeadbeef)]
     rows = [(0, (i + 1, k, c, Decimal(a))) for i, (k, c, a) in enumerate(steps)]
     for piece in (1, 2, 100):
@@ -38,7 +38,6 @@ def test_nested_unwinding_and_orphan(spark):
 
 
 def test_random_stacks_in_small_pieces(spark):
-    from decimal import Decimal
     rng = random.Random(5)
     rows, seq = [], 0
     for tid, bias in ((0, 0.5), (1, 0.6), (2, 0.35), (3, 0.5)):
@@ -77,14 +76,41 @@ def test_active_calls_against_brute_force(spark):
                     found.append(r["seq"])
         return sorted(found, reverse=True)[:limit]
 
-    for limit in (3, None):
+    for limit, piece in ((3, 16), (None, 5), (None, 1 << 16), (1, 1)):
         got = {}
-        for r in calls.active_calls(ev, df, limit).collect():
+        for r in calls.active_calls(ev, df, limit, piece).collect():
             got.setdefault(r.cursor_id, []).append(r.seq)
         for i, _, tid, cursor in cursors:
             assert sorted(got.get(i, []), reverse=True) == expected(tid, cursor, limit)
 
 
+def test_frames_of_a_function_across_pieces(spark, monkeypatch):
+    """The newest active call to the function, also when later ones have returned; calls that never return are kept once per
+    piece that holds a cursor, not per piece."""
+    rng = random.Random(7)
+    rows, open_ = [], []
+    for seq in range(1, 600):
+        if open_ and rng.random() < 0.4:
+            rows.append(dict(seq=seq, kind=8, tid=0, cid=open_.pop(rng.randrange(len(open_)))))
+        else:
+            rows.append(dict(seq=seq, kind=7, tid=0, cid=seq, target=seq % 5))
+            if rng.random() < 0.7:
+                open_.append(seq)
+    ev, moments = evidence(spark, rows), sorted(rng.sample(range(1, 700), 25))
+    watches = spark.createDataFrame([(10 * c + f, 1, 0, c, Decimal(f), 16, 8) for c in moments for f in range(5)],
+                                    "watch_id bigint, run_id bigint, tid bigint, cursor bigint, target decimal(20,0), offset int, size int")
+    pointers = ev.filter("kind = 7").selectExpr("run_id", "seq AS sequence", "CAST(5000 + seq AS DECIMAL(20,0)) AS stack_pointer")
+    monkeypatch.setattr(calls._active, "__defaults__", (32,))
+    back = {r["cid"]: r["seq"] for r in rows if r["kind"] == 8}
+    got = {r.watch_id: (r.call_seq, r.address) for r in calls.resolve_stack(ev, pointers, watches).collect()}
+    for c in moments:
+        for f in range(5):
+            want = max((r["seq"] for r in rows if r["kind"] == 7 and r["target"] == f and r["seq"] < c and back.get(r["cid"], 10**9) > c), default=None)
+            assert got[10 * c + f] == (want, None if want is None else 5000 + want - 8 + 16)
+    spans, _ = calls.stack_snapshots(calls._active_spans(ev), watches.selectExpr("watch_id AS cursor_id", "run_id", "tid", "cursor").filter("cursor = 0"), 32)
+    assert spans.count() == 0
+
+
 def test_syscall_epochs(spark):
     rows = spark.createDataFrame([(1, 0, 1, True), (1, 0, 2, True), (1, 0, 4, False), (1, 0, 5, True), (1, 0, 6, False)],
                                  "run_id bigint, tid bigint, seq bigint, entering boolean")
