@@ -125,29 +125,39 @@ def attribute_function(events: DataFrame, functions: DataFrame, address: str = "
             .select("run_id", "seq", "_row.*", F.coalesce("_found._fid", F.lit(0)).alias("function_id")))
 
 
-_LEVELS = (16, 24, 32, 40, 48, 56)     # page sizes 2^16 .. 2^56 bytes
-_PAGES = 256                            # pages of an image at its level, at most
+_CELLS = 16                             # cells of an image along each axis, at most
+_SIZES = tuple(range(16, 64, 4))        # page sizes 2^16 .. 2^60 bytes
+_TIMES = tuple(range(4, 52, 4))         # time pieces of 2^4 .. 2^48 sequence numbers
 
 
 def attribute_module(events: DataFrame, lifetimes: DataFrame, address: str = "addr") -> DataFrame:
     """Adds module_id and module_offset of the image mapped at the address at that moment.
 
-    No image: id 0 and the address itself. An image is listed under its pages, at the smallest page size that
-    needs few of them; an event looks at the one page of its address, once for each page size that occurs (at
-    most six, usually one or two). Events are neither multiplied nor numbered nor joined with themselves.
+    No image: id 0 and the address itself. The plane of address and time is cut into cells, and an image is listed under
+    those it touches, with the smallest page size and time piece that need few of them. An event looks at the one cell of
+    its address and moment, once for each pair of sizes that occurs. A cell lists what is mapped near one place at about
+    one time, however often an image is loaded again; events are neither multiplied nor numbered nor joined with themselves.
     """
     images = lifetimes.filter("load_seq IS NOT NULL").select(
         "run_id", "load_seq", F.coalesce("unload_seq", F.lit(ordered.LAST)).alias("until"), "base", "high", F.col("module_id").alias("mid"))
-    page = lambda c, level: F.expr(f"CAST({c} div CAST({1 << level} AS DECIMAL(20,0)) AS BIGINT)")
-    level = F.coalesce(*[F.when(page("high", n) - page("base", n) < _PAGES, n) for n in _LEVELS], F.lit(_LEVELS[-1]))
-    images = images.withColumn("_level", level)
+    page = lambda c, n: F.expr(f"CAST({c} div CAST({1 << n} AS DECIMAL(20,0)) AS BIGINT)")
+    piece = lambda c, n: F.expr(f"shiftright({c}, {n})")
+
+    def smallest(cut, low: str, high: str, sizes: tuple[int, ...]):
+        return F.coalesce(*[F.when(cut(high, n) - cut(low, n) < _CELLS, n) for n in sizes], F.lit(sizes[-1]))
+
+    images = images.withColumns({"_size": smallest(page, "base", "high", _SIZES), "_time": smallest(piece, "load_seq", "until", _TIMES)})
+    one = F.struct("load_seq", "until", F.col("base").cast(B.U64).alias("base"), F.col("high").cast(B.U64).alias("high"), "mid")
     rows, found = events, F.array().cast("array<struct<load_seq:bigint,until:bigint,base:decimal(20,0),high:decimal(20,0),mid:bigint>>")
-    for n in sorted(r[0] for r in images.select("_level").distinct().collect()):       # at most six numbers
-        listed = (images.filter(F.col("_level") == n).withColumn("_page", F.explode(F.sequence(page("base", n), page("high", n))))
-                  .groupBy("run_id", "_page").agg(F.collect_list(F.struct(
-                      "load_seq", "until", F.col("base").cast(B.U64).alias("base"), F.col("high").cast(B.U64).alias("high"), "mid")).alias(f"_at{n}")))
-        rows = rows.withColumn("_page", page(address, n)).join(listed, ["run_id", "_page"], "left").drop("_page")
-        found = F.concat(found, F.coalesce(f"_at{n}", F.array().cast(listed.schema[f"_at{n}"].dataType)))
+    pairs = sorted(tuple(r) for r in images.select("_size", "_time").distinct().collect())   # at most one a pair of sizes
+    for n, t in pairs:
+        cells = images.filter((F.col("_size") == n) & (F.col("_time") == t))
+        cells = cells.withColumn("_page", F.explode(F.sequence(page("base", n), page("high", n))))
+        cells = cells.withColumn("_piece", F.explode(F.sequence(piece("load_seq", t), piece("until", t))))
+        listed = cells.groupBy("run_id", "_page", "_piece").agg(F.collect_list(one).alias(f"_at{n}_{t}"))
+        rows = rows.withColumns({"_page": page(address, n), "_piece": piece("seq", t)}).join(
+            listed, ["run_id", "_page", "_piece"], "left").drop("_page", "_piece")
+        found = F.concat(found, F.coalesce(f"_at{n}_{t}", F.array().cast(listed.schema[f"_at{n}_{t}"].dataType)))
     mapped = lambda x: ((F.col(address) >= x["base"]) & (F.col(address) <= x["high"])
                         & (F.col("seq") >= x["load_seq"]) & (F.col("seq") < x["until"]))
     rows = rows.withColumn("_hit", F.array_max(F.filter(found, mapped)))               # the newest load

@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -68,6 +69,24 @@ def test_module_reload_at_another_base(spark):
                    72: (3, 0xffff)}
 
 
+def test_images_loaded_again_and_again(spark):
+    """Against brute force; many loads at one base, some at once with others, far apart in time and size."""
+    rng = random.Random(3)
+    loads = [(1, i, 10 * i, 10 * i + rng.choice([5, 9, 40]), 0x400000, 0x4fffff) for i in range(1, 300)]
+    loads += [(1, 1000 + i, rng.randrange(3000), rng.choice([None, 2500, 3100]), base, base + rng.choice([100, 70_000, 1 << 33]))
+              for i, base in enumerate(rng.randrange(0, 1 << 24) for _ in range(25))]
+    loads = [x for x in loads if x[3] is None or x[3] > x[2]]
+    life = spark.createDataFrame([(r, m, a, b, Decimal(x), Decimal(y)) for r, m, a, b, x, y in loads],
+                                 "run_id bigint, module_id bigint, load_seq bigint, unload_seq bigint, base decimal(20,0), high decimal(20,0)")
+    points = [(seq, rng.choice([0x400000 + rng.randrange(0x100000), rng.randrange(1 << 24), rng.randrange(1 << 34)])) for seq in range(0, 3200, 4)]
+    df = spark.createDataFrame([(1, s, Decimal(a)) for s, a in points], "run_id bigint, seq bigint, addr decimal(20,0)")
+    got = {r.seq: (r.module_id, int(r.module_offset)) for r in images.attribute_module(df, life).collect()}
+    for seq, address in points:
+        hits = [(a, -1 if b is None else b, x, m) for _, m, a, b, x, y in loads if a <= seq and (b is None or seq < b) and x <= address <= y]
+        newest = max(hits, key=lambda h: (h[0], h[1] == -1, h[1], h[2]), default=None)
+        assert got[seq] == ((0, address) if newest is None else (newest[3], address - newest[2]))
+
+
 def test_module_attribution_keeps_rows(spark):
     """Sequence numbers may repeat, images of very different sizes may share addresses."""
     life = spark.createDataFrame([(1, 1, 1, None, Decimal(0), Decimal((1 << 63) - 1)), (1, 2, 5, 9, Decimal(0x12345), Decimal(0x12399))],
