@@ -85,18 +85,42 @@ def prepared_value_search(spark, sf):
 
 
 @query("load_runs", duck("evr") + """ SELECT CASE run_id WHEN 1 THEN 'click' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase'
-  WHEN 4 THEN 'signup' ELSE 'view' END AS label, kind, CAST(count(*) AS BIGINT) AS events FROM evr WHERE kind IN (4, 5, 6)
-  GROUP BY ALL""")
+  WHEN 4 THEN 'signup' ELSE 'view' END AS label, kind, CAST(count(*) AS BIGINT) AS events FROM evr GROUP BY ALL""")
 def load_runs(spark, sf):
-    """Five recordings, one per event type, loaded as one."""
+    """Five recordings, one per event type, with all their record types, loaded as one."""
     tables = t.typed_tables(spark, sf, runs=True)
-    names = ["instruction_events", "memory_events", "register_events"]
-    runs = [(label, {n: tables[n].filter(F.col("run_id") == i) for n in names}) for i, label in enumerate(t.RUNS, 1)]
+    runs = [(label, {n: df.filter(F.col("run_id") == i) for n, df in tables.items()}) for i, label in enumerate(t.RUNS, 1)]
     merged, labels = prepared.load_runs(runs)
     rows = evidence.to_evidence(merged).groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("events"))
     return rows.join(labels, "run_id").select("label", "kind", "events")
 
 
+@query("prepared_snapshots", duck("evr") + """, v AS (SELECT 1 AS version, * FROM evr WHERE run_id <= 3 UNION ALL SELECT 2, * FROM evr)
+  SELECT version, run_id, kind, CAST(count(*) AS BIGINT) AS events, CAST(sum(seq) AS BIGINT) AS total FROM v GROUP BY ALL""")
+def prepared_snapshots(spark, sf):
+    """Three runs prepared, then two more added after an attempt that broke; both versions, the first one opened before."""
+    path, dynamic = scratch_path(spark, "prepared"), t.typed_tables(spark, sf, runs=True)
+    static = {n: df for n, df in t.all_tables(spark, sf).items() if n not in dynamic}
+
+    def part(*runs):
+        own = F.explode(F.array(*(F.lit(r).cast("bigint") for r in runs)))
+        return {n: df.withColumn("run_id", own) for n, df in static.items()} | {n: df.filter(F.col("run_id").isin(*runs)) for n, df in dynamic.items()}
+
+    def broken():
+        raise InterruptedError("before publishing")
+
+    first = prepared.prepare_run(spark, part(1, 2, 3), path)
+    opened = {first: prepared.open_run(spark, path)["evidence"]}
+    try:
+        prepared.prepare_run(spark, part(4, 5), path, before_publish=broken)
+    except InterruptedError:
+        second = prepared.prepare_run(spark, part(4, 5), path)
+        opened[second] = prepared.open_run(spark, path)["evidence"]
+    counted = [df.filter("kind NOT IN (1, 2, 3, 10, 14, 16)").groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("events"), F.sum("seq").alias("total")).withColumn("version", F.lit(v))
+               for v, df in opened.items()]
+    return counted[0].unionByName(counted[1])
+
+
 @query("source_provenance")
 def source_provenance(spark, sf):
     """The given tables' own files."""

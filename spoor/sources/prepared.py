@@ -1,7 +1,15 @@
-"""Prepared recordings: evidence and derived tables as Parquet, published all at once."""
+"""Prepared recordings: evidence and derived tables as Parquet, published as numbered snapshots.
+
+A prepared folder holds a folder for each table, in it one for each attempt (``part=...``), and ``snapshots``, one small
+file for each version, which lists the parts it consists of. Adding runs writes a part of its own and then the next version; nothing that is there is
+written again. A version's file is created only if there is none of that name, so of two writers one fails, and an attempt
+that breaks leaves unlisted folders that are in nobody's way. Readers keep the version they opened.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,12 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.operators import audit, calls, coverage, evidence, history, search, timeline
-from spoor.session import path_exists
 from spoor.sources import container, csv_run
 
 TABLES = ["evidence", "memory_by_address", "instructions", "registers", "modules", "execution_counts", "call_lifetimes", "coverage",
           "category_totals", "value_grams", "run_summary"]
-_MANIFEST = "manifest"
 
 
 def source_listing(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -38,31 +44,59 @@ def instruction_dictionary(definitions: DataFrame) -> DataFrame:
         "disassembly")
 
 
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/snapshots")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _snapshot(spark: SparkSession, out: str, version: int) -> list[dict]:
+    """The parts of a version: name, run ids, source paths and their fingerprint; one entry for each addition of runs."""
+    text = spark.read.text(f"{out}/snapshots/{version:08d}.json", wholetext=True).first()[0]
+    return json.loads(text)["parts"]
+
+
+def _publish(spark: SparkSession, out: str, version: int, parts: list[dict]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/snapshots/{version:08d}.json")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)      # fails if there is one
+    stream.write(bytearray(json.dumps({"version": version, "parts": parts}).encode()))
+    stream.close()
+
+
 def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sources: list[str] | None = None,
-                incomplete: DataFrame | None = None, before_publish: Callable | None = None) -> None:
-    """Writes all prepared tables below ``out`` and then the manifest that makes them visible.
+                incomplete: DataFrame | None = None, before_publish: Callable | None = None) -> int:
+    """Adds the runs of ``tables`` to the prepared set below ``out`` and returns the version that has them.
 
     Evidence is partitioned by run and kind and range-sorted by sequence, so typed filters skip whole
     directories and row groups; Bloom filters on instruction, call and target skip row groups of look-ups by
     these. Memory samples are written once more in the order of their addresses, for look-ups by place.
-    Derived tables are built from the written evidence. If ``sources`` changed meanwhile, nothing is published.
+    Derived tables are built from the written evidence. If ``sources`` changed meanwhile, nothing is published;
+    runs that the set has already are refused.
     """
-    before = _fingerprint(spark, sources) if sources else None
+    versions = _versions(spark, out)
+    parts = _snapshot(spark, out, versions[-1]) if versions else []
+    before = _fingerprint(spark, sources) if sources else (0, 0, "")
+    name = f"p{uuid.uuid4().hex}"
+    place = lambda table: f"{out}/{table}/part={name}"
     ev = evidence.ingest_strict(evidence.to_evidence(tables))
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("iid", "cid", "target")}
     (ev.repartitionByRange("run_id", "kind", "seq").sortWithinPartitions("run_id", "kind", "seq")
-     .write.options(**blooms).mode("errorifexists").partitionBy("run_id", "kind").parquet(f"{out}/evidence"))
-    ev = spark.read.parquet(f"{out}/evidence").withColumn("run_id", F.col("run_id").cast("bigint"))
+     .write.options(**blooms).partitionBy("run_id", "kind").parquet(place("evidence")))
+    ev = spark.read.parquet(place("evidence")).withColumn("run_id", F.col("run_id").cast("bigint"))
+    runs = sorted(r.run_id for r in ev.select("run_id").distinct().collect())              # a number a run
+    if known := set(runs) & {run for part in parts for run in part["runs"]}:
+        raise ValueError(f"Runs that are prepared already: {sorted(known)}")
     if audit.sequence_audit(ev).filter("duplicates > 0").limit(1).count():
         raise ValueError("A sequence number occurs twice")
 
-    def save(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("errorifexists").parquet(f"{out}/{name}")
-        return spark.read.parquet(f"{out}/{name}")
+    def save(table: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(place(table))
+        return spark.read.parquet(place(table))
 
     # A third of all accesses may hit one page: the sequence number cuts hot addresses.
     (ev.filter("kind = 5").repartitionByRange("run_id", "addr", "seq").sortWithinPartitions("run_id", "addr", "seq")
-     .write.mode("errorifexists").partitionBy("run_id").parquet(f"{out}/memory_by_address"))
+     .write.partitionBy("run_id").parquet(place("memory_by_address")))
     instructions = save("instructions", instruction_dictionary(tables["instruction_definitions"]))
     save("registers", evidence.register_catalog(tables["register_definitions"]))
     save("modules", tables["modules"])
@@ -76,20 +110,24 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
         before_publish()
     if sources and _fingerprint(spark, sources) != before:
         raise RuntimeError("The source changed during preparation; nothing was published")
-    files, size, mark = before or (0, 0, "")
-    spark.createDataFrame([(files, size, mark)], "files bigint, bytes bigint, mark string").coalesce(1).write.parquet(
-        f"{out}/{_MANIFEST}")
+    version = versions[-1] + 1 if versions else 1
+    _publish(spark, out, version, [*parts, {"part": name, "runs": runs, "sources": sources or [], "fingerprint": list(before)}])
+    return version
 
 
-def open_run(spark: SparkSession, out: str, sources: list[str] | None = None) -> dict[str, DataFrame]:
-    """The published tables; unpublished or out-of-date preparations are refused."""
-    if not path_exists(spark, f"{out}/{_MANIFEST}/_SUCCESS"):
+def open_run(spark: SparkSession, out: str, sources: list[str] | None = None, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a published version (the newest, if none is named), each one scan over all parts with a run column;
+    unpublished preparations are refused, and those that do not belong to the present ``sources``."""
+    versions = _versions(spark, out)
+    if not versions or version not in (None, *versions):
         raise FileNotFoundError(f"Not a published preparation: {out}")
+    parts = _snapshot(spark, out, version or versions[-1])
     if sources:
-        row = spark.read.parquet(f"{out}/{_MANIFEST}").first()
-        if (row["files"], row["bytes"], row["mark"]) != _fingerprint(spark, sources):
+        told = {path for part in parts for path in part["sources"]}
+        if told != set(sources) or any(tuple(part["fingerprint"]) != _fingerprint(spark, part["sources"]) for part in parts):
             raise RuntimeError("The prepared data does not belong to the present source")
-    tables = {name: spark.read.parquet(f"{out}/{name}") for name in TABLES}
+    tables = {name: spark.read.option("basePath", f"{out}/{name}").parquet(*(f"{out}/{name}/part={part['part']}" for part in parts)).drop("part")
+              for name in TABLES}
     for name in ("evidence", "memory_by_address"):
         tables[name] = tables[name].withColumn("run_id", F.col("run_id").cast("bigint"))
     return tables

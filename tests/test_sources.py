@@ -89,6 +89,11 @@ def test_publish_is_refused_when_the_source_changes(spark, tmp_path):
     assert opened["evidence"].filter("kind = 4").count() == 340
     plan = opened["evidence"].filter("kind = 5 AND seq > 500").select("seq")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "GreaterThan(seq,500)" in plan
+    with pytest.raises(ValueError, match="prepared already"):
+        prepared.prepare_run(spark, tables, again, [str(source)])
+    assert prepared.open_run(spark, again, version=1)["evidence"].count() == opened["evidence"].count()
+    with pytest.raises(FileNotFoundError):
+        prepared.open_run(spark, again, version=2)
     (source / "trace.jkt").write_bytes(b"three")
     with pytest.raises(RuntimeError, match="does not belong"):
         prepared.open_run(spark, again, [str(source)])
