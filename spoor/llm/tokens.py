@@ -1,7 +1,7 @@
 """Token ids of whole texts, and token files coded by an adaptive context-mixing range coder.
 
 Encoding: the tokenizers library sees every distinct word of a stretch of text once. Words are cut at white space and
-between an ASCII letter and one of .,!?;:() where the vocabulary's own pre-tokenization always cuts, so the ids are those
+between an ASCII letter and a mark (but <, | and >), where the vocabulary's own pre-tokenization always cuts, so the ids are those
 of the whole text.
 
 A token file is a Parquet table of segments, each a run of whole documents in ascending order of doc_id:
@@ -26,6 +26,7 @@ import functools
 import json
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,7 +39,7 @@ from spoor.llm import shared, text
 
 BLOCK = 1024              # ids of a block
 LANES = 12_288             # blocks of a segment that has no very long document
-KNOWN = 400_000           # words an encoder remembers
+KNOWN = 600_000           # words an encoder remembers
 ROWS, RANGES = 4500, 2000
 _U = np.uint64
 
@@ -56,7 +57,7 @@ class WordEncoder:
         self.hasher = text.SpanHasher(21)
         self.letter, self.mark = np.zeros(256, bool), np.zeros(256, bool)
         self.letter[65:91] = self.letter[97:123] = True
-        self.mark[list(b".,!?;:()")] = True
+        self.mark[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "<|>"]] = True    # those spell special tokens
         # A vocabulary that marks the ends of words tells where a word's ids end among those of many words.
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())],
@@ -71,7 +72,8 @@ class WordEncoder:
         steps = json.dumps(kind.get("normalizer")) + json.dumps(kind.get("pre_tokenizer"))
         if self.closes is None or "Lowercase" not in steps or "Split" not in steps:
             return False
-        whole = ["Ab a.b! (c) d,e;f:g? It's 12 x3\tÉté\r\nan-d\x0b\x0c  end", "B.C (DE) a's ..x !y", " \t\n", "ß(ü) Ä:ö 1.5 a1.b"]
+        whole = ["Ab a.b! (c) d,e;f:g? It's 12 x3\tÉté\r\nan-d\x0b\x0c  end", "B.C (DE) a's ..x !y", " \t\n", "ß(ü) Ä:ö 1.5 a1.b",
+                 "a$b&c%d*e#f~g^h@i\"j'k-l_m+n=o/p\\q[r]s{t}u`v$$$w&&&'s x''re"]
         for line in whole:
             data = np.frombuffer(line.encode(), np.uint8)
             starts, ends = self._words(data, np.array([0, len(data)]))[:2]
@@ -92,9 +94,9 @@ class WordEncoder:
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words and the number of each word's ids. Words of ASCII letters alone, which are one token of the
+        """The ids of all words and the number of each word's ids. Words of letters alone, which are one token of the
         pre-tokenization each, go many at a time."""
-        plain = [w.isascii() and w.isalpha() for w in words] if self.closes is not None else [False] * len(words)
+        plain = [w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w.lower()).isalpha()) for w in words]
         letters = [w for w, p in zip(words, plain) if p]
         many = self.tokenizer.encode_batch_fast([" ".join(letters[i:i + 500]) for i in range(0, len(letters), 500)], add_special_tokens=False)
         each = self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)

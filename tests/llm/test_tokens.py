@@ -49,8 +49,9 @@ def test_hard_rows(spark, tmp_path):
 
 def test_encoder_is_the_library():
     rng = random.Random(1)
-    alphabet = ["a", "B", "é", "é", ".", ",", "'", "s", "ll", "7", " ", "\n", "\t", "<|endoftext|>", "|", "日", " ", "\x1c", "ß", "İ", "!"]
-    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(800)]
+    alphabet = ["a", "B", "é", "é", ".", ",", "'", "s", "ll", "7", " ", "\n", "\t", "<|endoftext|>", "|", "日", " ", "\x1c", "ß", "İ", "!",
+                "$", "&&", "_", "-", "#", "\"", "`", "<", ">", "Σ", "ς", "\u0338", "ñ", "/"]
+    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
     encoder, data = tokens.WordEncoder(VOCABULARY), [r.encode() for r in rows]
     offsets = np.cumsum([0] + [len(d) for d in data])
     with np.errstate(over="ignore"):
