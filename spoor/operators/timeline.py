@@ -24,19 +24,31 @@ def recorded_threads(evidence: DataFrame) -> DataFrame:
             .select("run_id", "tid").distinct())
 
 
-def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFrame:
-    """The rows of one numbered page per run; ``requested`` is built from the piece counts.
+def piece_counts(evidence: DataFrame, segment: int | None = None) -> DataFrame:
+    """How many rows each stretch of ``segment`` sequence numbers holds, by kind, access and thread: the postings that number
+    the rows of every category. ``seq`` is the least number among them, so that filters of evidence hold for them too."""
+    piece = F.expr(f"CAST(seq div {segment or ordered.SEGMENT} AS BIGINT)").alias("piece")
+    return (evidence.filter(F.col("seq") > 0).groupBy("run_id", "kind", "access", "tid", piece)
+            .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("rows")))
 
-    Ordinals come from per-piece counts, so only the pieces a page touches are ranked. The outermost of
+
+def _counted(evidence: DataFrame, postings: DataFrame | None, category: str, thread: int, segment: int | None) -> DataFrame:
+    rows = timeline_filter(piece_counts(evidence, segment) if postings is None else postings, category, thread)
+    return rows.groupBy("run_id", F.col("piece").alias("_seg")).agg(F.sum("rows").alias("_rows"))
+
+
+def _page(rows: DataFrame, counts: DataFrame, size: int, segment: int | None) -> DataFrame:
+    """The rows of one numbered page per run; ``counts`` holds the rows of every piece and the page asked for.
+
+    Ordinals come from the pieces' counts, so only the pieces a page touches are read and ranked. The outermost of
     them (one row of two numbers) become a plain sequence filter that reaches the scan.
     """
     if size < 1:
         raise ValueError("Page size below 1")
-    pieces = rows.withColumn("_seg", F.expr(f"CAST(seq div {segment or ordered.SEGMENT} AS BIGINT)"))
+    span = segment or ordered.SEGMENT
     run = Window.partitionBy("run_id")
     before = run.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (requested(pieces.groupBy("run_id", "_seg"))
-              .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    counts = (counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
               .withColumn("total", F.sum("_rows").over(run))
               .withColumn("pages", F.expr(f"1 + (total - 1) div {size}"))
               .withColumn("page", F.greatest(F.lit(1), F.least("_asked", "pages"))))
@@ -45,32 +57,35 @@ def _page(rows: DataFrame, size: int, requested, segment: int | None) -> DataFra
                .select("run_id", "_seg", "_before", "total", "pages", "page"))
     edge = touched.agg(F.min("_seg").alias("low"), F.max("_seg").alias("high")).first()
     if edge["low"] is not None:
-        span = segment or ordered.SEGMENT
-        pieces = pieces.filter(F.col("seq").between(edge["low"] * span, (edge["high"] + 1) * span - 1))
+        rows = rows.filter(F.col("seq").between(edge["low"] * span, (edge["high"] + 1) * span - 1))
     local = F.row_number().over(Window.partitionBy("run_id", "_seg").orderBy("seq"))
-    ranked = (pieces.join(touched, ["run_id", "_seg"])
+    ranked = (rows.withColumn("_seg", F.expr(f"CAST(seq div {span} AS BIGINT)")).join(touched, ["run_id", "_seg"])
               .withColumn("ordinal", F.col("_before") + local - 1))
     return (ranked.filter((F.col("ordinal") >= first) & (F.col("ordinal") < first + size))
             .drop("_seg", "_before"))
 
 
 def timeline_page(evidence: DataFrame, page: int, size: int = PAGE, *, thread: int = -1,
-                  category: str = "All events", segment: int | None = None) -> DataFrame:
-    """Page ``page`` (clamped to the existing pages) with page, pages, total and 0-based ordinal."""
-    def requested(groups):
-        return groups.agg(F.count(F.lit(1)).alias("_rows")).withColumn("_asked", F.lit(page).cast("bigint"))
-    return _page(timeline_filter(evidence, category, thread), size, requested, segment)
+                  category: str = "All events", segment: int | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Page ``page`` (clamped to the existing pages) with page, pages, total and 0-based ordinal. With the stored
+    ``postings`` (piece_counts of the same segment) nothing but them and the page's own pieces is read."""
+    counts = _counted(evidence, postings, category, thread, segment).withColumn("_asked", F.lit(page).cast("bigint"))
+    return _page(timeline_filter(evidence, category, thread), counts, size, segment)
 
 
 def timeline_page_at(evidence: DataFrame, cursor: int, size: int = PAGE, *, thread: int = -1,
-                     category: str = "All events", segment: int | None = None) -> DataFrame:
-    """The page that holds the first row at or after the cursor."""
-    def requested(groups):
-        counts = groups.agg(F.count(F.lit(1)).alias("_rows"),
-                            F.count_if(F.col("seq") < cursor).alias("_earlier"))
-        earlier = F.sum("_earlier").over(Window.partitionBy("run_id"))
-        return counts.withColumn("_asked", F.lit(1) + F.floor(earlier / size))
-    return _page(timeline_filter(evidence, category, thread), size, requested, segment)
+                     category: str = "All events", segment: int | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """The page that holds the first row at or after the cursor. Whole pieces before it are counted by their postings, the
+    cursor's own piece by its rows."""
+    span = segment or ordered.SEGMENT
+    rows, own = timeline_filter(evidence, category, thread), cursor // span
+    counts = _counted(evidence, postings, category, thread, segment)
+    near = (rows.filter((F.col("seq") >= own * span) & (F.col("seq") < cursor)).groupBy("run_id")
+            .agg(F.count(F.lit(1)).alias("_near")))
+    far = F.sum(F.when(F.col("_seg") < own, F.col("_rows")).otherwise(0)).over(Window.partitionBy("run_id"))
+    counts = counts.withColumn("_far", far).join(near, "run_id", "left")
+    counts = counts.withColumn("_asked", F.lit(1) + F.expr(f"(_far + coalesce(_near, 0)) div {size}")).drop("_far", "_near")
+    return _page(rows, counts, size, segment)
 
 
 def timeline_ordinals(evidence: DataFrame, segment: int | None = None) -> DataFrame:

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from spoor import schemas
 from spoor.functions import bytes as B
-from spoor.operators import evidence, search
+from spoor.operators import evidence, search, timeline
+from spoor.plans import recordings
 from spoor.plans import tables as t
 from spoor.plans.queries_timeline import EVIDENCE_SQL, shown
 from spoor.plans.registry import ORACLES, query
 from spoor.plans.tables import duck
 from spoor.session import scratch_path
-from spoor.sources import catalog, csv_run, prepared
+from spoor.sources import catalog, container, csv_run, prepared, recording
 from spoor.streaming import live
 
 
@@ -24,6 +25,35 @@ def csv_round_trip(spark, sf):
     return shown(evidence.to_evidence(dynamic))
 
 
+def _decoded(records):
+    """The dynamic records of binary recordings as evidence."""
+    rows = records.withColumn("run_id", F.lit(1).cast("bigint"))
+    kinds = [kind for kind, name in schemas.NAMES.items() if any(n == "sequence" for n, _ in schemas.fields(kind)) and name != "modules"]
+    return shown(evidence.to_evidence({schemas.NAMES[kind]: container.decode_records(rows, kind) for kind in kinds}))
+
+
+@query("container_round_trip", EVIDENCE_SQL)
+def container_round_trip(spark, sf):
+    """A whole recording written as binary files and read back through the data source."""
+    return _decoded(recording.read(spark, recordings.write_recordings(spark, sf)))
+
+
+@query("streamed_container", EVIDENCE_SQL)
+def streamed_container(spark, sf):
+    """The same files as a stream of records that is stored as it arrives."""
+    return _decoded(_finished(spark, recording.stream(spark, recordings.write_recordings(spark, sf)), "stream-records"))
+
+
+@query("container_audit", duck("ev") + """ SELECT seq // 16384 AS file, CAST((count(*) + 999) // 1000 AS BIGINT) AS blocks,
+  CAST(count(*) AS BIGINT) AS records, true AS sound FROM ev GROUP BY 1""")
+def container_audit(spark, sf):
+    """Blocks and records of every file of events, each block's checksum, envelopes and count verified."""
+    paths = recordings.write_recordings(spark, sf)
+    rows = container.audit_blocks(spark, paths).withColumn("file", F.regexp_extract("path", r"(\d+)\.jkt$", 1).cast("bigint"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("blocks"), F.sum("records").alias("records"),
+                                    F.bool_and(F.col("status") == "Block").alias("sound"))
+
+
 @query("csv_round_trip_text", """SELECT p_partkey + 1 AS iid, p_brand AS routine, p_name || ', "' || p_brand || '"' || chr(10) || ';'
   AS disassembly, substr(md5(p_name), 1, 8) AS code FROM part""")
 def csv_round_trip_text(spark, sf):
@@ -56,15 +86,31 @@ def csv_violations(spark, sf):
   WHERE kind = 4 GROUP BY mid, ev.iid""")
 def prepared_coverage(spark, sf):
     """A recording prepared, published, opened again; its hot-spot table."""
-    path = scratch_path(spark, "prepared")
-    prepared.prepare_run(spark, t.all_tables(spark, sf), path)
-    return prepared.open_run(spark, path)["coverage"].select("mid", "iid", "executions")
+    return _prepared(spark, sf)["coverage"].select("mid", "iid", "executions")
+
+
+_places: dict[tuple[str, str], str] = {}
 
 
 def _prepared(spark, sf):
-    path = scratch_path(spark, "prepared")
-    prepared.prepare_run(spark, t.all_tables(spark, sf), path)
-    return prepared.open_run(spark, path)
+    """The prepared recording of these tables; an application prepares it once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _places:
+        path = scratch_path(spark, "prepared")
+        prepared.prepare_run(spark, t.all_tables(spark, sf), path)
+        _places[key] = path
+    return prepared.open_run(spark, _places[key])
+
+
+@query("prepared_timeline_page", duck("ev") + """, r AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS ordinal, count(*) OVER () AS total,
+    count(*) FILTER (seq < (SELECT max(seq) // 3 FROM ev)) OVER () AS earlier FROM ev WHERE kind IN (5, 6) AND access = 'write_after')
+  SELECT seq, ordinal, ordinal // 100 + 1 AS page, total FROM r WHERE ordinal // 100 = least(earlier // 100, (total - 1) // 100)""")
+def prepared_timeline_page(spark, sf):
+    """A page of writes at a moment, numbered by the stored postings."""
+    run = _prepared(spark, sf)
+    cursor = t.evidence(spark, sf).agg(F.expr("max(seq) div 3")).first()[0]
+    page = timeline.timeline_page_at(run["evidence"], cursor, 100, category="Writes", postings=run["piece_counts"])
+    return page.select("seq", "ordinal", F.col("page").cast("bigint").alias("page"), "total")
 
 
 @query("prepared_memory_history", duck("ev") + """ SELECT seq, tid, access FROM ev WHERE kind = 5 AND access <> 'prefetch'

@@ -1,7 +1,8 @@
 """Binary recordings: distributed block index, audit, and decoding to typed tables.
 
 Every file is hopped header by header by the task that owns it (48 bytes read per block); the blocks
-found are then spread over the cluster and decoded independently of their file.
+found are then spread over the cluster and decoded independently of their file. Records travel as Arrow
+buffers with offsets and are unpacked a batch at a time, field by field.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def resolve(spark: SparkSession, path: str) -> str:
     return inside if path_exists(spark, inside) else path
 
 
-def _hop(path: str):
-    """Index rows of one file; stops at the first block that does not follow its predecessor."""
+def hop(path: str, at: int = FILE_HEADER_SIZE, expected: int = 1):
+    """Index rows of one file from a block on; stops at the first block that does not follow its predecessor."""
     pointer = None
 
     def row(offset, status, problem=None, header=(None,) * 6):
@@ -57,7 +58,7 @@ def _hop(path: str):
         if (magic, version, little, block_version, zero) != (FILE_MAGIC, 2, 1, 1, 0) or pointer not in (4, 8) or preferred > 1:
             yield row(0, "Corrupt", "file header")
             return
-        size, at, expected = file.size(), FILE_HEADER_SIZE, 1
+        size = file.size()
         while at < size:
             file.seek(at)
             raw = file.read(BLOCK_HEADER_SIZE)
@@ -90,7 +91,7 @@ def _hop_files(batches):
     for batch in batches:
         for path in batch["path"]:
             rows = []
-            for row in _hop(path):
+            for row in hop(path):
                 rows.append(row)
                 if len(rows) == 8192:
                     yield _frame(rows, names)
@@ -116,45 +117,50 @@ def _payload(file, offset, stored):
     return file.read(stored)
 
 
-def _walk(data):
-    """(type, start, end) of each record envelope; raises ValueError when one does not fit."""
-    at = 0
-    while at < len(data):
-        if len(data) - at < RECORD_HEADER:
+def _envelopes(data):
+    """Types, starts and sizes of the records of a block; raises ValueError when one does not fit."""
+    import numpy as np
+    kinds, starts, at, n = bytearray(), [], 0, len(data)
+    head = struct.Struct("<BI").unpack_from
+    while at < n:
+        if n - at < RECORD_HEADER:
             raise ValueError("record header cut off")
-        kind, size = struct.unpack_from("<BI", data, at)
+        kind, size = head(data, at)
         at += RECORD_HEADER
-        if size > len(data) - at:
+        if size > n - at:
             raise ValueError("record longer than its block")
-        yield kind, at, at + size
+        kinds.append(kind)
+        starts.append(at)
         at += size
+    starts = np.array(starts, np.int64)
+    return np.frombuffer(bytes(kinds), np.uint8), starts, np.append(starts[1:] - RECORD_HEADER, n)[:len(starts)] - starts
 
 
-def _problem(data, decoded, records, crc):
+def checked(data, decoded, records, crc):
+    """The records of a block's payload as _envelopes gives them; raises ValueError if anything about it is wrong."""
     if len(data) != decoded:
-        return "decoded size differs"
+        raise ValueError("decoded size differs")
     if zlib.crc32(data) != crc:
-        return "checksum differs"
-    try:
-        return None if sum(1 for _ in _walk(data)) == records else "record count differs"
-    except ValueError as error:
-        return str(error)
+        raise ValueError("checksum differs")
+    found = _envelopes(data)
+    if len(found[0]) != records:
+        raise ValueError("record count differs")
+    return found
 
 
-def _blocks(batches, visit):
+def _blocks(rows, visit):
     """Calls ``visit(row, file)`` for every row of the index, keeping one file open at a time."""
-    for batch in batches:
-        opened, file = None, None
-        try:
-            for row in batch.itertuples(index=False):
-                if row.path != opened:
-                    if file is not None:
-                        file.close()
-                    opened, file = row.path, _open(row.path)
-                yield from visit(row, file)
-        finally:
-            if file is not None:
-                file.close()
+    opened, file = None, None
+    try:
+        for row in rows:
+            if row.path != opened:
+                if file is not None:
+                    file.close()
+                opened, file = row.path, _open(row.path)
+            yield from visit(row, file)
+    finally:
+        if file is not None:
+            file.close()
 
 
 def _verify(batches):
@@ -164,12 +170,15 @@ def _verify(batches):
         if row.status != "Block":
             yield row
             return
-        problem = _problem(_payload(file, row.block_offset, int(row.stored_size)), row.decoded_size, row.records, row.crc)
-        yield row._replace(status="Corrupt", problem=problem) if problem else row
+        try:
+            checked(_payload(file, row.block_offset, int(row.stored_size)), row.decoded_size, row.records, row.crc)
+            yield row
+        except ValueError as error:
+            yield row._replace(status="Corrupt", problem=str(error))
 
     names = [f.split()[0] for f in _INDEX.split(", ")]
     pending = []
-    for row in _blocks(batches, visit):
+    for row in _blocks((row for batch in batches for row in batch.itertuples(index=False)), visit):
         pending.append(tuple(None if isinstance(v, float) and v != v else v for v in row))
         if len(pending) == 4096:
             yield _frame(pending, names)
@@ -184,36 +193,49 @@ def audit_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return index.repartition("path", "block_offset").mapInPandas(_verify, _INDEX)
 
 
-_RECORDS = "path string, block_id bigint, position bigint, type int, payload binary"
+RECORDS = "path string, block_id bigint, position bigint, type int, payload binary"
+
+
+def record_batches(path: str, block_id: int, data: bytes, found, rows: int = 65536):
+    """The records of a block as Arrow batches of RECORDS. Payloads are one buffer with offsets, no record is an object."""
+    import numpy as np
+    import pyarrow as pa
+    kinds, starts, sizes = found
+    unknown = np.setdiff1d(kinds, list(schemas.RECORDS))
+    if len(unknown):
+        raise ValueError(f"{path}: Unknown record type {unknown[0]}")
+    kept = np.ones(len(data), bool)
+    kept[(starts[:, None] + np.arange(-RECORD_HEADER, 0)).ravel()] = False              # the envelopes
+    body = np.frombuffer(data, np.uint8)[kept]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    payload = pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    for a in range(0, len(kinds), rows):
+        n = len(kinds[a:a + rows])
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(path, pa.string()), n), pa.array(np.full(n, block_id, np.int64)), pa.array(np.arange(a, a + n)),
+             pa.array(kinds[a:a + n].astype(np.int32)), payload.slice(a, n)], ["path", "block_id", "position", "type", "payload"])
 
 
 def _decode_blocks(batches):
-    import pandas as pd
+    from types import SimpleNamespace
 
     def visit(row, file):
         if row.status == "Incomplete" and row.problem != "block footer":
             return     # a cut tail ends the recording; the records before it count
         if row.status != "Block":
             raise ValueError(f"{row.path}: {row.problem or 'block codec not available'} (block {row.block_id})")
-        data = _payload(file, row.block_offset, int(row.stored_size))
-        problem = _problem(data, row.decoded_size, row.records, row.crc)
-        if problem:
-            raise ValueError(f"{row.path}: {problem} (block {row.block_id})")
-        records = [(kind, data[start:end]) for kind, start, end in _walk(data)]
-        unknown = [kind for kind, _ in records if kind not in schemas.RECORDS]
-        if unknown:
-            raise ValueError(f"{row.path}: Unknown record type {unknown[0]}")
-        for first in range(0, len(records), 65536):
-            part = records[first:first + 65536]
-            yield pd.DataFrame({
-                "path": row.path, "block_id": int(row.block_id), "position": range(first, first + len(part)),
-                "type": pd.array([k for k, _ in part], dtype="int32"), "payload": [p for _, p in part]})
-    yield from _blocks(batches, visit)
+        data = _payload(file, row.block_offset, row.stored_size)
+        try:
+            found = checked(data, row.decoded_size, row.records, row.crc)
+        except ValueError as error:
+            raise ValueError(f"{row.path}: {error} (block {row.block_id})") from error
+        yield from record_batches(row.path, row.block_id, data, found)
+    yield from _blocks((SimpleNamespace(**row) for batch in batches for row in batch.to_pylist()), visit)
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw records of whole blocks; any damage other than a cut tail fails the job."""
-    return block_index(spark, paths).repartition("path", "block_offset").mapInPandas(_decode_blocks, _RECORDS)
+    return block_index(spark, paths).repartition("path", "block_offset").mapInArrow(_decode_blocks, RECORDS)
 
 
 def completeness(index: DataFrame, records: DataFrame) -> DataFrame:
@@ -234,83 +256,70 @@ def check_started(state: DataFrame) -> None:
 
 # --- field decoding ----------------------------------------------------------------------------------
 
-_FIXED = {"u64": "q", "address": "q", "u32": "I", "i32": "i", "enum": "B", "flag": "B"}
+_FIXED = {"u64": "<i8", "address": "<i8", "u32": "<u4", "i32": "<i4", "enum": "u1", "flag": "u1"}
 
 
-def _steps(kind: int):
-    """Runs of fixed-width fields as one struct each, and single variable-width fields."""
-    steps, names, codes = [], [], ""
-    for name, code in schemas.fields(kind):
-        if code in _FIXED:
-            names.append((name, code))
-            codes += _FIXED[code]
-        else:
-            if names:
-                steps.append((struct.Struct("<" + codes), names))
-                names, codes = [], ""
-            steps.append((None, (name, code)))
-    if names:
-        steps.append((struct.Struct("<" + codes), names))
-    return steps
+def _payload_bytes(column):
+    """The bytes of a binary column and the bounds of its rows in them."""
+    import numpy as np
+    _, where, data = column.buffers()
+    bounds = np.frombuffer(where, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data, bounds[:-1], bounds[1:]
 
 
-_ARRAYS = {"u64": "<i8", "address": "<i8", "u32": "<u4", "i32": "<i4", "enum": "u1", "flag": "u1"}
+def _gathered(data, begin, size):
+    """The bytes of all spans, one after the other, and their bounds."""
+    import numpy as np
+    total = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)], total
 
 
-def _fixed_decoder(kind: int):
-    """Records of types without text and bytes have one width: a batch of them is one structured array."""
-    def decode(batches):
-        import numpy as np
-        import pandas as pd
-        fields = schemas.fields(kind)
-        layout = np.dtype([(name, _ARRAYS[code]) for name, code in fields])
-        for batch in batches:
-            sizes = batch["payload"].str.len().to_numpy(dtype=np.int64)
-            if (sizes < layout.itemsize).any():
-                raise ValueError(f"Undecodable record of type {kind}: it ends before its last field")
-            if (sizes > layout.itemsize).any():
-                raise ValueError("Bytes left over after the last field")
-            data = np.frombuffer(b"".join(batch["payload"]), layout)
-            if any((data[name] > 1).any() for name, code in fields if code == "flag"):
+def decoded_columns(kind: int, data, begin, end) -> dict:
+    """The fields of records of one type as Arrow arrays. All records are unpacked together, field by field: fixed widths
+    from a matrix of bytes, texts and bytes as one buffer with offsets."""
+    import numpy as np
+    import pyarrow as pa
+    at, columns = begin.copy(), {}
+
+    def step(size, what="it ends before its last field"):
+        if (at + size > end).any():
+            raise ValueError(f"Undecodable record of type {kind}: {what}")
+
+    for name, stored in schemas.fields(kind):
+        if stored in _FIXED:
+            dtype = np.dtype(_FIXED[stored])
+            step(dtype.itemsize)
+            values = np.ascontiguousarray(data[at[:, None] + np.arange(dtype.itemsize)]).view(dtype).reshape(-1)
+            if stored == "flag" and (values > 1).any():
                 raise ValueError(f"Undecodable record of type {kind}: flag byte is neither 0 nor 1")
-            wide = {"flag": bool, "i32": np.int32}
-            yield pd.DataFrame({"run_id": batch["run_id"], "block_id": batch["block_id"], "position": batch["position"],
-                                **{name: data[name].astype(wide.get(code, np.int64)) for name, code in fields}})
-    return decode
+            columns[name] = pa.array(values.astype({"flag": bool, "i32": np.int32}.get(stored, np.int64)))
+            at += dtype.itemsize
+            continue
+        step(4)
+        size = np.ascontiguousarray(data[at[:, None] + np.arange(4)]).view("<u4").reshape(-1).astype(np.int64)
+        at += 4
+        step(size, "field longer than its record")
+        body, bounds = _gathered(data, at, size)
+        column = pa.Array.from_buffers(pa.large_string() if stored == "text" else pa.large_binary(), len(at),
+                                       [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body))])
+        try:
+            column.validate(full=True)
+        except pa.ArrowInvalid as error:
+            raise ValueError(f"Undecodable record of type {kind}: {name} is not UTF-8") from error
+        columns[name] = column.cast(pa.string() if stored == "text" else pa.binary())
+        at += size
+    if (at != end).any():
+        raise ValueError("Bytes left over after the last field")
+    return columns
 
 
 def _decoder(kind: int):
-    if all(code in _FIXED for _, code in schemas.fields(kind)):
-        return _fixed_decoder(kind)
-
     def decode(batches):
-        import pandas as pd
-        steps = _steps(kind)
+        import pyarrow as pa
         for batch in batches:
-            values = {name: [] for name, _ in schemas.fields(kind)}
-            for payload in batch["payload"]:
-                at = 0
-                try:
-                    for packed, spec in steps:
-                        if packed is not None:
-                            for (name, code), v in zip(spec, packed.unpack_from(payload, at)):
-                                if code == "flag" and v > 1:
-                                    raise ValueError("flag byte is neither 0 nor 1")
-                                values[name].append(v == 1 if code == "flag" else v)
-                            at += packed.size
-                        else:
-                            (n,) = struct.unpack_from("<I", payload, at)
-                            if at + 4 + n > len(payload):
-                                raise ValueError("field longer than its record")
-                            raw = payload[at + 4:at + 4 + n]
-                            values[spec[0]].append(raw.decode("utf-8") if spec[1] == "text" else raw)
-                            at += 4 + n
-                except (struct.error, ValueError) as error:
-                    raise ValueError(f"Undecodable record of type {kind}: {error}") from error
-                if at != len(payload):
-                    raise ValueError("Bytes left over after the last field")
-            yield pd.DataFrame({"run_id": batch["run_id"], "block_id": batch["block_id"],
-                                "position": batch["position"], **values})
+            found = decoded_columns(kind, *_payload_bytes(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found.values()], ["run_id", "block_id", "position", *found])
     return decode
 
 
@@ -327,7 +336,7 @@ def decode_records(records: DataFrame, kind: int) -> DataFrame:
     schema = "run_id bigint, block_id bigint, position bigint, " + ", ".join(
         f"{n} {_WIRE[c]}" for n, c in schemas.fields(kind))
     rows = (records.filter(F.col("type") == kind).select("run_id", "block_id", "position", "payload")
-            .mapInPandas(_decoder(kind), schema))
+            .mapInArrow(_decoder(kind), schema))
     rows = rows.withColumns({n: B.wrap_unsigned(n) for n, c in schemas.fields(kind) if c == "address"} or {"run_id": F.col("run_id")})
     typed = normalize_enums(rows, kind)
     kept = [n for n, _ in schemas.fields(kind)]

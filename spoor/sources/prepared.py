@@ -20,7 +20,7 @@ from spoor.operators import audit, calls, coverage, evidence, history, search, t
 from spoor.sources import container, csv_run
 
 TABLES = ["evidence", "memory_by_address", "instructions", "registers", "modules", "execution_counts", "call_lifetimes", "coverage",
-          "category_totals", "value_grams", "run_summary"]
+          "category_totals", "piece_counts", "value_grams", "run_summary"]
 
 
 def source_listing(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -104,6 +104,7 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
     save("call_lifetimes", calls.call_lifetimes(ev))
     save("coverage", coverage.coverage_totals(counts, instructions))
     save("category_totals", timeline.category_totals(ev))
+    save("piece_counts", timeline.piece_counts(ev))
     save("value_grams", search.value_gram_index(ev))
     save("run_summary", audit.run_summary(ev, tables["run"], incomplete))
     if before_publish is not None:
