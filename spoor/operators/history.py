@@ -166,18 +166,15 @@ def byte_state(evidence: DataFrame, watches: DataFrame, segment: int | None = No
             .withColumn("_values", values)
             .select("watch_id", "run_id", "address", "size", "cursor",
                     B.joined_bytes_text("_values").alias("value"),
-                    _interpretation(F.col("_values")).alias("interpretation"),
+                    *_numbers(F.col("_values")),
                     F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"),
                     F.coalesce("before_write", F.lit(False)).alias("before_write")))
 
 
-def _interpretation(values: Column) -> Column:
-    data = F.unhex(F.concat_ws("", values))
-    unknown = F.exists(values, lambda v: v.isNull())
-    return (F.when(unknown, "incomplete")
-            .when(F.size(values) > 8, "bytes as stored")
-            .otherwise(F.concat(F.lit("unsigned "), B.little_unsigned(data).cast("string"),
-                                F.lit("; signed "), B.little_signed(data).cast("string"))))
+def _numbers(values: Column) -> list[Column]:
+    """The little-endian number that up to eight known bytes spell, without and with a sign; null for others."""
+    known = F.when(~F.exists(values, lambda v: v.isNull()) & (F.size(values) <= 8), F.unhex(F.concat_ws("", values)))
+    return [B.little_unsigned(known).alias("number"), B.little_signed(known).alias("signed_number")]
 
 
 def register_state(evidence: DataFrame, watches: DataFrame, segment: int | None = None) -> DataFrame:
@@ -198,7 +195,7 @@ def register_state(evidence: DataFrame, watches: DataFrame, segment: int | None
     return (both.filter(asked).withColumn("_values", values)
             .select("watch_id", "run_id", "reg", "tid", "offset", "size", F.col("seq").alias("cursor"),
                     B.joined_bytes_text("_values").alias("value"),
-                    _interpretation(F.col("_values")).alias("interpretation"),
+                    *_numbers(F.col("_values")),
                     F.col("hit.seq").alias("source"),
                     F.coalesce(F.col("hit.access") == "write_before", F.lit(False)).alias("before_write")))
 

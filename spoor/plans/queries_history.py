@@ -63,8 +63,7 @@ def history_memory_batch(spark, sf):
   FROM watches JOIN shown USING (watch_id) LEFT JOIN found USING (watch_id)""")
 def byte_state(spark, sf):
     rows = history.byte_state(t.evidence(spark, sf), _watches(spark, sf), segment=1024)
-    reading = (F.when(F.col("interpretation") == "incomplete", "partial")
-               .when(F.col("interpretation") == "bytes as stored", "bytes").otherwise("number"))
+    reading = F.when(F.col("number").isNotNull(), "number").when(F.contains("value", F.lit("?")), "partial").otherwise("bytes")
     return rows.select("watch_id", "value", F.concat_ws(",", F.transform("sources", lambda s: s.cast("string"))).alias("sources"),
                        "before_write", reading.alias("reading"))
 

@@ -50,14 +50,17 @@ def ingest_rejects(spark, sf):
 
 @query("normalize_enums", duck("ev") + """ SELECT seq, access, 'memory' AS dataset, CAST(length(hex) // 2 AS BIGINT)
   AS copied_size FROM ev WHERE kind = 5 UNION ALL SELECT seq, access, 'register', 0 FROM ev WHERE kind = 6
-  UNION ALL SELECT seq, CASE WHEN k % 2 = 0 THEN 'enter' ELSE 'exit' END, 'syscall', 0 FROM ev WHERE kind = 12""")
+  UNION ALL SELECT seq, CASE WHEN k % 2 = 0 THEN 'enter' ELSE 'exit' END, 'syscall', 0 FROM ev WHERE kind = 12
+  UNION ALL SELECT seq, CASE k % 2 WHEN 0 THEN 'allocate' ELSE 'free' END, 'memory api', 0 FROM ev WHERE kind = 15
+  UNION ALL SELECT seq, CASE k % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'child' ELSE 'finish' END, 'process', 0 FROM ev WHERE kind = 17""")
 def normalize_enums(spark, sf):
+    """All four enumerations as stored numbers, and the word of a flag."""
     tables = t.typed_tables(spark, sf)
 
-    def numbered(name, kind):
-        words = F.array(*[F.lit(w) for w in schemas.ENUMS[(kind, "access")]])
-        number = F.array_position(words, F.col("access")).cast("bigint") - 1
-        return evidence.normalize_enums(tables[name].withColumn("access", number), kind)
+    def numbered(name, kind, field="access"):
+        words = F.array(*[F.lit(w) for w in schemas.ENUMS[(kind, field)]])
+        number = F.array_position(words, F.col(field)).cast("bigint") - 1
+        return evidence.normalize_enums(tables[name].withColumn(field, number), kind)
 
     zero = F.lit(0).cast("bigint").alias("copied_size")
     memory = numbered("memory_events", 5).select(
@@ -65,7 +68,9 @@ def normalize_enums(spark, sf):
     register = numbered("register_events", 6).select("sequence", "access", F.lit("register"), zero)
     syscalls = evidence.normalize_enums(tables["syscall_events"], 12).select(
         "sequence", "event", F.lit("syscall"), zero)
-    return memory.union(register).union(syscalls)
+    lifecycle = numbered("memory_lifecycle_events", 15, "action").select("sequence", "action", F.lit("memory api"), zero)
+    processes = numbered("process_events", 17, "event").select("sequence", "event", F.lit("process"), zero)
+    return memory.union(register).union(syscalls).union(lifecycle).union(processes)
 
 
 _CATEGORY = """CASE category WHEN 'All events' THEN true
@@ -321,9 +326,13 @@ def offset_page(spark, sf):
 @query("run_summary", duck("evr") + """ SELECT run_id, CAST(count(*) AS BIGINT) AS records, min(seq) AS first_seq, max(seq) AS last_seq,
   CAST(count(*) FILTER (kind = 18) AS BIGINT) AS diagnostics, CAST(max(width) AS BIGINT) AS max_width,
   CAST(count(*) FILTER (kind IN (5, 6) AND access <> 'prefetch') AS BIGINT) AS captured_samples,
-  max(seq) - count(*) AS missing FROM evr GROUP BY run_id""")
+  max(seq) - count(*) AS missing, run_id % 2 = 0 AS finished, run_id = 3 AS incomplete FROM evr GROUP BY run_id""")
 def run_summary(spark, sf):
-    return audit.run_summary(t.evidence(spark, sf, runs=True))
+    """Every second run has a finish record, the tail of the third one is cut."""
+    rows = t.evidence(spark, sf, runs=True)
+    runs = rows.select("run_id").distinct()
+    marks = runs.withColumn("started", F.lit(True)).unionByName(runs.filter("run_id % 2 = 0").withColumn("started", F.lit(False)))
+    return audit.run_summary(rows, marks, runs.select("run_id", (F.col("run_id") == 3).alias("incomplete")))
 
 
 @query("record_profile", duck("evr") + " SELECT run_id, kind, CAST(count(*) AS BIGINT) AS records FROM evr GROUP BY ALL")

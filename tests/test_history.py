@@ -63,9 +63,9 @@ def test_truncated_newer_access_hides_older_bytes(spark):
                           dict(kind=5, seq=2, addr=0, requested=4, access="write_after", captured=b"\x09")])
     df = spark.createDataFrame([(1, 1, Decimal(0), 4, 5), (2, 1, Decimal(0), 4, 1)],
                                "watch_id bigint, run_id bigint, address decimal(20,0), size int, cursor bigint")
-    got = {r.watch_id: (r.value, r.interpretation) for r in history.byte_state(ev, df).collect()}
-    assert got[1] == ("09 ?? ?? ??", "incomplete")
-    assert got[2] == ("01 02 03 ff", "unsigned 4278387201; signed -16580095")
+    got = {r.watch_id: (r.value, r.number, r.signed_number) for r in history.byte_state(ev, df).collect()}
+    assert got[1] == ("09 ?? ?? ??", None, None)
+    assert got[2] == ("01 02 03 ff", 4278387201, -16580095)
 
 
 def test_write_transition_in_small_pieces(spark):
