@@ -6,8 +6,9 @@ pass finds the best score from the start to every place. It is the exact heurist
 which therefore yields the segmentations in order of their scores.
 
 Where two neighbouring characters occur side by side in no piece, every path passes between them. Texts are cut there
-into short stretches, each distinct one is searched once while it is remembered, and a text's N best segmentations are
-combined from those of its stretches: they differ from the best one in stretches with the smallest losses only. The ids of
+into short stretches. The forward pass over each distinct one, made once while it is remembered, keeps the two best scores, so it
+tells what a stretch loses by its second segmentation. A text's N best segmentations differ from the best one in stretches
+with the smallest losses only, and only these are searched by A*. The ids of
 all N are given back, and each is decoded on its own.
 
 As in the model, a space is written as the mark U+2581, a text starts with one more, and nothing else is normalized. The
@@ -88,6 +89,43 @@ class Vocabulary:
                 ahead[i + 1] = max(ahead[i + 1], here + score)
         return ending, ahead
 
+    def leading(self, s: str) -> tuple[float, float, list[int]]:
+        """The best segmentation's score and ids, and what the second best one loses (infinite, if there is none): a forward
+        pass alone that keeps the two best scores to every place."""
+        table, n, none = self.table, len(s), -np.inf
+        one, two, back = [0.0] + [none] * n, [none] * (n + 1), [(0, ())] * (n + 1)
+        for i in range(n):
+            here, here_two, single = one[i], two[i], False
+            for j in range(i + 1, n + 1):
+                edge = table.get(s[i:j], 0)
+                if edge == 0:
+                    break
+                if edge is not None:
+                    total = here + edge[0]
+                    if total > one[j]:
+                        other = here_two + edge[0]
+                        two[j] = one[j] if one[j] > other else other
+                        one[j], back[j] = total, (i, edge[1])
+                    elif total > two[j]:
+                        two[j] = total
+                    if j == i + 1:
+                        single = True
+            if not single:
+                raw = s[i].encode()
+                loss, j = self.byte_score * len(raw), i + 1
+                total, other = here + loss, here_two + loss
+                if total > one[j]:
+                    two[j] = max(one[j], other)
+                    one[j], back[j] = total, (i, tuple([self.byte[b] for b in raw]))
+                else:
+                    two[j] = max(two[j], total)
+        ids, j = [], n
+        while j:
+            i, piece = back[j]
+            ids[:0] = piece
+            j = i
+        return one[n], one[n] - two[n], ids
+
     def best(self, s: str, n: int = BEST) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of s: (score, ids), best first."""
         ending, ahead = self.edges(s)
@@ -152,11 +190,11 @@ class Segmenter:
         self.full: dict[int, list[tuple[float, np.ndarray]]] = {}
 
     def _remember(self, stretches: list[bytes]):
-        found = [self.vocabulary.best(s.decode("utf-8", "replace"), min(2, self.n)) for s in stretches]
+        found = [self.vocabulary.leading(s.decode("utf-8", "replace")) for s in stretches]
         self.known.update(zip(stretches, range(len(self.scores), len(self.scores) + len(stretches))))
-        self.scores = np.concatenate([self.scores, [f[0][0] for f in found]])
-        self.second = np.concatenate([self.second, [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]])
-        first = [f[0][1] for f in found]
+        self.scores = np.concatenate([self.scores, [f[0] for f in found]])
+        self.second = np.concatenate([self.second, [f[1] for f in found]])
+        first = [f[2] for f in found]
         size = np.array([len(i) for i in first], np.int64)
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
         self.sizes = np.concatenate([self.sizes, size])

@@ -33,6 +33,9 @@ def test_best_segmentations(vocabulary):
         s = "".join(rng.choice([" ", "t", "h", "e", "a", "n", ".", "é", "\n", "日"]) for _ in range(rng.randrange(0, 11)))
         all_ways = every(vocabulary, s)
         found = vocabulary.best(s, 6)
+        score, loss, ids = vocabulary.leading(s)
+        assert np.isclose(score, all_ways[0][0]) and any(i == tuple(ids) and np.isclose(x, score) for x, i in all_ways)
+        assert np.isclose(score - loss, all_ways[1][0]) if len(all_ways) > 1 else loss == np.inf
         assert np.allclose([x for x, _ in found], [x for x, _ in all_ways[:6]])
         assert len(set(found)) == len(found) and all(any(i == j and abs(x - y) < 1e-6 * abs(x) + 1e-9 for y, j in all_ways) for x, i in found)
 
