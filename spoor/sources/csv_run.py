@@ -30,11 +30,29 @@ def _words(kind: int, name: str) -> list[str] | None:
     return list(schemas.FLAG_WORDS[flags[0]]) if name == "event" and flags else None
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, or of the first file of a folder that holds any; opened by itself, without a job."""
+    jvm = spark._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [path]
+    if system.getFileStatus(place(path)).isDirectory():
+        listed = [f for f in system.listStatus(place(path)) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"]
+        files = sorted(f.getPath().toString() for f in listed)[:1]
+    for file in files:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(place(file)), "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+    return None
+
+
 def read_header(spark: SparkSession, path: str, kind: int) -> list[str]:
-    first = spark.read.text(path).first()
+    first = _first_line(spark, path)
     if first is None:
         raise ValueError(f"Empty CSV file: {path}")
-    header = next(csv.reader([first[0]]))
+    header = next(csv.reader([first]))
     if len(set(header)) != len(header):
         raise ValueError("Repeated column in CSV header")
     for name, _ in _columns(kind):
@@ -43,6 +61,18 @@ def read_header(spark: SparkSession, path: str, kind: int) -> list[str]:
     return header
 
 
+def _holds_text(header: list[str], kind: int) -> bool:
+    known = dict(_columns(kind)) | dict(schemas.text_extras(kind))
+    return any(known.get(n, "text") == "text" for n in header)
+
+
+def check_encoding(spark: SparkSession, paths: list[str]) -> None:
+    """Refuses files with bytes that are not UTF-8; one pass over all of them, before their text is decoded."""
+    lines = spark.read.text(paths).filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file"))
+    if (bad := lines.first()) is not None:
+        raise ValueError(f"Malformed UTF-8 in {bad.file}")
+
+
 def read_text_dataset(spark: SparkSession, path: str, kind: int) -> DataFrame:
     """All columns as text; a row whose width differs from the header fails the job.
 
@@ -50,8 +80,7 @@ def read_text_dataset(spark: SparkSession, path: str, kind: int) -> DataFrame:
     line by line so that Spark can split them.
     """
     header = read_header(spark, path, kind)
-    known = dict(_columns(kind)) | dict(schemas.text_extras(kind))
-    multiline = any(known.get(n, "text") == "text" for n in header)
+    multiline = _holds_text(header, kind)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
     return (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", multiline).option("mode", "FAILFAST").option("columnPruning", False)
@@ -126,18 +155,22 @@ def typed(df: DataFrame, kind: int, strict: bool = True) -> DataFrame:
 
 
 def read_csv_run(spark: SparkSession, path: str, run_id: int = 1, strict: bool = True) -> dict[str, DataFrame]:
-    """The typed tables of a CSV recording."""
+    """The typed tables of a CSV recording; ``strict`` refuses fields outside their domain and text that is not UTF-8."""
     if not path_exists(spark, f"{path}/run.csv"):
         raise FileNotFoundError("No recording found: run.csv is missing")
-    tables = {}
+    tables, texts = {}, []
     for kind, name in schemas.NAMES.items():
         file = f"{path}/{name}.csv"
         if not path_exists(spark, file):
             if kind in OPTIONAL:
                 continue
             raise FileNotFoundError(f"Dataset file not found: {name}.csv")
-        tables[name] = typed(read_text_dataset(spark, file, kind), kind, strict).withColumn(
-            "run_id", F.lit(run_id).cast("bigint"))
+        rows = read_text_dataset(spark, file, kind)
+        if _holds_text(rows.columns, kind):
+            texts.append(file)
+        tables[name] = typed(rows, kind, strict).withColumn("run_id", F.lit(run_id).cast("bigint"))
+    if strict:
+        check_encoding(spark, texts)
     _check_run(tables["run"])
     return tables
 

@@ -49,6 +49,14 @@ def test_bad_rows_fail(spark, tmp_path, line):
         tables["instruction_events"].collect()
 
 
+def test_malformed_text_is_refused(spark, tmp_path):
+    path = _csv_dir(tmp_path)
+    (tmp_path / "register_definitions.csv").write_bytes(b'register_id,name,size\n1,"r\xffx",8\n')
+    with pytest.raises(ValueError, match="Malformed UTF-8 in .*register_definitions"):
+        csv_run.read_csv_run(spark, path)
+    assert csv_run.read_csv_run(spark, path, strict=False)["register_definitions"].count() == 1
+
+
 def test_extra_columns_are_kept_and_order_is_free(spark, tmp_path):
     text = 'instruction_id,note,thread_id,sequence,monotonic_ns,address\n4,"a ""b"",\nc",3,1,2,0xFF\n'
     (row,) = csv_run.read_csv_run(spark, _csv_dir(tmp_path, instruction_events=text))["instruction_events"].collect()
