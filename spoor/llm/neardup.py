@@ -269,7 +269,11 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = shared.written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, sig binary"), "sketches")
     classes = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*IDENTITY).agg(
         F.min("doc_id").alias("low"), F.max("sig").alias("sig"))
-    classes = shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # A class is numbered by its smallest doc_id; where rows of one doc_id make several classes, by its place in that order.
+    classes = shared.written(classes.withColumn("cid", F.col("low")), "classes")
+    if not classes.groupBy("low").count().filter("count > 1").isEmpty():
+        ordered = classes.drop("cid").repartitionByRange("low").sortWithinPartitions("low", *IDENTITY)
+        classes = shared.written(ordered.withColumn("cid", F.monotonically_increasing_id()), "classes")
     found = linked(docs, classes).join(classes.select("low", F.col("cid").alias("node")), "node")
     smallest = found.groupBy("component").agg(F.min("low").alias("component_id"))
     found = found.join(smallest, "component").select(F.col("node").alias("cid"), "component_id")
