@@ -10,8 +10,8 @@ them stands for the window (a window inside a long run contains none and stands
 
 1. every text becomes a few dozen keys per thousand words, each with the windows it stands for;
 2. Spark counts the keys of all texts; the windows of a key that occurs once occur once;
-3. the remaining windows are verified: their own hashes, 128 bits of two constructions, are counted, and those that occur
-   twice are repeats.
+3. the remaining windows are verified: their own hashes, 96 bits of two constructions, are counted, and those that occur
+   twice are repeats. (Of 10^11 windows two different ones share all 96 bits with a probability below 10^-6.)
 
 Texts with equal words are copies: one stands for all of them in these counts, and all lose everything. Windows are
 judged on the input, not on what is left.
@@ -167,7 +167,7 @@ def _verify(batches):
         tid, wanted, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         for a, b, _, _, _, bounds, h, g, one, _ in _texts(batch.column(3)):
             with np.errstate(over="ignore"):
-                every, again = text.windows(h, SIZE).view(np.int64), text.windows(g, SIZE, seed=13).view(np.int64)
+                every, again = text.windows(h, SIZE).view(np.int64), text.windows(g, SIZE, seed=13).astype(np.uint32).view(np.int32)
             out = []
             for i in range(b - a):
                 if one[i] == wanted[a + i]:
@@ -248,9 +248,16 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = shared.written(spans.join(profile.select("tid", "doc_id", *same), "tid"), "asked-windows")
 
     windows = _with_text(docs, asked).select("tid", "one", "spans", "text").mapInArrow(
-        _verify, "h long, g long, tid long, start int")
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-    starts = windows.join(twice, ["h", "g"]).groupBy("tid").agg(F.collect_list("start").alias("starts"))
+        _verify, "h long, g int, tid long, start int")
+    counted = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).filter("n > 1")
+    counted = shared.written(counted, "window-counts")
+    twice = windows.drop("g").join(counted.filter("low = high").select("h"), "h").select("tid", "start")
+    mixed = counted.filter("low <> high").select("h")
+    if not mixed.isEmpty():                                 # windows that share the first hash only
+        told = shared.only(windows, mixed, "h")
+        same = told.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+        twice = twice.unionByName(told.join(same, ["h", "g"]).select("tid", "start"))
+    starts = twice.groupBy("tid").agg(F.collect_list("start").alias("starts"))
     # the one that stands for its copies needs no answer of its own
     kept = copied.select(F.col("first").alias("tid"))
     starts = shared.written(starts.join(kept, "tid", "left_anti").join(profile.select("tid", "doc_id", *same), "tid"), "repeated-windows")
