@@ -94,3 +94,18 @@ def test_words_made_to_collide_in_polynomials(spark):
     rows = [(1, " ".join([*around, s, *around[::-1]])), (2, " ".join([*around, c, *around[::-1]])), (3, " ".join([*around, c, *around[::-1], "x"]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(repeats.repeat_digests(docs)) == wanted(rows) and wanted(rows)[1][1] == 0 < wanted(rows)[2][1]
+
+
+def test_windows_that_share_the_first_hash(spark, monkeypatch):
+    plain = repeats._verify
+
+    def poor(batches):
+        import pyarrow as pa
+        for b in plain(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v % 2 for v in b.column(0).to_pylist()], pa.int64()), *b.columns[1:]], b.schema.names)
+    monkeypatch.setattr(repeats, "_verify", poor)
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([f"u{i}_{j}" for j in range(rng.randrange(20))] + passage[rng.randrange(20):][:rng.randrange(36, 60)] + [f"v{i}"] * 40)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.repeat_digests(docs)) == wanted(rows)
