@@ -254,7 +254,7 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = windows.drop("g").join(counted.filter("low = high").select("h"), "h").select("tid", "start")
     mixed = counted.filter("low <> high").select("h")
     if not mixed.isEmpty():                                 # windows that share the first hash only
-        told = shared.only(windows, mixed, "h")
+        told = shared.written(shared.only(windows, mixed, "h"), "mixed-windows")
         same = told.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
         twice = twice.unionByName(told.join(same, ["h", "g"]).select("tid", "start"))
     starts = twice.groupBy("tid").agg(F.collect_list("start").alias("starts"))
