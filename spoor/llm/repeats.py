@@ -255,8 +255,8 @@ def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = counted.filter("low <> high").select("h")
     if not mixed.isEmpty():                                 # windows that share the first hash only
         told = shared.written(shared.only(windows, mixed, "h"), "mixed-windows")
-        same = told.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-        twice = twice.unionByName(told.join(same, ["h", "g"]).select("tid", "start"))
+        again = told.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+        twice = twice.unionByName(told.join(again, ["h", "g"]).select("tid", "start"))
     starts = twice.groupBy("tid").agg(F.collect_list("start").alias("starts"))
     # the one that stands for its copies needs no answer of its own
     kept = copied.select(F.col("first").alias("tid"))
