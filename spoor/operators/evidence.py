@@ -168,16 +168,20 @@ def _dataset_label(kind: int) -> Column:
     return F.lit(schemas.NAMES[kind].replace("_events", "").replace("_", " "))
 
 
+# The words that event views show for calls, returns and branches.
+OUTCOMES = {"call": "call #", "return": "return #", "no call": "unmatched return", "taken": "taken", "passed": "not taken"}
+
+
 def _outcome(kind: int, have: set[str]) -> Column:
     if kind == 18:
         return X.spaced("reason")
     if kind == 7:
-        return F.concat(F.lit("call #"), F.col("call_id").cast("string"))
+        return F.concat(F.lit(OUTCOMES["call"]), F.col("call_id").cast("string"))
     if kind == 8:
-        return F.when(F.col("matched"), F.concat(F.lit("return #"), F.col("call_id").cast("string"))
-                      ).otherwise("unmatched return")
+        return F.when(F.col("matched"), F.concat(F.lit(OUTCOMES["return"]), F.col("call_id").cast("string"))
+                      ).otherwise(OUTCOMES["no call"])
     if kind == 11:
-        return F.when(F.col("taken"), "taken").otherwise("not taken")
+        return F.when(F.col("taken"), OUTCOMES["taken"]).otherwise(OUTCOMES["passed"])
     parts = [F.col(c) for c in ("access", "event") if c in have]
     if "action" in have:
         parts.append(F.concat(F.lit(" · "), F.col("action")))
