@@ -237,6 +237,18 @@ def test_text_helpers(spark):
     assert [r[0] for r in df.select(X.basename("p")).collect()] == ["c.dll", "x", ""]
 
 
+def test_byte_counts_are_rounded_by_their_exact_value(spark):
+    """Halves go to the even digit, and a decimal that only looks like a half does not go up (as printf has it)."""
+    rng = random.Random(4)
+    values = [0, 1023, 1024, 1280, 1792, (1 << 20) - 1, 5 << 18, 7 << 18, (1 << 30) - 1, 9 << 27, 11 << 27, 5960129 ** 2 * 1024 + 5960129,
+              6038322 ** 2 * 1024 + 6038322, (1 << 62) + 12345, *(rng.randrange(1 << rng.randint(1, 62)) for _ in range(300))]
+    df = spark.createDataFrame([(v,) for v in values], "n bigint")
+
+    def printf(n):
+        return f"{n} B" if n < 1024 else "%.1f KiB" % (n / 1024) if n < 1 << 20 else "%.1f MiB" % (n / 1048576) if n < 1 << 30 else "%.2f GiB" % (n / 1073741824)
+    assert [(r.n, r.shown) for r in df.select("n", X.format_bytes("n").alias("shown")).collect()] == [(v, printf(v)) for v in values]
+
+
 def test_crc_check_value(spark):
     rows = spark.sql("SELECT crc32(X'313233343536373839') AS a, crc32(X'') AS b").first()
     assert (rows.a, rows.b) == (0xcbf43926, 0)
