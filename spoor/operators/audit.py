@@ -209,29 +209,27 @@ def check_register_oracle(expected: DataFrame, evidence: DataFrame, instructions
     """Expected observations (run_id, pc, register, access, ordinal, mask, value) against samples.
 
     The k-th observation of a place must satisfy value & mask = expected. ``NAME.high`` is the second
-    eight bytes. One row per place with observed and expected counts and errors.
+    eight bytes. One row per place with observed and expected counts and errors. Merge joins, as exploded rows pass for small.
     """
     place = ["run_id", "pc", "register", "access"]
     alias = F.create_map(*[F.lit(v) for k, n in _ALIASES.items() for v in (k, n)])
     code = instructions.select("run_id", "iid", F.col("address").alias("pc"))
     names = registers.select("run_id", "reg", "register_name")
     seen = (evidence.filter("kind = 6").select("run_id", "iid", "reg", "seq", "access", "captured")
-            .join(code, ["run_id", "iid"]).join(names, ["run_id", "reg"])
+            .join(code.hint("merge"), ["run_id", "iid"]).join(names, ["run_id", "reg"])
             .withColumn("_name", F.coalesce(F.try_element_at(alias, F.col("register_name")), F.col("register_name")))
             .withColumn("lane", F.explode(F.array(F.lit(0), F.lit(1))))
             .withColumn("register", F.when(F.col("lane") == 1, F.concat("_name", F.lit(".high"))).otherwise(F.col("_name")))
-            .join(expected.select(*place).distinct(), place, "left_semi"))
+            .join(expected.select(*place).distinct().hint("merge"), place, "left_semi"))
     seen = ordered.ordinals(seen, place, "ordinal", segment=segment)
     width = F.when(F.col("_name") == "gflags", F.lit(4)).otherwise(F.lit(8))
     raw = F.substring(F.col("captured"), F.col("lane") * 8 + 1, width)
     got = F.when(F.length(raw) == width, B.to_signed(B.little_unsigned(raw)).cast("bigint"))
-    seen = seen.withColumn("got", got).select(*place, "ordinal", "got")
-    rows = seen.join(expected.select(*place, "ordinal", "mask", "value"), [*place, "ordinal"], "full_outer")
+    seen = seen.withColumn("got", got).select(*place, "ordinal", "got", F.lit(True).alias("_seen"))
+    rows = seen.join(expected.select(*place, "ordinal", "mask", "value").hint("merge"), [*place, "ordinal"], "full_outer")
     signed_mask, signed_value = (B.to_signed(c).cast("bigint") for c in ("mask", "value"))
     right = F.col("got").isNotNull() & F.coalesce(F.col("got").bitwiseAND(signed_mask) == signed_value, F.lit(False))
-    rows = rows.withColumn("_right", right)
-    sums = rows.join(seen.select(*place, "ordinal", F.lit(True).alias("_seen")), [*place, "ordinal"], "left")
-    return sums.groupBy(*place).agg(
+    return rows.withColumn("_right", right).groupBy(*place).agg(
         F.count_if(F.col("_seen")).alias("observed"), F.count_if(F.col("mask").isNotNull()).alias("expected"),
         F.count_if(F.col("_seen") & ~F.col("_right")).alias("_wrong")).select(
         *place, "observed", "expected",

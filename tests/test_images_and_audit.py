@@ -180,6 +180,14 @@ def test_register_oracle_aliases_and_high_lane(spark):
     assert got == {"xmm0": (1, 1, 0), "xmm0.high": (1, 1, 0), "gflags": (1, 2, 1), "rip": (0, 1, 1)}
 
 
+@pytest.mark.parametrize("name", ["check_register_oracle"])
+def test_oracle_checks_broadcast_nothing_that_grows(spark, name):
+    """Slots, samples and code are merged; only the register names, one row here, may be sent to every task."""
+    from spoor.plans import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pages_across_pieces(spark):
     rows = [dict(kind=4, seq=s, tid=s % 3) for s in range(3, 400, 3)] + [dict(kind=4, seq=1, run_id=2)]
     ev = evidence(spark, rows)
