@@ -164,6 +164,9 @@ def check_memory_oracle(expected: DataFrame, evidence: DataFrame, diagnostics: D
     Samples alternate write_before and write_after; sample i (from 0) holds (i + 1) div 2, full width,
     all by the slot's first thread. A fault slot needs a memory_unreadable diagnostic and only empty
     write_before samples. One row per slot with its number of errors and observed writes.
+
+    Lists of slots and of code grow with the recording, and Spark takes exploded rows for as small as their source:
+    the joins are merge joins, so that none of them passes through the driver.
     """
     slots = (expected.groupBy("run_id", "address").agg(
         F.max("expected").alias("expected"), F.max("slot_kind").alias("slot_kind"))
@@ -172,11 +175,11 @@ def check_memory_oracle(expected: DataFrame, evidence: DataFrame, diagnostics: D
     samples = (evidence.filter((F.col("kind") == 5) & F.col("access").isin("write_before", "write_after"))
                .select("run_id", F.col("addr").alias("address"), "seq", "tid", "iid", "access", "requested",
                        "captured")
-               .join(slots.select("run_id", "address", "slot_kind", "width"), ["run_id", "address"]))
+               .join(slots.select("run_id", "address", "slot_kind", "width").hint("merge"), ["run_id", "address"]))
     samples = ordered.ordinals(samples, ["run_id", "address"], "_i", segment=segment)
-    samples = samples.join(known, ["run_id", "iid"], "left")
+    samples = samples.join(known.hint("merge"), ["run_id", "iid"], "left")
     leader = samples.groupBy("run_id", "address").agg(F.min_by("tid", "seq").alias("_leader"))
-    samples = samples.join(leader, ["run_id", "address"], "left")
+    samples = samples.join(leader.hint("merge"), ["run_id", "address"], "left")
     captured = F.coalesce(F.length("captured"), F.lit(0))
     odd = F.col("_i") % 2 == 1
     held = B.little_unsigned(F.substring(F.col("captured"), F.lit(1), F.lit(8)))
@@ -192,7 +195,7 @@ def check_memory_oracle(expected: DataFrame, evidence: DataFrame, diagnostics: D
         F.count_if(~fault & (F.col("access") == "write_after")).alias("observed"))
     noted = (diagnostics.filter("reason = 'memory_unreadable'").select("run_id", "address").distinct()
              .withColumn("_noted", F.lit(True)))
-    rows = slots.join(seen, ["run_id", "address"], "left").join(noted, ["run_id", "address"], "left")
+    rows = slots.join(seen.hint("merge"), ["run_id", "address"], "left").join(noted.hint("merge"), ["run_id", "address"], "left")
     count = F.coalesce("samples", F.lit(0))
     slot_error = F.when(fault, F.col("_noted").isNull() | (count == 0)).otherwise(count != 2 * F.col("expected"))
     return rows.select("run_id", "address", "slot_kind", "expected", count.alias("samples"),

@@ -180,7 +180,7 @@ def test_register_oracle_aliases_and_high_lane(spark):
     assert got == {"xmm0": (1, 1, 0), "xmm0.high": (1, 1, 0), "gflags": (1, 2, 1), "rip": (0, 1, 1)}
 
 
-@pytest.mark.parametrize("name", ["check_register_oracle"])
+@pytest.mark.parametrize("name", ["check_memory_oracle", "check_register_oracle"])
 def test_oracle_checks_broadcast_nothing_that_grows(spark, name):
     """Slots, samples and code are merged; only the register names, one row here, may be sent to every task."""
     from spoor.plans import QUERIES
