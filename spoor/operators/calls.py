@@ -91,12 +91,14 @@ def active_calls(evidence: DataFrame, cursors: DataFrame, limit: int | None = No
     return _active(evidence, cursors, [], limit, piece)
 
 
-def stack_snapshots(spans: DataFrame, cursors: DataFrame, piece: int = STACK_PIECE) -> tuple[DataFrame, DataFrame]:
+def stack_snapshots(spans: DataFrame, cursors: DataFrame, piece: int = STACK_PIECE, same: tuple = (),
+                    limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For each thread piece that holds a cursor: the calls active at some moment of it, and the cursors.
 
     That is the snapshot of the calls open at the piece's beginning and the calls made in it. Wanted pieces are numbered
-    within their thread (``part``); a call belongs to the numbers from its first to its last wanted piece, which two ordered
-    look-ups find, so nothing is stored for moments that nobody asks about.
+    within their thread (``part``); two ordered look-ups find the numbers of a call, so nothing is stored for moments that
+    nobody asks about. With a limit a piece gets only calls that can be among the newest ``limit`` of its cursors with equal
+    columns ``same``: those that begin or end inside, and the newest ones of those that are active all through it.
     """
     thread = ["run_id", "tid"]
     cursors = cursors.withColumn("_piece", F.expr(f"cursor div {piece}"))
@@ -105,14 +107,47 @@ def stack_snapshots(spans: DataFrame, cursors: DataFrame, piece: int = STACK_PIE
     last = pieces.groupBy(*thread).agg(F.max("_piece").alias("_last"), F.count(F.lit(1)).alias("_parts"))
     spans = (spans.join(last, thread).withColumn("_from", F.expr(f"(seq + 1) div {piece}"))
              .withColumn("_to", F.expr(f"until div {piece}")).filter("_from <= _last"))
-    begin = _pieces_up_to(spans, pieces, thread, F.col("_from") - 1, "_begin")
+    # the wanted numbers a call takes: from its first piece to its last, or with a limit only those in between
+    inner = 0 if limit is None else 1
+    begin = _pieces_up_to(spans, pieces, thread, F.col("_from") - 1 + inner, "_begin")
     # what outlasts all wanted pieces needs no look-up
-    lasting = begin.filter("_to >= _last").withColumn("_end", F.col("_parts"))
-    ending = _pieces_up_to(begin.filter("_to < _last"), pieces, thread, F.col("_to"), "_end")
+    outlasts = F.col("_to") >= F.col("_last") + inner
+    lasting = begin.filter(outlasts).withColumn("_end", F.col("_parts"))
+    ending = _pieces_up_to(begin.filter(~outlasts), pieces, thread, F.col("_to") - inner, "_end")
     found = lasting.unionByName(ending).filter("_begin < _end")
-    found = found.withColumn("part", F.explode(F.expr("sequence(_begin, _end - 1)")))
-    return (found.drop("_last", "_parts", "_from", "_to", "_begin", "_end"),
-            cursors.join(pieces, [*thread, "_piece"]).drop("_piece"))
+    wanted = cursors.join(pieces, [*thread, "_piece"])
+    if limit is None:
+        found = found.withColumn("part", F.explode(F.expr("sequence(_begin, _end - 1)")))
+    else:
+        marks = pieces.withColumnRenamed("_piece", "_at")
+        starting = spans.withColumn("_at", F.col("_from")).join(marks, [*thread, "_at"])
+        # calls that end at one moment, by a change of context: an older one is never shown without the newer ones
+        stopping = _newest(spans.withColumn("_at", F.col("_to")).filter("_to > _from").join(marks, [*thread, "_at"]),
+                           [*thread, *same, "until"], limit)
+        found = (starting.unionByName(stopping).drop("_at")
+                 .unionByName(_newest_through(found, wanted, [*thread, *same], limit), allowMissingColumns=True))
+    return found.drop("_last", "_parts", "_from", "_to", "_begin", "_end"), wanted.drop("_piece")
+
+
+def _newest(rows: DataFrame, group: list[str], limit: int) -> DataFrame:
+    order = Window.partitionBy(*group).orderBy(F.desc("seq"))
+    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+
+
+_PARTS = 32     # wanted pieces of a thread are numbered below 2^32
+
+
+def _newest_through(found: DataFrame, wanted: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """The newest calls that take the numbers _begin to _end - 1, for each wanted group and number.
+
+    A range of numbers is tiled by dyadic nodes, and a number is below one node a level: rows grow with the logarithm of
+    the pieces, and only ``limit`` of them are kept for a range, a node and a number.
+    """
+    nodes = (_newest(found, [*group, "_begin", "_end"], limit)
+             .withColumn("_node", F.explode(ordered.cover_nodes("_begin", "_end - 1", _PARTS))))
+    nodes = _newest(nodes, [*group, "_node"], limit)
+    asked = wanted.select(*group, "part").distinct().withColumn("_node", F.explode(ordered.point_nodes("part", _PARTS)))
+    return _newest(nodes.join(asked, [*group, "_node"]), [*group, "part"], limit).drop("_node")
 
 
 def _pieces_up_to(spans: DataFrame, pieces: DataFrame, thread: list[str], at, out: str) -> DataFrame:
@@ -165,14 +200,14 @@ def _active(evidence: DataFrame, cursors: DataFrame, same: list[str], limit: int
     """Active calls that agree with their cursor in the columns ``same`` too, the newest ``limit`` of them.
 
     A thread's calls are cut into pieces; a cursor reads the snapshot of the calls open at the beginning of its piece and
-    the calls of the piece itself, in one bounded task.
+    the calls of the piece itself, in one task. With a limit its rows are bounded by the piece.
     """
     thread = ["run_id", "tid"]
     wanted = cursors.filter(F.col("tid") >= 0).select("cursor_id", *thread, "cursor", *same)
     spans = _active_spans(evidence).filter(F.col("until") > F.col("seq"))
     if same:
         spans = spans.join(wanted.select(*thread, *same).distinct(), [*thread, *same], "left_semi")
-    spans, wanted = stack_snapshots(spans, wanted, piece)
+    spans, wanted = stack_snapshots(spans, wanted, piece, tuple(same), limit)
     kinds = dict(spans.dtypes) | dict(wanted.dtypes)
     columns = ["cursor_id", *thread, "cursor", "seq", "cid", "target", "returned", "until"]
     group = [*thread, "part"]

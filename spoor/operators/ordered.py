@@ -135,7 +135,7 @@ _TOP = 48
 LAST = (1 << _TOP) - 1
 
 
-def cover_nodes(low: str, high: str) -> Column:
+def cover_nodes(low: str, high: str, top: int = _TOP) -> Column:
     """Dyadic nodes (level, node) that exactly tile the whole numbers low..high (SQL expressions).
 
     A point p lies in the range iff one of the nodes equals (level, p div 2^level); that node is
@@ -144,13 +144,13 @@ def cover_nodes(low: str, high: str) -> Column:
     left = f"shiftright(({low}) + shiftleft(1L, L) - 1, L)"
     right = f"shiftright(({high}) + 1, L)"
     return F.expr(f"""
-        filter(flatten(transform(sequence(0, {_TOP}), L -> array(
+        filter(flatten(transform(sequence(0, {top}), L -> array(
             CASE WHEN {left} < {right} AND ({left} & 1) = 1
                  THEN struct(L AS level, {left} AS node) END,
             CASE WHEN {left} < {right} AND ({right} & 1) = 1
                  THEN struct(L AS level, {right} - 1 AS node) END))), n -> n IS NOT NULL)""")
 
 
-def point_nodes(point: str) -> Column:
+def point_nodes(point: str, top: int = _TOP) -> Column:
     """All dyadic nodes that contain a point, one per level."""
-    return F.expr(f"transform(sequence(0, {_TOP}), L -> struct(L AS level, shiftright(({point}), L) AS node))")
+    return F.expr(f"transform(sequence(0, {top}), L -> struct(L AS level, shiftright(({point}), L) AS node))")

@@ -111,6 +111,21 @@ def test_frames_of_a_function_across_pieces(spark, monkeypatch):
     assert spans.count() == 0
 
 
+def test_snapshots_of_deep_stacks_grow_with_the_calls(spark):
+    """Calls that stay open, or end together far away, are not kept once per piece of their lives."""
+    rows = [dict(seq=s, kind=7, tid=0, cid=s, target=s % 3) for s in range(1, 640)] + [dict(seq=650, kind=13, tid=0)]
+    rows += [dict(seq=s, kind=7, tid=0, cid=s, target=s % 3) for s in range(660, 1280)]
+    ev = evidence(spark, rows)
+    watches = spark.createDataFrame([(c, 1, 0, c, Decimal(c // 8 % 3)) for c in range(4, 1300, 8)],
+                                    "cursor_id bigint, run_id bigint, tid bigint, cursor bigint, target decimal(20,0)")
+    spans, _ = calls.stack_snapshots(calls._active_spans(ev), watches, 16, ("target",), 1)
+    assert spans.count() < 3 * len(rows)
+    got = {r.cursor_id: r.seq for r in calls._active(ev, watches, ["target"], 1, 16).collect()}
+    for c in range(4, 1300, 8):
+        assert got.get(c) == max((r["seq"] for r in rows if r["kind"] == 7 and (c < 650 or r["seq"] > 650) and r["seq"] < c
+                                  and r["target"] == c // 8 % 3), default=None)
+
+
 def test_syscall_epochs(spark):
     rows = spark.createDataFrame([(1, 0, 1, True), (1, 0, 2, True), (1, 0, 4, False), (1, 0, 5, True), (1, 0, 6, False)],
                                  "run_id bigint, tid bigint, seq bigint, entering boolean")
