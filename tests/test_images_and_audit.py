@@ -267,3 +267,13 @@ def test_gaps_and_duplicates_across_bitmaps(spark):
     ev = evidence(spark, [dict(kind=4, seq=s) for s in seqs] + [dict(kind=3, seq=0), dict(kind=4, seq=7, run_id=2)])
     got = {r.run_id: (r.records, r.distinct_seqs, r.last_seq, r.duplicates, r.gaps) for r in audit.sequence_audit(ev).collect()}
     assert got == {1: (8, 5, 100000, 3, 99995), 2: (1, 1, 7, 0, 6)}
+
+
+def test_thin_runs_are_audited_in_plain_numbers(spark):
+    """No aggregation buffer holds bytes: runs that are thin over a long range take no more memory than their rows."""
+    seqs = [1, 63, 64, 64, 127, 128, 1 << 40, (1 << 40) + 63]
+    ev = evidence(spark, [dict(kind=4, seq=s, run_id=r) for r in (1, 2) for s in seqs])
+    df = audit.sequence_audit(ev)
+    assert {tuple(r) for r in df.collect()} == {(r, 8, 7, (1 << 40) + 63, 1, (1 << 40) + 56) for r in (1, 2)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
