@@ -11,7 +11,7 @@ from spoor.operators.audit import UNTIMED
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
-    """The replay operators hold list state and timers, which Spark keeps in RocksDB."""
+    """The replay operators hold map state and timers, which Spark keeps in RocksDB."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -67,58 +67,101 @@ _MATCHED = T.StructType([
     T.StructField("depth", T.LongType()), T.StructField("matched", T.BooleanType())])
 
 
+_CHUNK = 1 << 16     # rows replayed, and returned, at a time
+
+
 def _stack_processor(syscalls: bool):
     """Stateful processor class; built inside a function so that it travels by value to the workers."""
+    import numpy as np
     from pyspark.sql.streaming import StatefulProcessor
 
+    columns = ["seq", "kind", "call_id", "address"]
+
     class Replay(StatefulProcessor):
-        """Holds rows until the watermark passes them, then replays them in sequence order."""
+        """Holds rows until the watermark passes them, then replays them in sequence order.
+
+        Waiting rows are kept as packed chunks under their first moment, so that a batch writes its own rows and a timer
+        reads what it releases. (Appending to a list state reads the whole list again for every row.)
+        """
 
         def init(self, handle):
             self.handle = handle
-            self.waiting = handle.getListState("waiting", "at bigint, seq bigint, kind int, call_id bigint, address bigint")
-            self.frames = handle.getListState("frames", "call_id bigint, address bigint")
+            self.waiting = handle.getMapState("waiting", "first bigint, chunk bigint", "data binary")
+            self.chunks = handle.getValueState("chunks", "n bigint")
+            self.frames = handle.getValueState("frames", "data binary")
+
+        def keep(self, rows, number):
+            first = int(rows[:, 0].min())
+            self.waiting.updateValue((first, number), (rows.tobytes(),))
+            self.handle.registerTimer(first + 1)
+
+        def numbers(self, count):
+            start = self.chunks.get()[0] if self.chunks.exists() else 0
+            self.chunks.update((start + count,))
+            return range(start, start + count)
 
         def handleInputRows(self, key, rows, timerValues):
+            new = []
             for batch in rows:
-                stamps = batch["event_time"].astype("datetime64[us]").astype("int64") // 1000
-                new = list(zip((int(v) for v in stamps), *(map(int, batch[c]) for c in ("seq", "kind", "call_id", "address"))))
-                if new:
-                    self.waiting.appendList(new)
-                    self.handle.registerTimer(min(r[0] for r in new) + 1)
+                if len(batch):
+                    stamps = batch["event_time"].astype("datetime64[us]").astype("int64") // 1000
+                    new.append(np.column_stack([stamps, *(batch[c].astype("int64") for c in columns)]))
+            for chunk, number in zip(new, self.numbers(len(new))):
+                self.keep(chunk, number)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
             limit = timerValues.getCurrentWatermarkInMs()
-            held = list(self.waiting.get()) if self.waiting.exists() else []
-            ready = sorted((r for r in held if r[0] < limit), key=lambda r: r[1])
-            if not ready:
-                return iter([])
-            rest = [r for r in held if r[0] >= limit]
-            if rest:     # everything the watermark passed is released at once; wake up for the next row
-                self.handle.registerTimer(max(limit, min(r[0] for r in rest)) + 1)
-            frames, out = list(self.frames.get()) if self.frames.exists() else [], []
-            for _, seq, kind, call_id, address in ready:
-                out.append(self.step(frames, seq, kind, call_id, address))
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            self.frames.put(frames) if frames else self.frames.clear()
-            result = pd.DataFrame(out, columns=["seq", "kind", "call_id", "depth", "matched"])
-            result.insert(0, "run_id", key[0])
-            result.insert(1, "tid", key[1])
-            return iter([result.astype({"kind": "int32"})])
-
-        def step(self, frames, seq, kind, call_id, address):
+            due = [k for k in self.waiting.keys() if k[0] < limit]
+            if not due:
+                return
+            rows = np.concatenate([np.frombuffer(self.waiting.getValue(k)[0], np.int64).reshape(-1, 5) for k in due])
+            for k in due:
+                self.waiting.removeKey(k)
+            ready, rest = rows[rows[:, 0] < limit], rows[rows[:, 0] >= limit]
+            rest = rest[np.argsort(rest[:, 0], kind="stable")]
+            pieces = [rest[a:a + _CHUNK] for a in range(0, len(rest), _CHUNK)]
+            for chunk, number in zip(pieces, self.numbers(len(pieces))):
+                self.keep(chunk, number)
+            ready = ready[np.argsort(ready[:, 1], kind="stable")]
+            frames, heights = [], {}
+            if self.frames.exists():
+                for call_id, address in np.frombuffer(self.frames.get()[0], np.int64).reshape(-1, 2).tolist():
+                    self.push(frames, heights, call_id, address)
+            for a in range(0, len(ready), _CHUNK):
+                out = [self.step(frames, heights, *row) for row in ready[a:a + _CHUNK, 1:].tolist()]
+                result = pd.DataFrame(out, columns=["seq", "kind", "call_id", "depth", "matched"])
+                result.insert(0, "run_id", key[0])
+                result.insert(1, "tid", key[1])
+                yield result.astype({"kind": "int32"})
+            self.frames.update((np.array(frames, np.int64).tobytes(),))
+
+        def push(self, frames, heights, call_id, address):
+            if not syscalls:          # the heights at which an address was pushed; those that are no more are popped when met
+                heights.setdefault(address, []).append(len(frames))
+            frames.append((call_id, address))
+
+        def top(self, frames, heights, address):
+            if syscalls:
+                return len(frames) - 1
+            places = heights.get(address)
+            while places:
+                if places[-1] < len(frames) and frames[places[-1]][1] == address:
+                    return places[-1]
+                places.pop()
+            return -1
+
+        def step(self, frames, heights, seq, kind, call_id, address):
             if kind == 7 or kind == 1:                      # call, or system-call enter
-                frames.append((call_id, address))
+                self.push(frames, heights, call_id, address)
                 return seq, kind, call_id, len(frames) - 1, True
             if kind == 13:                                  # context change: open system calls are lost
                 lost = len(frames)
                 frames.clear()
+                heights.clear()
                 return seq, kind, 0, lost, False
-            at = len(frames) - 1
-            while not syscalls and at >= 0 and frames[at][1] != address:
-                at -= 1
+            at = self.top(frames, heights, address)
             if at < 0:
                 return seq, kind, 0, len(frames), False
             found = frames[at][0]

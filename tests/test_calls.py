@@ -133,3 +133,56 @@ def test_syscall_epochs(spark):
     pairs = calls.correlate_syscalls(rows, changes, segment=2)
     assert {r.seq: r.enter_seq for r in pairs.collect() if not r.entering} == {4: None, 6: 5}
     assert [(r.seq, r.requested) for r in calls.interrupted_syscalls(pairs, changes).collect()] == [(3, 2)]
+
+
+class _State:
+    """Stands in for the state of one key; counts the bytes that are read and written."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers, self.moved = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        one = _State()
+        one.exists, one.get = lambda: one.value is not None, lambda: one.value
+        one.update = lambda value: setattr(one, "value", value)
+        return one
+
+    def getMapState(self, name, key_schema, schema):
+        def write(key, value):
+            self.moved += len(value[0])
+            self.entries[key] = value
+
+        def read(key):
+            self.moved += len(self.entries[key][0])
+            return self.entries[key]
+        many = _State()
+        many.updateValue, many.getValue, many.removeKey = write, read, self.entries.pop
+        many.keys = lambda: iter(list(self.entries))
+        return many
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_waiting_rows_are_moved_once():
+    """Many batches wait, one moment after the other is released: each row is written once and read once, not with all others."""
+    import pandas as pd
+    from types import SimpleNamespace
+
+    from spoor.streaming import live
+    rng, rows = random.Random(8), []
+    for seq in range(1, 2001):
+        rows.append((seq, 7 if rng.random() < 0.55 else 8, seq + 1000, rng.randint(0, 4)))
+    state, replayer, got = _State(), live._stack_processor(False), []
+    replayer.init(state)
+    for a in range(0, 2000, 20):
+        frame = pd.DataFrame(rng.sample(rows[a:a + 20], 20), columns=["seq", "kind", "call_id", "address"])
+        frame["event_time"] = pd.to_datetime(frame["seq"], unit="ms")
+        replayer.handleInputRows((1, 2), iter([frame]), None)
+    for limit in (15, 15, *range(40, 2100, 30)):
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda limit=limit: limit)
+        for _ in sorted(t for t in state.timers if t <= limit):
+            got += [r for df in replayer.handleExpiredTimer((1, 2), now, None) for r in df.itertuples(index=False, name=None)]
+    want = replay(rows)
+    assert [(r[2], r[4:]) for r in got] == [(s, want[s]) for s, *_ in rows]
+    assert not state.entries and state.moved < 4 * 40 * len(rows)
