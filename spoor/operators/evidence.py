@@ -64,18 +64,22 @@ def to_evidence(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def guard_problems() -> Column:
-    """Array of problem names for an evidence row, empty when the row is acceptable."""
+def _guards() -> list[tuple[str, Column]]:
+    """Problem names of an evidence row and when a row has them."""
     static = F.col("kind").isin(1, 3, 10, 14, 16)
     sampled = F.col("kind").isin(5, 6)
-    checks = [
+    return [
         ("invalid_sequence", (F.col("seq") < 0) | (~static & (F.col("seq") == 0))),
         ("invalid_memory_width", (F.col("kind") == 5)
          & ((F.col("requested") < F.coalesce(F.length("captured"), F.lit(0)))
             | (F.col("requested") > 0xffffffff))),
         ("invalid_access", sampled & ~F.col("access").isin(*_ACCESS_WORDS)),
     ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
+
+
+def guard_problems() -> Column:
+    """Array of problem names for an evidence row, empty when the row is acceptable."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in _guards()]))
 
 
 def ingest_rejects(evidence: DataFrame) -> DataFrame:
@@ -84,10 +88,11 @@ def ingest_rejects(evidence: DataFrame) -> DataFrame:
 
 def ingest_strict(evidence: DataFrame) -> DataFrame:
     """The same rows; the job fails at the first unacceptable one."""
-    problems = guard_problems()
-    failed = F.raise_error(F.concat(F.lit("Rejected evidence row: "), F.array_join(problems, ",")))
+    # Without arrays and lambdas, which would keep the rows of whole recordings out of generated code.
+    named = [F.when(c, F.lit(n)) for n, c in _guards()]
+    failed = F.raise_error(F.concat(F.lit("Rejected evidence row: "), F.concat_ws(",", *named)))
     # Carried on seq so that the check is evaluated whenever the row is used.
-    return evidence.withColumn("seq", F.when(F.size(problems) > 0, failed.cast("bigint")).otherwise(F.col("seq")))
+    return evidence.withColumn("seq", F.when(F.coalesce(*named).isNotNull(), failed.cast("bigint")).otherwise(F.col("seq")))
 
 
 def is_sample() -> Column:

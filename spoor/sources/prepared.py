@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from spoor.sources import container, csv_run
 
 TABLES = ["evidence", "memory_by_address", "instructions", "registers", "modules", "execution_counts", "call_lifetimes", "coverage",
           "category_totals", "piece_counts", "value_grams", "run_summary"]
+WRITERS = 4      # derived tables that are written at the same time
 
 
 def source_listing(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -81,7 +84,8 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
     place = lambda table: f"{out}/{table}/part={name}"
     ev = evidence.ingest_strict(evidence.to_evidence(tables))
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("iid", "cid", "target")}
-    (ev.repartitionByRange("run_id", "kind", "seq").sortWithinPartitions("run_id", "kind", "seq")
+    # Static records all have sequence number 0: the instruction and the address cut them into several tasks.
+    (ev.repartitionByRange("run_id", "kind", "seq", "iid", "addr").sortWithinPartitions("run_id", "kind", "seq")
      .write.options(**blooms).partitionBy("run_id", "kind").parquet(place("evidence")))
     ev = spark.read.parquet(place("evidence")).withColumn("run_id", F.col("run_id").cast("bigint"))
     runs = sorted(r.run_id for r in ev.select("run_id").distinct().collect())              # a number a run
@@ -92,21 +96,27 @@ def prepare_run(spark: SparkSession, tables: dict[str, DataFrame], out: str, sou
 
     def save(table: str, df: DataFrame) -> DataFrame:
         df.write.parquet(place(table))
-        return spark.read.parquet(place(table))
-
-    # A third of all accesses may hit one page: the sequence number cuts hot addresses.
-    (ev.filter("kind = 5").repartitionByRange("run_id", "addr", "seq").sortWithinPartitions("run_id", "addr", "seq")
-     .write.partitionBy("run_id").parquet(place("memory_by_address")))
-    instructions = save("instructions", instruction_dictionary(tables["instruction_definitions"]))
-    save("registers", evidence.register_catalog(tables["register_definitions"]))
-    save("modules", tables["modules"])
-    counts = save("execution_counts", coverage.execution_counts(ev))
-    save("call_lifetimes", calls.call_lifetimes(ev))
-    save("coverage", coverage.coverage_totals(counts, instructions))
-    save("category_totals", timeline.category_totals(ev))
-    save("piece_counts", timeline.piece_counts(ev))
-    save("value_grams", search.value_gram_index(ev))
-    save("run_summary", audit.run_summary(ev, tables["run"], incomplete))
+        return spark.read.schema(df.schema).parquet(place(table))
+
+    def by_address() -> None:
+        # A third of all accesses may hit one page: the sequence number cuts hot addresses.
+        (ev.filter("kind = 5").repartitionByRange("run_id", "addr", "seq").sortWithinPartitions("run_id", "addr", "seq")
+         .write.partitionBy("run_id").parquet(place("memory_by_address")))
+
+    def covered() -> None:
+        instructions = save("instructions", instruction_dictionary(tables["instruction_definitions"]))
+        save("coverage", coverage.coverage_totals(save("execution_counts", coverage.execution_counts(ev)), instructions))
+
+    # Each reads the written evidence and none needs another, so the small jobs of one fill the gaps of the others.
+    work = [by_address, covered, lambda: save("value_grams", search.value_gram_index(ev)),
+            lambda: save("call_lifetimes", calls.call_lifetimes(ev)),
+            lambda: save("registers", evidence.register_catalog(tables["register_definitions"])),
+            lambda: save("run_summary", audit.run_summary(ev, tables["run"], incomplete)),
+            lambda: save("category_totals", timeline.category_totals(ev)),
+            lambda: save("piece_counts", timeline.piece_counts(ev)), lambda: save("modules", tables["modules"])]
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for job in [pool.submit(inheritable_thread_target(spark)(write)) for write in work]:
+            job.result()
     if before_publish is not None:
         before_publish()
     if sources and _fingerprint(spark, sources) != before:
