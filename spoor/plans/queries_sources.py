@@ -35,7 +35,7 @@ def _decoded(records):
 @query("container_round_trip", EVIDENCE_SQL)
 def container_round_trip(spark, sf):
     """A whole recording written as binary files and read back through the data source."""
-    return _decoded(recording.read(spark, recordings.write_recordings(spark, sf)))
+    return _decoded(recording.read_by_type(spark, recordings.write_recordings(spark, sf), scratch_path(spark, "records")))
 
 
 @query("streamed_container", EVIDENCE_SQL)

@@ -1,6 +1,7 @@
 """Binary recordings as a Spark data source: ``spark.read.format("recording")`` and ``spark.readStream.format("recording")``.
 
-Both give the raw records of whole blocks (container.RECORDS). A partition is a run of neighbouring blocks. The stream's
+Both give the raw records of whole blocks (container.RECORDS). A partition is a run of neighbouring blocks, or several runs
+of small files. The stream's
 offset names, for every file, the byte and the number of the next block; a block that is not finished yet waits for a later
 trigger, so a file that grows gives each record once, also after a restart from the checkpoint. Files are opened where the
 tasks run; damage other than an unfinished tail fails the job.
@@ -29,6 +30,28 @@ class BlockRun(InputPartition):
         self.path, self.blocks = path, blocks
 
 
+class BlockRuns(InputPartition):
+    """Runs that one task reads, one after the other."""
+
+    def __init__(self, runs: list[BlockRun]):
+        super().__init__((runs[0].path, runs[0].blocks[0][0]))
+        self.runs = runs
+
+
+def _together(runs: Iterator[BlockRun]) -> list[BlockRuns]:
+    """Runs in their order, as many in a task as PART_BYTES holds."""
+    parts, size = [], 0
+    for run in runs:
+        own = sum(stored for _, _, _, stored, _, _ in run.blocks)
+        if parts and size + own <= PART_BYTES:
+            parts[-1].append(run)
+            size += own
+        else:
+            parts.append([run])
+            size = own
+    return [BlockRuns(part) for part in parts]
+
+
 def _paths(options: dict) -> list[str]:
     if "paths" in options:
         return json.loads(options["paths"])
@@ -69,11 +92,12 @@ class RecordingReader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
-    def partitions(self) -> list[BlockRun]:
-        return [run for path in self.paths for run in _runs(path, container.FILE_HEADER_SIZE, 1)]
+    def partitions(self) -> list[BlockRuns]:
+        return _together(run for path in self.paths for run in _runs(path, container.FILE_HEADER_SIZE, 1))
 
-    def read(self, partition: BlockRun):
-        yield from _read(partition)
+    def read(self, partition: BlockRuns):
+        for run in partition.runs:
+            yield from _read(run)
 
 
 class RecordingStream(DataSourceStreamReader):
@@ -92,12 +116,13 @@ class RecordingStream(DataSourceStreamReader):
                 self.latest[path] = [offset + container.BLOCK_HEADER_SIZE + stored + container.FOOTER_SIZE, block + 1]
         return {path: list(place) for path, place in self.latest.items()}
 
-    def partitions(self, start: dict, end: dict) -> list[BlockRun]:
+    def partitions(self, start: dict, end: dict) -> list[BlockRuns]:
         known = self.initialOffset() | start
-        return [run for path, (stop, _) in end.items() for run in _runs(path, *known[path], stop)]
+        return _together(run for path, (stop, _) in end.items() for run in _runs(path, *known[path], stop))
 
-    def read(self, partition: BlockRun):
-        yield from _read(partition)
+    def read(self, partition: BlockRuns):
+        for run in partition.runs:
+            yield from _read(run)
 
     def commit(self, end: dict) -> None:
         pass
@@ -132,3 +157,10 @@ def stream(spark: SparkSession, paths: list[str]):
     """The raw records of recordings that may still grow."""
     register(spark)
     return spark.readStream.format("recording").option("paths", json.dumps([container.resolve(spark, p) for p in paths])).load()
+
+
+def read_by_type(spark: SparkSession, paths: list[str], staging: str):
+    """The same records, read from the files once into a table partitioned by record type: decoding all types then takes a
+    partition each, where each would otherwise read whole files again."""
+    read(spark, paths).write.mode("errorifexists").partitionBy("type").parquet(staging)
+    return spark.read.schema(container.RECORDS).parquet(staging)

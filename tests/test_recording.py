@@ -56,3 +56,18 @@ def test_damage_fails(spark, tmp_path):
     tables, _ = container.read_container(spark, [str(tmp_path / "text.jkt")], str(tmp_path / "staged"))
     with pytest.raises(Exception, match="UTF-8"):
         tables["register_definitions"].collect()
+
+
+def test_small_files_share_tasks_and_are_read_once(spark, tmp_path, monkeypatch):
+    files = [tmp_path / f"{i}.jkt" for i in range(12)]
+    for i, file in enumerate(files):
+        file.write_bytes(build(block(1, RUN_START, 1), block(2, _events(1 + 10 * i, 10), 10)))
+    paths = [str(file) for file in files]
+    assert len(recording.RecordingReader(paths).partitions()) == 1
+    monkeypatch.setattr(recording, "PART_BYTES", 3 * sum(run.blocks[0][3] + run.blocks[1][3] for run in recording._runs(paths[0], 16, 1)))
+    assert [len(part.runs) for part in recording.RecordingReader(paths).partitions()] == [3] * 4
+    staged = recording.read_by_type(spark, paths, str(tmp_path / "staged"))
+    for file in files:
+        file.unlink()                                            # the types are decoded from the staged records
+    decoded = container.decode_records(staged.selectExpr("*", "1L AS run_id"), 4)
+    assert sorted(r.sequence for r in decoded.collect()) == list(range(1, 121))
