@@ -155,41 +155,50 @@ _SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
 _STEP, _LIMIT = 24, 3000
 
 
+_EMPTY = np.uint32(0xFFFFFFFC)     # a slot without a rank: a rank that no id has, not to be trusted
+
+
 class _Model:
     """The predictions of all blocks of a segment; block b sees its own ids only. Ids are ranks among the segment's
-    distinct ids; a slot holds a rank and, in its lowest two bits, how far it is to be trusted (0: empty)."""
+    distinct ids; a slot holds a rank and, in its lowest two bits, how far it is to be trusted (0: empty). Where a context
+    is empty the weight of its prediction is 0."""
 
     def __init__(self, blocks: int):
-        self.base = np.arange(blocks)
-        self.tables = [np.zeros(blocks * n, np.uint32) for n in (_SLOTS2, _SLOTS1)]
-        self.weight = np.tile(np.array([60, 30, 30], _U), blocks * 16)
+        base = np.arange(blocks)
+        self.base = [base * n for n in (_SLOTS2, _SLOTS1, 16)]
+        self.tables = [np.full(blocks * n, _EMPTY, np.uint32) for n in (_SLOTS2, _SLOTS1)]
+        trust2, trust1 = np.divmod(np.arange(16), 4)
+        start = (np.where(trust2 > 0, 60, 0), np.where(trust1 > 0, 30, 0), np.full(16, 30))
+        self.weights = np.concatenate([np.tile(w.astype(_U), blocks) for w in start])
+        self.weight = self.weights.reshape(3, -1)                            # of orders 2, 1 and 0
         self.last = np.zeros((2, blocks), np.int64)
 
     def predict(self, n: int):
         """For the first n blocks: the ranks that orders 2 and 1 predict and the weights of orders 2, 1 and 0."""
-        one, two, base = self.last[0, :n], self.last[1, :n], self.base[:n]
-        self.at = (base * _SLOTS2 + ((one * 2654435761 + two * 40503 * 77) >> 7 & _SLOTS2 - 1), base * _SLOTS1 + (one * 40503 >> 3 & _SLOTS1 - 1))
-        self.seen = [table[at] for table, at in zip(self.tables, self.at)]
-        (p2, t2), (p1, t1) = ((seen >> 2, seen & 3) for seen in self.seen)
-        self.mix = ((base * 4 + t2) * 4 + t1) * 3
-        has2 = t2 > 0
-        w2 = self.weight[self.mix] * has2
-        w1 = self.weight[self.mix + 1] * ((t1 > 0) & ((p1 != p2) | ~has2))
-        return p2, p1, w2, w1, self.weight[self.mix + 2]
+        one, two = self.last[0, :n], self.last[1, :n]
+        self.at = ((one * 2654435761 + two * (40503 * 77) >> 7 & _SLOTS2 - 1) + self.base[0][:n],
+                   (one * 40503 >> 3 & _SLOTS1 - 1) + self.base[1][:n])
+        self.seen = [table.take(at) for table, at in zip(self.tables, self.at)]
+        self.trust = [seen & 3 for seen in self.seen]
+        self.rank = [seen >> 2 for seen in self.seen]
+        p2, p1 = self.rank
+        self.mix = self.base[2][:n] + (self.trust[0] << 2 | self.trust[1])
+        w2, w1, w0 = (w.take(self.mix) for w in self.weight)
+        w1 *= p1 != p2
+        return p2, p1, w2, w1, w0
 
     def learn(self, now: np.ndarray, order: np.ndarray):
         """order: which prediction the rank was coded by, as 0 (order 2), 1 or 2 (order 0)."""
         n = len(now)
-        w = self.mix + order
-        grown = self.weight[w] + _U(_STEP)
-        self.weight[w] = grown
-        if (full := np.flatnonzero(grown > _LIMIT)).size:
-            for k in range(3):
-                self.weight[self.mix[full] + k] = (self.weight[self.mix[full] + k] >> _U(1)) + _U(1)
-        for table, at, seen in zip(self.tables, self.at, self.seen):
-            trust = seen & 3
-            right = (seen >> 2 == now) & (trust > 0)
-            table[at] = np.where(right, seen + (trust < 3), np.where(trust > 1, seen - 1, now << 2 | 1))
+        w = self.mix + order * self.weight.shape[1]
+        grown = self.weights.take(w) + _U(_STEP)
+        self.weights[w] = grown
+        if len(full := self.mix[grown > _LIMIT]):
+            for weight in self.weight:
+                weight[full] = ((weight[full] >> _U(1)) + _U(1)) * (weight[full] > 0)
+        fresh = now << 2 | 1
+        for table, at, seen, trust, rank in zip(self.tables, self.at, self.seen, self.trust, self.rank):
+            table[at] = np.where(rank == now, seen + (trust < 3), np.where(trust > 1, seen - 1, fresh))
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = now
 
@@ -238,7 +247,13 @@ def _encode_blocks(ids: np.ndarray, distinct: np.ndarray, share: np.ndarray, bit
     grid = np.ascontiguousarray(grid.reshape(n_blocks, BLOCK).T)
     before = np.concatenate([[0], np.cumsum(share, dtype=np.int64)]).astype(_U)
     wide = share.astype(_U)
-    grid = np.searchsorted(distinct, grid).astype(np.uint32)
+    if int(distinct[-1]) < 1 << 22:                        # a vocabulary's ids: looked up instead of searched
+        ranks = np.zeros(int(distinct[-1]) + 1, np.uint32)
+        ranks[distinct] = np.arange(len(distinct), dtype=np.uint32)
+        ranks[:distinct[0]] = 0
+        grid = ranks[np.minimum(grid, distinct[-1])]
+    else:
+        grid = np.searchsorted(distinct, grid).astype(np.uint32)
     model, coder, b = _Model(n_blocks), _Coder(n_blocks), _U(bits)
     out, used = np.zeros((n_blocks, BLOCK // 2 + 64), np.uint16), np.zeros(n_blocks, np.int64)
 
@@ -254,8 +269,8 @@ def _encode_blocks(ids: np.ndarray, distinct: np.ndarray, share: np.ndarray, bit
         n = n_blocks if t < last else n_blocks - 1
         p2, p1, w2, w1, w0 = model.predict(n)
         now = grid[t, :n]
-        is2 = (now == p2) & (w2 > 0)
-        is1 = (now == p1) & (w1 > 0) & ~is2
+        is2 = now == p2
+        is1 = (now == p1) & ~is2
         both = w2 + w1
         start = np.where(is2, _U(0), np.where(is1, w2 << b, (both << b) + before[now] * w0))
         size = np.where(is2, w2 << b, np.where(is1, w1 << b, wide[now] * w0))

@@ -95,3 +95,15 @@ def test_other_vocabularies_see_whole_texts():
     data = [r.encode() for r in rows]
     ids, at = encoder(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(r, add_special_tokens=False).ids for r in rows]
+
+
+def test_segments_keep_their_bytes():
+    """The codes of ids that the coder had before its tables were laid out anew."""
+    n = np.arange(60_000)
+    ids = (n * n % 977 * (n // 7 % 3)).astype(np.uint32)
+    ids[30_000:40_000] = ids[:10_000]
+    packed = [tokens.pack_segment(np.array([1]), np.array([len(x)]), x) for x in (ids, ids * np.uint32(4_000_000))]
+    assert [zlib.crc32(raw) for raw in packed] == [2266840183, 1814047354]
+    model = tokens._Model(2)
+    p2, p1, w2, w1, w0 = model.predict(2)                # empty contexts predict no id and have no weight
+    assert (p2 == p1).all() and p2.min() >= 1 << 22 and not w2.any() and not w1.any() and w0.all()
