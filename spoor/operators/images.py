@@ -167,19 +167,16 @@ def attribute_module(events: DataFrame, lifetimes: DataFrame, address: str = "ad
             F.col(address) - F.col("_hit.base")).cast(B.U64)}).select(*events.columns, "module_id", "module_offset")
 
 
-def code_identity(definitions: DataFrame, segment: int | None = None) -> DataFrame:
+def code_identity(definitions: DataFrame, segment: int | None = None, *, order: str = "seq", tie: tuple = (),
+                  ordinal: str | None = None) -> DataFrame:
     """Instruction ids for definition requests (run_id, seq, address, module_id, size, encoding).
 
     Arrival with another module, size or encoding than the address currently has makes a new id (also
-    when it returns to older code); ids count up from 1 in order of arrival.
+    when it returns to older code); ids count up from 1 in order of arrival. Requests without numbers are put in
+    order by ``order`` and ``tie``; ``ordinal`` adds their 0-based positions.
     """
-    code = F.struct("module_id", "size", "encoding")
-    rows = ordered.carry_last(definitions, ["run_id", "address"], F.lit(True), code, "_now", segment=segment)
-    rows = rows.withColumn("created", ~code.eqNullSafe(F.col("_now")))
-    rows = ordered.running_sum(rows.drop("_now"), ["run_id"], F.col("created").cast("int"), "_id", segment=segment)
-    return ordered.carry_last(rows, ["run_id", "address"], F.col("created"),
-                              F.struct(F.col("_id").alias("id")), "_current", inclusive=True, segment=segment
-                              ).withColumn("instruction_id", F.col("_current.id")).drop("_id", "_current")
+    return ordered.number_changes(definitions, ["run_id"], "address", ["module_id", "size", "encoding"], "created",
+                                  "instruction_id", ordinal, order=order, tie=tie, segment=segment)
 
 
 def process_edges(processes: DataFrame) -> DataFrame:

@@ -69,14 +69,12 @@ def attribute_function(spark, sf):
   FROM n""")
 def code_identity(spark, sf):
     """Line items as definition requests; the supplier is the address."""
-    from spoor.operators.ordered import ordinals
     rows = t.read(spark, sf, "lineitem").selectExpr(
         "1L AS run_id", "l_suppkey AS address", "CAST(l_linenumber % 2 AS BIGINT) AS module_id", "l_orderkey",
         "l_partkey", "l_linenumber", "l_extendedprice", "CAST(l_quantity AS BIGINT) % 2 AS size",
         "CAST(l_returnflag AS BINARY) AS encoding")
-    rows = ordinals(rows, ["run_id"], "seq", order="l_orderkey", tie=("l_partkey", "l_linenumber", "l_extendedprice"),
-                    segment=4096).withColumn("seq", F.col("seq") + 1)
-    return images.code_identity(rows).select("address", "seq", "created", "instruction_id")
+    rows = images.code_identity(rows, 4096, order="l_orderkey", tie=("l_partkey", "l_linenumber", "l_extendedprice"), ordinal="seq")
+    return rows.select("address", F.expr("seq + 1").alias("seq"), "created", "instruction_id")
 
 
 def _le(number: str, width: int) -> str:
