@@ -22,7 +22,9 @@ their texts; rows without doc_id come first; an empty table gives no segment; ot
 
 from __future__ import annotations
 
+import codecs
 import functools
+import itertools
 import json
 import os
 import struct
@@ -46,6 +48,15 @@ _U = np.uint64
 
 # ---- encoding ------------------------------------------------------------------------------------------------------
 
+# The characters that stand for bytes in a vocabulary of bytes; the space between words stays.
+_SAME = [*range(32, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = "".join(chr(b) if b in _SAME else chr(256 + sum(c not in _SAME for c in range(b)) + (b > 32)) for b in range(256))
+
+
+def _spelled(line: str) -> str:
+    return codecs.charmap_decode(line.lower().encode(), "strict", _SPELLING)[0]
+
+
 class WordEncoder:
     """Ids of texts. Where the vocabulary lower-cases, drops white space and cuts words before marks, every distinct word is
     encoded once while it is remembered, by its bytes; for any other vocabulary the library is given whole texts."""
@@ -59,16 +70,17 @@ class WordEncoder:
         self.letter[65:91] = self.letter[97:123] = True
         self.mark[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "<|>"]] = True    # those spell special tokens
         # A vocabulary that marks the ends of words tells where a word's ids end among those of many words.
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        kind = json.loads(self.tokenizer.to_str())
+        suffix = kind["model"].get("end_of_word_suffix")
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())],
                                bool) if suffix else None
-        self.by_words = self._cuts_words()
+        self.by_words = self._cuts_words(kind)
+        self.quick = self._quick() if self.by_words else None
         self._forget()
 
-    def _cuts_words(self) -> bool:
+    def _cuts_words(self, kind: dict) -> bool:
         """Whether words can be encoded one by one: the vocabulary lower-cases, and its pre-tokenization of a line of probes
         drops all white space and cuts wherever words are cut here."""
-        kind = json.loads(self.tokenizer.to_str())
         steps = json.dumps(kind.get("normalizer")) + json.dumps(kind.get("pre_tokenizer"))
         if self.closes is None or "Lowercase" not in steps or "Split" not in steps:
             return False
@@ -83,6 +95,20 @@ class WordEncoder:
                 return False
         return True
 
+    def _quick(self):
+        """The library's model for lower-cased words of Latin letters whose bytes are already written as the vocabulary's
+        characters: no normalization, no patterns, and no memory of words, as none comes twice. None where any letter's ids differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        quick = Tokenizer(self.tokenizer.model)
+        quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = [c for c in map(chr, range(256)) if c.isalpha()]
+        probes = [*letters, *map("".join, zip(letters, letters[1:], letters[7:], letters[40:])), "".join(letters)]
+        for probe in probes:
+            if quick.encode(_spelled(probe), add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                return None
+        quick.model._resize_cache(0)
+        return quick
+
     def _words(self, data: np.ndarray, offsets: np.ndarray):
         cut = np.zeros(len(data), bool)
         if len(data):
@@ -98,7 +124,11 @@ class WordEncoder:
         pre-tokenization each, go many at a time."""
         plain = [w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w.lower()).isalpha()) for w in words]
         letters = [w for w, p in zip(words, plain) if p]
-        many = self.tokenizer.encode_batch_fast([" ".join(letters[i:i + 500]) for i in range(0, len(letters), 500)], add_special_tokens=False)
+        lines = [" ".join(letters[i:i + 100]) for i in range(0, len(letters), 100)]
+        latin = [self.quick is not None and (x.isascii() or max(x) < "\u0100") for x in lines]
+        fast = iter(self.quick.encode_batch_fast([_spelled(x) for x, q in zip(lines, latin) if q], add_special_tokens=False) if any(latin) else ())
+        slow = iter(self.tokenizer.encode_batch_fast([x for x, q in zip(lines, latin) if not q], add_special_tokens=False))
+        many = [next(fast if q else slow) for q in latin]
         each = self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)
         together = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in many]])
         ends = np.flatnonzero(self.closes[together]) + 1 if letters else np.zeros(0, np.int64)
@@ -129,13 +159,15 @@ class WordEncoder:
         words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) + len(words) > KNOWN:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        if new:
+        place = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            place[fresh] = np.arange(len(self.at), len(self.at) + len(new))
             ids, size = self._library([w.decode("utf-8", "replace") for w in new])
             self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
             self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         at, size = self.at[place][which], self.size[place][which]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]

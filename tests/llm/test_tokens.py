@@ -107,3 +107,16 @@ def test_segments_keep_their_bytes():
     model = tokens._Model(2)
     p2, p1, w2, w1, w0 = model.predict(2)                # empty contexts predict no id and have no weight
     assert (p2 == p1).all() and p2.min() >= 1 << 22 and not w2.any() and not w1.any() and w0.all()
+
+
+def test_latin_words_take_the_quick_way():
+    encoder, library = tokens.WordEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(2)
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(2000)]
+    words += ["<|endoftext|>", "жук", "ó", "ŸÀ", "ſ", "a" * 3000, *words[:9], "don't", "K"]
+    ids, size = encoder._library(words)
+    wanted_ids = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert size.tolist() == [len(x) for x in wanted_ids] and ids.tolist() == [i for x in wanted_ids for i in x]
+    assert encoder.quick is not None
+    assert tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).quick is None
